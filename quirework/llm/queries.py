@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import matroska
+from . import language, matroska, pieces, token_counts
 from ._common import table
 
 
@@ -12,5 +13,17 @@ def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.payload_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska,)}
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_matroska, op7_sentencepiece, op8_token_counts, op10_language)}
 SQL: dict[str, str] = {}
