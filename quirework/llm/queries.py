@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_dedup, matroska, pieces, token_counts
+from . import language, line_dedup, matroska, pieces, quality, token_counts, toxicity
 from ._common import table
 
 
@@ -17,6 +17,14 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -29,5 +37,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_line_dedup, op7_sentencepiece, op8_token_counts, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_line_dedup, op3_toxicity, op4_quality, op7_sentencepiece, op8_token_counts, op10_language)}
 SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
