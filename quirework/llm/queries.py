@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_dedup, matroska, pieces, quality, token_counts, toxicity
+from . import language, line_dedup, matroska, maxscore, pieces, quality, token_counts, toxicity
 from ._common import table
 
 
@@ -25,6 +25,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.held_out_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.every_fiftieth(table(spark, sf_dir, "embeddings"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -37,5 +41,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_line_dedup, op3_toxicity, op4_quality, op7_sentencepiece, op8_token_counts, op10_language)}
-SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_line_dedup, op3_toxicity, op4_quality, op5_maxscore, op7_sentencepiece, op8_token_counts, op10_language)}
+SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op5_maxscore": maxscore.SQL}
