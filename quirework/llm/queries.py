@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, line_dedup, matroska, maxscore, pieces, quality, token_counts, toxicity
+from . import jaccard_join, language, line_dedup, matroska, maxscore, pieces, quality, token_counts, toxicity
 from ._common import table
 
 
@@ -29,6 +29,10 @@ def op5_maxscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxscore.every_fiftieth(table(spark, sf_dir, "embeddings"))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -41,5 +45,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_line_dedup, op3_toxicity, op4_quality, op5_maxscore, op7_sentencepiece, op8_token_counts, op10_language)}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_line_dedup, op3_toxicity, op4_quality, op5_maxscore, op6_jaccard_join, op7_sentencepiece, op8_token_counts, op10_language)}
 SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op5_maxscore": maxscore.SQL}
