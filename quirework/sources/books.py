@@ -1,0 +1,308 @@
+"""Book scans: files of a folder become paragraphs in reading order, with what was dropped and why.
+
+``scan`` dispatches by suffix (.txt, .xml, .xhtml/.html, .epub, .docx); a file that cannot be parsed
+gives one row with its error and never fails the job. PDF needs a library that is not here, and says
+so in that column. Files are read with Spark's binaryFile source, so any path Spark reads will do.
+"""
+
+from __future__ import annotations
+
+import io
+import re
+import zipfile
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from html.parser import HTMLParser
+from xml.etree import ElementTree as ET
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+SUFFIXES = (".txt", ".xml", ".html", ".xhtml", ".htm", ".epub", ".docx", ".pdf")
+PARAGRAPH = "chapter int, ordinal int, kind string, level int, text string, page string, dropped_because string, error string"
+_ROMAN_HEADING = re.compile(r"^M{0,3}(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})\.?$")
+_HEADING = re.compile(r"^(cap[ií]tulo|parte|libro|pr[oó]logo|ep[ií]logo|introducci[oó]n|chapter|part)\b.{0,80}$", re.I)
+
+
+@dataclass
+class Flattener:
+    """Blocks in reading order; marks wait for the next block."""
+
+    rows: list[dict] = field(default_factory=list)
+    chapter: int = 0
+    page: str | None = None
+    buffer: list[str] = field(default_factory=list)
+
+    def flush(self, kind: str = "paragraph", level: int | None = None) -> None:
+        text = " ".join("".join(self.buffer).split())
+        self.buffer.clear()
+        if text:
+            self.add(kind, text, level)
+
+    def add(self, kind: str, text: str, level: int | None = None, why: str | None = None) -> None:
+        if kind == "heading" and (level or 1) == 1:
+            self.chapter += 1
+        self.rows.append({"chapter": self.chapter, "ordinal": len(self.rows), "kind": kind, "level": level, "text": text, "page": self.page, "dropped_because": why, "error": None})
+
+    def drop(self, text: str, why: str) -> None:
+        text = " ".join(text.split())
+        if text:
+            self.add("dropped", text, None, why)
+
+
+class HtmlWalk(HTMLParser):
+    """Blocks of an HTML page; navigation, footers, scripts and alternative texts are dropped with a reason."""
+
+    DROPPED = {"nav": "navigation", "footer": "footer", "header": "header", "script": "script", "style": "style", "aside": "aside", "form": "form", "noscript": "script"}
+    BLOCKS = {"p", "div", "article", "section", "li", "ul", "ol", "table", "tr", "td", "th", "blockquote", "pre", "figure", "figcaption", "dd", "dt", "dl", "body", "main"}
+
+    def __init__(self, to: Flattener):
+        super().__init__(convert_charrefs=True)
+        self.to = to
+        self.skipping: list[str] = []
+        self.skipped: list[str] = []
+        self.in_title = False
+
+    def handle_starttag(self, tag, attrs):
+        a = dict(attrs)
+        if tag in self.DROPPED or "ad" in (a.get("class") or "").split():
+            self.to.flush()
+            self.skipping.append(tag)
+        elif self.skipping:
+            if tag == self.skipping[-1]:
+                self.skipping.append(tag)
+        elif tag == "title":
+            self.in_title = True
+        elif re.fullmatch(r"h[1-6]", tag) or tag in self.BLOCKS:
+            self.to.flush()
+        elif tag == "br":
+            self.to.buffer.append(" ")
+        elif tag == "img" and a.get("alt"):
+            self.to.drop(a["alt"], "alternative text")
+        if (a.get("epub:type") == "pagebreak" or "pagebreak" in (a.get("role") or "")) and (a.get("title") or a.get("id")):
+            self.to.page = a.get("title") or a.get("id")
+
+    def handle_endtag(self, tag):
+        if self.skipping:
+            if tag == self.skipping[-1]:
+                self.skipping.pop()
+                if not self.skipping:
+                    self.to.drop("".join(self.skipped), self.DROPPED.get(tag, "advertisement"))
+                    self.skipped.clear()
+            return
+        if tag == "title":
+            self.to.drop("".join(self.to.buffer), "document title")
+            self.to.buffer.clear()
+            self.in_title = False
+        elif re.fullmatch(r"h[1-6]", tag):
+            self.to.flush("heading", int(tag[1]))
+        elif tag in self.BLOCKS:
+            self.to.flush("item" if tag == "li" else "paragraph")
+
+    def handle_data(self, data):
+        (self.skipped if self.skipping else self.to.buffer).append(data)
+
+
+def walk_html(html: str, to: Flattener | None = None) -> list[dict]:
+    to = to or Flattener()
+    parser = HtmlWalk(to)
+    parser.feed(html)
+    parser.close()
+    if parser.skipping:
+        to.drop("".join(parser.skipped), HtmlWalk.DROPPED.get(parser.skipping[0], "advertisement"))
+    to.flush()
+    return to.rows
+
+
+def _local(tag) -> str:
+    return tag.rsplit("}", 1)[-1].lower() if isinstance(tag, str) else ""
+
+
+# Elements of the structured book format.
+XML_LEVELS = {"level1": 1, "level2": 2, "level3": 3, "level4": 4, "level": 1, "chapter": 1}
+XML_BLOCKS = {"p", "li", "line", "dd", "dt", "td", "th", "caption", "sidebar"}
+
+
+def walk_xml(content: bytes) -> list[dict]:
+    to = Flattener()
+    notes: list[str] = []
+
+    def text_of(e) -> str:
+        return "".join(e.itertext())
+
+    def visit(e, level: int) -> None:
+        name = _local(e.tag)
+        level = XML_LEVELS.get(name, level)
+        if name == "pagenum":
+            to.page = " ".join(text_of(e).split()) or to.page
+        elif name == "head":
+            for m in e:
+                to.drop(m.get("content") or text_of(m), "metadata")
+        elif name == "note":
+            number = re.match(r"\s*(\d+)[.)]?\s+", text_of(e))
+            body = " ".join(text_of(e)[number.end() if number else 0 :].split())
+            notes.append(f"Nota {number[1]}. {body}" if number else f"Nota. {body}")
+        elif name in ("img", "imggroup"):
+            to.drop(e.get("alt") or text_of(e), "alternative text")
+        elif re.fullmatch(r"h[1-6]|hd|title|doctitle", name):
+            to.flush()
+            to.buffer.append(text_of(e))
+            to.flush("heading", int(name[1]) if name[1:].isdigit() else level)
+        elif name in XML_BLOCKS:
+            to.flush()
+            inline(e)
+            to.flush("item" if name == "li" else "paragraph")
+        else:
+            if e.text and e.text.strip():
+                to.drop(e.text, "text outside blocks") if not to.chapter else to.buffer.append(e.text)
+            for child in e:
+                visit(child, level)
+                if child.tail and child.tail.strip():
+                    to.drop(child.tail, "text outside blocks") if not to.chapter else to.buffer.append(child.tail)
+            to.flush()
+
+    def inline(e) -> None:
+        to.buffer.append(e.text or "")
+        for child in e:
+            name = _local(child.tag)
+            if name in XML_BLOCKS or name in ("list", "pagenum", "note"):
+                if name != "pagenum":
+                    to.flush()
+                visit(child, 1)
+            elif name == "br":
+                to.buffer.append(" ")
+            elif name != "noteref":
+                inline(child)
+            to.buffer.append(child.tail or "")
+
+    visit(ET.fromstring(content), 1)
+    for n in notes:
+        to.add("note", n)
+    return to.rows
+
+
+def walk_text(text: str) -> list[dict]:
+    """Chapters at standalone headings (named, or a Roman numeral); what stands before the first is a preface."""
+    to = Flattener()
+    for block in re.split(r"\n[ \t]*\n", text.replace("\r\n", "\n").lstrip("﻿")):
+        line = " ".join(block.split())
+        if not line:
+            continue
+        if "\n" not in block.strip() and (_HEADING.match(line) or (_ROMAN_HEADING.match(line) and line.strip("."))):
+            to.add("heading", line, 1)
+        elif re.fullmatch(r"\[ilustraci[oó]n.*\]", line, re.I):
+            to.drop(line, "illustration marker")
+        else:
+            to.buffer.append(re.sub(r"(?<=[^\W\d_])-[ \t]*\n[ \t]*(?=[a-záéíóúñ])", "", block))
+            to.flush()
+    return to.rows
+
+
+def walk_epub(content: bytes) -> list[dict]:
+    to = Flattener()
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        container = ET.fromstring(z.read("META-INF/container.xml"))
+        opf = next(e.get("full-path") for e in container.iter() if _local(e.tag) == "rootfile")
+        base = opf.rpartition("/")[0]
+        package = ET.fromstring(z.read(opf))
+        items = {e.get("id"): e for e in package.iter() if _local(e.tag) == "item"}
+        for ref in (e for e in package.iter() if _local(e.tag) == "itemref"):
+            item = items.get(ref.get("idref"))
+            if item is None or "html" not in (item.get("media-type") or "html"):
+                continue
+            name = item.get("href")
+            if "cover" in (item.get("properties") or "") or re.search(r"(^|/)cover", name, re.I):
+                to.drop(name, "cover")
+                continue
+            walk_html(z.read(f"{base}/{name}" if base else name).decode("utf-8", "replace"), to)
+    return to.rows
+
+
+def walk_docx(content: bytes) -> list[dict]:
+    """Paragraphs, headings by style, table rows joined by "; ", notes at the end; text boxes once."""
+    to = Flattener()
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
+        body = next(e for e in ET.fromstring(z.read("word/document.xml")) if _local(e.tag) == "body")
+        attr = lambda e, name: next((v for k, v in e.attrib.items() if _local(k) == name), None)
+
+        def text_of(e) -> str:
+            out = []
+            for x in e:
+                name = _local(x.tag)
+                if name == "fallback":
+                    continue  # the compatibility copy of a text box
+                out.append((x.text or "") if name == "t" else " " if name in ("tab", "br") else text_of(x))
+            return "".join(out)
+
+        for block in body:
+            if _local(block.tag) == "p":
+                style = next((attr(e, "val") or "" for e in block.iter() if _local(e.tag) == "pstyle"), "")
+                level = re.search(r"(?:heading|t[ií]tulo|ttulo)\s*(\d)", style, re.I)
+                to.buffer.append(text_of(block))
+                to.flush("heading" if level else "paragraph", int(level[1]) if level else None)
+            elif _local(block.tag) == "tbl":
+                for row in (e for e in block.iter() if _local(e.tag) == "tr"):
+                    to.buffer.append("; ".join(t for t in (" ".join(text_of(c).split()) for c in row if _local(c.tag) == "tc") if t))
+                    to.flush("row")
+        for part, label in (("word/footnotes.xml", "Nota"), ("word/endnotes.xml", "Nota")):
+            if part in z.namelist():
+                for n in ET.fromstring(z.read(part)):
+                    text = " ".join(text_of(n).split())
+                    if text and attr(n, "type") is None:
+                        to.add("note", f"{label} {attr(n, 'id')}. {text}")
+    return to.rows
+
+
+def parse(path: str, content: bytes) -> list[dict]:
+    suffix = re.search(r"\.[^./]+$", path.lower())
+    kind = suffix[0] if suffix else ""
+    try:
+        if kind == ".txt":
+            return walk_text(content.decode("utf-8", "replace"))
+        if kind in (".html", ".xhtml", ".htm"):
+            return walk_html(content.decode("utf-8", "replace"))
+        if kind == ".xml":
+            return walk_xml(content)
+        if kind == ".epub":
+            return walk_epub(content)
+        if kind == ".docx":
+            return walk_docx(content)
+        problem = "PDF needs an adapter" if kind == ".pdf" else f"unsupported suffix {kind or '(none)'}"
+    except Exception as e:  # noqa: BLE001  a bad file is a row, not a failed job
+        problem = f"{type(e).__name__}: {e}"
+    return [{"chapter": None, "ordinal": 0, "kind": None, "level": None, "text": None, "page": None, "dropped_because": None, "error": problem}]
+
+
+def paragraphs(files: DataFrame, path: str = "path", content: str = "content") -> DataFrame:
+    """path + one row per block, in order."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for p, c in zip(b["path"], b["content"]):
+                rows = pd.DataFrame(parse(p, bytes(c)), columns=["chapter", "ordinal", "kind", "level", "text", "page", "dropped_because", "error"])
+                rows.insert(0, "path", p)
+                yield rows.astype({"chapter": "Int32", "ordinal": "Int32", "level": "Int32"})
+
+    return files.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, f"path string, {PARAGRAPH}")
+
+
+def scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Paragraphs of all supported files of a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    supported = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*SUFFIXES)
+    return paragraphs(files.filter(supported))
+
+
+def ocr_words(spark: SparkSession, path: str, least: float = 60.0) -> DataFrame:
+    """Lines of an OCR table (tab separated, level 5 = word): page, block, paragraph, line, text, mean and doubted words."""
+    rows = spark.read.csv(path, sep="\t", header=True, quote="").filter("level = '5' and trim(text) <> ''")
+    n = lambda c: F.col(c).cast("int")
+    word = F.struct(n("word_num").alias("at"), F.col("text").alias("text"), F.col("conf").cast("double").alias("conf"))
+    lines = rows.groupBy(n("page_num").alias("page"), n("block_num").alias("block"), n("par_num").alias("paragraph"), n("line_num").alias("line")).agg(F.array_sort(F.collect_list(word)).alias("w"))
+    return lines.select(
+        "page", "block", "paragraph", "line",
+        F.array_join(F.transform("w", lambda x: x["text"]), " ").alias("text"),
+        F.expr("aggregate(filter(w, x -> x.conf >= 0), 0D, (a, x) -> a + x.conf) / nullif(size(filter(w, x -> x.conf >= 0)), 0)").alias("confidence"),
+        F.transform(F.filter("w", lambda x: (x["conf"] >= 0) & (x["conf"] < least)), lambda x: x["text"]).alias("doubted"),
+    )

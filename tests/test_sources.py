@@ -1,0 +1,68 @@
+import io
+import zipfile
+
+from quirework.sources import books as B
+
+HTML = '<html><head><title>T</title><style>p{}</style></head><body><nav><a>menu</a></nav><h1>Uno</h1><p>A <b>b</b><br>c &amp; d<p>second<img alt="a dog"><div class="ad">buy</div><ul><li>x</li></ul><footer>end</footer></body></html>'
+XML = b"""<dtbook><head><meta name="x" content="Title here"/></head><book><bodymatter><level1><h1>Cap 1</h1><pagenum>7</pagenum><p>Hola <em>a</em> todos<noteref>1</noteref>.</p>
+<level2><h2>Sub</h2><list><li>uno</li><li>dos</li></list></level2><note><p>1. Una nota</p></note></level1></bodymatter></book></dtbook>"""
+
+
+def kinds(rows):
+    return [(r["kind"], r["text"]) for r in rows]
+
+
+def test_html_drops_with_a_reason():
+    rows = B.walk_html(HTML)
+    assert [(k, t) for k, t in kinds(rows) if k != "dropped"] == [("heading", "Uno"), ("paragraph", "A b c & d"), ("paragraph", "second"), ("item", "x")]
+    assert {(r["text"], r["dropped_because"]) for r in rows if r["kind"] == "dropped"} == {("T", "document title"), ("p{}", "style"), ("menu", "navigation"), ("a dog", "alternative text"), ("buy", "advertisement"), ("end", "footer")}
+    assert [r["ordinal"] for r in rows] == list(range(len(rows)))
+
+
+def test_xml_levels_pages_and_notes():
+    rows = [r for r in B.walk_xml(XML) if r["kind"] != "dropped"]
+    assert kinds(rows) == [("heading", "Cap 1"), ("paragraph", "Hola a todos."), ("heading", "Sub"), ("item", "uno"), ("item", "dos"), ("note", "Nota 1. Una nota")]
+    assert rows[1]["page"] == "7" and rows[2]["level"] == 2 and rows[0]["chapter"] == 1
+
+
+def test_plain_text_chapters():
+    rows = B.walk_text("Antes\n\nCapítulo 1\n\nUna disca-\npacidad\nmás.\n\n[Ilustración: faro]\n\nIV\n\nFin")
+    assert kinds(rows) == [("paragraph", "Antes"), ("heading", "Capítulo 1"), ("paragraph", "Una discapacidad más."), ("dropped", "[Ilustración: faro]"), ("heading", "IV"), ("paragraph", "Fin")]
+    assert [r["chapter"] for r in rows] == [0, 1, 1, 1, 2, 2]
+
+
+def packed(**files):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, text in files.items():
+            z.writestr(name.replace("__", "/").replace("_dot_", "."), text)
+    return out.getvalue()
+
+
+def test_epub_and_docx():
+    epub = packed(
+        **{"META-INF__container_dot_xml": '<c><rootfile full-path="O/p.opf"/></c>', "O__p_dot_opf": '<package><item id="a" href="cover.xhtml"/><item id="b" href="b.xhtml"/><itemref idref="a"/><itemref idref="b"/></package>', "O__cover_dot_xhtml": "<p>no</p>", "O__b_dot_xhtml": "<h1>Uno</h1><p>texto</p>"}
+    )
+    assert kinds(B.walk_epub(epub)) == [("dropped", "cover.xhtml"), ("heading", "Uno"), ("paragraph", "texto")]
+    w = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
+    doc = f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading1"/></w:pPr><w:r><w:t>Uno</w:t></w:r></w:p><w:p><w:r><w:t>Hola </w:t></w:r><w:r><w:t>todos</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl></w:body></w:document>'
+    notes = f'<w:footnotes {w}><w:footnote w:type="separator" w:id="0"/><w:footnote w:id="2"><w:p><w:r><w:t>una nota</w:t></w:r></w:p></w:footnote></w:footnotes>'
+    assert kinds(B.walk_docx(packed(**{"word__document_dot_xml": doc, "word__footnotes_dot_xml": notes}))) == [("heading", "Uno"), ("paragraph", "Hola todos"), ("row", "a; b"), ("note", "Nota 2. una nota")]
+
+
+def test_scan_never_fails(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("Hola\n\nmundo")
+    (tmp_path / "b.xml").write_text("<broken>")
+    (tmp_path / "c.pdf").write_text("%PDF")
+    (tmp_path / "d.xyz").write_text("?")
+    rows = B.scan(spark, str(tmp_path)).collect()
+    assert {(r.path[-5:], r.text) for r in rows if r.error is None} == {("a.txt", "Hola"), ("a.txt", "mundo")}
+    assert {r.path[-5:] for r in rows if r.error} == {"b.xml", "c.pdf"}
+
+
+def test_ocr_lines(spark, tmp_path):
+    head = "level\tpage_num\tblock_num\tpar_num\tline_num\tword_num\tleft\ttop\twidth\theight\tconf\ttext\n"
+    body = "".join(f"5\t1\t1\t1\t{line}\t{at}\t0\t0\t0\t0\t{conf}\t{word}\n" for line, at, conf, word in [(1, 2, 90, "faro"), (1, 1, 50, "El"), (2, 1, 95, "luce")]) + "4\t1\t1\t1\t1\t0\t0\t0\t0\t0\t-1\t\n"
+    (tmp_path / "x.tsv").write_text(head + body)
+    rows = sorted(B.ocr_words(spark, str(tmp_path / "x.tsv")).collect(), key=lambda r: r.line)
+    assert [(r.text, r.confidence, r.doubted) for r in rows] == [("El faro", 70.0, ["El"]), ("luce", 95.0, [])]
