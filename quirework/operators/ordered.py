@@ -69,7 +69,7 @@ def tiled_clips(df: DataFrame, by: Cols, order: Cols, start_ms: str, total_ms: s
     i = F.row_number().over(_w(by, order)) - 1
     n = F.count("*").over(Window.partitionBy(*by))
     at = df.withColumns({"__i": i, "__n": n})
-    begin = F.when(F.col("__i") == 0, 0).otherwise(F.least(F.max(F.greatest(F.col(start_ms) - F.col("__i"), F.lit(0))).over(so_far(by, order)), F.col(total_ms) - F.col("__n")) + F.col("__i"))
+    begin = F.when(F.col("__i") == 0, 0).otherwise(F.least(F.max(F.when(F.col("__i") == 0, 0).otherwise(F.greatest(F.col(start_ms) - F.col("__i"), F.lit(0)))).over(so_far(by, order)), F.col(total_ms) - F.col("__n")) + F.col("__i"))
     at = at.withColumn("begin_ms", begin.cast("bigint"))
     return at.withColumn("end_ms", F.coalesce(F.lead("begin_ms").over(_w(by, order)), F.col(total_ms)).cast("bigint")).drop("__i", "__n")
 

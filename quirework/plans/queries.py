@@ -427,7 +427,7 @@ def _clips(t) -> DataFrame:
 @query(
     f"""
 WITH c AS (SELECT *, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n FROM ({_CLIPS}) WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
-b AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE least(max(greatest(start - i, 0)) OVER (PARTITION BY conv_id ORDER BY turn), total - n) + i END AS begin_ms FROM c)
+b AS (SELECT *, CASE WHEN i = 0 THEN 0 ELSE least(max(CASE WHEN i = 0 THEN 0 ELSE greatest(start - i, 0) END) OVER (PARTITION BY conv_id ORDER BY turn), total - n) + i END AS begin_ms FROM c)
 SELECT conv_id, turn, CAST(begin_ms AS BIGINT) AS begin_ms, CAST(coalesce(lead(begin_ms) OVER (PARTITION BY conv_id ORDER BY turn), total) AS BIGINT) AS end_ms FROM b
 """
 )
@@ -701,3 +701,77 @@ def page_profiles(t):
     """SRC09, SRC17: language, title and blocks of a page, by built-ins."""
     lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
     return t("pages").select("page_id", F.coalesce(F.nullif(lang, F.lit("")), F.lit("und")).alias("lang"), F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"))
+
+
+# ---------------------------------------------------------------- kernels without SQL
+
+
+@query()
+def spoken_form(t):
+    """NUM01: spoken form of the Spanish documents, with what changed and what is ambiguous."""
+    from quirework.functions.spanish import spoken_form as spoken
+
+    d = t("documents").filter("lang = 'es' and text is not null").select("doc_id", spoken("text").alias("s"))
+    return d.select("doc_id", F.sha2(F.col("s.spoken").cast("binary"), 256).alias("spoken_sha256"), F.size("s.changes").alias("changes"), F.size("s.flags").alias("flags"))
+
+
+def _turn_pairs(t) -> DataFrame:
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = t("conversations").select("conv_id", "turn", "role", "text", F.lead("text").over(w).alias("heard"))
+    return c.filter("role = 'user' and heard is not null").select("conv_id", "turn", F.col("text").alias("expected"), "heard")
+
+
+@query()
+def wer_pairs(t):
+    """CMP04, CMP05: error counts of each answer against its question."""
+    from quirework.functions.compare import rates
+
+    return _turn_pairs(t).select("conv_id", "turn", rates("expected", "heard").alias("r")).select("conv_id", "turn", "r.*")
+
+
+@query()
+def verdicts(t):
+    """CMP01, CMP06, CMP12: verdict and decision of each pair."""
+    from quirework.functions.compare import comparison, diagnosis
+
+    c = _turn_pairs(t).select("conv_id", "turn", comparison("expected", "heard").alias("c"))
+    c = c.withColumn("d", diagnosis(F.col("c"), F.lit(None).cast("struct<verdict:string>"), F.lit(False), F.lit(1)))
+    return c.select("conv_id", "turn", "c.verdict", "c.confidence", F.size("c.issues").alias("issues"), "d.*")
+
+
+@query()
+def html_blocks(t):
+    """SRC08: blocks of the pages in order, and what was dropped with its reason."""
+    from quirework.sources.books import paragraphs
+
+    files = t("pages").select(F.concat(F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
+    return paragraphs(files).select(F.split("path", r"\.")[0].cast("bigint").alias("page_id"), "ordinal", "kind", "level", "text", "dropped_because")
+
+
+@query()
+def section_plan(t):
+    """PRJ03: each document's lines as sections, classified and included or not."""
+    from quirework.plans.sections import section_plan as plan
+
+    d = t("documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("section", "line"))
+    d = d.select("doc_id", "section", F.left("line", F.lit(60)).alias("title"), F.array("line").alias("paragraphs"), F.lit(True).alias("generated"))
+    return plan(d)
+
+
+@query()
+def nav_sections(t):
+    """AGG25: navigation sections of each document by length."""
+    from quirework.plans.sections import navigation
+
+    d = t("documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+    return navigation(d.select("doc_id", "pos", F.size(T.words(F.col("line"))).alias("words")), "doc_id", "pos", "words")
+
+
+@query()
+def take_states(t):
+    """EVT02: the machine of takes over the event log."""
+    from quirework.streaming.events import take_states as states
+
+    e = O.numbered(t("events"), ["user_id"], ["ts", "event_id"], "take")
+    verdict = F.when(F.col("event_type") == "view", "verified").when(F.col("event_type") == "click", "ambiguous").otherwise("likely_error")
+    return states(e.select(F.col("user_id").cast("string").alias("unit_id"), F.col("take").cast("int").alias("take"), verdict.alias("verdict"), (F.col("event_type") == "error").alias("problem")))

@@ -1,0 +1,119 @@
+"""Which sections of a book are narrated, and how its long text is cut to navigation sections."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quirework.functions.compare import folded
+
+# Headings of each kind of section, without case and marks.
+HEADINGS = {
+    "toc": r"indice|contenido|contenidos|tabla de contenidos|sumario",
+    "front": r"copyright|creditos|dedicatoria|agradecimientos|derechos|portada|nota editorial",
+    "synopsis": r"sinopsis|resumen|argumento",
+    "intro": r"prologo|prefacio|introduccion|preambulo|presentacion",
+    "back": r"bibliografia|glosario|notas|indice analitico|indice onomastico|sobre el autor|acerca del autor|apendice|anexo",
+}
+MAIN = r"(capitulo|parte|libro|seccion|epilogo)\b.*|[ivxlc]+|\d+"
+KEPT = {"intro", "main"}
+ROW = re.compile(r"^.{1,120}?(?:\.{2,}|…+|\s{2,}|\s)\s*(?:\d{1,4}|[ivxlcdm]{1,7})\s*$", re.I)
+MARKS = ("©", "copyright", "isbn", "deposito legal", "todos los derechos", "printed in", "impreso en")
+EDITION = ("isbn", "edicion", "deposito legal")
+
+
+def category_of(title: str) -> str | None:
+    t = " ".join(re.findall(r"[^\W_]+", folded(title)))
+    for name, pattern in HEADINGS.items():
+        if re.fullmatch(pattern, t):
+            return name
+    return "main" if t and re.fullmatch(MAIN, t) else None
+
+
+def content_category(paragraphs: list[str]) -> str | None:
+    """toc, front or None, from the paragraphs alone."""
+    lines = [x for p in paragraphs for x in p.split("\n") if x.strip()]
+    rows = sum(bool(ROW.match(x.strip())) for x in lines)
+    if rows >= 3 and rows >= 0.6 * len(lines):
+        return "toc"
+    text = folded(" ".join(paragraphs))
+    marks = [m for m in MARKS if m in text]
+    if marks and len(text) < 3000 and (len(marks) >= 2 or any(m in text for m in EDITION)):
+        return "front"
+    ends = sum(bool(re.search(r"[.!?…]\W*$", x)) for x in lines)
+    if lines and len(lines) <= 6 and max(map(len, lines)) <= 90 and ends <= len(lines) // 3:
+        return "front"
+    return None
+
+
+def is_prose(paragraphs: list[str]) -> bool:
+    return any(len(p) > 40 and re.search(r"[.!?…][»”\"')\]]*\s*$", p) for p in paragraphs)
+
+
+def plan(sections: list[tuple[str, list[str], bool]]) -> list[dict]:
+    """For each (title, paragraphs, title generated), in order: category, included, needs_review, reason."""
+    out, started, in_toc = [], False, False
+    for title, paragraphs, generated in sections:
+        named = None if generated else category_of(title)
+        by_content = content_category(paragraphs)
+        review, reason = False, "heading"
+        if named == "main" and in_toc and not is_prose(paragraphs):
+            category, reason = "toc", "row of the contents"
+        elif named:
+            category = named
+        elif by_content and not started:
+            category, reason = by_content, "content"
+        elif by_content == "toc":
+            category, reason = "toc", "content"
+        else:
+            category, review, reason = "main", not started, "no evidence against it"
+        in_toc = category == "toc" or (in_toc and reason == "row of the contents")
+        started = started or category == "main"
+        out.append({"category": category, "included": category in KEPT, "needs_review": review, "reason": reason})
+    return out
+
+
+PLAN = "category string, included boolean, needs_review boolean, reason string"
+
+
+def section_plan(sections: DataFrame, book: str = "doc_id") -> DataFrame:
+    """book, section, title and the plan of each section (book, section, title, paragraphs array, generated); a book is one group."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("section")
+        rows = plan([(t or "", [p for p in ps if p], bool(g)) for t, ps, g in zip(pdf["title"], pdf["paragraphs"], pdf["generated"])])
+        return pd.concat([pdf[[book, "section", "title"]].reset_index(drop=True), pd.DataFrame(rows)], axis=1)
+
+    key = sections.schema[book].dataType.simpleString()
+    return sections.groupBy(book).applyInPandas(run, f"{book} {key}, section int, title string, {PLAN}")
+
+
+def selected(plan_rows: DataFrame, ids: list[int] | None = None) -> DataFrame:
+    """Sections to narrate: those included by default, or just the given ones, which must exist."""
+    return plan_rows.filter("included") if ids is None else plan_rows.filter(F.col("section").isin(ids))
+
+
+def navigation(units: DataFrame, book: str, order: str, words: str, most: int = 5) -> DataFrame:
+    """nav: number of the navigation section of each unit.
+
+    At most ``most`` sections of about max(120, min(1200, (all + most - 1) / most)) words: a section closes once
+    it has its words, and the last one takes the rest. The count starts anew at each section, so a
+    running sum does not say it; a book is one group.
+    """
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order)
+        target = max(120, min(1200, (int(pdf[words].sum()) + most - 1) // most))
+        nav, have, out = 1, 0, []
+        for n in pdf[words]:
+            if have >= target and nav < most:
+                nav, have = nav + 1, 0
+            have += n
+            out.append(nav)
+        return pdf[[book, order]].assign(nav=out)
+
+    types = {c: units.schema[c].dataType.simpleString() for c in (book, order)}
+    return units.select(book, order, words).groupBy(book).applyInPandas(run, f"{book} {types[book]}, {order} {types[order]}, nav int")

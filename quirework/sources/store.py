@@ -1,0 +1,122 @@
+"""The production store as append-only Parquet tables with views of the latest rows.
+
+Parquet has no update: jobs and units are logs of full rows, and the latest row of a key (by
+``updated_at``, then by what was written last) is its state. Appends never rewrite what is there, so
+concurrent writers and lost executors are safe under Spark's file commit.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+ISSUE = "array<struct<kind:string,expected:string,recognized:string,expected_start:int,expected_end:int,recognized_start:int,recognized_end:int,category:string,reason:string>>"
+SCHEMAS = {
+    "jobs": "job_id string, state string, source_name string, source_hash string, title string, author string, voice_id string, voice_speed double, total_units int, created_at timestamp, updated_at timestamp, error string, cancel_requested boolean, release_state string, content_hash string",
+    "units": f"job_id string, unit_id string, chapter_index int, sequence int, chapter_title string, is_heading boolean, text string, spoken_text string, synthesis_text string, text_start int, text_end int, state string, technical_attempts int, quality_retakes int, audio_path string, recognized_text string, verification string, issues {ISSUE}, confidence double, reused_audio boolean, updated_at timestamp",
+    "events": "event_id string, job_id string, timestamp timestamp, level string, message string, details variant",
+    "attempts": "job_id string, unit_id string, created_at timestamp, trigger string, cache_key string, reused_audio boolean, outcome string",
+    "lexicon": "term string, pronunciation string, deleted boolean, updated_at timestamp",
+    "drafts": "draft_id string, state string, revision int, base_revision int, updated_at timestamp",
+}
+KEYS = {"jobs": ["job_id"], "units": ["job_id", "unit_id"], "lexicon": ["term"], "drafts": ["draft_id"]}
+#: Most terms of a lexicon, and most characters of a term or pronunciation.
+LEXICON_TERMS, LEXICON_CHARS = 2000, 200
+
+
+class Store:
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def _path(self, name: str) -> str:
+        return f"{self.folder}/{name}"
+
+    def append(self, name: str, rows: DataFrame) -> None:
+        """Appends rows; columns that are missing are null, unknown ones are refused."""
+        schema = self.spark.createDataFrame([], SCHEMAS[name]).schema
+        unknown = set(rows.columns) - set(schema.names)
+        if unknown:
+            raise ValueError(f"{name} has no columns {sorted(unknown)}")
+        cols = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in rows.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+        rows.select(cols).write.mode("append").parquet(self._path(name))
+
+    def log(self, name: str) -> DataFrame:
+        """All rows ever written; empty before the first."""
+        empty = self.spark.createDataFrame([], SCHEMAS[name])
+        try:
+            return self.spark.read.schema(empty.schema).parquet(self._path(name))
+        except Exception as e:  # noqa: BLE001
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            return empty
+
+    def latest(self, name: str) -> DataFrame:
+        """The state: the newest row of each key."""
+        key = [F.lower("term")] if name == "lexicon" else [F.col(c) for c in KEYS[name]]
+        w = Window.partitionBy(*key).orderBy(F.desc("updated_at"))
+        return self.log(name).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+
+    def create_job(self, job: DataFrame, units: DataFrame) -> None:
+        self.append("units", units)  # children first: a job without units is never seen
+        self.append("jobs", job)
+
+    def job_units(self, job_id: str) -> DataFrame:
+        """Units of a job in reading order; the filter reaches the scan."""
+        return self.latest("units").filter(F.col("job_id") == job_id).orderBy("chapter_index", "sequence")
+
+    def attempts(self, job_id: str, unit_id: str | None = None) -> DataFrame:
+        rows = self.log("attempts").filter(F.col("job_id") == job_id)
+        rows = rows.filter(F.col("unit_id") == unit_id) if unit_id else rows
+        w = Window.partitionBy("job_id", "unit_id").orderBy("created_at")
+        return rows.withColumn("attempt_number", F.row_number().over(w)).orderBy("unit_id", "attempt_number")
+
+    def set_terms(self, terms: DataFrame) -> None:
+        """Inserts or replaces lexicon entries (term, pronunciation), whatever their case."""
+        bad = terms.filter((F.length(F.trim("term")) == 0) | (F.greatest(F.length("term"), F.length("pronunciation")) > LEXICON_CHARS))
+        known = self.lexicon().select(F.lower("term").alias("k")).union(terms.select(F.lower("term"))).distinct()
+        if not bad.isEmpty():
+            raise ValueError("a term is empty or too long")
+        if known.count() > LEXICON_TERMS:
+            raise ValueError(f"more than {LEXICON_TERMS} terms")
+        self.append("lexicon", terms.select("term", "pronunciation", F.lit(False).alias("deleted"), F.current_timestamp().alias("updated_at")))
+
+    def delete_term(self, term: str) -> bool:
+        """Whether there was such a term."""
+        there = self.lexicon().filter(F.lower("term") == term.lower())
+        if there.isEmpty():
+            return False
+        self.append("lexicon", there.select("term", "pronunciation", F.lit(True).alias("deleted"), F.current_timestamp().alias("updated_at")))
+        return True
+
+    def lexicon(self) -> DataFrame:
+        """Longest terms first."""
+        return self.latest("lexicon").filter("not deleted").select("term", "pronunciation").orderBy(F.length("term").desc(), "term")
+
+    def save_draft(self, draft_id: str, state: str, base_revision: int) -> int | None:
+        """The new revision, or None if another one was saved since ``base_revision``."""
+        now = self.latest("drafts").filter(F.col("draft_id") == draft_id).select("revision").first()
+        current = now["revision"] if now else 0
+        if current != base_revision:
+            return None
+        row = self.spark.createDataFrame([(draft_id, state, current + 1, base_revision)], "draft_id string, state string, revision int, base_revision int")
+        self.append("drafts", row.withColumn("updated_at", F.current_timestamp()))
+        return current + 1
+
+
+def job_report(jobs: DataFrame, units: DataFrame) -> DataFrame:
+    """One JSON document per job: totals by outcome, and its units in order."""
+    unit = F.struct("chapter_index", "sequence", "unit_id", "state", "confidence", "text")
+    rows = units.groupBy("job_id").agg(
+        F.count("*").alias("total"),
+        F.count_if(F.col("state") == "verified").alias("verified"),
+        F.count_if(F.col("state").isin("needs_human_review", "unresolved", "failed")).alias("open"),
+        F.array_sort(F.collect_list(unit)).alias("units"),
+    )
+    return jobs.select("job_id", "title", "state").join(rows, "job_id", "left").select("job_id", F.to_json(F.struct("job_id", "title", "state", "total", "verified", "open", "units")).alias("report"))
+
+
+def unit_log(units: DataFrame) -> DataFrame:
+    """Fixed-width text log of a job, one line per unit, in order."""
+    line = F.format_string("%03d.%04d  %-20s %s", "chapter_index", "sequence", "state", F.substring("text", 1, 80))
+    rows = F.array_sort(F.collect_list(F.struct("chapter_index", "sequence", line.alias("line"))))
+    return units.groupBy("job_id").agg(F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("log"))

@@ -1,0 +1,38 @@
+import pytest
+
+from quirework.plans import sections as S
+
+PROSE = "El tren llegó al pueblo al amanecer y nadie bajó de él."
+
+
+def test_contents_before_the_first_chapter_are_left_out():
+    p = S.plan([("ÍNDICE", ["Capítulo 1 …… 3"], False), ("Capítulo 1. La llegada", [PROSE], False)])
+    assert [x["category"] for x in p] == ["toc", "main"] and [x["included"] for x in p] == [False, True]
+
+
+def test_rows_of_the_contents_are_not_chapters():
+    p = S.plan([("Índice", ["Prólogo ……… ix\nCapítulo 1 … 1\nCapítulo 2 … 9"], False), ("Capítulo 1", ["9"], False), ("Capítulo 1", [PROSE], False)])
+    assert [x["category"] for x in p] == ["toc", "toc", "main"]
+
+
+@pytest.mark.parametrize("title,category,included", [("Prólogo", "intro", True), ("Sinopsis", "synopsis", False), ("Epílogo", "main", True), ("Bibliografía", "back", False), ("XIV", "main", True), ("Agradecimientos", "front", False)])
+def test_headings(title, category, included):
+    (p,) = S.plan([(title, [PROSE], False)])
+    assert (p["category"], p["included"]) == (category, included)
+
+
+def test_no_heading_is_kept_and_flagged():
+    (p,) = S.plan([("Página 1", [PROSE], True)])
+    assert p["included"] and p["needs_review"]
+    (p,) = S.plan([("x", ["© 2020 Editorial\nISBN 978-84\nTodos los derechos reservados"], True)])
+    assert p["category"] == "front"
+
+
+def test_spark_forms(spark):
+    rows = [(1, 0, "Índice", ["a … 1", "b … 2", "c … 3"], False), (1, 1, "Capítulo 1", [PROSE], False), (2, 0, None, [PROSE], True)]
+    df = spark.createDataFrame(rows, "doc_id bigint, section int, title string, paragraphs array<string>, generated boolean")
+    out = {(r.doc_id, r.section): r.included for r in S.section_plan(df).collect()}
+    assert out == {(1, 0): False, (1, 1): True, (2, 0): True}
+    units = spark.createDataFrame([(1, i, 100) for i in range(12)], "doc_id bigint, pos int, words int")
+    nav = [r.nav for r in S.navigation(units, "doc_id", "pos", "words").orderBy("pos").collect()]
+    assert nav == [1, 1, 1, 2, 2, 2, 3, 3, 3, 4, 4, 4] and max(nav) <= 5
