@@ -1,0 +1,153 @@
+"""How Spanish reads a word: syllables, stress, sound, spelling by letters, lexicon replacement."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Letters and their names.
+STRONG, WEAK, ACCENTED_WEAK = "aeoáéó", "iuü", "íú"
+VOWELS = STRONG + WEAK + ACCENTED_WEAK
+ONSETS = {a + b for a in "bcfgpt" for b in "lr"} | {"dr", "kl", "kr", "ch", "ll", "rr", "qu"}
+LETTER_NAMES = {
+    "a": "a", "b": "be", "c": "ce", "d": "de", "e": "e", "f": "efe", "g": "ge", "h": "hache", "i": "i", "j": "jota", "k": "ka", "l": "ele", "m": "eme", "n": "ene", "ñ": "eñe",
+    "o": "o", "p": "pe", "q": "cu", "r": "erre", "s": "ese", "t": "te", "u": "u", "v": "uve", "w": "uve doble", "x": "equis", "y": "i griega", "z": "zeta",
+}
+
+
+def _is_vowel(word: str, i: int) -> bool:
+    c = word[i]
+    if c in VOWELS:
+        return not (c == "u" and i and word[i - 1] in "qg" and i + 1 < len(word) and word[i + 1] in "eiéí")  # silent
+    return c == "y" and (i == len(word) - 1 or word[i + 1] not in VOWELS)
+
+
+def _nuclei(word: str) -> list[tuple[int, int]]:
+    """Runs of vowels that one syllable holds."""
+    out, i = [], 0
+    while i < len(word):
+        if not _is_vowel(word, i):
+            i += 1
+            continue
+        j = i + 1
+        while j < len(word) and _is_vowel(word, j):
+            a, b = word[j - 1], word[j]
+            if (a in STRONG and b in STRONG) or a in ACCENTED_WEAK or b in ACCENTED_WEAK or a == b:
+                break
+            j += 1
+        out.append((i, j))
+        i = j
+    return out
+
+
+def syllables(word: str) -> list[str]:
+    w = word.lower()
+    nuclei = _nuclei(w)
+    if not nuclei:
+        return [w] if w else []
+    cuts = [0]
+    for (_, end), (start, _) in zip(nuclei, nuclei[1:]):
+        between = w[end:start]
+        n = len(between)
+        if n == 0:
+            keep = 0
+        elif between[-2:] in ONSETS or (n >= 2 and between[-2] in "qg" and between[-1] == "u"):
+            keep = n - 2
+            if keep and between[-1] == "u" and between[-3:-1] in ONSETS:
+                keep -= 1
+        else:
+            keep = n - 1
+        cuts.append(end + keep)
+    return [w[a:b] for a, b in zip(cuts, [*cuts[1:], len(w)])]
+
+
+def stressed(word: str) -> int:
+    """Place of the stressed syllable (0 if there is one only)."""
+    parts = syllables(word)
+    for i, p in enumerate(parts):
+        if re.search("[áéíóú]", p):
+            return i
+    if len(parts) < 2:
+        return 0
+    return len(parts) - 2 if word.lower()[-1] in "aeiouns" else len(parts) - 1
+
+
+#: Sounds by longest letters first; what follows decides where it must.
+SOUNDS = [
+    ("gü(?=[eiéí])", "ɡw"), ("gu(?=[eiéí])", "ɡ"), ("qu(?=[eiéí])", "k"), ("ch", "tʃ"), ("ll", "ʎ"), ("rr", "r"), ("g(?=[eiéí])", "x"), ("c(?=[eiéí])", "θ"), ("y$", "i"),
+    ("[ckq]", "k"), ("[bv]", "b"), ("h", ""), ("j", "x"), ("z", "θ"), ("ñ", "ɲ"), ("x", "ks"), ("g", "ɡ"), ("y", "ʝ"), ("w", "w"), ("ü", "w"),
+]
+_SOUND = re.compile("|".join(f"({p})" for p, _ in SOUNDS) + "|(.)")
+
+
+def ipa(word: str) -> str:
+    """Castilian sounds with the stress marked; empty without a vowel."""
+    w = word.lower()
+    if not any(c in VOWELS for c in w):
+        return ""
+    parts, at, out = syllables(w), stressed(w), []
+    place = 0
+    starts = {0: 0}
+    for i, p in enumerate(parts):
+        starts[i] = place
+        place += len(p)
+    mark = starts[at]
+    for m in _SOUND.finditer(w):
+        if m.start() == mark:
+            out.append("ˈ")
+        if m.lastindex <= len(SOUNDS):
+            out.append(SOUNDS[m.lastindex - 1][1])
+        else:
+            out.append(unicodedata.normalize("NFD", m[0])[0] if m[0] in "áéíóú" else m[0])
+    return "".join(out)
+
+
+def spelled(word: str) -> str:
+    """Names of the letters; a mark is named after its letter."""
+    names = {"́": "con tilde", "̈": "con diéresis", "̀": "con acento grave", "̂": "con circunflejo", "̧": "con cedilla"}
+    out = []
+    for c in word.lower():
+        base, *marks = unicodedata.normalize("NFD", c) if c != "ñ" else c
+        out.append(" ".join([LETTER_NAMES.get(base, base), *(names.get(m, "") for m in marks)]).strip())
+    return ", ".join(out)
+
+
+def foreign_evidence(word: str) -> str:
+    """strong, weak or none: whether the spelling is one that Spanish does not have."""
+    w = word.lower()
+    if re.search(r"[àèìòùâêîôûäëïöçãõåøß]", w) or re.search(r"(sh|ck|th|ph|gh|tz|oo|ee|ff|[^\W\d_]w)", w):
+        return "strong"
+    return "weak" if re.search(r"[kw]|tt|ss|mm|[^aeiouáéíóúnsrldzjyx]$", w) else "none"
+
+
+def replaced(text: str, lexicon: dict[str, str]) -> str:
+    """Whole words and phrases by their pronunciation: any case, longest first, one after the other."""
+    for term in sorted(lexicon, key=lambda k: (-len(k), k)):
+        text = re.sub(rf"(?<!\w){re.escape(term)}(?!\w)", lambda _: lexicon[term], text, flags=re.I)
+    return text
+
+
+WORD = "ipa string, syllables array<string>, stressed int, evidence string"
+
+
+def word_reading(word: Column | str) -> Column:
+    """Struct of sound, syllables, stress and foreign evidence."""
+
+    def run(words: pd.Series) -> pd.DataFrame:
+        rows = [(ipa(w), syllables(w), stressed(w), foreign_evidence(w)) for w in words.fillna("")]
+        return pd.DataFrame(rows, columns=["ipa", "syllables", "stressed", "evidence"])
+
+    return F.pandas_udf(run, WORD)(word)
+
+
+def with_lexicon(text: Column | str, lexicon: dict[str, str]) -> Column:
+    """``lexicon`` is the user's table of at most 2,000 terms, so it goes with the function."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else replaced(t, lexicon))
+
+    return F.pandas_udf(run, "string")(text)
