@@ -17,6 +17,7 @@ import struct
 from array import array
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -237,8 +238,6 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: tuple[str,
 
 def decode(df: DataFrame, model_file: str, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` + decoded: the library's text of each array of ids (null: empty)."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def text_of(col: pd.Series) -> pd.Series:
         import sentencepiece
