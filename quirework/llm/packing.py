@@ -6,7 +6,7 @@ inverted index over its rests: the longest unused rest opens a window, the index
 neighbours in order of score, those that fit are added, and the best one that does not fit is cut to
 fill the window; what remains of it stays in the index. Only the last window of a shard is padded.
 
-Texts move once, as packed ids of the rests. Words between ASCII white space are encoded once per task
+Texts move once, as packed ids of the rests. Words between ASCII white space are encoded once per worker
 by the tokenizer, which never joins across white space; texts with any other space go to it whole.
 
 Null and empty texts are one end id. Repeated rows are packed each by itself, rows with a null id
@@ -15,11 +15,17 @@ too. An empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
+import json
 import re
+import unicodedata
 import zlib
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,15 +34,24 @@ from ._common import map_texts
 WINDOW = 2048
 #: Rests of a shard, and terms of a seed that are looked up.
 SHARD, QUERY_TERMS = 2000, 16
-#: Distinct words that one task remembers; beyond it the memory is emptied.
+#: Distinct words and parts that a worker remembers; beyond it the memory is emptied.
 WORDS = 1_000_000
 #: White space that only some libraries split at.
 ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
+#: The tokenizer's own splitting pattern, and what keeps a word from being split and lower-cased here.
+PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+NOT_PLAIN = re.compile(r"[^\x00-\u012f\u0131-\u024f]|<\|")
+
+
 class WordEncoder:
-    """Packed ids of a text; equal to the tokenizer's."""
+    """Packed ids of a text; equal to the tokenizer's.
+
+    A word that is new is lower-cased and split as the tokenizer would, and only parts that are new,
+    too, are encoded by it.
+    """
 
     def __init__(self, tokenizer_file: str):
         from tokenizers import Tokenizer
@@ -45,23 +60,83 @@ class WordEncoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
+        self.code = "H" if self.dtype is np.uint16 else "I"
+        self.splits = self._splits_as_expected(tokenizer_file)
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
+
+    @staticmethod
+    def _splits_as_expected(tokenizer_file: str) -> bool:
+        """Whether this tokenizer normalises and splits just as is done here."""
+        with open(tokenizer_file, encoding="utf-8") as f:
+            t = json.load(f)
+        try:
+            kinds = [n["type"] for n in t["normalizer"]["normalizers"]]
+            split, *rest = t["pre_tokenizer"]["pretokenizers"]
+            pattern = split["pattern"]["Regex"], split["behavior"], split["invert"]
+            after = [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest]
+        except (KeyError, TypeError):
+            return False
+        return kinds == ["NFC", "Replace", "Lowercase"] and pattern == (PARTS.pattern, "Removed", True) and after == [("ByteLevel", False, False)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
-            return self._encode([text])[0]
-        words = text.split()
+        code = self.code
+        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        """Many parts as one text: white space keeps them apart, and each one's last id, and no other, ends a word."""
+        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, self.dtype)
+        cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+        if len(cuts) != len(parts) + 1:
+            return self._encode(parts)
+        packed, width = ids.tobytes(), ids.itemsize
+        at = (cuts * width).tolist()
+        return [packed[i:j] for i, j in zip(at, at[1:])]
+
+    def _learn(self, words: set[str]) -> None:
         known = self.known
-        unseen = list(dict.fromkeys([w for w in words if w not in known]))
+        if len(known) + len(words) > WORDS:
+            known.clear()
+        whole, split = [], {}
+        for w in words:
+            if self.splits and not NOT_PLAIN.search(w):
+                split[w] = PARTS.findall((w if w.isascii() else unicodedata.normalize("NFC", w)).lower())
+            else:
+                whole.append(w)
+        known.update(zip(whole, self._encode(whole)))
+        parts = [p for p in set(chain.from_iterable(split.values())) if p not in known]
+        for i in range(0, len(parts), 512):
+            some = parts[i : i + 512]
+            known.update(zip(some, self._encode_parts(some)))
+        known.update([(w, b"".join([known[p] for p in ps])) for w, ps in split.items() if len(ps) != 1 or ps[0] != w])
+
+    def many(self, texts: list[str]) -> list[bytes]:
+        words = [t.split() for t in texts]
+        odd = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
+        for i in odd:
+            words[i] = []
+        seen = set(chain.from_iterable(words))
+        unseen = seen.difference(self.known)
         if unseen:
-            if len(known) + len(unseen) > WORDS:
-                known.clear()
-                unseen = list(dict.fromkeys(words))
-            known.update(zip(unseen, self._encode(unseen)))
-        return b"".join([known[w] for w in words])
+            self._learn(unseen)
+            if not seen <= self.known.keys():  # the memory was emptied
+                self._learn(seen.difference(self.known))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, w)) for w in words]
+        for i in odd:
+            out[i] = self._encode([texts[i]])[0]
+        return out
+
+    def __call__(self, text: str) -> bytes:
+        return self.many([text])[0]
+
+
+@functools.cache
+def encoder(tokenizer_file: str) -> WordEncoder:
+    """One per worker process: what it has learned serves all tasks that run there."""
+    return WordEncoder(tokenizer_file)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -151,14 +226,14 @@ def pack(df: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WIND
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = WordEncoder(tokenizer_file)
+        encode = encoder(tokenizer_file)
         width = np.dtype(encode.dtype).itemsize
         end = np.array([end_id], encode.dtype).tobytes()
 
         def run(texts):
             counts, whole, rest = [], [], []
-            for t in texts:
-                packed = encode(t) + end
+            for ids in encode.many(texts):
+                packed = ids + end
                 n = len(packed) // width
                 cut = n // window * window
                 counts.append(n)
