@@ -703,6 +703,113 @@ def page_profiles(t):
     return t("pages").select("page_id", F.coalesce(F.nullif(lang, F.lit("")), F.lit("und")).alias("lang"), F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"))
 
 
+# ---------------------------------------------------------------- keys, queues and checks
+
+
+@query("SELECT doc_id, sha256(concat_ws(chr(0), lang, source, text)) AS cache_key FROM documents WHERE text IS NOT NULL")
+def cache_keys(t):
+    """EVT10, EVT12: content key over an identity's parts, joined by NUL."""
+    return t("documents").filter("text is not null").select("doc_id", F.sha2(F.concat_ws("\0", "lang", "source", "text").cast("binary"), 256).alias("cache_key"))
+
+
+@query("SELECT doc_id FROM documents WHERE md5(coalesce(text, '')) NOT IN (SELECT md5(coalesce(text, '')) FROM documents WHERE source = 'src0')")
+def idempotent_submissions(t):
+    """EVT13, EVT07: submissions whose content has not been seen."""
+    docs = _text_key(t("documents")).select("doc_id", "source", "key")
+    return docs.join(docs.filter("source = 'src0'").select("key"), "key", "left_anti").select("doc_id")
+
+
+@query(
+    """
+SELECT l_orderkey AS job_id, l_linenumber AS sequence, CASE WHEN l_returnflag = 'R' THEN 'failed' ELSE 'needs_human_review' END AS state,
+       CASE WHEN l_discount >= 0.08 THEN 'critical' WHEN l_discount >= 0.04 THEN 'major' ELSE 'minor' END AS severity, CASE WHEN l_tax > 0.05 THEN 'retake' ELSE 'accept_flagged' END AS action
+FROM lineitem WHERE l_returnflag = 'R' OR (l_returnflag = 'A' AND l_linestatus = 'O')
+"""
+)
+def review_queue(t):
+    """PRJ12, PRJ13, UI02: units that wait for a decision, with severity and action."""
+    u = t("lineitem").filter("l_returnflag = 'R' or (l_returnflag = 'A' and l_linestatus = 'O')")
+    severity = F.when(F.col("l_discount") >= 0.08, "critical").when(F.col("l_discount") >= 0.04, "major").otherwise("minor")
+    return u.select(
+        F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("sequence"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("needs_human_review").alias("state"),
+        severity.alias("severity"), F.when(F.col("l_tax") > 0.05, "retake").otherwise("accept_flagged").alias("action"),
+    )
+
+
+@query("SELECT doc_id, CAST(strpos(lower(text), 'the and') AS INTEGER) AS at FROM documents WHERE contains(lower(text), 'the and')")
+def search_units(t):
+    """UI03: units that hold a phrase, whatever its case, and where."""
+    return t("documents").filter(F.contains(F.lower("text"), F.lit("the and"))).select("doc_id", F.instr(F.lower("text"), "the and").alias("at"))
+
+
+@query(
+    r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+a AS (SELECT doc_id, count(*) AS n, count(*) FILTER (regexp_matches(line, '[0-9]+[ ]*$')) AS rows, max(length(line)) AS longest, count(*) FILTER (regexp_matches(line, '[.!?]$')) AS ends,
+             bool_or(length(line) > 40 AND regexp_matches(line, '[.!?]$')) AS prose FROM l GROUP BY doc_id)
+SELECT doc_id, rows >= 3 AND rows >= 0.6 * n AS contents, n <= 6 AND longest <= 90 AND ends <= n // 3 AS title_page, prose FROM a
+"""
+)
+def content_flags(t):
+    """PRJ05-09: what a section's paragraphs alone say of its kind."""
+    lines = t("documents").filter("text is not null").select("doc_id", F.explode(F.split("text", "\n", -1)).alias("line"))
+    ends = F.col("line").rlike(r"[.!?]\z")
+    a = lines.groupBy("doc_id").agg(_n().alias("n"), F.count_if(F.col("line").rlike(r"[0-9]+[ ]*\z")).alias("rows"), F.max(F.length("line")).alias("longest"), F.count_if(ends).alias("ends"), F.bool_or((F.length("line") > 40) & ends).alias("prose"))
+    contents = (F.col("rows") >= 3) & (F.col("rows") >= F.lit(0.6) * F.col("n"))
+    title = (F.col("n") <= 6) & (F.col("longest") <= 90) & (F.col("ends") <= F.floor(F.col("n") / 3))
+    return a.select("doc_id", contents.alias("contents"), title.alias("title_page"), "prose")
+
+
+@query(
+    """
+SELECT user_id, event_id FROM (SELECT user_id, event_id, value, max(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS most FROM events) WHERE value < most
+"""
+)
+def navigation_breaks(t):
+    """WIN09, AGG17: entries that run backwards."""
+    most = F.max("value").over(O.before(["user_id"], ["ts", "event_id"]))
+    return t("events").withColumn("most", most).filter("value < most").select("user_id", "event_id")
+
+
+@query(
+    """
+SELECT conv_id, turn, CAST(own AS BIGINT) AS own, CAST(declared AS BIGINT) AS declared FROM (
+  SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS own, turn * 300 AS declared FROM conversations) WHERE abs(own - declared) > 150
+"""
+)
+def declared_totals(t):
+    """AGG21, CMP25: own running totals against declared ones, with a tolerance."""
+    c = O.running(t("conversations"), ["conv_id"], ["turn"], F.length("text"), "own", inclusive=False).withColumn("declared", F.col("turn") * 300)
+    return c.filter(F.abs(F.col("own") - F.col("declared")) > 150).select("conv_id", "turn", F.col("own").cast("bigint").alias("own"), "declared")
+
+
+@query(
+    """
+SELECT e.user_id, e.event_id FROM events e JOIN (SELECT user_id, sum(CAST(round(value * 100) AS BIGINT)) AS total, count(*) AS n FROM events GROUP BY user_id) r USING (user_id)
+WHERE value >= 1 AND CAST(round(value * 100) AS BIGINT) * 2 * n > 5 * total
+"""
+)
+def slow_words(t):
+    """CMP13: rows far longer than their speaker's own pace."""
+    e = t("events").withColumn("c", F.round(F.col("value") * 100).cast("bigint"))
+    pace = e.groupBy("user_id").agg(F.sum("c").alias("total"), _n().alias("n"))
+    return e.join(pace, "user_id").filter((F.col("value") >= 1) & (F.col("c") * 2 * F.col("n") > 5 * F.col("total"))).select("user_id", "event_id")
+
+
+@query(
+    """
+SELECT conv_id, CAST(count(*) AS BIGINT) AS turns, count(*) FILTER (position <> turn + 1) = 0 AS numbered, CAST(count(DISTINCT role) AS BIGINT) AS roles, arg_max(role, turn) = 'assistant' AS closed
+FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position FROM conversations) GROUP BY conv_id
+"""
+)
+def structure_checks(t):
+    """CMP26-29, CMP34, CMP35, AGG22: numbers run from the start, kinds, and what closes."""
+    c = O.numbered(t("conversations"), ["conv_id"], ["turn"], "position")
+    return c.groupBy("conv_id").agg(
+        _n().alias("turns"), (F.count_if(F.col("position") != F.col("turn") + 1) == 0).alias("numbered"), F.countDistinct("role").alias("roles"), (F.max_by("role", "turn") == "assistant").alias("closed"),
+    )
+
+
 # ---------------------------------------------------------------- kernels without SQL
 
 
