@@ -8,7 +8,8 @@ Exact self join of word-shingle sets at a Jaccard threshold, down to connected g
    prefix that any partner must share. A list is sorted by set size within blocks of equal prefix
    position; from a block's position and the sizes the most that can still be shared follows, and
    entries, or whole blocks, that cannot reach the threshold are skipped.
-3. *Answers.* Sets meet in pairs of buckets of bounded size. There, a set's overlaps with all others
+3. *Answers.* Sets are dealt to buckets by their smallest shared shingle, so that similar ones mostly share
+   one; a key with very many sets is split by id. Sets meet in pairs of buckets of bounded size. There, a set's overlaps with all others
    are derived from those of the most similar set just answered: only the shingles in which the two
    differ are looked up. What has no near neighbour is answered from its own shingles.
 4. *Groups.* Every pair of buckets gives a spanning forest of its links; those are joined to
@@ -37,8 +38,8 @@ UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Share of the hash space in which private shingles are counted, and in which frequencies order a prefix.
 COUNTED, ORDERED = 0.3, 0.5
-#: Sets of a bucket; two buckets meet in one task.
-BUCKET = 2048
+#: Sets of a bucket (about); two buckets meet in one task. Keys with more sets are split, at most HOT_KEYS of them by a list.
+BUCKET, HOT_KEYS = 4096, 65_536
 #: Lists of up to so many entries are paired all at once.
 SHORT_LIST = 16
 WORDS = 1_000_000
@@ -201,14 +202,33 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 PAIRS = "meeting bigint, first binary, second binary"
+POSTINGS = "part bigint, shingles binary, sets binary, sizes binary, positions binary, keys binary"
 
 
-def bucket_of(ids: np.ndarray, buckets: int) -> np.ndarray:
-    z = ids.astype(np.uint64) * MIX
-    return ((z ^ (z >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
+class Buckets:
+    """Bucket of a set by its key and id. ``hot``: (key, sets) of keys with more than ``most`` sets."""
 
+    def __init__(self, n: int, most: int, hot: list[tuple[int, int]]):
+        hot = sorted(hot)
+        self.n, self.parts = max(1, -(-n // BUCKET)), -(-most // BUCKET)
+        self.keys = np.array([k for k, _ in hot], np.int64)
+        self.splits = np.array([-(-c // BUCKET) for _, c in hot], np.int64)
 
-def candidate_pairs(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
+    @staticmethod
+    def _mixed(x: np.ndarray) -> np.ndarray:
+        z = x.astype(np.int64).view(np.uint64) * MIX
+        return (z ^ (z >> np.uint64(32))) * MIX
+
+    def __call__(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
+        parts = np.full(len(keys), self.parts, np.int64)
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            parts = np.where(self.keys[at] == keys, self.splits[at], parts)
+        sub = (self._mixed(ids) >> np.uint64(33)).astype(np.int64) % parts
+        return ((self._mixed(keys) + self._mixed(sub + 1) >> np.uint64(33)).astype(np.int64) % self.n).astype(np.int64)
+
+
+def candidate_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """meeting (pair of buckets), and packed ids of the pairs that an index list brings together there."""
     parts = _parts(sets)
 
@@ -239,6 +259,12 @@ def candidate_pairs(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
         values, owners, counts = values[order], owners[order], counts[order]
         start = np.searchsorted(owners, np.arange(len(ids)))
         position = np.arange(len(owners)) - start[owners]
+        # the smallest shared hash is the set's key; sets without one take their size
+        key = sizes.copy()
+        shared = np.flatnonzero(counts > 1)
+        by_hash = shared[np.lexsort((values[shared], owners[shared]))]
+        own, at = np.unique(owners[by_hash], return_index=True)
+        key[own] = values[by_hash[at]].view(np.int64)
         # single ones are in no other set, so they index nothing, but keep their position
         used = (position <= allowed_misses(sizes[owners], percent)) & (counts > 1)
         values, owners, position = values[used], owners[used], position[used]
@@ -249,23 +275,37 @@ def candidate_pairs(sets: DataFrame, percent: int, buckets: int) -> DataFrame:
         pick = [by[cuts[i] : cuts[i + 1]] for i in full]
         # sets whose ordered part is shorter than their prefix go on in the rest of the hash space
         have = np.bincount(_array(b"".join(rows["owners"]), np.uint32), minlength=len(ids))
+        none = np.zeros(0, np.int8)
         short = have < np.minimum(allowed_misses(sizes, percent) + 1, sizes)
         return pa.table(
-            [pa.array(full + [-1], pa.int64()), _binary([values[p] for p in pick] + [np.zeros(0, np.int8)]), _binary([ids[owners[p]] for p in pick] + [ids[short]]),
-             _binary([sizes[owners[p]] for p in pick] + [have[short]]), _binary([position[p] for p in pick] + [np.zeros(0, np.int8)])],
-            names=["part", "shingles", "sets", "sizes", "positions"],
+            [pa.array(full + [-1, -2], pa.int64()), _binary([values[p] for p in pick] + [none, none]), _binary([ids[owners[p]] for p in pick] + [ids[short], ids]),
+             _binary([sizes[owners[p]] for p in pick] + [have[short], none]), _binary([position[p] for p in pick] + [none, none]), _binary([key[owners[p]] for p in pick] + [key[short], key])],
+            names=["part", "shingles", "sets", "sizes", "positions", "keys"],
         )
 
     def lists(group: pa.Table) -> pa.Table:
         rows = group.to_pydict()
         value = _array(b"".join(rows["shingles"]), np.uint64)
-        ids, sizes, position = (_array(b"".join(rows[c]), np.int64) for c in ("sets", "sizes", "positions"))
-        return _meet(*_pairs_of_lists(value, ids, sizes, position, percent), buckets)
+        ids, sizes, position, keys = (_array(b"".join(rows[c]), np.int64) for c in ("sets", "sizes", "positions", "keys"))
+        first, second = _pairs_of_lists(value, ids, sizes, position, percent)
+        names, at = np.unique(ids, return_index=True)
+        own = buckets(keys[at], names)
+        return _meet(first, second, own[np.searchsorted(names, first)], own[np.searchsorted(names, second)])
+
+    def keys_of(batches):
+        for b in batches:
+            for ids, keys in zip(b.column("sets").to_pylist(), b.column("keys").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(_array(ids, np.int64)), pa.array(_array(keys, np.int64))], names=["doc_id", "key"])
 
     head = "chunk bigint, shingles binary, owners binary, counts binary, ids binary, sizes binary"
     known = sets.select("doc_id", "shingles").mapInArrow(emit, BLOB).groupBy("part").applyInArrow(frequency, head)
-    index = materialise(known.groupBy("chunk").applyInArrow(prefixes, "part bigint, shingles binary, sets binary, sizes binary, positions binary"), "prefix-index")
-    rest = _short_sets(index.filter("part < 0"), sets, percent, parts)
+    index = materialise(known.groupBy("chunk").applyInArrow(prefixes, POSTINGS), "prefix-index")
+    rest = _short_sets(index.filter("part = -1"), sets, percent, parts)
+    n = sets.count()
+    most = max(BUCKET, -(-n // HOT_KEYS))
+    # each has more than n / HOT_KEYS sets, so there are fewer than HOT_KEYS of them
+    hot = index.filter("part = -2").select("sets", "keys").mapInArrow(keys_of, "doc_id bigint, key bigint").groupBy("key").count().filter(F.col("count") > most).collect()
+    buckets = Buckets(n, most, [(r["key"], r["count"]) for r in hot])
     return index.filter("part >= 0").unionByName(rest).groupBy("part").applyInArrow(lists, PAIRS)
 
 
@@ -274,27 +314,27 @@ def _short_sets(short: DataFrame, sets: DataFrame, percent: int, parts: int) ->
 
     def ids(batches):
         for b in batches:
-            for s, n in zip(b.column("sets").to_pylist(), b.column("sizes").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(_array(s, np.int64)), pa.array(_array(n, np.int64))], names=["doc_id", "have"])
+            for row in zip(*(b.column(c).to_pylist() for c in ("sets", "sizes", "keys"))):
+                yield pa.RecordBatch.from_arrays([pa.array(_array(x, np.int64)) for x in row], names=["doc_id", "have", "key"])
 
     def emit(batches):
         for whole in batches:
             for b in slices(whole, "shingles"):
                 out: list[tuple] = []
-                for i, have, n, packed in zip(*(b.column(c).to_pylist() for c in ("doc_id", "have", "n", "shingles"))):
+                for i, have, n, packed, key in zip(*(b.column(c).to_pylist() for c in ("doc_id", "have", "n", "shingles", "key"))):
                     s = _array(packed, np.uint64)
                     s = s[s >= np.uint64(int(ORDERED * 2.0**64))][: int(allowed_misses(np.array(n), percent)) + 1 - have]
-                    out.append((s, np.full(len(s), i), np.full(len(s), n), have + np.arange(len(s))))
-                values, own, sizes, position = (np.concatenate(x) for x in zip(*out))
+                    out.append((s, np.full(len(s), i), np.full(len(s), n), have + np.arange(len(s)), np.full(len(s), key)))
+                values, *rest = (np.concatenate(x) for x in zip(*out))
                 part = _ranges(values, parts)
                 by = np.argsort(part, kind="stable")
                 cuts = np.searchsorted(part[by], np.arange(parts + 1))
                 full = [j for j in range(parts) if cuts[j] < cuts[j + 1]]
                 pick = [by[cuts[j] : cuts[j + 1]] for j in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(_binary([x[p] for p in pick]) for x in (values, own.astype(np.int64), sizes.astype(np.int64), position.astype(np.int64)))], names=["part", "shingles", "sets", "sizes", "positions"])
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(_binary([x[p] for p in pick]) for x in (values, *(r.astype(np.int64) for r in rest)))], names=["part", "shingles", "sets", "sizes", "positions", "keys"])
 
-    wanted = short.select("sets", "sizes").mapInArrow(ids, "doc_id bigint, have bigint")
-    return sets.select("doc_id", "n", "shingles").join(wanted, "doc_id").select("doc_id", "have", "n", "shingles").mapInArrow(emit, "part bigint, shingles binary, sets binary, sizes binary, positions binary")
+    wanted = short.select("sets", "sizes", "keys").mapInArrow(ids, "doc_id bigint, have bigint, key bigint")
+    return sets.select("doc_id", "n", "shingles").join(wanted, "doc_id").select("doc_id", "have", "n", "shingles", "key").mapInArrow(emit, POSTINGS)
 
 
 def _pairs_of_lists(value: np.ndarray, ids: np.ndarray, sizes: np.ndarray, position: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -348,9 +388,9 @@ def _long_list(a: int, b: int, sizes: np.ndarray, position: np.ndarray, percent:
                     keep(i, np.repeat(lo[c : c + 512] - (np.cumsum(k) - k), k) + np.arange(total))
 
 
-def _meet(first: np.ndarray, second: np.ndarray, buckets: int) -> pa.Table:
-    a, b = bucket_of(first, buckets), bucket_of(second, buckets)
-    meeting = np.minimum(a, b) * buckets + np.maximum(a, b)
+def _meet(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
+    """The pairs by the pair of their buckets."""
+    meeting = np.minimum(a, b) << 31 | np.maximum(a, b)
     order = np.argsort(meeting, kind="stable")
     meeting, first, second = meeting[order], first[order], second[order]
     keys, start = np.unique(meeting, return_index=True)
@@ -427,7 +467,6 @@ def linked(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: n
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """a, b: links between sets (doc_id, n, shingles) that connect just what all links connect."""
-    buckets = max(1, -(-sets.count() // BUCKET))
 
     def merge(group: pa.Table) -> pa.Table:
         """A meeting's distinct pairs, as places in its ids."""
@@ -437,7 +476,7 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
         codes = np.unique(at[: len(first)] * len(ids) + at[len(first) :])
         return pa.table([group.column("meeting").slice(0, 1), _binary([ids]), _binary([codes])], names=["meeting", "ids", "codes"])
 
-    pairs = candidate_pairs(sets, percent, buckets).groupBy("meeting").applyInArrow(merge, "meeting bigint, ids binary, codes binary")
+    pairs = candidate_pairs(sets, percent).groupBy("meeting").applyInArrow(merge, "meeting bigint, ids binary, codes binary")
     pairs = materialise(pairs, "candidate-pairs")
 
     def members_of(batches):
