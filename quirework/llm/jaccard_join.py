@@ -101,10 +101,10 @@ def _binary(arrays) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 
 
-BLOB = "part bigint, chunk bigint, shingles binary, owners binary, ids binary, sizes binary"
+BLOB = "part bigint, chunk bigint, shingles binary, owners binary, ids binary, sizes binary, hashes binary"
 
 
-def _emit(chunk: int, ids: np.ndarray, sets: list[np.ndarray], share: float, parts: int) -> pa.RecordBatch:
+def _emit(chunk: int, ids: np.ndarray, sets: list[np.ndarray], share: float, parts: int, hashes: bytes = b"") -> pa.RecordBatch:
     """Blobs of one batch: per hash range the shingles of the counted part, sorted, and whose they are; one more row says who they are."""
     sizes = np.array([len(s) for s in sets], np.int64)
     values, owners = (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), _offsets(sets)
@@ -124,8 +124,9 @@ def _emit(chunk: int, ids: np.ndarray, sets: list[np.ndarray], share: float, par
         _binary([owners[cuts[i] : cuts[i + 1]] for i in full] + [none]),
         _binary([none for _ in full] + [ids]),
         _binary([none for _ in full] + [sizes]),
+        pa.array([b""] * len(full) + [hashes], pa.binary()),
     ]
-    return pa.RecordBatch.from_arrays(cols, names=["part", "chunk", "shingles", "owners", "ids", "sizes"])
+    return pa.RecordBatch.from_arrays(cols, names=["part", "chunk", "shingles", "owners", "ids", "sizes", "hashes"])
 
 
 def _frequencies(values: np.ndarray) -> np.ndarray:
@@ -144,7 +145,7 @@ def _array(value: bytes, dtype) -> np.ndarray:
 
 
 def sizes_and_candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, alive of each row with an id: alive ones may have a partner."""
+    """doc_id, n_shingles, h1, h2 (hash of the set), alive of each row with an id: alive ones may have a partner."""
     parts = _parts(docs)
 
     def shingle(batches):
@@ -153,7 +154,7 @@ def sizes_and_candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for b in slices(whole, "text"):
                 sets = [cut(t or "") for t in b.column("text").to_pylist()]
                 ids = b.column("doc_id").to_numpy()
-                yield _emit(_chunk_id(ids, sets), ids, sets, COUNTED, parts)
+                yield _emit(_chunk_id(ids, sets), ids, sets, COUNTED, parts, b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets))
 
     def count(group: pa.Table) -> pa.Table:
         """Of each batch, how many private shingles each document has in this range."""
@@ -165,7 +166,7 @@ def sizes_and_candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
             own, counts = np.unique(_array(owners, np.uint32)[alone[at : at + len(v)]], return_counts=True)
             at += len(v)
             out.append((own.astype(np.uint32), counts.astype(np.uint32)))
-        return pa.table([group.column("chunk"), _binary([a for a, _ in out]), _binary([b for _, b in out]), group.column("ids"), group.column("sizes")], names=["chunk", "owners", "privates", "ids", "sizes"])
+        return pa.table([group.column("chunk"), _binary([a for a, _ in out]), _binary([b for _, b in out]), *(group.column(c) for c in ("ids", "sizes", "hashes"))], names=["chunk", "owners", "privates", "ids", "sizes", "hashes"])
 
     def decide(group: pa.Table) -> pa.Table:
         rows = group.to_pydict()
@@ -177,15 +178,16 @@ def sizes_and_candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for owners, counts in zip(rows["owners"], rows["privates"]):
             np.add.at(private, _array(owners, np.uint32), _array(counts, np.uint32))
         alive = (sizes > 0) & (private <= allowed_misses(sizes, percent))
-        return pa.table([np.tile(x, repeats) for x in (ids, sizes, alive)], names=["doc_id", "n_shingles", "alive"])
+        hashes = _array(rows["hashes"][place], np.dtype(">i8")).astype(np.int64).reshape(-1, 2)
+        return pa.table([np.tile(x, repeats) for x in (ids, sizes, hashes[:, 0], hashes[:, 1], alive)], names=["doc_id", "n_shingles", "h1", "h2", "alive"])
 
     blobs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(shingle, BLOB)
-    counted = blobs.groupBy("part").applyInArrow(count, "chunk bigint, owners binary, privates binary, ids binary, sizes binary")
-    return counted.groupBy("chunk").applyInArrow(decide, "doc_id bigint, n_shingles bigint, alive boolean")
+    counted = blobs.groupBy("part").applyInArrow(count, "chunk bigint, owners binary, privates binary, ids binary, sizes binary, hashes binary")
+    return counted.groupBy("chunk").applyInArrow(decide, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, alive boolean")
 
 
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, h1, h2, n, shingles: each row's sorted distinct hashes (packed), and a 128-bit hash of them."""
+    """doc_id, wanted1, wanted2, h1, h2, n, shingles: each row's sorted distinct hashes (packed), and a 128-bit hash of them."""
 
     def make():
         cut = Shingler(k)
@@ -198,7 +200,7 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
         return run
 
-    return map_texts(docs, make, "h1 bigint, h2 bigint, n bigint, shingles binary", "text", ["doc_id"])
+    return map_texts(docs, make, "h1 bigint, h2 bigint, n bigint, shingles binary", "text", ["doc_id", "wanted1", "wanted2"])
 
 
 PAIRS = "meeting bigint, first binary, second binary"
@@ -486,7 +488,8 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), m)), pa.array(ids)], names=["meeting", "doc_id"])
 
     wanted = pairs.select("meeting", "ids").mapInArrow(members_of, "meeting bigint, doc_id bigint")
-    members = wanted.join(sets.select("doc_id", "shingles"), "doc_id").select("meeting", "doc_id", "shingles")
+    # both sides are shuffled at every size: neither has a bound
+    members = wanted.join(sets.select("doc_id", "shingles").hint("merge"), "doc_id").select("meeting", "doc_id", "shingles")
 
     def answer(group: pa.Table, members: pa.Table) -> pa.Table:
         a, b = [], []
@@ -526,12 +529,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     """doc_id, n_shingles, component_id of each row with an id."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
     state = materialise(sizes_and_candidates(src, k, percent), "set-sizes")
-    alive = state.filter("alive").select("doc_id").distinct()
-    rows = materialise(shingle_sets(src.join(alive, "doc_id", "left_semi"), k).filter("n > 0"), "sets")
-    own = rows.groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n")).alias("s")).select("doc_id", "s.*")
-    classes = materialise(own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first")), "classes")
-    chosen = classes.select("h1", "h2", F.col("first").alias("doc_id"))
-    sets = materialise(rows.join(chosen, ["doc_id", "h1", "h2"]).select("doc_id", "n", "shingles"), "distinct-sets")
-    copies = own.join(classes, ["h1", "h2", "n"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
+    own = state.filter("alive").groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n_shingles")).alias("s")).select("doc_id", "s.*")
+    classes = materialise(own.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first")), "classes")
+    # one row of each distinct set has its text read again
+    chosen = classes.select(F.col("first").alias("doc_id"), F.col("h1").alias("wanted1"), F.col("h2").alias("wanted2"))
+    again = shingle_sets(src.join(chosen.hint("merge"), "doc_id"), k).filter("h1 = wanted1 and h2 = wanted2")
+    sets = materialise(again.select("doc_id", "n", "shingles"), "distinct-sets")
+    copies = own.join(classes, ["h1", "h2", "n_shingles"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     groups = components(links(sets, percent).unionAll(copies))
     return state.join(groups, state["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
