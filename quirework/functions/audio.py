@@ -1,0 +1,86 @@
+"""What can be told of audio bytes without decoding libraries: MP3 frames, PCM silence, integrity."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Bit rates (kbit/s) of layer III, sampling rates (Hz) of the three versions.
+BITRATES = {3: [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320], 2: [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]}
+RATES = {3: [44100, 48000, 32000], 2: [22050, 24000, 16000], 0: [11025, 12000, 8000]}
+
+
+def frame(data: bytes, at: int) -> tuple[int, int, int, int] | None:
+    """(bytes, samples, rate, channels) of the layer III frame at a place, or None."""
+    if at + 4 > len(data) or data[at] != 0xFF or data[at + 1] & 0xE0 != 0xE0:
+        return None
+    version, layer = data[at + 1] >> 3 & 3, data[at + 1] >> 1 & 3
+    rate_at, bits = data[at + 2] >> 2 & 3, data[at + 2] >> 4
+    if version == 1 or layer != 1 or rate_at == 3 or bits in (0, 15):
+        return None
+    rate = RATES[version][rate_at]
+    kbit = BITRATES[3 if version == 3 else 2][bits]
+    samples = 1152 if version == 3 else 576
+    return samples // 8 * kbit * 1000 // rate + (data[at + 2] >> 1 & 1), samples, rate, 1 if data[at + 3] >> 6 == 3 else 2
+
+
+def scan(data: bytes | None) -> dict:
+    """Frames, seconds, rates, channels and bytes that belong to no frame; tags at both ends are skipped."""
+    out = {"frames": 0, "seconds": 0.0, "rates": [], "channels": [], "stray_bytes": 0}
+    if not data:
+        return out
+    at, end = 0, len(data) - 128 if data[-128:-125] == b"TAG" else len(data)
+    if data[:3] == b"ID3" and len(data) >= 10:
+        size = 0
+        for byte in data[6:10]:
+            size = size << 7 | byte & 127
+        at = 10 + size
+    rates, channels = set(), set()
+    while at < end:
+        f = frame(data, at)
+        if f is None or at + f[0] > end:
+            out["stray_bytes"] += 1
+            at += 1
+            continue
+        out["frames"] += 1
+        out["seconds"] += f[1] / f[2]
+        rates.add(f[2])
+        channels.add(f[3])
+        at += f[0]
+    return out | {"seconds": round(out["seconds"], 6), "rates": sorted(rates), "channels": sorted(channels)}
+
+
+def silence(samples: np.ndarray, rate: int, window_ms: int = 20, quiet_db: float = -50.0) -> dict:
+    """Seconds of silence at the start, at the end and the longest, and the share of clipped samples; samples in -1..1."""
+    n = max(1, rate * window_ms // 1000)
+    count = len(samples) // n
+    if not count:
+        return {"leading": 0.0, "trailing": 0.0, "longest": 0.0, "clipped": 0.0}
+    rms = np.sqrt((samples[: count * n].reshape(count, n) ** 2).mean(axis=1))
+    quiet = 20 * np.log10(np.maximum(rms, 1e-9)) < quiet_db
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], quiet.astype(np.int8), [0]))))
+    longest = int((edges[1::2] - edges[::2]).max(initial=0))
+    loud = np.flatnonzero(~quiet)
+    lead, trail = (int(loud[0]), int(count - 1 - loud[-1])) if len(loud) else (count, count)
+    s = window_ms / 1000
+    return {"leading": round(lead * s, 3), "trailing": round(trail * s, 3), "longest": round(longest * s, 3), "clipped": float((np.abs(samples) >= 0.999).mean())}
+
+
+def frames_of(audio: Column | str) -> Column:
+    """Struct of frames, seconds, rates, channels, stray_bytes of a binary column."""
+
+    def run(files: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([scan(bytes(f) if f is not None else None) for f in files])
+
+    return F.pandas_udf(run, "frames int, seconds double, rates array<int>, channels array<int>, stray_bytes int")(audio)
+
+
+def integrity(found: Column, declared_seconds: Column, tolerance: float = 0.05) -> Column:
+    """missing, damaged, mixed_format, wrong_length or ok for a scan struct."""
+    return (
+        F.when(F.coalesce(found["frames"], F.lit(0)) == 0, "missing").when(found["stray_bytes"] > 0, "damaged")
+        .when((F.size(found["rates"]) > 1) | (F.size(found["channels"]) > 1), "mixed_format")
+        .when(F.abs(found["seconds"] - declared_seconds) > tolerance, "wrong_length").otherwise("ok")
+    )

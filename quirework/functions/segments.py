@@ -1,0 +1,121 @@
+"""Text to pieces with exact offsets: sentences, passages of a bounded length, phrases of timed text."""
+
+from __future__ import annotations
+
+import re
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .spanish import ABBREVIATIONS
+
+# Abbreviations that never end a sentence, and what may close one.
+NEVER_LAST = {a.lower() for a, (_, may_end) in ABBREVIATIONS.items() if not may_end} | {"ed.", "núm.", "c.", "art.", "ss.", "vs.", "cf."}
+CLOSERS = "»”\"')]"
+PASSAGE, CHUNK, PHRASE = 800, 1800, 180
+
+
+def is_end(text: str, i: int) -> bool:
+    """Whether the mark at ``i`` ends a sentence: not a decimal, an initial, or an abbreviation; a new sentence must follow."""
+    c = text[i]
+    if c not in ".!?…" or (c == "." and text[i + 1 : i + 2] in (".", "…")):
+        return False
+    j = i + 1
+    while j < len(text) and text[j] in CLOSERS:
+        j += 1
+    rest = text[j:].lstrip()
+    if not rest:
+        return True
+    if not text[j].isspace():
+        return False
+    if c == ".":
+        word = re.search(r"\S+$", text[: i + 1])[0].lstrip("(«“\"'¿¡—–-")
+        if word.lower() in NEVER_LAST or re.fullmatch(r"[A-ZÁÉÍÓÚÑ]\.", word):
+            return False
+    return not rest[0].islower()
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """Half-open offsets of the sentences, white space at their ends left out."""
+    out, start = [], 0
+    for m in re.finditer(r"[.!?…]+", text):
+        i = m.end() - 1
+        if i >= start and is_end(text, i):
+            end = i + 1
+            while end < len(text) and text[end] in CLOSERS:
+                end += 1
+            out.append((start, end))
+            start = end
+    out.append((start, len(text)))
+    trimmed = []
+    for a, b in out:
+        piece = text[a:b]
+        if piece.strip():
+            trimmed.append((a + len(piece) - len(piece.lstrip()), b - len(piece) + len(piece.rstrip())))
+    return trimmed
+
+
+def packed(parts: list[str], most: int = PASSAGE) -> list[str]:
+    """Parts joined by spaces up to a length; a longer one is cut at its last space past the half, else hard."""
+    out: list[str] = []
+    for p in parts:
+        while len(p) > most:
+            cut = p.rfind(" ", most // 2, most + 1)
+            head, p = (p[:cut], p[cut + 1 :]) if cut > 0 else (p[:most], p[most:])
+            out.append(head)
+        if out and p and len(out[-1]) + 1 + len(p) <= most and out[-1] not in ("",):
+            out[-1] += " " + p
+        elif p:
+            out.append(p)
+    return out
+
+
+def passages(text: str, most: int = PASSAGE) -> list[str]:
+    """Passages of each blank-line paragraph; none crosses a paragraph."""
+    out = []
+    for block in re.split(r"\n\s*\n", text):
+        flat = " ".join(block.split())
+        out += packed([flat[a:b] for a, b in sentences(flat)], most) if flat else []
+    return out
+
+
+def chunks(text: str, most: int = CHUNK) -> list[str]:
+    """Pieces whose concatenation is the text: cut after a sentence, else after a space, else hard."""
+    out = []
+    while len(text) > most:
+        ends = [b for _, b in sentences(text[: most + 1]) if b <= most]
+        cut = ends[-1] if ends and ends[-1] >= most // 2 else text.rfind(" ", most // 2, most) + 1 or most
+        out.append(text[:cut])
+        text = text[cut:]
+    return [*out, text] if text else out
+
+
+def phrases(timed: list[tuple[str, float, float]], most: int = PHRASE) -> list[tuple[str, float, float]]:
+    """Timed characters to phrases: closed at a punctuation mark before a space, or at a space past the length."""
+    out, text, start = [], "", None
+    for i, (c, a, b) in enumerate(timed):
+        start = a if start is None else start
+        text += c
+        last = i + 1 == len(timed)
+        if last or (timed[i + 1][0] == " " and (c in ".,;:!?…" or len(text) >= most)):
+            if text.strip():
+                out.append((text.strip(), start, b))
+            text, start = "", None
+    return out
+
+
+def sentence_spans(text: Column | str) -> Column:
+    """array<struct<start, end, sentence>> of a text (null: none)."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [{"start": a, "end": b, "sentence": t[a:b]} for a, b in sentences(t)] if t else [])
+
+    return F.pandas_udf(run, "array<struct<start:int,end:int,sentence:string>>")(text)
+
+
+def passage_list(text: Column | str, most: int = PASSAGE) -> Column:
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: passages(t, most) if t else [])
+
+    return F.pandas_udf(run, "array<string>")(text)

@@ -882,3 +882,12 @@ def take_states(t):
     e = O.numbered(t("events"), ["user_id"], ["ts", "event_id"], "take")
     verdict = F.when(F.col("event_type") == "view", "verified").when(F.col("event_type") == "click", "ambiguous").otherwise("likely_error")
     return states(e.select(F.col("user_id").cast("string").alias("unit_id"), F.col("take").cast("int").alias("take"), verdict.alias("verdict"), (F.col("event_type") == "error").alias("problem")))
+
+
+@query()
+def sentence_units(t):
+    """SEG04, SEG05: sentences of the conversations' turns, with exact offsets."""
+    from quirework.functions.segments import sentence_spans
+
+    c = t("conversations").select("conv_id", "turn", F.posexplode(sentence_spans("text")).alias("position", "s"))
+    return c.select("conv_id", "turn", "position", "s.start", "s.end", F.md5(F.col("s.sentence").cast("binary")).alias("sentence_md5"))

@@ -1,0 +1,57 @@
+import numpy as np
+import pytest
+
+from quirework.functions import audio as A
+from quirework.functions import segments as S
+
+
+@pytest.mark.parametrize("text,want", [
+    ("Hola. ¿Qué tal? ¡Bien!", ["Hola.", "¿Qué tal?", "¡Bien!"]), ("El Sr. García llegó. Luego se fue.", ["El Sr. García llegó.", "Luego se fue."]),
+    ("Mide 3.5 m. Es alto.", ["Mide 3.5 m.", "Es alto."]), ("«Ven.» Y vino.", ["«Ven.»", "Y vino."]), ("Dudó... y siguió. Fin", ["Dudó... y siguió.", "Fin"]),
+    ("J. R. Pérez vino.", ["J. R. Pérez vino."]), ("", []), ("   ", []), ("sin punto", ["sin punto"]),
+])
+def test_sentences(text, want):
+    assert [text[a:b] for a, b in S.sentences(text)] == want
+
+
+def test_passages_and_chunks():
+    text = ("Una frase corta. " * 100).strip()
+    assert all(len(p) <= 800 for p in S.passages(text)) and " ".join(S.passages(text)) == text
+    assert all(len(p) <= 800 for p in S.packed(["x" * 2000, "y z" * 400]))
+    assert S.passages("Uno.\n\nDos.") == ["Uno.", "Dos."]
+    long = "abc " * 3000
+    assert "".join(S.chunks(long)) == long and all(len(c) <= 1800 for c in S.chunks(long))
+    assert "".join(S.chunks("x" * 5000)) == "x" * 5000 and S.chunks("") == []
+
+
+def test_phrases():
+    timed = [(c, i * 0.1, i * 0.1 + 0.1) for i, c in enumerate("Hola, que tal. Bien")]
+    out = S.phrases(timed)
+    assert [p for p, *_ in out] == ["Hola,", "que tal.", "Bien"] and out[0][1] == 0 and out[-1][2] == pytest.approx(1.9)
+
+
+def test_columns(spark):
+    df = spark.createDataFrame([("Hola. Adiós.",), (None,)], "t string")
+    rows = df.select(S.sentence_spans("t").alias("s"), S.passage_list("t").alias("p")).collect()
+    assert [(x.start, x.end) for x in rows[0].s] == [(0, 5), (6, 12)] and rows[0].p == ["Hola. Adiós."] and rows[1].s == [] == rows[1].p
+
+
+FRAME = bytes([0xFF, 0xFB, 0x90, 0xC0]) + bytes(413)  # 128 kbit/s, 44.1 kHz, mono: 417 bytes
+
+
+def test_mp3_frames(spark):
+    assert A.frame(FRAME, 0) == (417, 1152, 44100, 1)
+    x = A.scan(b"ID3\x04\x00\x00\x00\x00\x00\x05abcde" + FRAME * 10 + b"TAG" + bytes(125))
+    assert x == {"frames": 10, "seconds": round(11520 / 44100, 6), "rates": [44100], "channels": [1], "stray_bytes": 0}
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([(FRAME * 10, 0.26), (FRAME * 10, 9.0), (FRAME * 2 + b"xx", 0.05), (None, 1.0)], "a binary, s double").select(A.frames_of("a").alias("f"), "s")
+    assert [r[0] for r in df.select(A.integrity(F.col("f"), F.col("s"))).collect()] == ["ok", "wrong_length", "damaged", "missing"]
+
+
+def test_silence():
+    rate = 8000
+    tone = 0.5 * np.sin(np.arange(rate) * 0.3)
+    x = A.silence(np.concatenate([np.zeros(rate // 2), tone, np.zeros(rate), tone, np.zeros(rate // 4)]), rate)
+    assert (x["leading"], x["trailing"], x["longest"], x["clipped"]) == (0.5, 0.24, 1.0, 0.0) or x["trailing"] == pytest.approx(0.25, abs=0.02)
+    assert A.silence(np.zeros(0), rate)["longest"] == 0
