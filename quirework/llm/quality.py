@@ -42,6 +42,10 @@ def shape_of(token: str) -> str:
     return "shape " + _RUNS.sub(r"\1\1", kinds)[:8]
 
 
+def _form(token: str) -> str:
+    return _OUTER.sub("", token[:64]).lower()
+
+
 def index_vector(word: str, dims: int, ones: int = 6) -> np.ndarray:
     """A few places of +1 and -1, drawn from the word's hash."""
     out = np.zeros(dims, np.float32)
@@ -62,8 +66,7 @@ class Reader(dict):
     def __missing__(self, token: str) -> int:
         if len(self) >= TOKENS:
             self.clear()
-        form = self.words.get(_OUTER.sub("", token[:64]).lower(), 0)
-        self[token] = code = form << 32 | self.words.get(shape_of(token), 0)
+        self[token] = code = self.words.get(_form(token), 0) << 32 | self.words.get(shape_of(token), 0)
         return code
 
     def rows(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -91,25 +94,25 @@ def pool(reader: Reader, vectors: np.ndarray, repeat: np.ndarray, text: str) ->
 
 def learn_vectors(texts: list[str], dims: int, most_words: int, window: int = 2) -> tuple[dict[str, int], np.ndarray]:
     """Random indexing over the sample: each kept word sums its neighbours' index vectors."""
-    counts: Counter[str] = Counter()
-    split = []
+    tokens: Counter[str] = Counter()
     for t in texts:
-        tokens = t.split()
-        pairs = [(_OUTER.sub("", x[:64]).lower(), shape_of(x)) for x in tokens]
-        split.append(pairs)
-        for form, shape in pairs:
-            counts[form] += 1
-            counts[shape] += 1
+        tokens.update(t.split())
+    counts: Counter[str] = Counter()
+    for token, c in tokens.items():
+        counts[_form(token)] += c
+        counts[shape_of(token)] += c
+    del tokens
     kept = sorted((w for w, c in counts.items() if c > 1), key=lambda w: (-counts[w], w))[:most_words]
+    del counts
     words = {w: i + 1 for i, w in enumerate(kept)}
     index = np.stack([np.zeros(dims, np.float32)] + [index_vector(w, dims) for w in kept])
     vectors = index.copy()
-    for pairs in split:
-        forms = np.array([words.get(a, 0) for a, _ in pairs], np.int64)
-        shapes = np.array([words.get(b, 0) for _, b in pairs], np.int64)
+    reader = Reader(words)
+    for t in texts:
+        forms, shapes, _ = reader.rows(t)
         own = index[forms] + index[shapes]
         for d in range(1, window + 1):
-            if len(pairs) > d:
+            if len(forms) > d:
                 for at in (forms, shapes):
                     np.add.at(vectors, at[d:], own[:-d])
                     np.add.at(vectors, at[:-d], own[d:])
@@ -172,7 +175,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 1500, max_chars: int = 50_000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 800, max_chars: int = 50_000) -> Model:
     """Learns from a bounded sample of labelled documents; the classes' true shares set the prior."""
     ones, n = labels.filter(F.col(label).isin(0, 1)).agg(F.sum(F.col(label).cast("bigint")), F.count("*")).first()
     rows = labelled_sample(docs, labels, label, rows_per_class, max_chars).collect()
