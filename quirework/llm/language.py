@@ -1,6 +1,6 @@
 """Language identification by words first, then shorter and shorter character n-grams.
 
-Counts of words and of character n-grams per language come from a bounded sample of labelled rows
+Counts of words and of character n-grams per language come from a bounded sample of distinct labelled texts
 (``docs_per_language``). A known word scores by its per-language log frequency. An unseen word backs
 off: it is covered by its longest known n-grams, from ``max_n`` down to single characters.
 
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import map_texts
+from ._common import map_texts, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Rows that one task remembers.
@@ -36,13 +36,16 @@ class Model:
 
 
 def sample(labelled: DataFrame, docs_per_language: int) -> DataFrame:
-    """At most so many rows of each language, those with the smallest hash of their text; deterministic."""
-    ranked = labelled.filter("lang is not null and text is not null").select("lang", "text", F.xxhash64("text").alias("h"))
-    sizes = ranked.groupBy("lang").agg(F.count("*").alias("n"))
-    # thinned first, so that the ranking sees little more than it keeps
-    part = F.least(F.lit(1.0), 2.0 * docs_per_language / F.col("n")) * 2.0**63
-    thin = ranked.join(F.broadcast(sizes.limit(10_000)), "lang").filter(F.col("h").bitwiseAND(0x7FFFFFFFFFFFFFFF) <= part)
-    order = Window.partitionBy("lang").orderBy(F.col("h").bitwiseAND(0x7FFFFFFFFFFFFFFF), "text")
+    """At most so many distinct texts of each language, those with the smallest hash; deterministic. Copies count once."""
+    h = F.xxhash64("text").bitwiseAND(0x7FFFFFFFFFFFFFFF)
+    ranked = labelled.filter("lang is not null and text is not null").select("lang", "text", h.alias("h"))
+    # thinned first by the number of distinct texts, so that the ranking sees little more than it keeps; the 64 leave
+    # enough for small samples, too. Written, so that Spark knows the size: few languages are broadcast, many are not
+    sizes = ranked.groupBy("lang").agg(F.count_distinct("h").alias("n"))
+    part = F.least(F.lit(1.0), (2.0 * docs_per_language + 64) / F.col("n")) * 2.0**63
+    limits = materialise(sizes.select("lang", part.alias("most")), "language-sizes")
+    thin = ranked.join(limits, "lang").filter("h <= most").groupBy("lang", "text", "h").count()
+    order = Window.partitionBy("lang").orderBy("h", "text")
     return thin.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_language).select("lang", "text")
 
 

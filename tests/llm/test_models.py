@@ -120,3 +120,12 @@ def test_language_sample_is_bounded(spark):
     df = spark.createDataFrame([(t, lang) for _, t, lang in rows], "text string, lang string")
     out = language.sample(df, 10).groupBy("lang").count().collect()
     assert {r["lang"]: r["count"] for r in out} == {"aa": 10, "bb": 10, "cc": 10}
+
+
+def test_language_sample_takes_distinct_texts(spark):
+    few = [(f"texto {i % 3}", "few") for i in range(2000)]  # by the hash of the row's text alone, all copies pass or fail together
+    hot = [("copia", "hot")] * 300 + [(f"otro {i}", "hot") for i in range(60)]
+    out = language.sample(spark.createDataFrame(few + hot, "text string, lang string"), 20).collect()
+    assert sorted(r.text for r in out if r.lang == "few") == ["texto 0", "texto 1", "texto 2"]
+    of_hot = [r.text for r in out if r.lang == "hot"]
+    assert len(of_hot) == len(set(of_hot)) == 20
