@@ -534,7 +534,8 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     # one row of each distinct set has its text read again
     chosen = classes.select(F.col("first").alias("doc_id"), F.col("h1").alias("wanted1"), F.col("h2").alias("wanted2"))
     again = shingle_sets(src.join(chosen.hint("merge"), "doc_id"), k).filter("h1 = wanted1 and h2 = wanted2")
-    sets = materialise(again.select("doc_id", "n", "shingles"), "distinct-sets")
+    # and one row of each id: equal batches of repeated rows would share a chunk, whose shingles are put together
+    sets = materialise(again.select("doc_id", "n", "shingles").dropDuplicates(["doc_id"]), "distinct-sets")
     copies = own.join(classes, ["h1", "h2", "n_shingles"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     groups = components(links(sets, percent).unionAll(copies))
     return state.join(groups, state["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

@@ -91,3 +91,15 @@ def test_lists_lose_no_pair():
             if ids[x] != ids[y] and min(n1 - position[x], n2 - position[y]) >= j.least_overlap(n1, n2, 85):
                 want.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
     assert want <= set(zip(a, b))
+
+
+def test_repeated_rows_in_equal_batches(spark, monkeypatch):
+    rnd = random.Random(7)
+    base = [f"w{rnd.randrange(99999)}" for _ in range(120)]
+    near = list(base)
+    for at in (10, 100):
+        near[at] = "z"
+    rows = [(1, " ".join(base))] * 64 + [(2, " ".join(near))]
+    monkeypatch.setattr(j, "slices", lambda batch, text: (batch.slice(i, 2) for i in range(0, batch.num_rows, 2)))
+    got = [tuple(r) for r in j.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(1)).collect()]
+    assert sorted(got) == [(1, 117, 1)] * 64 + [(2, 117, 1)]
