@@ -93,24 +93,28 @@ def held_out(doc_id: str, folds: int, fold: int):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, max_chars: int) -> DataFrame:
-    """label, text of at most ``rows_per_class`` documents of each class (0 and 1) with at most ``max_chars`` characters.
+    """label, text of ``rows_per_class`` documents of each class (0 and 1) with at most ``max_chars`` characters, or all if there are fewer.
 
-    Taken are the ids with the smallest hashes, so the sample is the same at every run. Labels are
-    thinned before documents are joined to them; texts of other rows are not moved.
+    Taken are the ids with the smallest hashes, so the sample is the same at every run. Only labels of
+    documents that are here and short enough are counted and thinned, so every place is filled; of an
+    id's rows one is taken. Texts of other rows are not moved.
     """
-    ids = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label"), F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("h"))
+    texts = docs.filter(F.length("text") <= max_chars).select("doc_id", "text")
+    h = F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("h")
+    ids = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label"), h).distinct()
+    ids = materialise(ids.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled-ids")
     sizes = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     parts = []
     for value, n in sorted(sizes.items()):
         of = ids.filter(F.col("label") == value)
-        if n > 2 * rows_per_class:  # twice as many as wanted, so that the sort stays small
-            of = of.filter(F.col("h") <= int(2 * rows_per_class / n * 2.0**63))
+        if n > 2 * rows_per_class + 64:  # twice as many as wanted, so that the sort stays small
+            of = of.filter(F.col("h") <= int((2 * rows_per_class + 64) / n * 2.0**63))
         parts.append(of.orderBy("h", "doc_id").limit(rows_per_class))
     if not parts:
         return docs.sparkSession.createDataFrame([], "label int, text string")
     chosen = parts[0]
     for p in parts[1:]:
         chosen = chosen.unionAll(p)
-    texts = docs.filter(F.length("text") <= max_chars).select("doc_id", "text")
-    # 2 * rows_per_class ids at most, so it can be broadcast
-    return texts.join(F.broadcast(chosen.dropDuplicates(["doc_id", "label"])), "doc_id").select("label", "text", "h").orderBy("h", "text").limit(2 * rows_per_class).select("label", "text")
+    # 2 * rows_per_class ids at most, so it can be broadcast; of texts that differ, the smallest
+    found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "h").agg(F.min("text").alias("text"))
+    return found.orderBy("h", "doc_id", "label").select("label", "text")

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from quirework.llm import language, quality, toxicity
-from quirework.llm._common import held_out
+from quirework.llm._common import held_out, labelled_sample
 
 
 def words(rnd, n, letters="aeioulnrst"):
@@ -129,3 +129,16 @@ def test_language_sample_takes_distinct_texts(spark):
     assert sorted(r.text for r in out if r.lang == "few") == ["texto 0", "texto 1", "texto 2"]
     of_hot = [r.text for r in out if r.lang == "hot"]
     assert len(of_hot) == len(set(of_hot)) == 20
+
+
+def test_labelled_sample_fills_both_classes(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, quality int")
+    taken = labelled_sample(spark.createDataFrame([(i, str(i)) for i in range(400)], "doc_id bigint, text string"), labels, "quality", 1, 50).collect()
+    first = min(int(r.text) for r in taken)  # an id with a small hash
+    hot = spark.createDataFrame([(first, str(first))] * 500 + [(i, str(i)) for i in range(400)], "doc_id bigint, text string")
+    rows = labelled_sample(hot, labels, "quality", 20, 50).collect()
+    assert sorted(r.label for r in rows) == [0] * 20 + [1] * 20 and len({r.text for r in rows}) == 40
+    # documents that are gone, null or too long take no place
+    rest = spark.createDataFrame([(i, str(i)) for i in range(0, 400, 9)] + [(1, None), (3, "x" * 60)], "doc_id bigint, text string")
+    rows = labelled_sample(rest, labels, "quality", 20, 50).collect()
+    assert sorted(r.label for r in rows) == [0] * 20 + [1] * 20
