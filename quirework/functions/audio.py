@@ -84,3 +84,10 @@ def integrity(found: Column, declared_seconds: Column, tolerance: float = 0.05)
         .when((F.size(found["rates"]) > 1) | (F.size(found["channels"]) > 1), "mixed_format")
         .when(F.abs(found["seconds"] - declared_seconds) > tolerance, "wrong_length").otherwise("ok")
     )
+
+
+def shift_for_pauses(seconds: Column | str, pauses: Column | str) -> Column:
+    """A time before pauses were added, after they were. ``pauses``: array of structs (at, added)."""
+    t = F.col(seconds) if isinstance(seconds, str) else seconds
+    pauses = F.col(pauses) if isinstance(pauses, str) else pauses
+    return t + F.aggregate(pauses, F.lit(0.0), lambda total, p: total + F.when(p["at"] <= t, p["added"].cast("double")).otherwise(0.0))

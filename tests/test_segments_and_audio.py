@@ -55,3 +55,12 @@ def test_silence():
     x = A.silence(np.concatenate([np.zeros(rate // 2), tone, np.zeros(rate), tone, np.zeros(rate // 4)]), rate)
     assert (x["leading"], x["trailing"], x["longest"], x["clipped"]) == (0.5, 0.24, 1.0, 0.0) or x["trailing"] == pytest.approx(0.25, abs=0.02)
     assert A.silence(np.zeros(0), rate)["longest"] == 0
+
+
+def test_times_move_by_the_pauses_before_them(spark):
+    from pyspark.sql import functions as F
+
+    from quirework.functions.audio import shift_for_pauses
+
+    df = spark.createDataFrame([(t, [(1.0, 0.5), (2.0, 0.25)]) for t in (0.5, 1.0, 3.0)], "t double, pauses array<struct<at:double,added:double>>")
+    assert [r[0] for r in df.select(shift_for_pauses("t", F.col("pauses"))).collect()] == [0.5, 1.5, 3.75]
