@@ -142,3 +142,10 @@ def test_labelled_sample_fills_both_classes(spark):
     rest = spark.createDataFrame([(i, str(i)) for i in range(0, 400, 9)] + [(1, None), (3, "x" * 60)], "doc_id bigint, text string")
     rows = labelled_sample(rest, labels, "quality", 20, 50).collect()
     assert sorted(r.label for r in rows) == [0] * 20 + [1] * 20
+
+
+def test_bounds_of_the_samples():
+    import inspect
+
+    of = lambda f, name: inspect.signature(f).parameters[name].default
+    assert of(quality.fit, "rows_per_class") == 1500 and of(toxicity.fit, "rows_per_class") == 2000 and of(toxicity.train, "least_steps") == 400
