@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,21 +25,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests, one machine), one of our own."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset and all runs on this machine (tests), one of our own."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="spark-quirework-")
+        atexit.register(shutil.rmtree, _own_dirs[app], ignore_errors=True)
     return _own_dirs[app]
 
 
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it back."""
-    path = f"{shared_dir(df.sparkSession)}/quirework/{tag}-{uuid.uuid4().hex}"
+    """Cuts lineage: writes ``df`` as Parquet into the shared folder and reads it back.
+
+    Every application writes below a folder of its own name, which can go when it has ended; what a
+    query no longer needs while it runs goes by ``drop``.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/quirework/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._quirework_path = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables of ``materialise`` that nothing will read again."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t._quirework_path)
+        path.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, text: str) -> Iterator[pa.RecordBatch]:

@@ -4,44 +4,53 @@ Exact self join of word-shingle sets at a Jaccard threshold, down to connected g
 
 1. *Private shingles.* Shingles of a fixed part of the hash space are counted over all documents. A
    document with more private ones than the threshold lets it miss has no partner and is done.
-2. *Index.* The rest, one per distinct set, order their shingles by document frequency and index the
-   prefix that any partner must share. A list is sorted by set size within blocks of equal prefix
-   position; from a block's position and the sizes the most that can still be shared follows, and
-   entries, or whole blocks, that cannot reach the threshold are skipped.
-3. *Answers.* Sets are dealt to buckets by their smallest shared shingle, so that similar ones mostly share
-   one; a key with very many sets is split by id. Sets meet in pairs of buckets of bounded size. There, a set's overlaps with all others
-   are derived from those of the most similar set just answered: only the shingles in which the two
-   differ are looked up. What has no near neighbour is answered from its own shingles.
-4. *Groups.* Every pair of buckets gives a spanning forest of its links; those are joined to
-   components by large-star and small-star rounds.
-
-Shingles are 64-bit hashes, told apart per pair of documents. Shingles travel packed in binary, by
-hash range; no task holds more than a range, a batch of documents or a pair of buckets.
+2. *Seeds.* The rest, one per distinct set, are dealt twice to buckets of bounded weight by a min-hash; the
+   links inside each bucket are answered. They join nearly all of a group of near copies at once, so
+   that later steps look only for links between what is still apart.
+3. *Index.* Sets order their shingles by document frequency and index the prefix that any partner must
+   share. The entries of a list fall into blocks of one bucket, size class and depth of position. A block
+   keeps its sizes, its least position and whether it is of one group; two blocks whose positions and
+   sizes leave too small an overlap, or that are of one group, skip each other whole, and so do
+   single entries against a block. No pairs of sets are made: a list names meetings of two buckets
+   and who takes part there.
+4. *Answers.* In a meeting (or seed bucket) a set's overlaps with all others are derived from those of the
+   set answered before it, a similar one where there is any: only the shingles in which the two
+   differ are looked up. A shingle that most sets hold lists those that lack it. Sets that are in one group
+   already are not looked at.
+5. *Groups.* A meeting gives a spanning forest of its links; all are joined to components by large-star
+   and small-star rounds.
+
+Shingles are 64-bit hashes. They travel packed in binary; a batch counts its own repeats before the
+shuffle, so a shingle of all documents weighs one entry a batch. No task holds more than a hash range of
+such counts, a batch of documents, or two buckets of about WEIGHT shingles (or one longer set).
 
 Null and empty texts have no shingles and link with nothing; rows with a null id are in
-no set and give no rows. Rows of one id should be equal and then each give the same row; if their
-texts differ, the one with the smallest set hash among those that may have partners links for the id.
-Extra columns are not read. An empty table gives no rows.
+no set and give no rows. Repeated rows of an id each give a row. Texts of one id that differ are all sets of that id:
+their links unite, and each row shows its own n_shingles. Very long texts are one set
+each, read whole. Ties: the smallest id names a component. Extra columns, whatever their names, are not read. An empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_texts, materialise, slices
+from ._common import drop, materialise, map_texts, slices
 
 UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Share of the hash space in which private shingles are counted, and in which frequencies order a prefix.
 COUNTED, ORDERED = 0.3, 0.5
-#: Sets of a bucket (about); two buckets meet in one task. Keys with more sets are split, at most HOT_KEYS of them by a list.
-BUCKET, HOT_KEYS = 4096, 65_536
-#: Lists of up to so many entries are paired all at once.
-SHORT_LIST = 16
+#: Shingles of a bucket (about); two buckets meet in one task.
+WEIGHT = 1 << 19
+#: Depths of position that a list's blocks tell apart, for each 1 of position / size.
+DEPTHS = 64
 WORDS = 1_000_000
 
 
@@ -84,64 +93,95 @@ def least_overlap(a, b, percent: int):
     return -(-(a + b) * percent // (100 + percent))
 
 
-def _ranges(values: np.ndarray, parts: int) -> np.ndarray:
-    """Hash range of each shingle: by bits that the part of the hash space does not fix."""
-    return ((values & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
 def _parts(df: DataFrame) -> int:
     return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _offsets(sets: list[np.ndarray]) -> np.ndarray:
-    return np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-
-
 def _binary(arrays) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 
 
-BLOB = "part bigint, chunk bigint, shingles binary, owners binary, ids binary, sizes binary, hashes binary"
-
-
-def _emit(chunk: int, ids: np.ndarray, sets: list[np.ndarray], share: float, parts: int, hashes: bytes = b"") -> pa.RecordBatch:
-    """Blobs of one batch: per hash range the shingles of the counted part, sorted, and whose they are; one more row says who they are."""
-    sizes = np.array([len(s) for s in sets], np.int64)
-    values, owners = (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), _offsets(sets)
-    inside = values < np.uint64(int(share * 2.0**64))
-    values, owners = values[inside], owners[inside]
-    part = _ranges(values, parts)
-    order = np.lexsort((values, part))
-    values, owners, part = values[order], owners[order].astype(np.uint32), part[order]
-    cuts = np.searchsorted(part, np.arange(parts + 1))
-    full = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
-    home = chunk % parts
-    none = np.zeros(0, np.int8)
-    cols = [
-        pa.array([*full, home], pa.int64()),
-        pa.array([chunk] * (len(full) + 1), pa.int64()),
-        _binary([values[cuts[i] : cuts[i + 1]] for i in full] + [none]),
-        _binary([owners[cuts[i] : cuts[i + 1]] for i in full] + [none]),
-        _binary([none for _ in full] + [ids]),
-        _binary([none for _ in full] + [sizes]),
-        pa.array([b""] * len(full) + [hashes], pa.binary()),
-    ]
-    return pa.RecordBatch.from_arrays(cols, names=["part", "chunk", "shingles", "owners", "ids", "sizes", "hashes"])
+def _array(value: bytes, dtype) -> np.ndarray:
+    return np.frombuffer(value, dtype)
 
 
-def _frequencies(values: np.ndarray) -> np.ndarray:
-    """How often each value stands in the array."""
-    _, inverse, counts = np.unique(values, return_inverse=True, return_counts=True)
-    return counts[inverse]
+BLOB = "part bigint, chunk bigint, shingles binary, counts binary, home binary"
+COUNTS = "chunk bigint, part bigint, shingles binary, counts binary, found binary, home binary"
+
+
+class Batch:
+    """The sets of one batch: which distinct shingles of the counted part they hold, in the order (range, shingle), and whose they are."""
+
+    def __init__(self, ids: np.ndarray, marks: np.ndarray, sets: list[np.ndarray], share: float, parts: int):
+        self.ids, self.marks, self.parts = ids.astype(np.int64), marks, parts
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        values = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owners = np.repeat(np.arange(len(sets), dtype=np.uint32), self.sizes)
+        inside = values < np.uint64(int(share * 2.0**64))
+        values, owners = values[inside], owners[inside]
+        # the range: by bits that the counted part does not fix
+        part = ((values & np.uint64(0xFFFFFFFF)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        order = np.lexsort((values, part))
+        values, self.owners = values[order], owners[order]
+        new = np.concatenate(([True], values[1:] != values[:-1])) if len(values) else np.zeros(0, bool)
+        at = np.flatnonzero(new)
+        self.values, self.part = values[at], part[order][at]
+        self.counts = np.diff(np.append(at, len(values))).astype(np.uint32)
+        #: The same for equal batches only, and when a task runs again.
+        self.chunk = xxhash.xxh3_64_intdigest(self.ids.tobytes() + b"".join(xxhash.xxh3_64_digest(s.tobytes()) for s in sets)) >> 1
+
+    def blobs(self, *more: np.ndarray) -> pa.RecordBatch:
+        """Per hash range the shingles with their counts here; one more row, dealt to any range, says whose they are."""
+        cuts = np.searchsorted(self.part, np.arange(self.parts + 1))
+        full = np.flatnonzero(cuts[:-1] < cuts[1:])
+        pieces = [(cuts[i], cuts[i + 1]) for i in full]
+        home = _pack(self.ids, self.marks, self.sizes, self.owners, *more)
+        cols = [
+            pa.array([*full.tolist(), self.chunk % self.parts], pa.int64()),
+            pa.array([self.chunk] * (len(full) + 1), pa.int64()),
+            pa.array([*(self.values[a:b].tobytes() for a, b in pieces), b""], pa.binary()),
+            pa.array([*(self.counts[a:b].tobytes() for a, b in pieces), b""], pa.binary()),
+            pa.array([*(None for _ in pieces), home], pa.binary()),
+        ]
+        return pa.RecordBatch.from_arrays(cols, names=["part", "chunk", "shingles", "counts", "home"])
+
+
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays end to end, their lengths in bytes before them."""
+    raw = [a.tobytes() for a in arrays]
+    return np.array([len(raw), *map(len, raw)], np.int64).tobytes() + b"".join(raw)
+
+
+def _unpack(data: bytes, *dtypes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    at, out = 8 * (n + 1), []
+    for size, dtype in zip(np.frombuffer(data, np.int64, n, 8).tolist(), dtypes):
+        out.append(np.frombuffer(data[at : at + size], dtype))
+        at += size
+    return out
 
 
-def _chunk_id(ids: np.ndarray, sets: list[np.ndarray]) -> int:
-    """A name for a batch that only an equal batch shares, the same when a task runs again."""
-    return xxhash.xxh3_64_intdigest(ids.tobytes() + b"".join(xxhash.xxh3_64_digest(x.tobytes()) for x in sets)) >> 1
+def _frequencies(group: pa.Table) -> pa.Table:
+    """In one hash range, how often each shingle of a batch stands in all batches together."""
+    rows = group.to_pydict()
+    values = [_array(x, np.uint64) for x in rows["shingles"]]
+    _, inverse = np.unique(np.concatenate(values), return_inverse=True)
+    total = np.bincount(inverse, np.concatenate([_array(x, np.uint32) for x in rows["counts"]]))[inverse] if len(inverse) else np.zeros(0)
+    cuts = np.cumsum([0, *map(len, values)])
+    found = [np.minimum(total[a:b], 2.0**32 - 1).astype(np.uint32) for a, b in zip(cuts, cuts[1:])]
+    return pa.table([group.column("chunk"), group.column("part"), group.column("shingles"), group.column("counts"), _binary(found), group.column("home")], names=["chunk", "part", "shingles", "counts", "found", "home"])
 
 
-def _array(value: bytes, dtype) -> np.ndarray:
-    return np.frombuffer(value, dtype)
+def _of_batch(group: pa.Table) -> tuple[np.ndarray, np.ndarray, bytes, int]:
+    """Of one batch: its shingles and how often each is found, for every owner; its home row; how many equal batches there are."""
+    rows = group.to_pydict()
+    homes = [h for h in rows["home"] if h is not None]
+    # equal batches share a chunk and say the same: one row of each range is read
+    by_part = {p: i for i, p in enumerate(rows["part"]) if rows["home"][i] is None}
+    take = [by_part[p] for p in sorted(by_part)]
+    join = lambda name, dtype: _array(b"".join(rows[name][i] for i in take), dtype)
+    counts = join("counts", np.uint32)
+    return np.repeat(join("shingles", np.uint64), counts), np.repeat(join("found", np.uint32), counts), homes[0], len(homes)
 
 
 def sizes_and_candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -153,41 +193,32 @@ def sizes_and_candidates(docs: DataFrame, k: int, percent: int) -> DataFrame:
         for whole in batches:
             for b in slices(whole, "text"):
                 sets = [cut(t or "") for t in b.column("text").to_pylist()]
-                ids = b.column("doc_id").to_numpy()
-                yield _emit(_chunk_id(ids, sets), ids, sets, COUNTED, parts, b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets))
-
-    def count(group: pa.Table) -> pa.Table:
-        """Of each batch, how many private shingles each document has in this range."""
-        rows = group.to_pydict()
-        values = [_array(x, np.uint64) for x in rows["shingles"]]
-        alone = _frequencies(np.concatenate(values)) == 1 if values else np.zeros(0, bool)
-        at, out = 0, []
-        for v, owners in zip(values, rows["owners"]):
-            own, counts = np.unique(_array(owners, np.uint32)[alone[at : at + len(v)]], return_counts=True)
-            at += len(v)
-            out.append((own.astype(np.uint32), counts.astype(np.uint32)))
-        return pa.table([group.column("chunk"), _binary([a for a, _ in out]), _binary([b for _, b in out]), *(group.column(c) for c in ("ids", "sizes", "hashes"))], names=["chunk", "owners", "privates", "ids", "sizes", "hashes"])
+                hashes = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), ">i8").astype(np.int64).reshape(-1, 2)
+                yield Batch(b.column("doc_id").to_numpy(), hashes[:, 0], sets, COUNTED, parts).blobs(hashes[:, 1])
 
     def decide(group: pa.Table) -> pa.Table:
-        rows = group.to_pydict()
-        # equal batches (repeated rows) share a chunk and say the same
-        place = next(i for i, x in enumerate(rows["sizes"]) if x or not any(rows["sizes"]))
-        ids, sizes = _array(rows["ids"][place], np.int64), _array(rows["sizes"][place], np.int64)
-        repeats = max(1, sum(bool(x) for x in rows["sizes"]))
-        private = np.zeros(len(ids), np.int64)
-        for owners, counts in zip(rows["owners"], rows["privates"]):
-            np.add.at(private, _array(owners, np.uint32), _array(counts, np.uint32))
+        _, found, home, repeats = _of_batch(group)
+        ids, h1, sizes, owners, h2 = _unpack(home, np.int64, np.int64, np.int64, np.uint32, np.int64)
+        private = np.bincount(owners[found == 1], minlength=len(ids))
         alive = (sizes > 0) & (private <= allowed_misses(sizes, percent))
-        hashes = _array(rows["hashes"][place], np.dtype(">i8")).astype(np.int64).reshape(-1, 2)
-        return pa.table([np.tile(x, repeats) for x in (ids, sizes, hashes[:, 0], hashes[:, 1], alive)], names=["doc_id", "n_shingles", "h1", "h2", "alive"])
+        return pa.table([np.tile(x, repeats) for x in (ids, sizes, h1, h2, alive)], names=["doc_id", "n_shingles", "h1", "h2", "alive"])
 
-    blobs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(shingle, BLOB)
-    counted = blobs.groupBy("part").applyInArrow(count, "chunk bigint, owners binary, privates binary, ids binary, sizes binary, hashes binary")
+    blobs = docs.select("doc_id", "text").mapInArrow(shingle, BLOB)
+    counted = blobs.groupBy("part").applyInArrow(_frequencies, COUNTS)
     return counted.groupBy("chunk").applyInArrow(decide, "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, alive boolean")
 
 
+def _smallest(sets: list[np.ndarray], salt: int) -> list[int]:
+    """Min-hash of each set: the smallest of its shingles, mixed with a salt."""
+    out = []
+    for s in sets:
+        z = (s ^ np.uint64(salt * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF)) * MIX
+        out.append(int((z ^ (z >> np.uint64(32))).min() >> np.uint64(1)))
+    return out
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, wanted1, wanted2, h1, h2, n, shingles: each row's sorted distinct hashes (packed), and a 128-bit hash of them."""
+    """doc_id, wanted1, wanted2, h1, h2, n, key1, key2, shingles: each row's sorted distinct hashes (packed), a 128-bit hash of them, two min-hashes."""
 
     def make():
         cut = Shingler(k)
@@ -196,312 +227,205 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
             sets = [cut(t) for t in texts]
             packed = [s.tobytes() for s in sets]
             wide = [xxhash.xxh3_128_digest(p) for p in packed]
-            return [[int.from_bytes(w[:8], "big", signed=True) for w in wide], [int.from_bytes(w[8:], "big", signed=True) for w in wide], [len(s) for s in sets], packed]
+            some = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+            halves = [[int.from_bytes(w[i : i + 8], "big", signed=True) for w in wide] for i in (0, 8)]
+            return [*halves, [len(s) for s in sets], _smallest(some, 1), _smallest(some, 2), packed]
 
         return run
 
-    return map_texts(docs, make, "h1 bigint, h2 bigint, n bigint, shingles binary", "text", ["doc_id", "wanted1", "wanted2"])
+    return map_texts(docs, make, "h1 bigint, h2 bigint, n bigint, key1 bigint, key2 bigint, shingles binary", "text", ["doc_id", "wanted1", "wanted2"])
+
+
+def buckets(keyed: DataFrame, key: str, salt: int, total: int, least_mates: int = 1) -> DataFrame:
+    """``keyed`` (doc_id, h1, n, a key, ...) with ``bucket``; of keys with ``least_mates`` sets or more.
+
+    Sets of a key share a bucket; a key of more than WEIGHT shingles is dealt to several by id. A bucket holds about WEIGHT.
+    """
+    weights = keyed.groupBy(key).agg(F.sum("n").alias("weight"), F.count("*").alias("mates")).filter(F.col("mates") > least_mates - 1)
+    deal = F.pmod(F.xxhash64("doc_id", "h1", F.lit(salt)), F.ceil(F.col("weight") / WEIGHT))
+    return keyed.join(weights, key).withColumn("bucket", F.pmod(F.xxhash64(key, deal, F.lit(salt)), F.lit(-(-total // WEIGHT)))).drop("weight", "mates")
+
+
+class Overlaps:
+    """How many shingles a set shares with each of the targets, derived from the set asked before."""
+
+    def __init__(self, rows: list[np.ndarray], distinct: int):
+        n = len(rows)
+        dense = np.concatenate(rows)
+        owner = np.repeat(np.arange(n), [len(r) for r in rows])
+        held = np.bincount(dense, minlength=distinct)
+        #: Shingles that most targets hold list those that lack them.
+        self.common = 2 * held > n
+        where = np.flatnonzero(self.common)
+        place = np.cumsum(self.common) - 1
+        lacks = np.ones((len(where), n), bool)
+        mine = self.common[dense]
+        lacks[place[dense[mine]], owner[mine]] = False
+        row, col = np.nonzero(lacks)
+        value = np.concatenate([dense[~mine], where[row]])
+        order = np.argsort(value, kind="stable")
+        self.holders = np.concatenate([owner[~mine], col])[order]
+        self.begin = np.searchsorted(value[order], np.arange(distinct + 1))
+        self.length = np.diff(self.begin)
+        self.shared, self.last = np.zeros(n), None
+
+    def _add(self, shingles: np.ndarray, sign: int) -> None:
+        common = self.common[shingles]
+        self.shared += sign * int(np.count_nonzero(common))
+        for some, weight in ((shingles[~common], sign), (shingles[common], -sign)):
+            total = self.length[some]
+            n = int(total.sum())
+            if n:
+                places = np.repeat(self.begin[some] - (np.cumsum(total) - total), total) + np.arange(n)
+                self.shared += weight * np.bincount(self.holders[places], minlength=len(self.shared))
+
+    def of(self, row: np.ndarray) -> np.ndarray:
+        if self.last is not None:
+            gone, new = np.setdiff1d(self.last, row, assume_unique=True), np.setdiff1d(row, self.last, assume_unique=True)
+        if self.last is not None and len(gone) + len(new) < len(row):
+            self._add(gone, -1)
+            self._add(new, 1)
+        else:
+            self.shared[:] = 0
+            self._add(row, 1)
+        self.last = row
+        return self.shared
+
 
+def linked(ids: np.ndarray, groups: np.ndarray, sides: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that connect just what all links between the two sides (or within the only one) connect.
 
-PAIRS = "meeting bigint, first binary, second binary"
-POSTINGS = "part bigint, shingles binary, sets binary, sizes binary, positions binary, keys binary"
+    ``groups``: sets with one number are connected already. ``sides``: 0 and 1, or only 2 where all meet each other.
+    """
+    if len(set(sides.tolist()) - {2}) == 1:  # the other side has nobody
+        return []
+    values, dense = np.unique(np.concatenate(sets), return_inverse=True)
+    cuts = np.cumsum([0, *map(len, sets)])
+    sizes = np.diff(cuts)
+    rows = [dense[a:b] for a, b in zip(cuts, cuts[1:])]
+    kinds, many = np.unique(sides, return_counts=True)
+    heads = np.flatnonzero(sides == kinds[many.argmin()])
+    targets = np.flatnonzero(sides != kinds[many.argmin()]) if len(kinds) > 1 else heads
+    _, labels = np.unique(groups, return_inverse=True)
+    overlaps = Overlaps([rows[t] for t in targets], len(values))
+    out: list[tuple[int, int]] = []
+    # sets with like shingles follow each other, so that one's answer serves the next
+    for h in sorted(heads.tolist(), key=lambda i: rows[i][:3].tolist()):
+        apart = labels[targets] != labels[h]
+        if not apart.any():
+            continue
+        shared = overlaps.of(rows[h])
+        for t in targets[apart & (100 * shared >= percent * (sizes[h] + sizes[targets] - shared))].tolist():
+            if labels[t] != labels[h]:
+                out.append((int(ids[h]), int(ids[t])))
+                labels[labels == labels[t]] = labels[h]
+    return out
 
 
-class Buckets:
-    """Bucket of a set by its key and id. ``hot``: (key, sets) of keys with more than ``most`` sets."""
+def _answer(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        found = []
+        if group.num_rows > 1:
+            ids, groups, sides = (group.column(c).to_numpy() for c in ("doc_id", "component", "side"))
+            found = linked(ids, groups, sides, [_array(x, np.uint64) for x in group.column("shingles").to_pylist()], percent)
+        return pa.table([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    def __init__(self, n: int, most: int, hot: list[tuple[int, int]]):
-        hot = sorted(hot)
-        self.n, self.parts = max(1, -(-n // BUCKET)), -(-most // BUCKET)
-        self.keys = np.array([k for k, _ in hot], np.int64)
-        self.splits = np.array([-(-c // BUCKET) for _, c in hot], np.int64)
+    return run
 
-    @staticmethod
-    def _mixed(x: np.ndarray) -> np.ndarray:
-        z = x.astype(np.int64).view(np.uint64) * MIX
-        return (z ^ (z >> np.uint64(32))) * MIX
 
-    def __call__(self, keys: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        parts = np.full(len(keys), self.parts, np.int64)
-        if len(self.keys):
-            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            parts = np.where(self.keys[at] == keys, self.splits[at], parts)
-        sub = (self._mixed(ids) >> np.uint64(33)).astype(np.int64) % parts
-        return ((self._mixed(keys) + self._mixed(sub + 1) >> np.uint64(33)).astype(np.int64) % self.n).astype(np.int64)
+def seed_links(sets: DataFrame, percent: int, total: int) -> DataFrame:
+    """a, b: links inside the buckets of two min-hashes."""
+    out = None
+    for salt in (1, 2):
+        dealt = buckets(sets.select("doc_id", "h1", "n", f"key{salt}", "shingles"), f"key{salt}", salt, total, 2)
+        rows = dealt.select("bucket", "doc_id", F.col("doc_id").alias("component"), F.lit(2).alias("side"), "shingles")
+        found = rows.groupBy("bucket").applyInArrow(_answer(percent), "a bigint, b bigint").filter("a <> b")
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
-def candidate_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """meeting (pair of buckets), and packed ids of the pairs that an index list brings together there."""
+def prefix_entries(sets: DataFrame, percent: int) -> DataFrame:
+    """value, doc_id, h1, n, position: the entries of the prefix index, one row each."""
     parts = _parts(sets)
+    bound = np.uint64(int(ORDERED * 2.0**64))
 
     def emit(batches):
         for whole in batches:
             for b in slices(whole, "shingles"):
                 values = [_array(x, np.uint64) for x in b.column("shingles").to_pylist()]
-                ids = b.column("doc_id").to_numpy()
-                yield _emit(_chunk_id(ids, values), ids, values, ORDERED, parts)
-
-    def frequency(group: pa.Table) -> pa.Table:
-        rows = group.to_pydict()
-        values = [_array(x, np.uint64) for x in rows["shingles"]]
-        found = _frequencies(np.concatenate(values)) if values else np.zeros(0, np.int64)
-        cuts = np.cumsum([0, *map(len, values)])
-        out = [found[a:b].astype(np.uint32) for a, b in zip(cuts, cuts[1:])]
-        return pa.table([group.column("chunk"), group.column("shingles"), group.column("owners"), _binary(out), group.column("ids"), group.column("sizes")], names=["chunk", "shingles", "owners", "counts", "ids", "sizes"])
+                # sets whose ordered part is shorter than their prefix go on in the rest of the hash space
+                rest = []
+                for s in values:
+                    have = int(np.searchsorted(s, bound))
+                    rest.append(s[have : max(have, int(allowed_misses(np.int64(len(s)), percent)) + 1)])
+                more = np.repeat(np.arange(len(rest), dtype=np.uint32), [len(r) for r in rest])
+                yield Batch(b.column("doc_id").to_numpy(), b.column("h1").to_numpy(), values, ORDERED, parts).blobs(np.concatenate(rest), more)
 
     def prefixes(group: pa.Table) -> pa.Table:
-        """Per hash range, the prefix shingles of a batch's sets: shingle, set, set size, position."""
-        rows = group.to_pydict()
-        place = next(i for i, x in enumerate(rows["sizes"]) if x)
-        ids, sizes = _array(rows["ids"][place], np.int64), _array(rows["sizes"][place], np.int64)
-        values = np.concatenate([_array(x, np.uint64) for x in rows["shingles"]])
-        owners = np.concatenate([_array(x, np.uint32) for x in rows["owners"]]).astype(np.int64)
-        counts = np.concatenate([_array(x, np.uint32) for x in rows["counts"]])
-        order = np.lexsort((values, counts, owners))
-        values, owners, counts = values[order], owners[order], counts[order]
-        start = np.searchsorted(owners, np.arange(len(ids)))
+        values, found, home, _ = _of_batch(group)
+        ids, marks, sizes, owners, rest, whose = _unpack(home, np.int64, np.int64, np.int64, np.uint32, np.uint64, np.uint32)
+        order = np.lexsort((values, found, owners))
+        values, owners, found = values[order], owners[order].astype(np.int64), found[order]
+        start = np.searchsorted(owners, np.arange(len(ids) + 1))
         position = np.arange(len(owners)) - start[owners]
-        # the smallest shared hash is the set's key; sets without one take their size
-        key = sizes.copy()
-        shared = np.flatnonzero(counts > 1)
-        by_hash = shared[np.lexsort((values[shared], owners[shared]))]
-        own, at = np.unique(owners[by_hash], return_index=True)
-        key[own] = values[by_hash[at]].view(np.int64)
         # single ones are in no other set, so they index nothing, but keep their position
-        used = (position <= allowed_misses(sizes[owners], percent)) & (counts > 1)
-        values, owners, position = values[used], owners[used], position[used]
-        part = _ranges(values, parts)
-        by = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[by], np.arange(parts + 1))
-        full = [i for i in range(parts) if cuts[i] < cuts[i + 1]]
-        pick = [by[cuts[i] : cuts[i + 1]] for i in full]
-        # sets whose ordered part is shorter than their prefix go on in the rest of the hash space
-        have = np.bincount(_array(b"".join(rows["owners"]), np.uint32), minlength=len(ids))
-        none = np.zeros(0, np.int8)
-        short = have < np.minimum(allowed_misses(sizes, percent) + 1, sizes)
-        return pa.table(
-            [pa.array(full + [-1, -2], pa.int64()), _binary([values[p] for p in pick] + [none, none]), _binary([ids[owners[p]] for p in pick] + [ids[short], ids]),
-             _binary([sizes[owners[p]] for p in pick] + [have[short], none]), _binary([position[p] for p in pick] + [none, none]), _binary([key[owners[p]] for p in pick] + [key[short], key])],
-            names=["part", "shingles", "sets", "sizes", "positions", "keys"],
-        )
-
-    def lists(group: pa.Table) -> pa.Table:
-        rows = group.to_pydict()
-        value = _array(b"".join(rows["shingles"]), np.uint64)
-        ids, sizes, position, keys = (_array(b"".join(rows[c]), np.int64) for c in ("sets", "sizes", "positions", "keys"))
-        first, second = _pairs_of_lists(value, ids, sizes, position, percent)
-        names, at = np.unique(ids, return_index=True)
-        own = buckets(keys[at], names)
-        return _meet(first, second, own[np.searchsorted(names, first)], own[np.searchsorted(names, second)])
-
-    def keys_of(batches):
-        for b in batches:
-            for ids, keys in zip(b.column("sets").to_pylist(), b.column("keys").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(_array(ids, np.int64)), pa.array(_array(keys, np.int64))], names=["doc_id", "key"])
-
-    head = "chunk bigint, shingles binary, owners binary, counts binary, ids binary, sizes binary"
-    known = sets.select("doc_id", "shingles").mapInArrow(emit, BLOB).groupBy("part").applyInArrow(frequency, head)
-    index = materialise(known.groupBy("chunk").applyInArrow(prefixes, POSTINGS), "prefix-index")
-    rest = _short_sets(index.filter("part = -1"), sets, percent, parts)
-    n = sets.count()
-    most = max(BUCKET, -(-n // HOT_KEYS))
-    # each has more than n / HOT_KEYS sets, so there are fewer than HOT_KEYS of them
-    hot = index.filter("part = -2").select("sets", "keys").mapInArrow(keys_of, "doc_id bigint, key bigint").groupBy("key").count().filter(F.col("count") > most).collect()
-    buckets = Buckets(n, most, [(r["key"], r["count"]) for r in hot])
-    return index.filter("part >= 0").unionByName(rest).groupBy("part").applyInArrow(lists, PAIRS)
-
-
-def _short_sets(short: DataFrame, sets: DataFrame, percent: int, parts: int) -> DataFrame:
-    """Prefix entries, in the part of the hash space without frequencies, of sets whose prefix reaches there."""
-
-    def ids(batches):
-        for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("sets", "sizes", "keys"))):
-                yield pa.RecordBatch.from_arrays([pa.array(_array(x, np.int64)) for x in row], names=["doc_id", "have", "key"])
-
-    def emit(batches):
-        for whole in batches:
-            for b in slices(whole, "shingles"):
-                out: list[tuple] = []
-                for i, have, n, packed, key in zip(*(b.column(c).to_pylist() for c in ("doc_id", "have", "n", "shingles", "key"))):
-                    s = _array(packed, np.uint64)
-                    s = s[s >= np.uint64(int(ORDERED * 2.0**64))][: int(allowed_misses(np.array(n), percent)) + 1 - have]
-                    out.append((s, np.full(len(s), i), np.full(len(s), n), have + np.arange(len(s)), np.full(len(s), key)))
-                values, *rest = (np.concatenate(x) for x in zip(*out))
-                part = _ranges(values, parts)
-                by = np.argsort(part, kind="stable")
-                cuts = np.searchsorted(part[by], np.arange(parts + 1))
-                full = [j for j in range(parts) if cuts[j] < cuts[j + 1]]
-                pick = [by[cuts[j] : cuts[j + 1]] for j in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), *(_binary([x[p] for p in pick]) for x in (values, *(r.astype(np.int64) for r in rest)))], names=["part", "shingles", "sets", "sizes", "positions", "keys"])
-
-    wanted = short.select("sets", "sizes", "keys").mapInArrow(ids, "doc_id bigint, have bigint, key bigint")
-    return sets.select("doc_id", "n", "shingles").join(wanted, "doc_id").select("doc_id", "have", "n", "shingles", "key").mapInArrow(emit, POSTINGS)
-
-
-def _pairs_of_lists(value: np.ndarray, ids: np.ndarray, sizes: np.ndarray, position: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct pairs (smaller id, larger id) that some list brings together and that position and size let through."""
-    order = np.lexsort((ids, sizes, position, value))
-    value, ids, sizes, position = value[order], ids[order], sizes[order], position[order]
-    names, who = np.unique(ids, return_inverse=True)
-    starts = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
-    lengths = np.diff(np.append(starts, len(value)))
-    long = np.repeat(lengths > SHORT_LIST, lengths)
-    found: list[np.ndarray] = []
-
-    def keep(i: np.ndarray, j: np.ndarray) -> None:
-        n, m = sizes[i], sizes[j]
-        near = np.minimum(n - position[i], m - position[j]) >= least_overlap(n, m, percent)
-        a, b = who[i[near]], who[j[near]]
-        a, b = np.minimum(a, b)[a != b], np.maximum(a, b)[a != b]
-        found.append(np.unique(a.astype(np.int64) * len(names) + b))
-        if len(found) > 64:
-            found[:] = [np.unique(np.concatenate(found))]
-
-    for d in range(1, SHORT_LIST):
-        i = np.flatnonzero((value[d:] == value[:-d]) & ~long[d:])
-        keep(i, i + d)
-    for a, length in zip(starts[lengths > SHORT_LIST], lengths[lengths > SHORT_LIST]):
-        _long_list(a, a + length, sizes, position, percent, keep)
-    codes = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return names[codes // max(1, len(names))], names[codes % max(1, len(names))]
-
-
-def _long_list(a: int, b: int, sizes: np.ndarray, position: np.ndarray, percent: int, keep) -> None:
-    """Blocks of equal position meet each other; in each, sizes ascend, so an entry's partners are one stretch."""
-    cuts = np.concatenate(([a], a + 1 + np.flatnonzero(position[a + 1 : b] != position[a : b - 1]), [b]))
-    blocks = list(zip(cuts, cuts[1:]))
-    for x, (s, e) in enumerate(blocks):
-        n = sizes[s:e]
-        for t, u in blocks[x:]:
-            # the largest overlap that the two positions leave against the least that the sizes ask for: skip the block
-            if min(n[-1] - position[s], sizes[u - 1] - position[t]) < least_overlap(n[0], sizes[t], percent):
-                continue
-            lo = t + np.searchsorted(sizes[t:u], -(-n * percent // 100))
-            hi = t + np.searchsorted(sizes[t:u], n * 100 // percent, side="right")
-            if s == t:
-                lo = np.maximum(lo, np.arange(s + 1, e + 1))
-            count = np.maximum(hi - lo, 0)
-            for c in range(0, len(n), 512):  # at most 512 entries at a time against one block
-                k = count[c : c + 512]
-                total = int(k.sum())
-                if total:
-                    i = np.repeat(np.arange(s + c, s + c + len(k)), k)
-                    keep(i, np.repeat(lo[c : c + 512] - (np.cumsum(k) - k), k) + np.arange(total))
-
-
-def _meet(first: np.ndarray, second: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Table:
-    """The pairs by the pair of their buckets."""
-    meeting = np.minimum(a, b) << 31 | np.maximum(a, b)
-    order = np.argsort(meeting, kind="stable")
-    meeting, first, second = meeting[order], first[order], second[order]
-    keys, start = np.unique(meeting, return_index=True)
-    cuts = [*start, len(meeting)]
-    return pa.table([pa.array(keys, pa.int64()), _binary([first[i:j] for i, j in zip(cuts, cuts[1:])]), _binary([second[i:j] for i, j in zip(cuts, cuts[1:])])], names=["meeting", "first", "second"])
-
-
-class Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def top(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = i = self.up[self.up[i]]
-        return i
-
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.top(i), self.top(j)
-        self.up[max(i, j)] = min(i, j)
-        return i != j
-
-
-def linked(ids: np.ndarray, sets: list[np.ndarray], first: np.ndarray, second: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among candidate pairs (given as places in ``ids``)."""
-    out: list[tuple[int, int]] = []
-    forest = Forest(len(ids))
-    values, dense = np.unique(np.concatenate(sets), return_inverse=True)
-    cuts = np.cumsum([0, *map(len, sets)])
-    rows = [dense[a:b] for a, b in zip(cuts, cuts[1:])]
-    # index lists of this meeting: shingle -> sets
-    owner = np.repeat(np.arange(len(sets)), np.diff(cuts))
-    by = np.argsort(dense, kind="stable")
-    holders, begin = owner[by], np.searchsorted(dense[by], np.arange(len(values) + 1))
-    order = np.lexsort((second, first))
-    first, second = first[order], second[order]
-    heads, at = np.unique(first, return_index=True)
-    at = np.append(at, len(first))
-    # heads with like sets follow each other, so that one's answer serves the next: by least shingles
-    turn = sorted(range(len(heads)), key=lambda h: rows[heads[h]][:3].tolist())
-    sizes = np.diff(cuts)
-    held = np.diff(begin)
-    overlap, last = np.zeros(len(sets), np.int64), None
-
-    def add(shingles: np.ndarray, sign: int) -> None:
-        if len(shingles):
-            total = held[shingles]
-            places = np.repeat(begin[shingles] - np.concatenate(([0], np.cumsum(total)[:-1])), total) + np.arange(total.sum())
-            np.add.at(overlap, holders[places], sign)
-
-    for h in turn:
-        i, partners = heads[h], second[at[h] : at[h + 1]]
-        tops = np.array([forest.top(j) for j in partners])
-        partners = partners[tops != forest.top(i)]  # the others are in one group already
-        if not len(partners):
-            continue
-        if len(partners) < 4:
-            shared = np.array([len(np.intersect1d(rows[i], rows[j], assume_unique=True)) for j in partners])
-        else:
-            if last is not None:
-                gone, new = np.setdiff1d(last, rows[i], assume_unique=True), np.setdiff1d(rows[i], last, assume_unique=True)
-            if last is not None and len(gone) + len(new) < len(rows[i]):
-                add(gone, -1)
-                add(new, 1)
-            else:
-                overlap[:] = 0
-                add(rows[i], 1)
-            last = rows[i]
-            shared = overlap[partners]
-        for j in partners[100 * shared >= percent * (sizes[i] + sizes[partners] - shared)]:
-            if forest.join(i, j):
-                out.append((int(ids[i]), int(ids[j])))
-    return out
+        used = (position <= allowed_misses(sizes[owners], percent)) & (found > 1)
+        after = np.arange(len(whose)) - np.searchsorted(whose, whose) + np.diff(start)[whose] if len(whose) else np.zeros(0, np.int64)
+        values, owners, position = np.concatenate([values[used], rest]), np.concatenate([owners[used], whose.astype(np.int64)]), np.concatenate([position[used], after])
+        return pa.table([values.view(np.int64), ids[owners], marks[owners], sizes[owners], position], names=["value", "doc_id", "h1", "n", "position"])
+
+    blobs = sets.select("doc_id", "h1", "shingles").mapInArrow(emit, BLOB)
+    counted = blobs.groupBy("part").applyInArrow(_frequencies, COUNTS)
+    return counted.groupBy("chunk").applyInArrow(prefixes, "value bigint, doc_id bigint, h1 bigint, n bigint, position bigint")
+
+
+def _enough(n: Column, position: Column, m: Column, other: Column, least_n: Column, least_m: Column, percent: int) -> Column:
+    """Whether what the positions leave of two sizes can reach the overlap that the least sizes ask for."""
+    asked = F.ceil((least_n + least_m) * percent / (100 + percent) - 1e-6)
+    return (F.least(n - position, m - other) >= asked) & (100 * n >= percent * least_m) & (100 * m >= percent * least_n)
+
+
+def meetings(index: DataFrame, percent: int) -> DataFrame:
+    """low, high (two buckets), doc_id, h1, component, side: who has to meet there, as blocks of index lists say.
+
+    ``index``: value, doc_id, h1, n, position, component, bucket.
+    """
+    block = ["value", "bucket", "size_class", "depth"]
+    entries = index.withColumns({
+        "size_class": F.floor(F.log("n") / (1.01 * math.log(100 / percent) + 1e-6)).cast("int"),  # partners differ by one at most
+        "depth": F.floor(DEPTHS * F.col("position") / F.col("n")).cast("int"),
+    })
+    summary = [F.min("n").alias("min_n"), F.max("n").alias("max_n"), F.min("position").alias("min_position"), F.min("component").alias("first"), F.max("component").alias("last")]
+    # lists of one group have nothing left to say
+    alive = index.groupBy("value").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("value")
+    entries = entries.join(alive, "value", "left_semi")
+    blocks = materialise(entries.groupBy(*block).agg(*summary), "list-blocks")
+    a = blocks.select("value", *[F.col(c).alias(f"a_{c}") for c in blocks.columns[1:]])
+    b = blocks.select("value", *[F.col(c).alias(f"b_{c}") for c in blocks.columns[1:]])
+    one_group = (F.col("a_first") == F.col("a_last")) & (F.col("b_first") == F.col("b_last")) & (F.col("a_first") == F.col("b_first"))
+    fits = _enough(*(F.col(c) for c in ("a_max_n", "a_min_position", "b_max_n", "b_min_position", "a_min_n", "b_min_n")), percent)
+    named = a.join(b, "value").filter((F.abs(F.col("a_size_class") - F.col("b_size_class")) <= 1) & ~one_group & fits)
+    named = named.select("value", *[F.col(f"a_{c}").alias(c) for c in block[1:]], "b_bucket", "b_min_n", "b_max_n", "b_min_position", "b_first", "b_last")
+    one_group = (F.col("b_first") == F.col("b_last")) & (F.col("b_first") == F.col("component"))
+    fits = _enough(*(F.col(c) for c in ("n", "position", "b_max_n", "b_min_position", "n", "b_min_n")), percent)
+    who = entries.join(named, block).filter(~one_group & fits)
+    side = F.when(F.col("bucket") == F.col("b_bucket"), 2).when(F.col("bucket") < F.col("b_bucket"), 0).otherwise(1)
+    return who.select(F.least("bucket", "b_bucket").alias("low"), F.greatest("bucket", "b_bucket").alias("high"), "doc_id", "h1", "component", side.alias("side")).distinct()
 
 
 def links(sets: DataFrame, percent: int) -> DataFrame:
-    """a, b: links between sets (doc_id, n, shingles) that connect just what all links connect."""
-
-    def merge(group: pa.Table) -> pa.Table:
-        """A meeting's distinct pairs, as places in its ids."""
-        rows = group.to_pydict()
-        first, second = (_array(b"".join(rows[c]), np.int64) for c in ("first", "second"))
-        ids, at = np.unique(np.concatenate((first, second)), return_inverse=True)
-        codes = np.unique(at[: len(first)] * len(ids) + at[len(first) :])
-        return pa.table([group.column("meeting").slice(0, 1), _binary([ids]), _binary([codes])], names=["meeting", "ids", "codes"])
-
-    pairs = candidate_pairs(sets, percent).groupBy("meeting").applyInArrow(merge, "meeting bigint, ids binary, codes binary")
-    pairs = materialise(pairs, "candidate-pairs")
-
-    def members_of(batches):
-        for b in batches:
-            for m, x in zip(b.column("meeting").to_pylist(), b.column("ids").to_pylist()):
-                ids = _array(x, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), m)), pa.array(ids)], names=["meeting", "doc_id"])
-
-    wanted = pairs.select("meeting", "ids").mapInArrow(members_of, "meeting bigint, doc_id bigint")
+    """a, b: links between sets (doc_id, h1, n, key1, key2, shingles) that connect just what all links connect."""
+    total = int(sets.agg(F.sum("n")).first()[0] or 1)
+    seeds = components(seed_links(sets, percent, total))
+    near = sets.select("doc_id", "h1", "n", "key1").join(seeds, sets["doc_id"] == seeds["node"], "left")
+    grouped = near.select("doc_id", "h1", "n", F.coalesce("component", "doc_id").alias("component"), F.coalesce("component", "key1").alias("key"))
+    dealt = buckets(grouped, "key", 3, total).select("doc_id", "h1", "component", "bucket")
+    index = materialise(prefix_entries(sets, percent).join(dealt, ["doc_id", "h1"]), "prefix-index")
+    who = materialise(meetings(index, percent), "meetings")
     # both sides are shuffled at every size: neither has a bound
-    members = wanted.join(sets.select("doc_id", "shingles").hint("merge"), "doc_id").select("meeting", "doc_id", "shingles")
-
-    def answer(group: pa.Table, members: pa.Table) -> pa.Table:
-        a, b = [], []
-        if group.num_rows and members.num_rows:
-            rows = dict(zip(members.column("doc_id").to_pylist(), members.column("shingles").to_pylist()))
-            ids = _array(group.column("ids")[0].as_py(), np.int64)
-            codes = _array(group.column("codes")[0].as_py(), np.int64)
-            found = linked(ids, [_array(rows[i], np.uint64) for i in ids.tolist()], codes // len(ids), codes % len(ids), percent)
-            a, b = [x for x, _ in found], [y for _, y in found]
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return pairs.groupBy("meeting").cogroup(members.groupBy("meeting")).applyInArrow(answer, "a bigint, b bigint")
+    rows = who.join(sets.select("doc_id", "h1", "shingles").hint("merge"), ["doc_id", "h1"]).select("low", "high", "doc_id", "component", "side", "shingles")
+    found = rows.groupBy("low", "high").applyInArrow(_answer(percent), "a bigint, b bigint")
+    return found.unionAll(seeds.select(F.col("node").alias("a"), F.col("component").alias("b")))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -518,8 +442,10 @@ def components(edges: DataFrame) -> DataFrame:
         # small star: each node links itself and its smaller neighbours to the smallest
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         star = F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e")
-        edges = materialise(large.join(small, "u").select(star).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct(), "small-star")
-        after = digest(edges)
+        new = materialise(large.join(small, "u").select(star).select("e.u", F.col("e.m").alias("v")).filter("u <> v").distinct(), "small-star")
+        after = digest(new)
+        drop(edges, least, large)
+        edges = new
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(edges.select("v", "v").distinct().toDF("node", "component"))
         before = after
@@ -529,13 +455,12 @@ def jaccard_components(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFr
     """doc_id, n_shingles, component_id of each row with an id."""
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").filter("doc_id is not null")
     state = materialise(sizes_and_candidates(src, k, percent), "set-sizes")
-    own = state.filter("alive").groupBy("doc_id").agg(F.min(F.struct("h1", "h2", "n_shingles")).alias("s")).select("doc_id", "s.*")
+    own = state.filter("alive").select("doc_id", "h1", "h2", "n_shingles").distinct()
     classes = materialise(own.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("first")), "classes")
     # one row of each distinct set has its text read again
     chosen = classes.select(F.col("first").alias("doc_id"), F.col("h1").alias("wanted1"), F.col("h2").alias("wanted2"))
     again = shingle_sets(src.join(chosen.hint("merge"), "doc_id"), k).filter("h1 = wanted1 and h2 = wanted2")
-    # and one row of each id: equal batches of repeated rows would share a chunk, whose shingles are put together
-    sets = materialise(again.select("doc_id", "n", "shingles").dropDuplicates(["doc_id"]), "distinct-sets")
+    sets = materialise(again.drop("wanted1", "wanted2", "h2").dropDuplicates(["doc_id", "h1"]), "distinct-sets")
     copies = own.join(classes, ["h1", "h2", "n_shingles"]).filter("doc_id <> first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     groups = components(links(sets, percent).unionAll(copies))
     return state.join(groups, state["doc_id"] == groups["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))

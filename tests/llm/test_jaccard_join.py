@@ -77,20 +77,72 @@ def test_long_chain_is_one_component(spark):
     assert got == {**{i: 0 for i in range(101)}, 500: 400, 450: 400, 400: 400}
 
 
-def test_lists_lose_no_pair():
+def test_blocks_lose_no_pair(spark):
+    """Whoever shares a list, is in another group, and may reach the threshold by position and size, meets."""
     rng = np.random.default_rng(4)
-    n = 3000
-    value = rng.integers(0, 40, n).astype(np.uint64)
-    ids, sizes, position = rng.integers(0, 900, n), rng.integers(10, 30, n), rng.integers(0, 4, n)
-    a, b = j._pairs_of_lists(value, ids, sizes, position, 85)
-    want = set()
-    for v in range(40):
-        at = np.flatnonzero(value == v)
-        for x, y in combinations(at, 2):
-            n1, n2 = sizes[x], sizes[y]
-            if ids[x] != ids[y] and min(n1 - position[x], n2 - position[y]) >= j.least_overlap(n1, n2, 85):
-                want.add((min(ids[x], ids[y]), max(ids[x], ids[y])))
-    assert want <= set(zip(a, b))
+    n, percent = 1500, 85
+    size = rng.integers(10, 30, 400)
+    of, bucket = rng.integers(0, 120, 400), rng.integers(0, 9, 400)
+    rows = {(int(v), int(d)): int(p) for v, d, p in zip(rng.integers(0, 40, n), rng.integers(0, 400, n), rng.integers(0, 5, n))}
+    table = [(v, d, 7, int(size[d]), p, int(of[d]), int(bucket[d])) for (v, d), p in rows.items()]
+    index = spark.createDataFrame(table, "value bigint, doc_id bigint, h1 bigint, n bigint, position bigint, component bigint, bucket bigint")
+    met = {}
+    for r in j.meetings(index, percent).collect():
+        met.setdefault((r["low"], r["high"]), set()).add(r["doc_id"])
+        assert r["side"] == (2 if r["low"] == r["high"] else int(r["high"] == bucket[r["doc_id"]]))
+    checked = 0
+    for (v, d), p in rows.items():
+        for (w, e), q in rows.items():
+            if v == w and of[d] != of[e] and min(size[d] - p, size[e] - q) >= j.least_overlap(size[d], size[e], percent):
+                assert {d, e} <= met[min(bucket[d], bucket[e]), max(bucket[d], bucket[e])]
+                checked += 1
+    assert checked > 100
+
+
+def test_derived_overlaps_are_the_true_ones():
+    rng = np.random.default_rng(5)
+    core = np.sort(rng.choice(500, 60, replace=False))
+    rows = [np.unique(np.concatenate([rng.choice(core, 55, replace=False), rng.integers(0, 500, 4)])) for _ in range(80)] + [np.arange(3), np.arange(490, 500)]
+    overlaps = j.Overlaps(rows[:50], 500)
+    for r in rows:
+        assert overlaps.of(r).tolist() == [len(np.intersect1d(r, t)) for t in rows[:50]]
+
+
+def test_five_thousand_near_copies_and_one_shingle_in_every_document(spark, monkeypatch):
+    """One group over many buckets, each of its sets with another text, beside documents that share only a passage with it."""
+    monkeypatch.setattr(j, "WEIGHT", 1 << 14)
+    rnd = random.Random(3)
+    passage = "the very same words everywhere".split()
+    base = [f"w{i}" for i in range(60)]
+    rows = [(0, " ".join(base + passage))]
+    for i in range(1, 5000):
+        w = list(base)
+        w[rnd.randrange(60)] = f"z{i}"  # 4 of 62 shingles at most: always linked with the base, seldom with each other
+        rows.append((i, " ".join(w + passage)))
+    rows += [(10_000 + i, " ".join([f"q{i}x{n}" for n in range(rnd.randrange(5, 40))] + passage)) for i in range(500)]
+    rows += [(20_000 + i, " ".join(passage)) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(6)
+    got = {r["doc_id"]: r["component_id"] for r in j.jaccard_components(df).collect()}
+    assert got == {d: 0 if d < 5000 else d if d < 20_000 else 20_000 for d, _ in rows}
+
+
+def test_texts_that_differ_under_one_id_unite_their_links(spark):
+    a, b = "a b c d e f g h i j k l m n o p q r s t u v w x y z", "1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16 17 18 19 20 21 22 23 24 25 26"
+    rows = [(1, a), (2, a), (2, b), (3, b), (4, b + " 27"), (9, "else")]
+    got = sorted(tuple(r) for r in j.jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, 23, 1), (2, 23, 1), (2, 23, 1), (3, 23, 1), (4, 24, 1), (9, 1, 9)]
+
+
+def test_very_long_texts_and_clashing_columns(spark):
+    rnd = random.Random(8)
+    words = [f"w{rnd.randrange(50_000)}" for _ in range(120_000)]
+    near = list(words)
+    for _ in range(1500):
+        near[rnd.randrange(len(near))] = "changed"
+    rows = [(3, " ".join(words)), (2, " ".join(near)), (1, "x" * 1_000_000), (5, "x" * 1_000_000)]
+    df = spark.createDataFrame([(d, t, 1, 2, 3, 4) for d, t in rows], "doc_id bigint, text string, h1 int, component int, n_shingles int, component_id int")
+    got = {r["doc_id"]: r["component_id"] for r in j.jaccard_components(df).collect()}
+    assert got == {3: 2, 2: 2, 1: 1, 5: 1}
 
 
 def test_repeated_rows_in_equal_batches(spark, monkeypatch):
