@@ -1,13 +1,16 @@
 """SentencePiece encoding and decoding that keeps byte offsets.
 
 ``CharMap`` reads a model's compiled character map (a double array of byte transitions followed by the
-replacement strings) and normalises by the longest prefix at each place, noting for every normalised
-byte the original byte it comes from; through that alignment every piece is projected to a span of
-original bytes. Pieces are the library's own: a text is cut where no piece of the vocabulary can
+replacement strings) and rewrites a text by the longest prefix at each place, noting for every normalised
+byte the original byte it comes from. With the model's rules for white space (extra spaces, the mark before the text, spaces as
+marks) this gives the normalised text, and that is what is encoded; by the alignment every piece is
+projected to a span of original bytes. Pieces are the library's own: the normalised text is cut where no piece of the vocabulary can
 reach across (before a white space mark, and at line ends), and each distinct unit is encoded once
-per task by the library.
+per task by the library. A vocabulary with such pieces has its normalised texts encoded whole.
 
-Nulls and empty texts have no pieces (with begin and end ids: these two). Equal texts give equal rows.
+Nulls and empty texts have no pieces (with begin and end ids: these two). Very long texts are encoded whole; a task holds one with its
+alignment (8 bytes for each byte). Equal texts give equal rows, repeated rows each give one. Extra columns are not read, whatever their
+names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ from pyspark.sql import functions as F
 from ._common import map_texts
 
 SPACE = "▁"
-#: Distinct units that one task remembers; beyond it the memory is emptied, so it stays bounded.
-UNITS = 1_000_000
+#: Distinct units that one task remembers, of at most LONG characters; beyond it the memory is emptied, so it stays bounded.
+UNITS, LONG = 1_000_000, 256
+UNIT = re.compile(f"\n+[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*")
 
 
 class CharMap:
@@ -56,12 +60,12 @@ class CharMap:
     def _offset(unit: int) -> int:
         return unit >> 10 << ((unit & 1 << 9) >> 6)
 
-    def normalise(self, text: str) -> tuple[bytes, list[int]]:
+    def normalise(self, text: str) -> tuple[bytes, np.ndarray]:
         """Normalised bytes, and for each of them (and the end) the original byte it starts from."""
         data = text.encode("utf-8", "surrogatepass")
         if not self.trie:
-            return data, list(range(len(data) + 1))
-        out, source, at = bytearray(), [], 0
+            return data, np.arange(len(data) + 1)
+        out, source, at = bytearray(), array("q"), 0
         while at < len(data):
             hit = self.longest(data, at)
             if hit:
@@ -72,9 +76,10 @@ class CharMap:
                 used = 1 if lead < 0xC0 else 2 if lead < 0xE0 else 3 if lead < 0xF0 else 4
                 new = data[at : at + used]
             out += new
-            source += [at] * len(new)
+            source.extend([at] * len(new))
             at += used
-        return bytes(out), [*source, len(data)]
+        source.append(len(data))
+        return bytes(out), np.frombuffer(source, np.int64)
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -120,21 +125,48 @@ class Encoder:
         import sentencepiece
 
         with open(model_file, "rb") as f:
-            spec = normaliser_spec(f.read())
+            self.spec = normaliser_spec(f.read())
         self.sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
-        self.map = CharMap(spec["charsmap"])
-        self.drop_extra = spec["drop_extra"]
+        self.map = CharMap(self.spec["charsmap"])
         vocabulary = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
-        plain = not self.map.trie and spec["dummy_prefix"] and spec["escape"] and not self.drop_extra
         no_inner = not any(re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in vocabulary)
         defined = any(self.sp.is_control(i) is False and self.sp.is_unused(i) for i in range(len(vocabulary)))
         #: Whether units can be encoded one by one.
-        self.by_unit = plain and no_inner and not defined
-        self.widths = [1 if self.sp.is_byte(i) else len(p.encode()) for i, p in enumerate(vocabulary)]
-        self.width_array = np.array(self.widths)
+        self.by_unit = self.spec["dummy_prefix"] and self.spec["escape"] and not self.spec["drop_extra"] and no_inner and not defined
+        self.widths = np.array([1 if self.sp.is_byte(i) else len(p.encode()) for i, p in enumerate(vocabulary)])
+        self.unknown = self.sp.unk_id()
         self.mark = self.sp.piece_to_id(SPACE)
         self.known: dict[str, bytes] = {}
 
+    def normalise(self, text: str) -> tuple[str, np.ndarray]:
+        """The text that is cut into pieces, and for each of its bytes (and the end) the original byte it starts from."""
+        data, source = self.map.normalise(text)
+        raw = np.frombuffer(data, np.uint8)
+        end = source[-1:]
+        if self.spec["drop_extra"]:  # runs of spaces count as one, those at the ends go
+            space = raw == 0x20
+            keep = ~space
+            keep[1:] |= space[1:] & ~space[:-1]
+            keep[: len(raw) - len(data.lstrip(b" "))] = False
+            keep[len(data.rstrip(b" ")) :] = False
+            raw, source = raw[keep], np.append(source[:-1][keep], end)
+            data = raw.tobytes()
+        if self.spec["escape"]:
+            source = np.append(np.repeat(source[:-1], np.where(raw == 0x20, 3, 1)), end)
+            data = data.replace(b" ", SPACE.encode())
+            if self.spec["drop_extra"]:  # written marks at the end count as spaces
+                data = re.sub(b"(?:%b)+\\Z" % SPACE.encode(), b"", data)
+                source = np.append(source[: len(data)], end)
+        if self.spec["dummy_prefix"] and data:
+            data, source = SPACE.encode() + data, np.concatenate([np.zeros(3, np.int64), source])
+        return data.decode("utf-8", "surrogatepass"), source
+
+    def _of_library(self, normal: str) -> list[int]:
+        """Pieces of a normalised text: the library puts the first mark there itself."""
+        if normal[:1] == SPACE and self.spec["dummy_prefix"]:
+            return self.sp.encode(normal[1:]) if len(normal) > 1 else [self.mark]
+        return self.sp.encode(normal)
+
     def _unit(self, unit: str) -> bytes:
         if unit[0] == "\n":  # encoded after a lone white space mark, which goes
             ids = self.sp.encode(unit)
@@ -142,80 +174,43 @@ class Encoder:
                 raise ValueError("a line end joined the white space mark")
             ids = ids[1:]
         else:
-            ids = self.sp.encode(unit[1:]) if unit != SPACE else [self.mark]
+            ids = self._of_library(unit)
         if len(self.known) >= UNITS:
             self.known.clear()
-        packed = self.known[unit] = array("I", ids).tobytes()
+        packed = array("I", ids).tobytes()
+        if len(unit) <= LONG:
+            self.known[unit] = packed
         return packed
 
-    def ids(self, text: str) -> array:
-        """Ids without begin and end."""
-        out = array("I")
-        if not text:
-            return out
-        if not self.by_unit:
-            out.extend(self.sp.encode(text))
-            return out
-        known, make = self.known, self._unit
-        units = re.findall(f"\n+[^{SPACE}\n]*|{SPACE}+[^{SPACE}\n]*", SPACE + text.replace(" ", SPACE))
-        out.frombytes(b"".join([known.get(u) or make(u) for u in units]))
-        return out
-
-    def spans(self, text: str, ids) -> list[tuple[int, int]]:
-        """Original byte span of each piece of ``ids``; the white space mark put before the text is empty."""
-        normal, source = self.map.normalise(text)
-        if self.drop_extra:
-            return self._spans_without_extra(normal, source, ids)
-        # each space byte became a mark of three bytes; a mark of three stands before the text
-        grown, at = [0, 0, 0], 0
-        if b" " not in normal:
-            grown += source
+    def _units(self, normal: str) -> list[str]:
+        return UNIT.findall(normal)
+
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Ids without begin and end, and the original byte span of each: two columns, begin and end."""
+        normal, source = self.normalise(text)
+        if not normal:
+            return np.zeros(0, np.uint32), np.zeros((0, 2), np.int64)
+        if self.by_unit:
+            known, make = self.known, self._unit
+            ids = np.frombuffer(b"".join([known.get(u) or make(u) for u in self._units(normal)]), np.uint32)
         else:
-            for i, byte in enumerate(normal):
-                grown += [source[i]] * (3 if byte == 0x20 else 1)
-            grown.append(source[-1])
-        out = []
-        for i in ids:
-            end = at + self.widths[i]
-            if i == self.sp.unk_id():  # its width is that of the character it stands for
-                lead = at
-                while end - 1 < lead or (end < len(grown) and grown[end] == grown[lead]):
-                    end += 1
-            out.append((grown[at], grown[min(end, len(grown) - 1)]))
-            at = end
-        return out
-
-    def _spans_without_extra(self, normal: bytes, source: list[int], ids) -> list[tuple[int, int]]:
-        """As spans(), where runs of spaces count as one and those at the ends go."""
-        grown, at, gap = [0, 0, 0], 0, True
-        for i, byte in enumerate(normal):
-            if byte == 0x20:
-                if not gap:
-                    grown += [source[i]] * 3
-                gap = True
-            else:
-                grown.append(source[i])
-                gap = False
-        grown.append(source[-1])
-        out = []
-        for i in ids:
-            end = at + self.widths[i]
-            out.append((grown[min(at, len(grown) - 1)], grown[min(end, len(grown) - 1)]))
-            at = end
-        return out
-
-    def ends(self, text: str, ids: array) -> tuple[int, int]:
-        """(pieces that span no original byte, bytes covered), from the widths alone where the map is empty."""
-        if self.map.trie or self.drop_extra or self.sp.unk_id() in ids:
-            spans = self.spans(text, ids)
-            return sum(a == b for a, b in spans), sum(b - a for a, b in spans)
-        raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-        width = np.where(raw == 0x20, 3, 1)
-        edge = np.concatenate(([0, 3], 3 + np.cumsum(width)))  # normalised place of each original byte
-        place = np.concatenate(([0], np.cumsum(self.width_array[np.frombuffer(ids, np.uint32)])))
-        at = np.maximum(np.searchsorted(edge, place, side="right") - 2, 0)
-        span = np.diff(at)
-        return int((span == 0).sum()), int(span.sum())
+            ids = np.array(self._of_library(normal), np.uint32)
+        widths = self.widths[ids]
+        if (ids == self.unknown).any():  # such a piece is as wide as what it stands for
+            widths = np.array([len(p.encode()) if i == self.unknown else w for i, p, w in zip(ids, self._surfaces(normal), widths)])
+        place = np.minimum(np.concatenate(([0], np.cumsum(widths))), len(source) - 1)
+        at = source[place]
+        return ids, np.stack([at[:-1], at[1:]], axis=1)
+
+    def _surfaces(self, normal: str) -> list[str]:
+        """The pieces as the library writes them: an unknown one as its characters."""
+        if not self.by_unit:
+            return self._pieces(normal)
+        return [p for u in self._units(normal) for p in (self.sp.encode(u, out_type=str)[1:] if u[0] == "\n" else self._pieces(u))]
+
+    def _pieces(self, normal: str) -> list[str]:
+        marked = normal[:1] == SPACE and self.spec["dummy_prefix"]
+        return [SPACE] if marked and len(normal) == 1 else self.sp.encode(normal[1:] if marked else normal, out_type=str)
 
 
 def encode(df: DataFrame, model_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), spans: bool = True) -> DataFrame:
@@ -225,10 +220,10 @@ def encode(df: DataFrame, model_file: str, text: str = "text", keep: tuple[str,
         enc = Encoder(model_file)
 
         def run(texts):
-            ids = [enc.ids(t) for t in texts]
-            out = [[list(x) for x in ids]]
+            found = [enc.encode(t) for t in texts]
+            out = [[ids.astype(np.int32) for ids, _ in found]]
             if spans:
-                out.append([[{"begin": a, "end": b} for a, b in enc.spans(t, x)] for t, x in zip(texts, ids)])
+                out.append([[{"begin": a, "end": b} for a, b in at.tolist()] for _, at in found])
             return out
 
         return run
@@ -249,25 +244,32 @@ def decode(df: DataFrame, model_file: str, ids: str = "ids", keep: tuple[str, ..
 
 
 def digests(docs: DataFrame, model_file: str) -> DataFrame:
-    """Per document: count and digest of all ids with begin and end, digest of the decoded text, and what the spans cover."""
+    """Per document: count and digest of all ids with begin and end, digest of the decoded text, and of the pieces' spans.
+
+    spans_sha256 is over begin and end of each piece in order, as little-endian signed 64-bit numbers; n_empty_spans
+    counts pieces that stand for no original byte (the mark before the text), n_covered_bytes what the spans cover.
+    """
 
     def make():
         import hashlib
 
         enc = Encoder(model_file)
-        bos, eos = enc.sp.bos_id(), enc.sp.eos_id()
+        bos, eos = (np.array([i], np.uint32) for i in (enc.sp.bos_id(), enc.sp.eos_id()))
 
         def run(texts):
-            cols: list[list] = [[], [], [], [], []]
+            cols: list[list] = [[], [], [], [], [], []]
             for t in texts:
-                ids = enc.ids(t)
-                whole = array("I", [bos, *ids, eos])
-                empty, covered = enc.ends(t, ids) if t else (0, 0)
-                row = len(whole), hashlib.sha256(whole.tobytes()).hexdigest(), hashlib.sha256(enc.sp.decode(whole.tolist()).encode()).hexdigest(), empty, covered
+                ids, spans = enc.encode(t)
+                whole = np.concatenate([bos, ids, eos])
+                size = spans[:, 1] - spans[:, 0]
+                row = (
+                    len(whole), hashlib.sha256(whole.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(enc.sp.decode(whole.tolist()).encode()).hexdigest(),
+                    hashlib.sha256(spans.astype("<i8").tobytes()).hexdigest(), int((size == 0).sum()), int(size.sum()),
+                )
                 for c, v in zip(cols, row):
                     c.append(v)
             return cols
 
         return run
 
-    return map_texts(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, n_empty_spans bigint, n_covered_bytes bigint", "text", ["doc_id"])
+    return map_texts(docs, make, "n_tokens bigint, ids_sha256 string, decoded_sha256 string, spans_sha256 string, n_empty_spans bigint, n_covered_bytes bigint", "text", ["doc_id"])
