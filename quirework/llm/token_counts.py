@@ -1,17 +1,21 @@
 """Token counts of huge documents by overlap resynchronisation.
 
-A text longer than a chunk is encoded in overlapping chunks with offsets. Two neighbours are spliced
-at a boundary that both have in their overlap and that is proven stable: a space followed by a
-non-space. The splitting pattern of byte-level vocabularies never lets a match run across such a
-place, whatever stands around it, so ids left of it come whole from the left chunk and ids right of
-it from the right one. Where an overlap holds no such boundary it is doubled, up to the whole text.
-
-Inside a chunk, distinct stretches between stable places are encoded once per task by the library.
-Nulls and empty texts have no tokens. Equal texts give equal rows.
+A text is encoded by the library in overlapping chunks, with offsets. Two neighbours are spliced at the last
+boundary that both have in their overlap and that is proven stable: a space before a non-space. The splitting
+pattern of byte-level vocabularies never lets a match run across such a place, whatever stands around
+it, so ids left of it come whole from the left chunk and ids right of it from the right one. Where the two agree on
+no such boundary the overlap is doubled; where that reaches back to the last splice the left chunk itself is encoded
+again, twice as long. A text that fits a chunk is one chunk. Tokenizers for which the proof does not hold
+(another splitter, a normaliser, added tokens with white space) encode every text as one chunk.
+
+Nulls and empty texts have no tokens. Very long texts need memory for themselves and about two chunks, a stretch without
+any stable place for that stretch. Equal texts give equal rows, repeated rows each give one. Extra columns are not read,
+whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import DataFrame
@@ -19,9 +23,7 @@ from pyspark.sql import functions as F
 
 from ._common import map_texts
 
-CHUNK, OVERLAP = 32_768, 256
-#: Distinct stretches that one task remembers; beyond it the memory is emptied, so it stays bounded.
-STRETCHES = 1_000_000
+CHUNK, OVERLAP = 16_384, 256
 #: A stable place: no match of the splitting pattern goes over it.
 STABLE = re.compile(r"(?= \S)")
 
@@ -33,78 +35,65 @@ class Counter:
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.chunk, self.overlap = chunk, overlap
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, stretches: set[str]) -> None:
-        """Start offsets of the tokens of unseen stretches."""
-        if len(self.known) + len(stretches) > STRETCHES:
-            self.known.clear()
-        new = list(stretches)
-        for s, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[s] = tuple(a for a, _ in e.offsets)
-
-    def encode(self, text: str) -> list[tuple[str, tuple[int, ...]]]:
-        """The stretches of a text with the start offsets of their tokens."""
-        parts = STABLE.split(text)
-        known = self.known
-        unseen = {p for p in parts if p not in known}
-        if unseen:
-            self._learn(unseen)
-            if len(unseen) > STRETCHES or any(p not in known for p in parts):
-                self._learn({p for p in parts if p not in known})
-        return [(p, known[p]) for p in parts]
-
-    def _offsets(self, text: str, base: int) -> list[int]:
-        out = []
-        for part, starts in self.encode(text):
-            out += [base + s for s in starts]
-            base += len(part)
-        return out
-
-    def starts(self, text: str) -> list[int]:
-        """Start (in code points) of each token of the text."""
-        if len(text) <= self.chunk:
-            return self._offsets(text, 0)
-        done: list[int] = []  # tokens before ``cut``, where the text is cut for good
-        begin = 0
-        while True:
-            end = min(begin + self.chunk + self.overlap, len(text))
-            left = self._offsets(text[begin:end], begin)
-            if end == len(text):
-                return done + left
-            overlap = self.overlap
-            while True:
-                begin_right = end - overlap
-                if begin_right <= begin:  # no boundary in the whole chunk: encode more at once
-                    end = min(end + self.chunk, len(text))
-                    left, overlap = self._offsets(text[begin:end], begin), self.overlap
-                    if end == len(text):
-                        return done + left
-                    continue
-                right = self._offsets(text[begin_right:end], begin_right)
-                both = set(left) & set(right)
-                cut = next((m.start() + begin_right for m in reversed(list(STABLE.finditer(text[begin_right:end]))) if m.start() and m.start() + begin_right in both), None)
-                if cut is not None:
-                    break
+        self.chunk, self.overlap = chunk, max(2, overlap)
+        with open(tokenizer_file, encoding="utf-8") as f:
+            spec = json.load(f)
+        splitter = spec["pre_tokenizer"] or {}
+        plain = not any(a["lstrip"] or a["rstrip"] or re.search(r"\s", a["content"]) for a in spec["added_tokens"])
+        #: Whether STABLE is proven for this tokenizer.
+        self.proven = plain and spec["normalizer"] is None and splitter.get("type") == "ByteLevel" and splitter["use_regex"] and not splitter["add_prefix_space"]
+
+    def _starts(self, text: str, begin: int, end: int) -> list[int]:
+        return [begin + a for a, _ in self.tokenizer.encode(text[begin:end], add_special_tokens=False).offsets]
+
+    def spliced(self, text: str) -> tuple[list[int], int, int]:
+        """Start (in code points) of each token, and how often chunks were spliced and overlaps widened."""
+        if not self.proven:
+            return self._starts(text, 0, len(text)), 0, 0
+        done: list[int] = []  # tokens before ``cut``, the last splice
+        begin, cut, end, overlap = 0, 0, min(self.chunk, len(text)), self.overlap
+        left, splices, widenings = self._starts(text, begin, end), 0, 0
+        while end < len(text):
+            if end - overlap <= cut:  # no boundary since the last splice
+                end, overlap = min(len(text), end + max(end - begin, self.chunk)), self.overlap
+                left = self._starts(text, begin, end)
+                widenings += 1
+                continue
+            start, after = end - overlap, min(len(text), end + self.chunk)
+            right = self._starts(text, start, after)
+            both = set(left) & set(right)
+            place = max((m.start() for m in STABLE.finditer(text, start + 1, end) if m.start() in both), default=None)
+            if place is None:
                 overlap *= 2
-            done += [s for s in left if s < cut]
-            begin = cut
-
-    def count(self, text: str) -> int:
-        if len(text) <= self.chunk:
-            return sum([len(s) for _, s in self.encode(text)])
-        return len(self.starts(text))
+                widenings += 1
+                continue
+            done += [s for s in left if cut <= s < place]
+            begin, cut, end, overlap, left = start, place, after, self.overlap, right
+            splices += 1
+        return done + [s for s in left if s >= cut], splices, widenings
+
+    def many(self, texts: list[str]) -> list[list[int]]:
+        """Counts, splices and widenings of texts; those of one chunk go to the library together."""
+        whole = [i for i, t in enumerate(texts) if len(t) <= self.chunk]
+        out = [(0, 0, 0)] * len(texts)
+        for i, e in zip(whole, self.tokenizer.encode_batch([texts[i] for i in whole], add_special_tokens=False)):
+            out[i] = len(e), 0, 0
+        for i, t in enumerate(texts):
+            if len(t) > self.chunk:
+                starts, splices, widenings = self.spliced(t)
+                out[i] = len(starts), splices, widenings
+        return [list(c) for c in zip(*out)] if out else [[], [], []]
 
 
 def token_counts(df: DataFrame, tokenizer_file: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), limit: int = 1024, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """``keep`` + n_bytes, n_tokens, over_limit for each row."""
+    """``keep`` + n_bytes, n_tokens, n_splices, n_widenings, over_limit for each row."""
 
     def make():
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = Counter(tokenizer_file, chunk, overlap)
-        return lambda texts: [[len(t.encode("utf-8", "surrogatepass")) for t in texts], [counter.count(t) for t in texts]]
+        return lambda texts: [[len(t.encode("utf-8", "surrogatepass")) for t in texts], *counter.many(texts)]
 
-    return map_texts(df, make, "n_bytes bigint, n_tokens bigint", text, list(keep)).withColumn("over_limit", F.col("n_tokens") > limit)
+    fields = "n_bytes bigint, n_tokens bigint, n_splices bigint, n_widenings bigint"
+    return map_texts(df, make, fields, text, list(keep)).withColumn("over_limit", F.col("n_tokens") > limit)
