@@ -4,8 +4,9 @@ Counts of words and of character n-grams per language come from a bounded sample
 (``docs_per_language``). A known word scores by its per-language log frequency. An unseen word backs
 off: it is covered by its longest known n-grams, from ``max_n`` down to single characters.
 
-Null texts and texts without a letter are ``und`` with score 0. Ties go to the smaller language name.
-Equal texts give equal rows; without any labelled row every text is ``und``.
+Null texts and texts without a letter are ``und`` with score 0. Ties go to the smaller language name. Texts and words are
+read whole, however long. Equal texts give equal rows, repeated rows each give one; without any labelled row every text is ``und``.
+Extra columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,8 +50,12 @@ def sample(labelled: DataFrame, docs_per_language: int) -> DataFrame:
     return thin.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_language).select("lang", "text")
 
 
-def fit(labelled: DataFrame, docs_per_language: int = 1000, words_per_language: int = 20_000, grams_per_language: int = 20_000, max_n: int = 5) -> Model:
-    """A model from columns text and lang. Words and n-grams are counted on Spark; only the most frequent ones of each language come to the driver."""
+def fit(labelled: DataFrame, docs_per_language: int = 1000, words_per_language: int | None = 20_000, grams_per_language: int | None = 20_000, max_n: int = 5) -> Model:
+    """A model from columns text and lang.
+
+    Words and n-grams are counted on Spark; of each language the most frequent ones come to the driver, as many as the
+    two parameters say, or all for None. The model grows with the number of languages, not with that of documents.
+    """
     letters = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
     words = sample(labelled, docs_per_language).select("lang", F.explode(letters).alias("s")).groupBy("lang", "s").agg(F.count("*").alias("n"))
     marked = F.concat(F.lit("<"), F.col("s"), F.lit(">"))
@@ -64,8 +69,9 @@ def fit(labelled: DataFrame, docs_per_language: int = 1000, words_per_language:
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "s")
     kept = {}
     for name, counts, most in (("words", words.filter("n > 1"), words_per_language), ("grams", grams, grams_per_language)):
-        top = counts.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= most)
-        kept[name] = top.select("lang", "s", "n").collect()
+        if most is not None:
+            counts = counts.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= most)
+        kept[name] = counts.select("lang", "s", "n").collect()
     languages = sorted({r["lang"] for r in kept["words"] + kept["grams"]})
     return Model(languages, _log_rates(kept["words"], languages, 0), _log_rates(kept["grams"], languages, max_n), max_n)
 
