@@ -17,6 +17,9 @@ from pyspark.sql import types as T
 #: Bytes of text that one Python call works on; batches are cut to this, so memory is bounded whatever the batch.
 SLICE_BYTES = 4 << 20
 
+#: Tasks that read a labelled sample.
+SAMPLE_PARTS = 16
+
 _own_dirs: dict[str, str] = {}
 
 
@@ -111,16 +114,16 @@ def held_out(doc_id: str, folds: int, fold: int):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int, max_chars: int) -> DataFrame:
-    """label, text of ``rows_per_class`` documents of each class (0 and 1) with at most ``max_chars`` characters, or all if there are fewer.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_class: int) -> DataFrame:
+    """label, text of ``rows_per_class`` documents of each class (0 and 1), or of all if there are fewer; written, and read where it is used.
 
     Taken are the ids with the smallest hashes, so the sample is the same at every run. Only labels of
-    documents that are here and short enough are counted and thinned, so every place is filled; of an
-    id's rows one is taken. Texts of other rows are not moved.
+    documents that are here are counted and thinned, so every place is filled; null texts are empty ones, very long
+    ones count like any other; of an id's rows one is taken. Texts of other rows are not moved.
     """
-    texts = docs.filter(F.length("text") <= max_chars).select("doc_id", "text")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     h = F.xxhash64("doc_id").bitwiseAND(0x7FFFFFFFFFFFFFFF).alias("h")
-    ids = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).alias("label"), h).distinct()
+    ids = labels.filter(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("label"), h).distinct()
     ids = materialise(ids.join(texts.select("doc_id").distinct(), "doc_id", "left_semi"), "labelled-ids")
     sizes = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count("*").alias("n")).collect()}
     parts = []
@@ -136,4 +139,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, rows_per_cla
         chosen = chosen.unionAll(p)
     # 2 * rows_per_class ids at most, so it can be broadcast; of texts that differ, the smallest
     found = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label", "h").agg(F.min("text").alias("text"))
-    return found.orderBy("h", "doc_id", "label").select("label", "text")
+    return materialise(found.repartition(SAMPLE_PARTS, "doc_id").select("label", "text"), "labelled-sample")
+
+
+def labels_of_class(labels: DataFrame, label: str) -> tuple[int, int]:
+    """Labels of class 1, and of both."""
+    ones, n = labels.filter(F.col(label).isin(0, 1)).agg(F.sum(F.col(label).cast("bigint")), F.count("*")).first()
+    return int(ones or 0), int(n)
+
+
+def read_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[str]]]:
+    """Labels and texts of a labelled sample, in pieces of about SLICE_BYTES."""
+    for whole in batches:
+        for b in slices(whole, "text"):
+            yield b.column("label").to_pylist(), b.column("text").to_pylist()

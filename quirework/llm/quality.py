@@ -7,7 +7,12 @@ the sample, scaled to length 1. A document is pooled by mean and by spread of it
 vectors; a two-layer numpy network reads that, and a temperature fitted on rows kept from its
 training makes its probabilities honest.
 
-Texts without tokens (null, empty) are pooled to zeros. Equal texts give equal scores; an empty table
+The sample is read in Spark tasks: they count words, sum neighbours' index vectors (whole numbers, so
+in any order) and pool each text; the driver gets counts of words, their vectors and one row of numbers a text,
+whatever the length of the texts.
+
+Texts without tokens (null, empty) are pooled to zeros. Every token is read whole, however long, and so is every text.
+Equal texts give equal scores; repeated rows each give one. Extra columns are not read, whatever their names. An empty table
 gives no rows; without labels of both classes every score is 0.5 or the only class.
 """
 
@@ -15,16 +20,20 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, labelled_sample, map_texts
+from ._common import held_out, labelled_sample, labels_of_class, map_texts, read_texts
 
-TOKENS = 1_000_000
+#: Tokens that one task remembers, of at most LONG characters; longer ones are worked out each time.
+TOKENS, LONG = 1_000_000, 64
+DIMS = 48
 _RUNS = re.compile(r"(.)\1+")
 _OUTER = re.compile(r"^[\W_]+|[\W_]+$")
 
@@ -38,12 +47,12 @@ class Model:
 
 
 def shape_of(token: str) -> str:
-    kinds = "".join("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token[:64])
-    return "shape " + _RUNS.sub(r"\1\1", kinds)[:8]
+    kinds = "".join(["X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c for c in token])
+    return "shape " + _RUNS.sub(r"\1\1", kinds)
 
 
 def _form(token: str) -> str:
-    return _OUTER.sub("", token[:64]).lower()
+    return _OUTER.sub("", token).lower()
 
 
 def index_vector(word: str, dims: int, ones: int = 6) -> np.ndarray:
@@ -64,9 +73,11 @@ class Reader(dict):
         self.words = words
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= TOKENS:
-            self.clear()
-        self[token] = code = self.words.get(_form(token), 0) << 32 | self.words.get(shape_of(token), 0)
+        code = self.words.get(_form(token), 0) << 32 | self.words.get(shape_of(token), 0)
+        if len(token) <= LONG:
+            if len(self) >= TOKENS:
+                self.clear()
+            self[token] = code
         return code
 
     def rows(self, text: str) -> tuple[np.ndarray, np.ndarray, int]:
@@ -92,8 +103,8 @@ def pool(reader: Reader, vectors: np.ndarray, repeat: np.ndarray, text: str) ->
     return np.concatenate([mean_form, mean_shape, spread, [again / n]]).astype(np.float32)
 
 
-def learn_vectors(texts: list[str], dims: int, most_words: int, window: int = 2) -> tuple[dict[str, int], np.ndarray]:
-    """Random indexing over the sample: each kept word sums its neighbours' index vectors."""
+def count_words(texts: list[str]) -> Counter[str]:
+    """How often each form and each shape stands in the texts."""
     tokens: Counter[str] = Counter()
     for t in texts:
         tokens.update(t.split())
@@ -101,13 +112,16 @@ def learn_vectors(texts: list[str], dims: int, most_words: int, window: int = 2)
     for token, c in tokens.items():
         counts[_form(token)] += c
         counts[shape_of(token)] += c
-    del tokens
-    kept = sorted((w for w, c in counts.items() if c > 1), key=lambda w: (-counts[w], w))[:most_words]
-    del counts
-    words = {w: i + 1 for i, w in enumerate(kept)}
-    index = np.stack([np.zeros(dims, np.float32)] + [index_vector(w, dims) for w in kept])
-    vectors = index.copy()
-    reader = Reader(words)
+    return counts
+
+
+def index_vectors(kept: list[str], dims: int) -> np.ndarray:
+    """Index vectors of the kept words; row 0 is for all others."""
+    return np.stack([np.zeros(dims, np.int64)] + [index_vector(w, dims).astype(np.int64) for w in kept])
+
+
+def add_neighbours(vectors: np.ndarray, index: np.ndarray, reader: Reader, texts: list[str], window: int = 2) -> None:
+    """Adds to each word's vector the index vectors of its neighbours in the texts."""
     for t in texts:
         forms, shapes, _ = reader.rows(t)
         own = index[forms] + index[shapes]
@@ -116,8 +130,12 @@ def learn_vectors(texts: list[str], dims: int, most_words: int, window: int = 2)
                 for at in (forms, shapes):
                     np.add.at(vectors, at[d:], own[:-d])
                     np.add.at(vectors, at[:-d], own[d:])
-    vectors[0] = 0
-    return words, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
+
+
+def unit_vectors(sums: np.ndarray) -> np.ndarray:
+    sums = sums.astype(np.float64)
+    sums[0] = 0
+    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
 def forward(x: np.ndarray, layers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -126,15 +144,15 @@ def forward(x: np.ndarray, layers: list[np.ndarray]) -> tuple[np.ndarray, np.nda
     return hidden, hidden @ w2 + b2
 
 
-def train(texts: list[str], labels: list[int], prior: float | None = None, dims: int = 48, most_words: int = 20_000, hidden: int = 24, epochs: int = 60, seed: int = 11) -> Model:
-    """``prior``: the share of label 1 that probabilities are calibrated to (default: as in the sample)."""
+def train(
+    words: dict[str, int], vectors: np.ndarray, x: np.ndarray, labels: list[int], prior: float | None = None, hidden: int = 24, epochs: int = 60, seed: int = 11,
+) -> Model:
+    """The two layers and the temperature from pooled texts ``x``. ``prior``: the share of label 1 that probabilities are calibrated to (default: as in the sample)."""
     if len(set(labels)) < 2:
         z = 0.0 if not labels else (4.0 if labels[0] else -4.0)
-        k = 3 * dims + 1
-        return Model({}, np.zeros((1, dims), np.float32), [np.zeros(k), np.ones(k), np.zeros((k, 1)), np.zeros(1), np.zeros(1), np.array(z)], 1.0)
-    words, vectors = learn_vectors(texts, dims, most_words)
-    reader, repeat = Reader(words), index_vector("repeats", dims)
-    x = np.stack([pool(reader, vectors, repeat, t) for t in texts]).astype(np.float64)
+        k = 3 * vectors.shape[1] + 1
+        return Model(words, vectors, [np.zeros(k), np.ones(k), np.zeros((k, 1)), np.zeros(1), np.zeros(1), np.array(z)], 1.0)
+    x = x.astype(np.float64)
     y = np.array(labels, float)
     rng = np.random.default_rng(seed)
     order = rng.permutation(len(y))
@@ -161,7 +179,7 @@ def train(texts: list[str], labels: list[int], prior: float | None = None, dims:
                 layers[i + 2] = layers[i + 2] - 0.005 * np.sqrt(1 - 0.999**step) / (1 - 0.9**step) * first[i] / (np.sqrt(second[i]) + 1e-8)
     z = forward(x[aside], layers)[1]
     loss = lambda t: float((weigh[aside] * np.logaddexp(0, np.where(y[aside] == 1, -z, z) / t)).sum())
-    return Model(words, vectors.astype(np.float32), layers, float(min(np.geomspace(0.25, 8, 61), key=loss)))
+    return Model(words, vectors, layers, float(min(np.geomspace(0.25, 8, 61), key=loss)))
 
 
 class Scorer:
@@ -175,11 +193,48 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 1500, max_chars: int = 50_000) -> Model:
-    """Learns from a bounded sample of labelled documents; the classes' true shares set the prior."""
-    ones, n = labels.filter(F.col(label).isin(0, 1)).agg(F.sum(F.col(label).cast("bigint")), F.count("*")).first()
-    rows = labelled_sample(docs, labels, label, rows_per_class, max_chars).collect()
-    return train([r["text"] for r in rows], [r["label"] for r in rows], ones / n if n else None)
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 1500, most_words: int | None = 20_000, dims: int = DIMS) -> Model:
+    """Learns from a bounded sample of labelled documents, read whole; the classes' true shares set the prior.
+
+    ``most_words``: vectors are kept for so many words that stand twice or more, the most frequent ones; None: for all of them.
+    """
+    ones, n = labels_of_class(labels, label)
+    sample = labelled_sample(docs, labels, label, rows_per_class)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in read_texts(batches):
+            found = count_words(texts)
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
+
+    counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word")
+    kept = [r["word"] for r in (counts if most_words is None else counts.limit(most_words)).collect()]
+    words = {w: i + 1 for i, w in enumerate(kept)}
+    known = docs.sparkSession.sparkContext.broadcast(words)
+
+    def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = index_vectors(list(known.value), dims)
+        sums, reader = np.zeros_like(index), Reader(known.value)
+        for _, texts in read_texts(batches):
+            add_neighbours(sums, index, reader, texts)
+        at = np.flatnonzero(sums.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.FixedSizeListArray.from_arrays(pa.array(sums[at].ravel()), dims).cast(pa.list_(pa.int64()))], names=["word", "v"])
+
+    added = [F.sum(F.get("v", i)).alias(f"v{i}") for i in range(dims)]
+    vectors = index_vectors(kept, dims)
+    for r in sample.mapInArrow(neighbours, "word bigint, v array<bigint>").groupBy("word").agg(*added).collect():
+        vectors[r["word"]] += np.array(r[1:], np.int64)
+    vectors = unit_vectors(vectors)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+
+    def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, repeat = Reader(known.value), index_vector("repeats", dims)
+        for ys, texts in read_texts(batches):
+            rows = [pool(reader, shared.value, repeat, t).astype("<f4").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(rows, pa.binary())], names=["label", "x"])
+
+    rows = sample.mapInArrow(pooled, "label int, x binary").orderBy("x", "label").collect()
+    x = np.stack([np.frombuffer(r["x"], "<f4") for r in rows]) if rows else np.zeros((0, 3 * dims + 1), np.float32)
+    return train(words, vectors, x, [r["label"] for r in rows], ones / n if n else None)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",), threshold: float = 0.3) -> DataFrame:

@@ -1,29 +1,37 @@
 """Toxicity by subword bags: n-gram embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of the character n-grams of ``<word>`` (and the word itself), hashed to buckets; its
-vector is their mean, a text's the mean of its distinct words', and a linear softmax reads that. Embeddings
+vector is their mean, a text's the mean of its distinct words' (how often a word stands does not count),
+and a linear softmax reads that. Embeddings
 and softmax are trained together, so an unseen misspelling shares the vectors of its n-grams. As all
 of it is linear, a trained word comes down to one number, its part of the log odds.
 
-Texts without words (null, empty) score by the bias alone. Equal texts give equal scores; an empty
-table gives no rows; without labels of both classes every score is the prior 0.5 or the only class.
+The sample is read in Spark tasks: they hash its words and count in how many texts each bucket stands;
+only buckets that are common enough to be learned from come to the driver, so what it holds does not grow with the texts.
+
+Texts without words (null, empty) score by the bias alone. Every word is read whole, however long, and so is every
+text. Equal texts give equal scores; repeated rows each give one. Extra columns are not read,
+whatever their names. An empty table gives no rows; without labels of both classes every score is the prior 0.5 or the only class.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import xxhash
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import held_out, labelled_sample, map_texts
+from ._common import held_out, labelled_sample, labels_of_class, map_texts, read_texts
 
 WORD = re.compile(r"[^\W_]+")
-#: Words that one task remembers.
-WORDS = 1_000_000
+#: Words that one task remembers, of at most LONG characters; longer ones are worked out each time.
+WORDS, LONG = 1_000_000, 64
+BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
+BUCKETS, SHORTEST, LONGEST = 1 << 18, 3, 6
 
 
 @dataclass
@@ -36,45 +44,65 @@ class Model:
     longest: int
 
 
-def buckets(word: str, n: int, shortest: int, longest: int) -> list[int]:
-    marked = f"<{word[:64]}>"  # n-grams of the first characters of a "word" that is no word
-    grams = {marked[i : i + k] for k in range(shortest, longest + 1) for i in range(len(marked) - k + 1)} | {marked}
-    return [xxhash.xxh3_64_intdigest(g.encode("utf-8", "surrogatepass")) % n for g in sorted(grams)]
+def _mixed(h: np.ndarray, salt: int, n: int) -> np.ndarray:
+    z = (h + np.uint64(salt)) * MIX
+    z = (z ^ (z >> np.uint64(29))) * MIX
+    return ((z >> np.uint64(32)) % np.uint64(n)).astype(np.int32)
+
+
+def gram_buckets(words: list[str], n: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of all words (with every repeat), and the word that each belongs to; rolling hashes over code points."""
+    marked = [f"<{w}>" for w in words]
+    codes = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    sizes = np.array([len(w) for w in marked])
+    start = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(words)), sizes)
+    left = np.repeat(start + sizes, sizes) - np.arange(len(codes))  # code points from here to the word's end
+    rolling, found, whose = codes.copy(), [], []
+    for k in range(2, longest + 1):
+        rolling = rolling[:-1] * BASE + codes[k - 1 :]
+        if k >= shortest:
+            inside = left[: len(rolling)] >= k
+            found.append(_mixed(rolling[inside], k, n))
+            whose.append(owner[: len(rolling)][inside])
+    # the whole word: its code points times the powers of the base, summed
+    powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(int(sizes.max(initial=1)) - 1, BASE)]))
+    found.append(_mixed(np.add.reduceat(codes * powers[np.arange(len(codes)) - start[owner]], start), 0, n))
+    whose.append(np.arange(len(words)))
+    return np.concatenate(found), np.concatenate(whose)
+
+
+def bag(text: str, n: int = BUCKETS, shortest: int = SHORTEST, longest: int = LONGEST) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and their weights, which sum to 1."""
+    words = list(dict.fromkeys(WORD.findall(text.lower())))
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    found, whose = gram_buckets(words, n, shortest, longest)
+    share = 1 / np.bincount(whose, minlength=len(words)) / len(words)
+    keys, inverse = np.unique(found, return_inverse=True)
+    return keys, np.bincount(inverse, share[whose]).astype(np.float32)
 
 
-def bag(text: str, n: int, shortest: int, longest: int, known: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of a text and their weights, which sum to 1."""
-    parts = []
-    for w in sorted(set(WORD.findall(text.lower()))):
-        b = known.get(w)
-        if b is None:
-            b = known[w] = np.array(buckets(w, n, shortest, longest), np.int32)
-        parts.append(b)
-    if not parts:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    sizes = np.array([len(b) for b in parts])
-    keys, inverse = np.unique(np.concatenate(parts), return_inverse=True)
-    return keys, np.bincount(inverse, np.repeat(1 / sizes / len(parts), sizes)).astype(np.float32)
+def common_enough(texts: int, min_docs: int = 8) -> int:
+    """In how many texts a bucket must stand to be learned from: rarer ones could only be learned by heart."""
+    return max(min(min_docs, max(1, texts // 20)), texts // 150)
 
 
 def train(
-    texts: list[str], labels: list[int], prior: float | None = None, n: int = 1 << 18, dims: int = 8, shortest: int = 3, longest: int = 6,
-    min_docs: int = 8, epochs: int = 8, least_steps: int = 400, decay: float = 1e-5, rate: float = 0.1, batch: int = 64, seed: int = 7,
+    bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float | None = None, n: int = BUCKETS, dims: int = 8, shortest: int = SHORTEST, longest: int = LONGEST,
+    least_docs: int | None = None, epochs: int = 8, least_steps: int = 400, decay: float = 1e-5, rate: float = 0.1, batch: int = 64, seed: int = 7,
 ) -> Model:
-    """Minibatch Adam on embeddings and softmax together.
+    """Minibatch Adam on embeddings and softmax together, over the bags (buckets, weights) of texts.
 
-    Buckets met in fewer than ``min_docs`` texts, or one text in 150, stay zero: they could only be learned by heart.
+    Buckets met in fewer than ``least_docs`` texts (default: common_enough; 1: all are learned) stay zero.
     ``prior``: the share of label 1 outside the sample (default: as in the sample).
     """
     if len(set(labels)) < 2:
         return Model(np.zeros(n, np.float32), 0.0 if not labels else (4.0 if labels[0] else -4.0), shortest, longest)
-    known: dict[str, list[int]] = {}
-    bags = [bag(t, n, shortest, longest, known) for t in texts]
-    known.clear()
     spread = np.zeros(n, np.int64)
     for b, _ in bags:
         spread[b] += 1
-    common = spread >= max(min(min_docs, max(1, len(bags) // 20)), len(bags) // 150)
+    common = spread >= (common_enough(len(bags)) if least_docs is None else max(1, least_docs))
     place = (np.cumsum(common) - 1).astype(np.int32)  # common buckets, closed up
     bags = [(place[b[common[b]]], w[common[b]]) for b, w in bags]
     y = np.array(labels)
@@ -117,31 +145,78 @@ def train(
     return Model(odds, float(bias[1] - bias[0]), shortest, longest)
 
 
-class Scorer(dict):
-    """word -> its part of the log odds."""
+class Scorer:
+    """Scores of texts; remembers each word's part of the log odds."""
 
     def __init__(self, model: Model):
-        super().__init__()
         self.model = model
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= WORDS:
-            self.clear()
-        x = self.model
-        self[word] = value = float(x.odds[buckets(word, len(x.odds), x.shortest, x.longest)].mean())
-        return value
+        self.known: dict[str, float] = {}
+
+    def values(self, words: list[str]) -> list[float]:
+        """Each word's part of the log odds: the mean over its n-grams, summed in one order."""
+        out: list[float] = []
+        size, at = 0, 0
+        for i, w in enumerate([*words, None]):  # about a million code points at a time
+            size += len(w or "") + 2
+            if w is None or size > 1 << 20:
+                part = words[at : i if w is None else i + 1]
+                at, size = i + 1, 0
+                if part:
+                    x = self.model
+                    found, whose = gram_buckets(part, len(x.odds), x.shortest, x.longest)
+                    out += (np.bincount(whose, x.odds[found], len(part)) / np.bincount(whose, minlength=len(part))).tolist()
+        return out
+
+    def many(self, texts: list[str]) -> list[float]:
+        found = [list(dict.fromkeys(WORD.findall(t.lower()))) for t in texts]
+        every = dict.fromkeys(w for words in found for w in words)
+        if len(self.known) + len(every) > WORDS:
+            self.known = {}
+        new = [w for w in every if w not in self.known]
+        fresh = dict(zip(new, self.values(new)))
+        self.known.update(fresh)
+        of = self.known.__getitem__
+        bias = self.model.bias
+        z = np.array([bias + (sum(map(of, words)) / len(words) if words else 0.0) for words in found])
+        for w in new:
+            if len(w) > LONG:
+                del self.known[w]
+        return (1 / (1 + np.exp(-np.clip(z, -30, 30)))).tolist()
 
     def score(self, text: str) -> float:
-        found = sorted(set(WORD.findall(text.lower())))  # in one order, so that equal texts give equal sums
-        z = self.model.bias + (sum([self[w] for w in found]) / len(found) if found else 0.0)
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        return self.many([text])[0]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 2000, least_docs: int | None = None) -> Model:
+    """Learns from a bounded sample of labelled documents, ``rows_per_class`` of each class, read whole."""
+    ones, n = labels_of_class(labels, label)
+    sample = labelled_sample(docs, labels, label, rows_per_class)
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, texts = np.zeros(BUCKETS, np.int64), 0
+        for _, some in read_texts(batches):
+            for t in some:
+                seen[bag(t)[0]] += 1
+                texts += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], texts))], names=["bucket", "n"])
+
+    counts = sample.mapInArrow(spread, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
+    texts = sum(r["n"] for r in counts if r["bucket"] < 0)
+    least = common_enough(texts) if least_docs is None else max(1, least_docs)
+    common = np.zeros(BUCKETS, bool)
+    common[[r["bucket"] for r in counts if r["bucket"] >= 0 and r["n"] >= least]] = True
 
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ys, some in read_texts(batches):
+            for y, t in zip(ys, some):
+                b, w = bag(t)
+                keep = common[b]
+                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([b[keep].astype("<i4").tobytes()]), pa.array([w[keep].astype("<f4").tobytes()])], names=["label", "buckets", "weights"])
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 2000, max_chars: int = 50_000) -> Model:
-    """Learns from a bounded sample of labelled documents (``rows_per_class``, each of at most ``max_chars``)."""
-    ones, n = labels.filter(F.col(label).isin(0, 1)).agg(F.sum(F.col(label).cast("bigint")), F.count("*")).first()
-    rows = labelled_sample(docs, labels, label, rows_per_class, max_chars).collect()
-    return train([r["text"] for r in rows], [r["label"] for r in rows], ones / n if n else None)
+    rows = sample.mapInArrow(bags, "label int, buckets binary, weights binary").orderBy("buckets", "weights", "label").collect()
+    packed = [(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["weights"], "<f4")) for r in rows]
+    return train(packed, [r["label"] for r in rows], ones / n if n else None, least_docs=least)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -150,7 +225,7 @@ def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...]
 
     def make():
         scorer = Scorer(shared.value)
-        return lambda texts: [[scorer.score(t) for t in texts]]
+        return lambda texts: [scorer.many(texts)]
 
     return map_texts(df, make, "score double", text, list(keep)).withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
 

@@ -26,9 +26,27 @@ def toxic_corpus(n=600, seed=1):
     return out
 
 
+def train_toxicity(texts, labels):
+    return toxicity.train([toxicity.bag(t) for t in texts], labels)
+
+
+def train_quality(texts, labels, dims=48):
+    """As fit() does, without Spark."""
+    counts = quality.count_words(texts)
+    kept = sorted((w for w, c in counts.items() if c > 1), key=lambda w: (-counts[w], w))
+    words = {w: i + 1 for i, w in enumerate(kept)}
+    index = quality.index_vectors(kept, dims)
+    sums = index.copy()
+    quality.add_neighbours(sums, index, quality.Reader(words), texts)
+    vectors = quality.unit_vectors(sums)
+    reader, repeat = quality.Reader(words), quality.index_vector("repeats", dims)
+    x = np.stack([quality.pool(reader, vectors, repeat, t) for t in texts]) if texts else np.zeros((0, 3 * dims + 1))
+    return quality.train(words, vectors, x, labels)
+
+
 def test_toxicity_learns_and_shares_grams():
     rows = toxic_corpus()
-    model = toxicity.train([t for _, t, _ in rows[:450]], [y for *_, y in rows[:450]])
+    model = train_toxicity([t for _, t, _ in rows[:450]], [y for *_, y in rows[:450]])
     s = toxicity.Scorer(model)
     right = [(s.score(t) >= 0.5) == y for _, t, y in rows[450:]]
     assert np.mean(right) > 0.95
@@ -49,7 +67,7 @@ def test_quality_learns_and_is_calibrated():
         elif kind == 1:
             text = " ".join(x for x in w[:8] for _ in range(12))
         rows.append((text, int(kind > 1)))
-    model = quality.train([t for t, _ in rows[:380]], [y for _, y in rows[:380]])
+    model = train_quality([t for t, _ in rows[:380]], [y for _, y in rows[:380]])
     s = quality.Scorer(model)
     p = np.array([s.score(t) for t, _ in rows[380:]])
     y = np.array([y for _, y in rows[380:]])
@@ -58,8 +76,85 @@ def test_quality_learns_and_is_calibrated():
 
 
 def test_one_class_only():
-    assert toxicity.Scorer(toxicity.train(["a"], [0])).score("x") < 0.5 and toxicity.Scorer(toxicity.train([], [])).score("x") == 0.5
-    assert quality.Scorer(quality.train(["a"], [1])).score("x") > 0.5 and quality.Scorer(quality.train([], [])).score("x") == 0.5
+    assert toxicity.Scorer(train_toxicity(["a"], [0])).score("x") < 0.5 and toxicity.Scorer(train_toxicity([], [])).score("x") == 0.5
+    assert quality.Scorer(train_quality(["a"], [1])).score("x") > 0.5 and quality.Scorer(train_quality([], [])).score("x") == 0.5
+
+
+def plain_bucket(text, salt, n):
+    """A rolling hash one code point at a time."""
+    h, mask = 0, 2**64 - 1
+    for c in text:
+        h = (h * 0x100000001B3 + ord(c) + 1) & mask
+    if salt == 0:  # whole words: the first code point is the lowest
+        h = sum((ord(c) + 1) * pow(0x100000001B3, i, 2**64) for i, c in enumerate(text)) & mask
+    z = (h + salt) * 0x9E3779B97F4A7C15 & mask
+    z = (z ^ z >> 29) * 0x9E3779B97F4A7C15 & mask
+    return (z >> 32) % n
+
+
+def plain_toxicity(model, text):
+    """The score by its definition: n-gram by n-gram, word by word."""
+    import re
+
+    parts = []
+    for w in set(re.findall(r"[^\W_]+", text.lower())):
+        marked = f"<{w}>"
+        grams = [model.odds[plain_bucket(marked[i : i + k], k, len(model.odds))] for k in range(model.shortest, model.longest + 1) for i in range(len(marked) - k + 1)]
+        grams.append(model.odds[plain_bucket(marked, 0, len(model.odds))])
+        parts.append(sum(map(float, grams)) / len(grams))
+    z = model.bias + (sum(parts) / len(parts) if parts else 0)
+    return 1 / (1 + np.exp(-z))
+
+
+def plain_quality(model, text):
+    """The forward pass by its definition, token by token."""
+    import re
+
+    dims = model.vectors.shape[1]
+    zero = np.zeros(dims)
+    of = lambda w: model.vectors[model.words[w]].astype(float) if w in model.words else zero
+    forms, shapes, tokens = [], [], text.split()
+    for t in tokens:
+        forms.append(of(re.sub(r"^[\W_]+|[\W_]+$", "", t).lower()))
+        kinds = [("X" if c.isupper() else "x" if c.isalpha() else "9" if c.isdigit() else c) for c in t]
+        short = [c for i, c in enumerate(kinds) if i < 2 or not c == kinds[i - 1] == kinds[i - 2]]
+        shapes.append(of("shape " + "".join(short)))
+    n = len(tokens)
+    if n:
+        again = sum(a == b for a, b in zip(tokens, tokens[1:])) / n
+        mean = sum(shapes) / n
+        spread = np.sqrt(sum((s - mean) ** 2 for s in shapes) / n)
+        x = np.concatenate([sum(forms) / n, mean + again * quality.index_vector("repeats", dims), spread, [again]])
+    else:
+        x = np.zeros(3 * dims + 1)
+    m, s, w1, b1, w2, b2 = model.layers
+    hidden = np.tanh(sum((x - m)[i] / s[i] * w1[i] for i in range(len(x))) + b1)
+    return 1 / (1 + np.exp(-(sum(hidden * w2) + b2) / model.temperature))
+
+
+LONG_ONES = ["", " ", "a", "Moron! moron, IDIOTS", "x" * 3000 + "idiot", "é" * 200 + " worthless", "word " * 3000, "1.2.3.4-5_6 __ A-b-C", "aaa aaa aaa bbb bbb"]
+
+
+def test_scores_equal_the_plain_ones():
+    rows = toxic_corpus(300)
+    toxic = train_toxicity([t for _, t, _ in rows], [y for *_, y in rows])
+    good = train_quality([t for _, t, _ in rows], [1 - y for *_, y in rows])
+    for t in LONG_ONES + [t for _, t, _ in rows[:20]]:
+        assert abs(toxicity.Scorer(toxic).score(t) - plain_toxicity(toxic, t)) < 1e-6
+        assert abs(quality.Scorer(good).score(t) - plain_quality(good, t)) < 1e-5
+    together = toxicity.Scorer(toxic).many(LONG_ONES)
+    assert together == [toxicity.Scorer(toxic).score(t) for t in LONG_ONES]
+
+
+def test_long_tokens_are_read_whole():
+    rows = toxic_corpus(300)
+    toxic = train_toxicity([t for _, t, _ in rows], [y for *_, y in rows])
+    s = toxicity.Scorer(toxic)
+    clean = "x" * 1_000_000
+    assert s.score(clean + "idiot" * 200_000) > s.score(clean) and not s.known
+    assert quality._form("x" * 1000 + "Y.") == "x" * 1000 + "y" and quality.shape_of("ab" * 9 + "1" * 9 + "." + "C" * 9) == "shape xx99.XX"
+    reader = quality.Reader({"x" * 1_000_000 + "y": 3})
+    assert reader["x" * 1_000_000 + "Y"] >> 32 == 3 and not reader
 
 
 SCHEMA = "doc_id bigint, text string, score double, label int, h string"
@@ -67,7 +162,7 @@ SCHEMA = "doc_id bigint, text string, score double, label int, h string"
 
 @pytest.mark.parametrize("module,label,cut", [(toxicity, "toxic", 0.5), (quality, "quality", 0.3)])
 def test_queries(spark, module, label, cut):
-    rows = [(i, t, 0.0, 1, "x") for i, t, _ in toxic_corpus(160)] + [(900, None, 0.0, 1, "x"), (901, "", 0.0, 1, "x"), (902, "a b", 0.0, 1, "x"), (902, "a b", 0.0, 1, "x"), (None, "c", 0.0, 1, "x"), (903, "lang " * 30_000, 0.0, 1, "x")]
+    rows = [(i, t, 0.0, 1, "x") for i, t, _ in toxic_corpus(160)] + [(900, None, 0.0, 1, "x"), (901, "", 0.0, 1, "x"), (902, "a b", 0.0, 1, "x"), (902, "a b", 0.0, 1, "x"), (None, "c", 0.0, 1, "x"), (903, "lang " * 300_000, 0.0, 1, "x"), (904, "q" * 1_000_000, 0.0, 1, "x")]
     docs = spark.createDataFrame(rows, SCHEMA)
     labels = spark.createDataFrame([(i, y if label == "toxic" else 1 - y) for i, _, y in toxic_corpus(160)] + [(901, None), (None, 1), (5, 7)], f"doc_id bigint, {label} int")
     out = module.held_out_scores(docs, labels).collect()
@@ -133,15 +228,78 @@ def test_language_sample_takes_distinct_texts(spark):
 
 def test_labelled_sample_fills_both_classes(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(400)], "doc_id bigint, quality int")
-    taken = labelled_sample(spark.createDataFrame([(i, str(i)) for i in range(400)], "doc_id bigint, text string"), labels, "quality", 1, 50).collect()
+    taken = labelled_sample(spark.createDataFrame([(i, str(i)) for i in range(400)], "doc_id bigint, text string"), labels, "quality", 1).collect()
     first = min(int(r.text) for r in taken)  # an id with a small hash
     hot = spark.createDataFrame([(first, str(first))] * 500 + [(i, str(i)) for i in range(400)], "doc_id bigint, text string")
-    rows = labelled_sample(hot, labels, "quality", 20, 50).collect()
+    rows = labelled_sample(hot, labels, "quality", 20).collect()
     assert sorted(r.label for r in rows) == [0] * 20 + [1] * 20 and len({r.text for r in rows}) == 40
-    # documents that are gone, null or too long take no place
+    # documents that are gone take no place; null and very long ones do
     rest = spark.createDataFrame([(i, str(i)) for i in range(0, 400, 9)] + [(1, None), (3, "x" * 60)], "doc_id bigint, text string")
-    rows = labelled_sample(rest, labels, "quality", 20, 50).collect()
-    assert sorted(r.label for r in rows) == [0] * 20 + [1] * 20
+    rows = labelled_sample(rest, labels, "quality", 200).collect()
+    assert sorted(r.text for r in rows) == sorted(["", "x" * 60] + [str(i) for i in range(0, 400, 9)])
+
+
+@pytest.mark.parametrize("module,label", [(toxicity, "toxic"), (quality, "quality")])
+def test_models_learn_from_long_labelled_texts(spark, module, label):
+    """Only texts of over 50,000 characters have labels, and they are learned from."""
+    rnd = random.Random(6)
+    rows = []
+    for i in range(60):
+        w = words(rnd, 9000)
+        bad = i % 2
+        if bad:
+            w = [rnd.choice(BAD).upper() + "!!" if rnd.random() < 0.1 else x for x in w]
+        rows.append((i, " ".join(w), bad))
+    assert min(len(t) for _, t, _ in rows) > 50_000
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y if label == "toxic" else 1 - y) for i, _, y in rows], f"doc_id bigint, {label} int")
+    right = [r.predicted == (rows[r.doc_id][2] if label == "toxic" else 1 - rows[r.doc_id][2]) for r in module.held_out_scores(docs, labels).collect()]
+    assert np.mean(right) > 0.95
+
+
+def test_all_words_can_be_kept(spark):
+    rows = toxic_corpus(80)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
+    few, every = quality.fit(docs, labels, most_words=10), quality.fit(docs, labels, most_words=None)
+    assert len(few.words) == 10 and len(every.words) == sum(c > 1 for c in quality.count_words([t for _, t, _ in rows]).values())
+    assert np.count_nonzero(toxicity.fit(docs, labels, least_docs=1).odds) > np.count_nonzero(toxicity.fit(docs, labels).odds)
+
+
+def plain_language(model, text):
+    """Word by word: known, else the longest known n-grams in turn."""
+    import re
+
+    total, letters = [0.0] * len(model.languages), False
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if not any(c.isalpha() for c in w):
+            continue
+        letters = True
+        rows, rest = [], f"<{w}>"
+        if w in model.words:
+            rows, rest = [model.words[w]], ""
+        while rest:
+            n = next((n for n in range(min(model.max_n, len(rest)), 0, -1) if rest[:n] in model.grams), None)
+            if n:
+                rows.append(model.grams[rest[:n]])
+            rest = rest[n or 1 :]
+        for i in range(len(total)):
+            total[i] += sum(r[i] for r in rows) / len(rows) if rows else 0.0
+    if not letters or not total:
+        return "und", 0.0
+    p = [np.exp(x - max(total)) for x in total]
+    return model.languages[p.index(max(p))], max(p) / sum(p)
+
+
+def test_language_equals_the_plain_scorer(spark):
+    rows = language_rows()
+    model = language.fit(spark.createDataFrame([(t, lang) for _, t, lang in rows], "text string, lang string"), words_per_language=30)
+    scorer = language.Scorer(model)
+    for t in ["", "abc abd kzz", "zzz", "ñandú", "42", "a" * 5000, "abcde fghij " * 50] + [t[:40] for _, t, _ in rows[:30]]:
+        got, want = scorer.predict(t), plain_language(model, t)
+        assert got[0] == want[0] and abs(got[1] - want[1]) < 1e-9
+    every = language.fit(spark.createDataFrame([(t, lang) for _, t, lang in rows], "text string, lang string"), words_per_language=None, grams_per_language=None)
+    assert len(every.words) > len(model.words)
 
 
 def test_bounds_of_the_samples():
