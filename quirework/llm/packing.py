@@ -1,16 +1,20 @@
 """Lexical retrieval packing: windows filled by a sharded BM25 index.
 
 Every document becomes token ids and an end id. Whole windows of a long document are sequences of
-their own; what is left of it is dealt, by hash, to a shard of bounded size. Each shard holds a BM25
-inverted index over its rests: the longest unused rest opens a window, the index returns unused
-neighbours in order of score, those that fit are added, and the best one that does not fit is cut to
+their own; what is left of it, its rest, is dealt to a shard of bounded size by what it shares: of its terms that no more
+rests have than a shard takes, counted over all rests, the one that most have. All rests order terms alike, so those that share much mostly
+choose the same term. Rests of one term stand in one shard, terms of few rests share one, and rests of which every term is
+too common (or no other rest's) are dealt by row. Each
+shard holds a BM25 inverted index over its rests: the longest unused rest opens a window, the index returns unused
+neighbours in order of score over all terms of the seed, those that fit are added, and the best one that does not fit is cut to
 fill the window; what remains of it stays in the index. Only the last window of a shard is padded.
 
-Texts move once, as packed ids of the rests. Words between ASCII white space are encoded once per worker
+Texts are encoded once; packed ids are written, counted (what comes to the driver is as large as the vocabulary) and moved
+once. Words between ASCII white space are encoded once per worker
 by the tokenizer, which never joins across white space; texts with any other space go to it whole.
 
-Null and empty texts are one end id. Repeated rows are packed each by itself, rows with a null id
-too. An empty table gives no rows.
+Null and empty texts are one end id. Very long texts are cut into windows, read whole. Repeated rows are packed each by itself, rows with a null id
+too, and are dealt apart like any others. Ties in score go to the smaller place (by id). Extra columns are not read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ import re
 import unicodedata
 import zlib
 from array import array
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,11 +34,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_texts
+from ._common import map_texts, materialise, slices
 
 WINDOW = 2048
-#: Rests of a shard, and terms of a seed that are looked up.
-SHARD, QUERY_TERMS = 2000, 16
+#: Rests of a shard (about).
+SHARD = 2000
 #: Distinct words and parts that a worker remembers; beyond it the memory is emptied.
 WORDS = 1_000_000
 #: White space that only some libraries split at.
@@ -151,29 +156,35 @@ class Bm25:
         doc = np.repeat(np.arange(n), [len(r) for r in rests])
         term = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
         key, tf = np.unique(term * n + doc, return_counts=True)
-        term, self.docs = key // max(n, 1), key % max(n, 1)
-        self.terms, self.begin = np.unique(term, return_index=True)
-        self.begin = np.append(self.begin, len(key))
-        df = np.diff(self.begin)
+        term, docs = key // max(n, 1), key % max(n, 1)
+        _, term, df = np.unique(term, return_inverse=True, return_counts=True)
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         lengths = np.array([len(r) for r in rests])
         norm = k1 * (1 - b + b * lengths / max(lengths.mean() if n else 1, 1))
-        self.weights = np.repeat(idf, df) * tf * (k1 + 1) / (tf + norm[self.docs])
-        # the terms to look up for each document: its most telling ones that another document has
-        own = np.searchsorted(self.terms, term)
-        shared = df[own] > 1
-        order = np.lexsort((own[shared], -self.weights[shared], self.docs[shared]))
-        by_doc, own = self.docs[shared][order], own[shared][order]
-        start = np.searchsorted(by_doc, np.arange(n + 1))
-        self.queries = [own[a : min(a + QUERY_TERMS, e)] for a, e in zip(start, start[1:])]
+        weights = idf[term] * tf * (k1 + 1) / (tf + norm[docs])
+        # a document's terms that another one has, too
+        shared = np.flatnonzero(df[term] > 1)
+        by_doc = shared[np.argsort(docs[shared], kind="stable")]
+        self.terms, self.at = term[by_doc], np.searchsorted(docs[by_doc], np.arange(n + 1))
+        self.n, self.distinct = n, len(df)
+        self._index(term[shared], docs[shared], weights[shared])
+
+    def _index(self, term: np.ndarray, docs: np.ndarray, weights: np.ndarray) -> None:
+        """Postings, term by term."""
+        self.term, self.docs, self.weights = term, docs, weights
+        self.begin = np.searchsorted(term, np.arange(self.distinct + 1))
+        self.held = np.unique(docs).size
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a looked-up term with the seed, best first; ties by place."""
-        lists = self.queries[seed]
-        if not len(lists):
-            return np.zeros(0, np.int64)
-        at = np.concatenate([np.arange(self.begin[t], self.begin[t + 1]) for t in lists])
-        scores = np.bincount(self.docs[at], self.weights[at], len(unused))
+        """Unused documents that share a term with the seed, best first; ties by place."""
+        if 2 * np.count_nonzero(unused) < self.held:  # used ones go from the postings
+            keep = unused[self.docs]
+            self._index(self.term[keep], self.docs[keep], self.weights[keep])
+        lists = self.terms[self.at[seed] : self.at[seed + 1]]
+        total = self.begin[lists + 1] - self.begin[lists]
+        n = int(total.sum())
+        at = np.repeat(self.begin[lists] - (np.cumsum(total) - total), total) + np.arange(n)
+        scores = np.bincount(self.docs[at], self.weights[at], self.n)
         found = np.flatnonzero((scores > 0) & unused)
         return found[np.argsort(-scores[found], kind="stable")]
 
@@ -218,9 +229,55 @@ def fill(rests: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]
     return out
 
 
+def _distinct_terms(batch: pa.RecordBatch, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the rest in the batch, term) of a batch's rests."""
+    dtype = "<u4" if len(batch) and batch.column("width")[0].as_py() == 4 else "<u2"
+    rests = [np.frombuffer(r, dtype) for r in batch.column("rest").to_pylist()]
+    term = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
+    key = np.unique(np.repeat(np.arange(len(rests)), [len(r) for r in rests]) * vocabulary + term)
+    return key // vocabulary, key % vocabulary
+
+
+def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        yield from slices(whole, "rest")
+
+
+class Deal:
+    """Shard of a rest by the commonest of its terms that fits a shard."""
+
+    def __init__(self, frequency: np.ndarray, shard: int):
+        #: Rests of a term that can be dealt by; 0 for all others.
+        self.rests = np.where((frequency > 1) & (frequency <= shard), frequency, 0)
+        self.shard, self.first, self.splits = shard, np.zeros(len(frequency) + 1, np.int64), np.ones(len(frequency) + 1, np.int64)
+
+    def keys(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Of each rest the term it is dealt by; one past the vocabulary if it has none."""
+        place, term = _distinct_terms(batch, len(self.rests))
+        out = np.full(len(batch), len(self.rests), np.int64)
+        order = np.lexsort((-term, self.rests[term], place))
+        order = order[self.rests[term[order]] > 0]
+        out[place[order]] = term[order]  # the last one of each rest stays
+        return out
+
+    def plan(self, counts: list[tuple[int, int]]) -> None:
+        """Lays terms (term, rests) into shards one after the other; rests without a term have their own, as many as they need."""
+        at, held = 0, 0
+        for key, n in sorted(counts):
+            if held and held + n > self.shard:
+                at, held = at + 1, 0
+            self.first[key], self.splits[key] = at, -(-n // self.shard)
+            held += n
+            if held >= self.shard:
+                at, held = at + self.splits[key], 0
+
+    def __call__(self, keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        mixed = (rows.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        return self.first[keys] + ((mixed >> np.uint64(33)).astype(np.int64) % self.splits[keys])
+
+
 def pack(df: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WINDOW, shard: int = SHARD, text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece (see PIECE); ``with_ids`` adds the piece's ids (array<int>)."""
-    shards = max(1, -(-df.count() // shard))
 
     def make():
         import os
@@ -243,19 +300,51 @@ def pack(df: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WIND
 
         return run
 
-    src = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), text, F.pmod(F.xxhash64("doc_id", text), F.lit(shards)).alias("shard"))
-    ids = map_texts(src, make, "doc_tokens bigint, whole binary, rest binary, width int", text, ["doc_id", "shard"])
+    src = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
+    encoded = map_texts(src, make, "doc_tokens bigint, whole binary, rest binary, width int", text, ["doc_id"])
+    # a row's number is fixed by writing it; by it repeated rows are told apart
+    ids = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "packed-ids")
+    from tokenizers import Tokenizer
+
+    vocabulary = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1)
+
+    def frequencies(batches):
+        seen = np.zeros(vocabulary, np.int64)
+        for b in _rests(batches):
+            np.add.at(seen, _distinct_terms(b, vocabulary)[1], 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "n"])
+
+    frequency = np.zeros(vocabulary, np.int64)
+    for r in ids.select("rest", "width").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        frequency[r["term"]] = r["n"]
+    deal = Deal(frequency, shard)
+
+    def keys_of(batches):
+        for b in _rests(batches):
+            keys, counts = np.unique(deal.keys(b), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["term", "n"])
+
+    counts = ids.select("rest", "width").mapInArrow(keys_of, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    deal.plan([(r["term"], r["n"]) for r in counts])
+
+    def with_shard(batches):
+        for b in _rests(batches):
+            shards = deal(deal.keys(b), b.column("row").to_numpy())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shards, pa.int64())], names=[*b.schema.names, "shard"])
+
+    dealt = ids.mapInArrow(with_shard, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ids.schema) + ", shard bigint")
 
     def place(group: pa.Table) -> pa.Table:
         return _pack_shard(group, window, with_ids)
 
-    return ids.groupBy("shard").applyInArrow(place, PIECE + ", ids array<int>" * with_ids)
+    return dealt.groupBy("shard").applyInArrow(place, PIECE + ", ids array<int>" * with_ids)
 
 
 def _pack_shard(group: pa.Table, window: int, with_ids: bool) -> pa.Table:
     rows = group.to_pydict()
     # one order, whatever order the rows came in
-    order = sorted(range(group.num_rows), key=lambda i: (rows["doc_id"][i] is None, rows["doc_id"][i] or 0, rows["doc_tokens"][i], rows["rest"][i]))
+    order = sorted(range(group.num_rows), key=lambda i: (rows["doc_id"][i] is None, rows["doc_id"][i] or 0, rows["doc_tokens"][i], rows["rest"][i], rows["row"][i]))
     width = rows["width"][0]
     dtype = np.dtype("<u4" if width == 4 else "<u2")
     first = rows["shard"][0] << 32

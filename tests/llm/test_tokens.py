@@ -240,7 +240,7 @@ def test_packing(spark, shard, window):
             at += n
         assert at <= window
         padded += at < window
-    assert padded <= -(-len(ROWS) // shard)
+    assert padded <= len({r.sequence_id >> 32 for r in rows}) <= 2 * -(-len(ROWS) // shard)
 
 
 def test_packing_puts_like_documents_together():
@@ -252,5 +252,58 @@ def test_packing_puts_like_documents_together():
     assert sum(same) > 0.9 * len(same)
 
 
+def test_every_shared_term_of_a_seed_is_looked_up():
+    """Forty telling terms of the seed lead nowhere else; the one that another rest shares is found all the same."""
+    seed = np.concatenate([np.repeat(np.arange(100, 140), 3), [7]])
+    rests = [seed, np.repeat(np.arange(100, 140), 2), np.array([7, 8, 9]), np.arange(500, 520), np.repeat(np.arange(100, 140), 2)]
+    index = packing.Bm25(rests)
+    assert index.neighbours(0, np.array([False, True, True, True, True])).tolist() == [1, 4, 2]
+    assert index.neighbours(0, np.array([False, False, True, True, False])).tolist() == [2]  # after used ones have gone from the postings
+
+
+def topic_rows(n=2400, topics=12, seed=4):
+    rnd = random.Random(seed)
+    vocabulary = [w for w in Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")).get_vocab() if w.endswith("</w>") and w[:-4].isascii() and w[:-4].isalpha() and len(w) > 8]
+    vocabulary.sort()
+    rnd.shuffle(vocabulary)
+    of = [vocabulary[i * 40 : i * 40 + 40] for i in range(topics)]
+    common = vocabulary[2000:2100]
+    rows = []
+    for i in range(n):
+        w = [rnd.choice(of[i % topics] if rnd.random() < 0.4 else common)[:-4] for _ in range(60)]
+        rows.append((i, " ".join(w)))
+    return rows
+
+
+def test_neighbours_share_windows_over_several_shards(spark, monkeypatch):
+    topics = 40
+    df = spark.createDataFrame(topic_rows(topics=topics), "doc_id bigint, text string").repartition(5)
+
+    def purity():
+        """Mean share of a window's pieces that are of its commonest topic."""
+        rows = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), shard=100, window=1024).collect()
+        assert len({r.sequence_id >> 32 for r in rows}) >= 20
+        windows = {}
+        for r in rows:
+            windows.setdefault(r.sequence_id, []).append(r.doc_id % topics)
+        return np.mean([max(w.count(x) for x in set(w)) / len(w) for w in windows.values()])
+
+    by_term = purity()
+    make = packing.Deal.__init__
+    monkeypatch.setattr(packing.Deal, "__init__", lambda self, frequency, shard: make(self, frequency * 0, shard))  # dealt by row
+    by_row = purity()
+    assert by_term > 0.6 and by_row < 0.3
+
+
+def test_repeated_rows_are_dealt_apart(spark):
+    same = " ".join(["alpha beta gamma delta"] * 5)
+    df = spark.createDataFrame([(None, same)] * 700 + [(1, same)] * 700 + [(i, None) for i in range(2, 400)], "doc_id bigint, text string").repartition(7)
+    rows = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), shard=100).collect()
+    per = {}
+    for r in rows:
+        per[r.sequence_id >> 32] = per.get(r.sequence_id >> 32, 0) + 1
+    assert max(per.values()) < 250 and sum(r.start == 0 for r in rows) == 1798
+
+
 def test_packing_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA), public_tokenizers.path("word_bpe_49k.json")).count() == 0
