@@ -207,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word")
-    kept = [r["word"] for r in (counts if most_words is None else counts.limit(most_words)).collect()]
+    kept = (counts if most_words is None else counts.limit(most_words)).select("word").toArrow().column("word").to_pylist()
     words = {w: i + 1 for i, w in enumerate(kept)}
     known = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -221,8 +221,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
 
     added = [F.sum(F.get("v", i)).alias(f"v{i}") for i in range(dims)]
     vectors = index_vectors(kept, dims)
-    for r in sample.mapInArrow(neighbours, "word bigint, v array<bigint>").groupBy("word").agg(*added).collect():
-        vectors[r["word"]] += np.array(r[1:], np.int64)
+    sums = sample.mapInArrow(neighbours, "word bigint, v array<bigint>").groupBy("word").agg(*added).toArrow()
+    at = sums.column("word").to_numpy()
+    for i in range(dims):
+        vectors[at, i] += sums.column(f"v{i}").to_numpy()
     vectors = unit_vectors(vectors)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 

@@ -214,9 +214,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class
                 keep = common[b]
                 yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([b[keep].astype("<i4").tobytes()]), pa.array([w[keep].astype("<f4").tobytes()])], names=["label", "buckets", "weights"])
 
-    rows = sample.mapInArrow(bags, "label int, buckets binary, weights binary").orderBy("buckets", "weights", "label").collect()
-    packed = [(np.frombuffer(r["buckets"], "<i4"), np.frombuffer(r["weights"], "<f4")) for r in rows]
-    return train(packed, [r["label"] for r in rows], ones / n if n else None, least_docs=least)
+    # one partition after the other, so that the JVM never holds them all; in an order that does not hang on the tasks
+    rows = sorted(map(tuple, sample.mapInArrow(bags, "label int, buckets binary, weights binary").toLocalIterator()))
+    packed = [(np.frombuffer(b, "<i4"), np.frombuffer(w, "<f4")) for _, b, w in rows]
+    return train(packed, [y for y, _, _ in rows], ones / n if n else None, least_docs=least)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
