@@ -6,7 +6,9 @@ lacing, and its cues. ``packets``, ``tracks`` and ``cues`` turn a binary column
 timestamps, tracks and byte ranges; ``mux`` stores a payload losslessly as 8-bit mono samples.
 
 Nulls: a null file has no tracks, packets or cues and gives no rows; a file that is not EBML, or is
-cut short, gives the packets before the fault. Equal bytes give equal rows, repeated rows repeat.
+cut short, gives the packets before the fault. Equal bytes give equal rows, repeated rows repeat. A null or empty text is
+stored as 64 zero bytes; a very long one becomes one file of many clusters and is held whole by its task. Extra columns are not
+read, whatever their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -201,7 +203,7 @@ def _laced(frames: list[bytes], lacing: int) -> bytes:
     sizes = [len(f) for f in frames]
     if lacing == 1:
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif lacing == 3:
+    elif lacing == 3 and len(frames) > 1:  # the last size is not written
         head += size_bytes(sizes[0])
         for a, b in zip(sizes, sizes[1:-1]):
             head += size_bytes(b - a + (1 << 13) - 1, 2)

@@ -16,6 +16,15 @@ def test_round_trip(n):
     assert [c["cluster_offset"] for c in x["cues"]] == clusters and all(data[c : c + 4] == b"\x1f\x43\xb6\x75" for c in clusters)
 
 
+def test_round_trip_of_every_number_of_frames():
+    """Whatever lace the last frames fall into, down to a lace of one."""
+    for frames in range(1, 80):
+        for last in (64, 1024):
+            payload = random.Random(frames).randbytes((frames - 1) * 1024 + last)
+            data = m.mux(payload)
+            assert b"".join(data[p["byte_offset"] : p["byte_offset"] + p["byte_length"]] for p in m.parse(data)["packets"]) == payload, (frames, last)
+
+
 def test_ebml_lace_with_uneven_sizes():
     frames = [bytes([i]) * n for i, n in enumerate((300, 5, 900, 70, 1))]
     for lacing in (1, 3):
@@ -59,3 +68,17 @@ def test_query(spark):
     assert m.tracks(media).filter("codec = 'A_PCM/INT/LIT' and bit_depth = 8").count() == 6
     assert m.packets(media).count() == m.packets(media).filter("byte_length > 0").count() == 4 + 2 * 6
     assert m.cues(media).count() == 6
+
+
+def test_long_null_and_repeated_texts_with_clashing_columns(spark):
+    import hashlib
+    import zlib
+
+    rows = [(1, "é" * 700_000, "a", 1), (2, None, "a", 1), (3, "", "a", 1), (1, "é" * 700_000, "a", 1), (None, "x", "a", 1)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, media string, packets int")
+    out = m.payload_digests(df).collect()
+    assert len(out) == len(rows) and m.payload_digests(df.limit(0)).count() == 0
+    for r in out:
+        raw = next((t or "") for d, t, *_ in rows if d == r.doc_id).encode()
+        padded = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
