@@ -10,8 +10,9 @@ aggregated before its shuffle (its smallest and largest document), and the join
 is one that adaptive execution splits. Texts move once, by document.
 
 Nulls: a null text is one empty line; rows with a null id belong to no document: they hold no key and
-keep all lines. Repeated rows of an id are one document and each lose the same lines. An empty table
-gives no rows.
+keep all lines. Repeated rows of an id are one document and each lose the same lines. Very long texts are read
+whole; what a text drops is a list of its line numbers. Ties: the smallest id keeps the line. Extra columns are not read, whatever
+their names; columns to keep may have any name but those of the result. An empty table gives no rows.
 """
 
 from __future__ import annotations

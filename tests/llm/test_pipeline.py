@@ -79,3 +79,29 @@ def test_stages(spark, tmp_path):
         assert sum(p.length for p in after if p.doc_id == d) == n
     assert not any(re.search("!!", r.text or "") for r in before.values())
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect())) == sorted(map(tuple, after))
+
+
+def test_clashing_columns_nulls_repeats_and_long_texts(spark, tmp_path):
+    """Columns called like those of the operators come out as they went in, and so do odd rows."""
+    docs, labels = corpus()
+    extra = "predicted int, score string, kept string, n_lines string, held_out string, h1 string, component_id string, label string, row string, shard string"
+    long = " ".join(words(random.Random(2), 60_000))
+    rows = [(*d, 7, "s", "k", "n", "h", "h1", "c", "l", "r", "sh") for d in [*docs[:120], (docs[3]), (None, "no id here at all", "en", "s", 17), (600, long, "en", "s", len(long)), (500, None, None, None, None)]]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(rows, f"{SCHEMA}, {extra}").write.parquet(f"{tmp_path}/documents.parquet")
+    now = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = now.columns
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        stage(spark, now, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        now = spark.read.parquet(f"{tmp_path}/{name}")
+        assert now.columns == columns
+        got = now.collect()
+        assert {tuple(r)[5:] for r in got} == {(7, "s", "k", "n", "h", "h1", "c", "l", "r", "sh")}
+        assert any(r.doc_id is None for r in got) and any(r.doc_id == 600 for r in got)
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_without_n_chars_and_empty(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
