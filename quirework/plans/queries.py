@@ -15,34 +15,16 @@ from pyspark.sql import functions as F
 from quirework.functions import text as T
 from quirework.operators import ordered as O
 from quirework.operators import relational as R
+from quirework.plans.registry import PLANS, SQL, query, tables
+from quirework.plans.registry import n as _n
 
-Plan = Callable[[Callable[[str], DataFrame]], DataFrame]
-PLANS: dict[str, Plan] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Plan) -> Plan:
-        PLANS[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
-    return lambda name: spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+__all__ = ["PLANS", "SQL", "queries"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, plan=plan: plan(tables(spark, sf_dir))) for name, plan in PLANS.items()}
 
 
-def _n(c="*"):
-    return F.count(c).cast("bigint")
-
-
 def _micros(c: str):
     return F.unix_micros(F.col(c).cast("timestamp"))
 
@@ -368,25 +350,6 @@ def section_map(t):
     )
 
 
-@query(
-    """
-WITH u AS (SELECT l_orderkey AS job_id, count(*) AS units, count(*) FILTER (l_returnflag = 'R') AS failed, count(*) FILTER (l_linestatus = 'O') AS pending FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS job_id, CASE WHEN units IS NULL THEN 'PENDING' WHEN failed > 0 THEN 'FAILED' WHEN pending > 0 THEN 'REVIEW_REQUIRED' WHEN quality IS NULL THEN 'PASSED' WHEN quality = 1 THEN 'RELEASED' ELSE 'REVIEW_REQUIRED' END AS state,
-       CAST(coalesce(failed, 0) AS BIGINT) AS blockers, CAST(coalesce(pending, 0) AS BIGINT) AS reviews
-FROM orders LEFT JOIN u ON job_id = o_orderkey LEFT JOIN labels ON doc_id = o_orderkey
-"""
-)
-def release_state(t):
-    """CMP16: may this job ship; with its blockers and open reviews."""
-    units = t("lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(_n().alias("units"), F.count_if(F.col("l_returnflag") == "R").alias("failed"), F.count_if(F.col("l_linestatus") == "O").alias("pending"))
-    jobs = t("orders").select(F.col("o_orderkey").alias("job_id")).join(units, "job_id", "left").join(t("labels").select(F.col("doc_id").alias("job_id"), "quality"), "job_id", "left")
-    state = (
-        F.when(F.col("units").isNull(), "PENDING").when(F.col("failed") > 0, "FAILED").when(F.col("pending") > 0, "REVIEW_REQUIRED")
-        .when(F.col("quality").isNull(), "PASSED").when(F.col("quality") == 1, "RELEASED").otherwise("REVIEW_REQUIRED")
-    )
-    return jobs.select("job_id", state.alias("state"), F.coalesce("failed", F.lit(0)).alias("blockers"), F.coalesce("pending", F.lit(0)).alias("reviews"))
-
-
 @query("SELECT c_mktsegment, n_name, CAST(count(*) AS BIGINT) AS n FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
 def catalogue_lookup(t):
     """JON27: jobs by the attributes of two dimensions."""
@@ -736,10 +699,10 @@ def review_queue(t):
     )
 
 
-@query("SELECT doc_id, CAST(strpos(lower(text), 'the and') AS INTEGER) AS at FROM documents WHERE contains(lower(text), 'the and')")
+@query("SELECT doc_id, CAST(strpos(lower(text), 'the and') AS INTEGER) AS position FROM documents WHERE contains(lower(text), 'the and')")
 def search_units(t):
     """UI03: units that hold a phrase, whatever its case, and where."""
-    return t("documents").filter(F.contains(F.lower("text"), F.lit("the and"))).select("doc_id", F.instr(F.lower("text"), "the and").alias("at"))
+    return t("documents").filter(F.contains(F.lower("text"), F.lit("the and"))).select("doc_id", F.instr(F.lower("text"), "the and").alias("position"))
 
 
 @query(
@@ -891,3 +854,6 @@ def sentence_units(t):
 
     c = t("conversations").select("conv_id", "turn", F.posexplode(sentence_spans("text")).alias("position", "s"))
     return c.select("conv_id", "turn", "position", "s.start", "s.end", F.md5(F.col("s.sentence").cast("binary")).alias("sentence_md5"))
+
+
+from quirework.plans import package, release  # noqa: E402, F401 - they register their queries
