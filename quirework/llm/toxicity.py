@@ -193,19 +193,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class
     sample = labelled_sample(docs, labels, label, rows_per_class)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, texts = np.zeros(BUCKETS, np.int64), 0
+        seen = np.zeros(BUCKETS, np.int64)
         for _, some in read_texts(batches):
             for t in some:
                 seen[bag(t)[0]] += 1
-                texts += 1
         at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(seen[at], texts))], names=["bucket", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
 
-    counts = sample.mapInArrow(spread, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).collect()  # BUCKETS + 1 rows at most
-    texts = sum(r["n"] for r in counts if r["bucket"] < 0)
-    least = common_enough(texts) if least_docs is None else max(1, least_docs)
+    least = common_enough(sample.count()) if least_docs is None else max(1, least_docs)
+    counts = sample.mapInArrow(spread, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     common = np.zeros(BUCKETS, bool)
-    common[[r["bucket"] for r in counts if r["bucket"] >= 0 and r["n"] >= least]] = True
+    common[counts.select("bucket").toArrow().column("bucket").to_numpy()] = True  # BUCKETS rows at most
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ys, some in read_texts(batches):
