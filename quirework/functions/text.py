@@ -31,7 +31,10 @@ def clean_lines(text: Column) -> Column:
     """Soft hyphens and byte order marks go, lines are squeezed, a line equal to the one before goes."""
     plain = F.regexp_replace(text, "[­﻿]", "")
     lines = F.transform(F.split(plain, "\n", -1), lambda x: F.trim(F.regexp_replace(x, "[ \t]+", " ")))
-    return F.array_join(F.filter(lines, lambda x, i: (i == 0) | ~x.eqNullSafe(F.get(lines, i - 1))), "\n")
+    # each line beside the one before it: one pass, whatever the number of lines
+    pairs = F.zip_with(lines, F.array_prepend(lines, F.lit(None)), lambda x, before: F.struct(x.alias("x"), before.alias("before")))
+    kept = F.filter(pairs, lambda p: p["x"].isNotNull() & ~p["x"].eqNullSafe(p["before"]))
+    return F.array_join(F.transform(kept, lambda p: p["x"]), "\n")
 
 
 def dehyphenated(text: Column) -> Column:

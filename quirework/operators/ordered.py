@@ -47,10 +47,25 @@ def runs(df: DataFrame, by: Cols, order: Cols, value: str, name: str = "run") ->
     return df.withColumn("__changed", changed).withColumn(name, F.sum("__changed").over(so_far(by, order)).cast("bigint")).drop("__changed")
 
 
-def islands(df: DataFrame, by: Cols, number: str) -> DataFrame:
-    """by, first, last, n of each run of consecutive numbers."""
-    at = df.withColumn("__island", F.col(number) - F.row_number().over(_w(by, [number])))
-    return at.groupBy(*by, "__island").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n")).drop("__island")
+#: Numbers of a range within which runs are found; runs that touch its ends are joined afterwards.
+RANGE = 1 << 20
+
+
+def islands(df: DataFrame, by: Cols, number: str, width: int = RANGE) -> DataFrame:
+    """by, first, last, n of each run of consecutive numbers.
+
+    Runs are found within ranges of numbers, so that a group may have any size; only those that touch an end of their
+    range, two a range at most, are looked at again to be joined.
+    """
+    at = df.withColumn("__range", F.floor(F.col(number) / width))
+    at = at.withColumn("__island", F.col(number) - F.row_number().over(_w([*by, "__range"], [number])))
+    parts = at.groupBy(*by, "__range", "__island").agg(F.min(number).alias("first"), F.max(number).alias("last"), F.count("*").alias("n"))
+    touches = (F.pmod("first", F.lit(width)) == 0) | (F.pmod("last", F.lit(width)) == width - 1)
+    edge = parts.filter(touches).withColumn("__new", F.coalesce(F.col("first") != F.lag("last").over(_w(by, ["first"])) + 1, F.lit(True)).cast("int"))
+    edge = edge.withColumn("__run", F.sum("__new").over(so_far(by, ["first"])))
+    joined = edge.groupBy(*by, "__run").agg(F.min("first").alias("first"), F.max("last").alias("last"), F.sum("n").alias("n"))
+    columns = [*by, "first", "last", "n"]
+    return parts.filter(~touches).select(columns).unionAll(joined.select(columns))
 
 
 def changes(df: DataFrame, by: Cols, order: Cols, value: str) -> DataFrame:
@@ -92,20 +107,26 @@ def checkpoints(df: DataFrame, by: Cols, order: Cols, urgent: Column, every: int
     return at.filter((F.pmod("__i", F.lit(every)) == every - 1) | urgent | (F.col("__i") == F.col("__n") - 1)).drop("__i", "__n")
 
 
-def parents(df: DataFrame, by: Cols, position: str, level: str) -> DataFrame:
-    """parent: position of the nearest earlier row with a smaller level (null at the top).
-
-    Each row sees the earlier rows of its group, so groups should be small: the headings of one document.
-    """
+def parents(df: DataFrame, by: Cols, position: str, level: str, levels: list[int]) -> DataFrame:
+    """parent: position of the nearest earlier row with a smaller level (null at the top); ``levels``: all there are."""
     w = before(by, [position])
-    earlier = F.collect_list(F.struct(F.col(position).alias("p"), F.col(level).alias("l"))).over(w)
-    return df.withColumn("parent", F.array_max(F.transform(F.filter(earlier, lambda e: e["l"] < F.col(level)), lambda e: e["p"])))
+    nearest = [F.when(F.col(level) > k, F.last(F.when(F.col(level) == k, F.col(position)), ignorenulls=True).over(w)) for k in levels]
+    return df.withColumn("parent", F.greatest(*nearest, F.lit(None)))
+
+
+def spread_numbered(df: DataFrame, by: Cols, order: str, name: str, width: int = RANGE) -> DataFrame:
+    """1, 2, … in order of a whole number within each group, of any size: counted by ranges of the number first."""
+    at = df.withColumn("__range", F.floor(F.col(order) / width))
+    counts = at.groupBy(*by, "__range").agg(F.count("*").alias("__n"))
+    counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before(by, ["__range"])), F.lit(0))).drop("__n")
+    ranked = at.join(counts, [*by, "__range"]).withColumn(name, F.row_number().over(_w([*by, "__range"], [order])) + F.col("__before"))
+    return ranked.drop("__range", "__before")
 
 
-def kth_occurrence(df: DataFrame, key: str, order: Cols, records: DataFrame, record_order: Cols) -> DataFrame:
+def kth_occurrence(df: DataFrame, key: str, order: str, records: DataFrame, record_order: str) -> DataFrame:
     """Joins the k-th row of a key with the k-th record of that key; the last record serves all further rows."""
-    right = records.withColumns({"__k": F.row_number().over(_w([key], record_order)), "__n": F.count("*").over(Window.partitionBy(key))})
-    counts = right.groupBy(key).agg(F.max("__n").alias("__n"))
-    left = df.withColumn("__row", F.row_number().over(_w([key], order))).join(counts, key, "left")
+    right = spread_numbered(records, [key], record_order, "__k")
+    counts = records.groupBy(key).agg(F.count("*").alias("__n"))
+    left = spread_numbered(df, [key], order, "__row").join(counts, key, "left")
     left = left.withColumn("__k", F.least("__row", "__n")).drop("__row", "__n")
-    return left.join(right.drop("__n"), [key, "__k"], "left").drop("__k")
+    return left.join(right, [key, "__k"], "left").drop("__k")

@@ -83,10 +83,10 @@ def bag_difference(source: DataFrame, produced: DataFrame, dropped: DataFrame |
     return out.filter("missing > 0 or added > 0")
 
 
-def first_of_key(df: DataFrame, key: str, order: Cols) -> DataFrame:
-    """owner, hit: the first row of a content key makes it, later ones reuse it."""
-    w = Window.partitionBy(key).orderBy(*order)
-    return df.withColumns({"owner": F.first(order[0]).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)), "hit": F.row_number().over(w) > 1})
+def first_of_key(df: DataFrame, key: str, order: str) -> DataFrame:
+    """owner, hit: the smallest row of a content key makes it, the others reuse it; the owner is aggregated, then joined, so a hot key is split."""
+    owners = df.groupBy(key).agg(F.min(order).alias("owner"))
+    return df.join(owners, key).withColumn("hit", F.col(order) > F.col("owner"))
 
 
 def overlay(base: DataFrame, edits: DataFrame, slot: str, text: str) -> DataFrame:

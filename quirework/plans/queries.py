@@ -144,14 +144,14 @@ def phonetic_keys(t):
 @query(
     r"""
 SELECT doc_id, CAST(concat('0x', substr(sha256(text || chr(0) || 'take=2'), 1, 8)) AS BIGINT) AS seed,
-       left(trim(regexp_replace(regexp_replace(translate(left(text, 60), 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN'), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')), 80) AS file_name
+       left(trim(regexp_replace(regexp_replace(translate(text, 'áéíóúüñÁÉÍÓÚÜÑ', 'aeiouunAEIOUUN'), '[^A-Za-z0-9._-]+', '_', 'g'), '^_+|_+$', '', 'g')), 80) AS file_name
 FROM documents WHERE text IS NOT NULL
 """
 )
 def take_seeds(t):
-    """NUM36, STR13: seed of a unit's second take, and a safe file name from its beginning."""
+    """NUM36, STR13: seed of a unit's second take, and a safe file name of eighty characters at most."""
     d = t("documents").filter("text is not null")
-    return d.select("doc_id", T.take_seed(F.col("text"), F.lit(2)).alias("seed"), T.safe_name(F.left("text", F.lit(60))).alias("file_name"))
+    return d.select("doc_id", T.take_seed(F.col("text"), F.lit(2)).alias("seed"), T.safe_name(F.col("text")).alias("file_name"))
 
 
 # ---------------------------------------------------------------- multisets and coverage
@@ -214,12 +214,12 @@ def overproduced_texts(t):
 
 @query(
     """
-SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))) AS owner, row_number() OVER (PARTITION BY md5(coalesce(text, '')) ORDER BY doc_id) > 1 AS hit FROM documents
+SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))) AS owner, doc_id > min(doc_id) OVER (PARTITION BY md5(coalesce(text, ''))) AS hit FROM documents
 """
 )
 def cache_dedupe(t):
     """EVT06: the first document of a content key makes it, the others reuse it."""
-    return R.first_of_key(_text_key(t("documents")).select("doc_id", "key"), "key", ["doc_id"]).select("doc_id", "owner", "hit")
+    return R.first_of_key(_text_key(t("documents")).select("doc_id", "key"), "key", "doc_id").select("doc_id", "owner", "hit")
 
 
 @query("SELECT conv_id, sha256(string_agg(role || ':' || text, chr(10) ORDER BY turn)) AS fingerprint, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY conv_id")
@@ -488,7 +488,7 @@ SELECT a.conv_id, a.turn, max(b.turn) AS parent FROM conversations a LEFT JOIN c
 def heading_parents(t):
     """WIN12: the nearest earlier entry of a smaller level."""
     c = t("conversations").select("conv_id", "turn", (F.length("text") % 4).alias("level"))
-    return O.parents(c, ["conv_id"], "turn", "level").select("conv_id", "turn", "parent")
+    return O.parents(c, ["conv_id"], "turn", "level", [0, 1, 2, 3]).select("conv_id", "turn", "parent")
 
 
 @query(
@@ -533,7 +533,7 @@ def nth_occurrence_join(t):
     """JON03, JON04: the k-th copy of a text takes the k-th record, the last one serves the rest."""
     docs = _text_key(t("documents")).select("doc_id", "source", "key")
     records = docs.filter("source <> 'src1'").select("key", F.col("doc_id").alias("record_id"))
-    return O.kth_occurrence(docs.select("doc_id", "key"), "key", ["doc_id"], records, ["record_id"]).select("doc_id", "record_id")
+    return O.kth_occurrence(docs.select("doc_id", "key"), "key", "doc_id", records, "record_id").select("doc_id", "record_id")
 
 
 @query(
@@ -568,14 +568,14 @@ def as_of_join(t):
 
 @query(
     """
-WITH u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, left(text, 1) AS expected FROM conversations WHERE role = 'user'),
-a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, left(text, 1) AS actual FROM conversations WHERE role = 'assistant')
+WITH u AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, md5(text) AS expected FROM conversations WHERE role = 'user'),
+a AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position, md5(text) AS actual FROM conversations WHERE role = 'assistant')
 SELECT conv_id, CAST(position AS BIGINT) AS position, expected, actual FROM u FULL JOIN a USING (conv_id, position) WHERE expected IS DISTINCT FROM actual
 """
 )
 def positional_full_outer(t):
     """JON16, JON19: the i-th expected against the i-th actual."""
-    c = t("conversations").select("conv_id", "turn", "role", F.left("text", F.lit(1)).alias("value"))
+    c = t("conversations").select("conv_id", "turn", "role", F.md5(F.col("text").cast("binary")).alias("value"))
     return R.positional_diff(c.filter("role = 'user'"), c.filter("role = 'assistant'"), ["conv_id"], ["turn"], "value")
 
 
@@ -776,65 +776,11 @@ def structure_checks(t):
 # ---------------------------------------------------------------- kernels without SQL
 
 
-@query()
-def spoken_form(t):
-    """NUM01: spoken form of the Spanish documents, with what changed and what is ambiguous."""
-    from quirework.functions.spanish import spoken_form as spoken
-
-    d = t("documents").filter("lang = 'es' and text is not null").select("doc_id", spoken("text").alias("s"))
-    return d.select("doc_id", F.sha2(F.col("s.spoken").cast("binary"), 256).alias("spoken_sha256"), F.size("s.changes").alias("changes"), F.size("s.flags").alias("flags"))
-
-
-def _turn_pairs(t) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = t("conversations").select("conv_id", "turn", "role", "text", F.lead("text").over(w).alias("heard"))
-    return c.filter("role = 'user' and heard is not null").select("conv_id", "turn", F.col("text").alias("expected"), "heard")
-
-
-@query()
-def wer_pairs(t):
-    """CMP04, CMP05: error counts of each answer against its question."""
-    from quirework.functions.compare import rates
-
-    return _turn_pairs(t).select("conv_id", "turn", rates("expected", "heard").alias("r")).select("conv_id", "turn", "r.*")
 
 
-@query()
-def verdicts(t):
-    """CMP01, CMP06, CMP12: verdict and decision of each pair."""
-    from quirework.functions.compare import comparison, diagnosis
-
-    c = _turn_pairs(t).select("conv_id", "turn", comparison("expected", "heard").alias("c"))
-    c = c.withColumn("d", diagnosis(F.col("c"), F.lit(None).cast("struct<verdict:string>"), F.lit(False), F.lit(1)))
-    return c.select("conv_id", "turn", "c.verdict", "c.confidence", F.size("c.issues").alias("issues"), "d.*")
 
 
-@query()
-def html_blocks(t):
-    """SRC08: blocks of the pages in order, and what was dropped with its reason."""
-    from quirework.sources.books import paragraphs
 
-    files = t("pages").select(F.concat(F.col("page_id"), F.lit(".html")).alias("path"), F.col("html").cast("binary").alias("content"))
-    return paragraphs(files).select(F.split("path", r"\.")[0].cast("bigint").alias("page_id"), "ordinal", "kind", "level", "text", "dropped_because")
-
-
-@query()
-def section_plan(t):
-    """PRJ03: each document's lines as sections, classified and included or not."""
-    from quirework.plans.sections import section_plan as plan
-
-    d = t("documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("section", "line"))
-    d = d.select("doc_id", "section", F.left("line", F.lit(60)).alias("title"), F.array("line").alias("paragraphs"), F.lit(True).alias("generated"))
-    return plan(d)
-
-
-@query()
-def nav_sections(t):
-    """AGG25: navigation sections of each document by length."""
-    from quirework.plans.sections import navigation
-
-    d = t("documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    return navigation(d.select("doc_id", "pos", F.size(T.words(F.col("line"))).alias("words")), "doc_id", "pos", "words")
 
 
 @query()
@@ -847,13 +793,5 @@ def take_states(t):
     return states(e.select(F.col("user_id").cast("string").alias("unit_id"), F.col("take").cast("int").alias("take"), verdict.alias("verdict"), (F.col("event_type") == "error").alias("problem")))
 
 
-@query()
-def sentence_units(t):
-    """SEG04, SEG05: sentences of the conversations' turns, with exact offsets."""
-    from quirework.functions.segments import sentence_spans
-
-    c = t("conversations").select("conv_id", "turn", F.posexplode(sentence_spans("text")).alias("position", "s"))
-    return c.select("conv_id", "turn", "position", "s.start", "s.end", F.md5(F.col("s.sentence").cast("binary")).alias("sentence_md5"))
-
 
-from quirework.plans import package, release  # noqa: E402, F401 - they register their queries
+from quirework.plans import contents, numerals, package, records, release, texts  # noqa: E402, F401 - they register their queries

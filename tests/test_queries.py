@@ -32,11 +32,14 @@ def test_matches_sql(spark, duck, name):
     df = Q.queries()[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
-    rel = duck.sql(f"SELECT {', '.join(cols)} FROM ({Q.SQL[name].strip()})")
-    assert sorted(rel.columns) == cols
+    quoted = ", ".join(f'"{c}"' for c in cols)
+    assert sorted(duck.sql(Q.SQL[name].strip()).columns) == cols
+    rel = duck.sql(f"SELECT {quoted} FROM ({Q.SQL[name].strip()})")
     want = sorted((tuple(plain(v) for v in r) for r in rel.fetchall()), key=repr)
     assert got == want
 
 
-def test_no_query_without_rows(spark):
-    assert all(callable(f) for f in Q.queries().values())
+def test_most_queries_find_something(spark):
+    """A rule that finds nothing in the test tables is not tested by them."""
+    silent = [name for name in sorted(Q.PLANS) if not Q.queries()[name](spark, DATA).limit(1).collect()]
+    assert silent == []

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from quirework.operators import ordered as O
 from quirework.operators import relational as R
-from quirework.sources.store import Store, job_report, unit_log
 from quirework.streaming import events as E
 
 
@@ -13,32 +12,6 @@ def at(n):
     return dt.datetime(2026, 1, 1) + dt.timedelta(minutes=n)
 
 
-def test_store(spark, tmp_path):
-    s = Store(spark, str(tmp_path))
-    assert s.latest("jobs").count() == 0
-    job = spark.createDataFrame([("j1", "queued", "Libro", at(0))], "job_id string, state string, title string, updated_at timestamp")
-    units = spark.createDataFrame([("j1", f"u{i}", 0, i, "pending", f"texto {i}", at(0)) for i in (2, 1)], "job_id string, unit_id string, chapter_index int, sequence int, state string, text string, updated_at timestamp")
-    s.create_job(job, units)
-    s.append("units", units.filter("unit_id = 'u1'").withColumns({"state": F.lit("verified"), "updated_at": F.lit(at(5))}))
-    assert [(r.unit_id, r.state) for r in s.job_units("j1").collect()] == [("u1", "verified"), ("u2", "pending")]
-    assert '"verified":1' in job_report(s.latest("jobs"), s.latest("units")).first().report
-    assert unit_log(s.latest("units")).first().log.split("\n")[0].startswith("000.0001  verified")
-    with pytest.raises(ValueError, match="no columns"):
-        s.append("jobs", job.withColumn("oops", F.lit(1)))
-
-
-def test_lexicon_and_drafts(spark, tmp_path):
-    s = Store(spark, str(tmp_path))
-    terms = lambda *rows: spark.createDataFrame(rows, "term string, pronunciation string")
-    s.set_terms(terms(("ONCE", "once"), ("Washington", "uásinton")))
-    s.set_terms(terms(("once", "ONZE")))
-    assert [tuple(r) for r in s.lexicon().collect()] == [("Washington", "uásinton"), ("once", "ONZE")]
-    assert s.delete_term("ONCE") and not s.delete_term("nada") and s.lexicon().count() == 1
-    with pytest.raises(ValueError):
-        s.set_terms(terms((" ", "x")))
-    assert s.save_draft("d", "{}", 0) == 1 and s.save_draft("d", "{}", 0) is None and s.save_draft("d", "{}", 1) == 2
-
-
 TAKES = [("a", 1, "likely_error", False), ("a", 2, "verified", False), ("b", 1, "likely_error", False), ("b", 2, "verified", True), ("b", 3, "likely_error", False), ("b", 4, "verified", False), ("c", 1, "ambiguous", False), ("c", 2, "verified", False)]
 WANT = [("a", 1, "retake", 1), ("a", 2, "verified", 1), ("b", 1, "retake", 1), ("b", 2, "retake", 2), ("b", 3, "needs_human_review", 2), ("c", 1, "accept_flagged", 0)]
 SCHEMA = "unit_id string, take int, verdict string, problem boolean"
