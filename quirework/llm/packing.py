@@ -29,12 +29,13 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_texts, materialise, slices
+from ._common import map_texts, materialise
 
 WINDOW = 2048
 #: Rests of a shard (about).
@@ -166,25 +167,26 @@ class Bm25:
         shared = np.flatnonzero(df[term] > 1)
         by_doc = shared[np.argsort(docs[shared], kind="stable")]
         self.terms, self.at = term[by_doc], np.searchsorted(docs[by_doc], np.arange(n + 1))
-        self.n, self.distinct = n, len(df)
-        self._index(term[shared], docs[shared], weights[shared])
-
-    def _index(self, term: np.ndarray, docs: np.ndarray, weights: np.ndarray) -> None:
-        """Postings, term by term."""
-        self.term, self.docs, self.weights = term, docs, weights
-        self.begin = np.searchsorted(term, np.arange(self.distinct + 1))
-        self.held = np.unique(docs).size
+        self.n, self.distinct, self.frequent = n, len(df), np.zeros(len(df), bool)
+        # a term of many documents is a row of weights, any other a list of postings
+        self.frequent[df > max(1, n // 16)] = True
+        self.place = np.cumsum(self.frequent) - 1
+        often = shared[self.frequent[term[shared]]]
+        self.rows = np.zeros((int(self.frequent.sum()), n))
+        self.rows[self.place[term[often]], docs[often]] = weights[often]
+        rare = shared[~self.frequent[term[shared]]]
+        self.docs, self.weights = docs[rare], weights[rare]
+        self.begin = np.searchsorted(term[rare], np.arange(self.distinct + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first; ties by place."""
-        if 2 * np.count_nonzero(unused) < self.held:  # used ones go from the postings
-            keep = unused[self.docs]
-            self._index(self.term[keep], self.docs[keep], self.weights[keep])
         lists = self.terms[self.at[seed] : self.at[seed + 1]]
+        often = self.frequent[lists]
+        scores = self.rows[self.place[lists[often]]].sum(axis=0)
+        lists = lists[~often]
         total = self.begin[lists + 1] - self.begin[lists]
-        n = int(total.sum())
-        at = np.repeat(self.begin[lists] - (np.cumsum(total) - total), total) + np.arange(n)
-        scores = np.bincount(self.docs[at], self.weights[at], self.n)
+        at = np.repeat(self.begin[lists] - (np.cumsum(total) - total), total) + np.arange(int(total.sum()))
+        scores += np.bincount(self.docs[at], self.weights[at], self.n)
         found = np.flatnonzero((scores > 0) & unused)
         return found[np.argsort(-scores[found], kind="stable")]
 
@@ -229,18 +231,14 @@ def fill(rests: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]
     return out
 
 
-def _distinct_terms(batch: pa.RecordBatch, vocabulary: int) -> tuple[np.ndarray, np.ndarray]:
-    """(place of the rest in the batch, term) of a batch's rests."""
-    dtype = "<u4" if len(batch) and batch.column("width")[0].as_py() == 4 else "<u2"
-    rests = [np.frombuffer(r, dtype) for r in batch.column("rest").to_pylist()]
-    term = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
-    key = np.unique(np.repeat(np.arange(len(rests)), [len(r) for r in rests]) * vocabulary + term)
-    return key // vocabulary, key % vocabulary
-
-
-def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        yield from slices(whole, "rest")
+def _distinct_terms(rests: list[bytes], dtype, vocabulary: int) -> list[bytes]:
+    """Distinct terms of each rest, ascending, packed."""
+    sizes = [len(r) // np.dtype(dtype).itemsize for r in rests]
+    key = np.unique(np.repeat(np.arange(len(rests)), sizes) * vocabulary + np.frombuffer(b"".join(rests), dtype))
+    terms = (key % vocabulary).astype(dtype).tobytes()
+    width = np.dtype(dtype).itemsize
+    cuts = (np.searchsorted(key, np.arange(len(rests) + 1) * vocabulary) * width).tolist()
+    return [terms[a:b] for a, b in zip(cuts, cuts[1:])]
 
 
 class Deal:
@@ -251,13 +249,17 @@ class Deal:
         self.rests = np.where((frequency > 1) & (frequency <= shard), frequency, 0)
         self.shard, self.first, self.splits = shard, np.zeros(len(frequency) + 1, np.int64), np.ones(len(frequency) + 1, np.int64)
 
-    def keys(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Of each rest the term it is dealt by; one past the vocabulary if it has none."""
-        place, term = _distinct_terms(batch, len(self.rests))
-        out = np.full(len(batch), len(self.rests), np.int64)
-        order = np.lexsort((-term, self.rests[term], place))
-        order = order[self.rests[term[order]] > 0]
-        out[place[order]] = term[order]  # the last one of each rest stays
+    def keys(self, packed: list[bytes], dtype) -> np.ndarray:
+        """Of each rest, given its distinct terms, the term it is dealt by; one past the vocabulary if it has none."""
+        sizes = np.array([len(p) for p in packed], np.int64) // np.dtype(dtype).itemsize
+        term = np.frombuffer(b"".join(packed), dtype).astype(np.int64)
+        # the larger count wins, of equal ones the smaller term
+        worth = self.rests[term] * len(self.rests) + (len(self.rests) - 1 - term)
+        out = np.full(len(packed), len(self.rests), np.int64)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            best = np.maximum.reduceat(worth, (np.cumsum(sizes) - sizes)[some])
+            out[some] = np.where(best >= len(self.rests), len(self.rests) - 1 - best % len(self.rests), len(self.rests))
         return out
 
     def plan(self, counts: list[tuple[int, int]]) -> None:
@@ -278,6 +280,10 @@ class Deal:
 
 def pack(df: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WINDOW, shard: int = SHARD, text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece (see PIECE); ``with_ids`` adds the piece's ids (array<int>)."""
+    from tokenizers import Tokenizer
+
+    vocabulary = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1)
+    dtype = "<u2" if vocabulary <= 1 << 16 else "<u4"
 
     def make():
         import os
@@ -296,44 +302,40 @@ def pack(df: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WIND
                 counts.append(n)
                 whole.append(packed[: cut * width] if with_ids else b"".join(zlib.crc32(np.frombuffer(packed, encode.dtype, window, i * width).astype("<u4")).to_bytes(4, "little") for i in range(0, cut, window)))
                 rest.append(np.frombuffer(packed, encode.dtype, n - cut, cut * width).astype("<u4" if width == 4 else "<u2").tobytes())
-            return [counts, whole, rest, [width] * len(texts)]
+            return [counts, whole, rest, _distinct_terms(rest, "<u4" if width == 4 else "<u2", vocabulary), [width] * len(texts)]
 
         return run
 
     src = df.select(F.col("doc_id").cast("bigint").alias("doc_id"), text)
-    encoded = map_texts(src, make, "doc_tokens bigint, whole binary, rest binary, width int", text, ["doc_id"])
+    encoded = map_texts(src, make, "doc_tokens bigint, whole binary, rest binary, terms binary, width int", text, ["doc_id"])
     # a row's number is fixed by writing it; by it repeated rows are told apart
     ids = materialise(encoded.withColumn("row", F.monotonically_increasing_id()), "packed-ids")
-    from tokenizers import Tokenizer
-
-    vocabulary = max(Tokenizer.from_file(tokenizer_file).get_vocab_size(), end_id + 1)
+    frequency = np.zeros(vocabulary, np.int64)
 
-    def frequencies(batches):
+    def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(vocabulary, np.int64)
-        for b in _rests(batches):
-            np.add.at(seen, _distinct_terms(b, vocabulary)[1], 1)
+        for b in batches:
+            seen += np.bincount(np.frombuffer(b"".join(b.column("terms").to_pylist()), dtype), minlength=vocabulary)
         at = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["term", "n"])
 
-    frequency = np.zeros(vocabulary, np.int64)
-    for r in ids.select("rest", "width").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
+    # as many rows as the vocabulary has, at most; so are the counts of keys
+    for r in ids.select("terms").mapInArrow(frequencies, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect():
         frequency[r["term"]] = r["n"]
     deal = Deal(frequency, shard)
 
-    def keys_of(batches):
-        for b in _rests(batches):
-            keys, counts = np.unique(deal.keys(b), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["term", "n"])
+    @F.pandas_udf("bigint")
+    def key_of(terms: pd.Series) -> pd.Series:
+        return pd.Series(deal.keys(terms.tolist(), dtype))
 
-    counts = ids.select("rest", "width").mapInArrow(keys_of, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    deal.plan([(r["term"], r["n"]) for r in counts])
+    deal.plan([(r["key"], r["count"]) for r in ids.select(key_of("terms").alias("key")).groupBy("key").count().collect()])
 
-    def with_shard(batches):
-        for b in _rests(batches):
-            shards = deal(deal.keys(b), b.column("row").to_numpy())
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(shards, pa.int64())], names=[*b.schema.names, "shard"])
+    @F.pandas_udf("bigint")
+    def shard_of(terms: pd.Series, rows: pd.Series) -> pd.Series:
+        return pd.Series(deal(deal.keys(terms.tolist(), dtype), rows.to_numpy()))
 
-    dealt = ids.mapInArrow(with_shard, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in ids.schema) + ", shard bigint")
+    # only the terms go through Python here
+    dealt = ids.withColumn("shard", shard_of("terms", "row")).drop("terms")
 
     def place(group: pa.Table) -> pa.Table:
         return _pack_shard(group, window, with_ids)
