@@ -120,7 +120,7 @@ GROUP BY source, mask, docs HAVING count(DISTINCT doc_id) >= greatest(3, CAST(fl
 """
 )
 def repeated_lines(t):
-    """AGG11: masked lines that repeat over a source's documents."""
+    """Masked lines that repeat over a source's documents; running_heads has the rule for page edges."""
     docs = t("documents").filter("text is not null")
     sizes = docs.groupBy("source").agg(_n().alias("docs"))
     lines = docs.select("doc_id", "source", F.explode(F.split("text", "\n", -1)).alias("line"))
@@ -438,7 +438,7 @@ FROM (SELECT event_type, event_id, event_id - row_number() OVER (PARTITION BY ev
 """
 )
 def photo_runs(t):
-    """SRC30: runs of consecutive numbers."""
+    """Runs of consecutive numbers of each kind."""
     return O.islands(t("events").select("event_type", "event_id"), ["event_type"], "event_id")
 
 
@@ -661,7 +661,7 @@ def months(t):
 
 @query("SELECT page_id, coalesce(nullif(regexp_extract(html, '<html lang=\"([a-z]+)\"', 1), ''), 'und') AS lang, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, CAST(len(regexp_extract_all(html, '<p>')) AS INTEGER) AS paragraphs FROM pages")
 def page_profiles(t):
-    """SRC09, SRC17: language, title and blocks of a page, by built-ins."""
+    """Language, title and blocks of a page, by built-ins."""
     lang = F.regexp_extract("html", '<html lang="([a-z]+)"', 1)
     return t("pages").select("page_id", F.coalesce(F.nullif(lang, F.lit("")), F.lit("und")).alias("lang"), F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.regexp_count("html", F.lit("<p>")).alias("paragraphs"))
 
@@ -729,7 +729,7 @@ SELECT user_id, event_id FROM (SELECT user_id, event_id, value, max(value) OVER
 """
 )
 def navigation_breaks(t):
-    """WIN09, AGG17: entries that run backwards."""
+    """Rows whose value is below one seen before."""
     most = F.max("value").over(O.before(["user_id"], ["ts", "event_id"]))
     return t("events").withColumn("most", most).filter("value < most").select("user_id", "event_id")
 
@@ -741,7 +741,7 @@ SELECT conv_id, turn, CAST(own AS BIGINT) AS own, CAST(declared AS BIGINT) AS de
 """
 )
 def declared_totals(t):
-    """AGG21, CMP25: own running totals against declared ones, with a tolerance."""
+    """Own running totals against declared ones, with a wide tolerance; timing_checks has the checks of a package."""
     c = O.running(t("conversations"), ["conv_id"], ["turn"], F.length("text"), "own", inclusive=False).withColumn("declared", F.col("turn") * 300)
     return c.filter(F.abs(F.col("own") - F.col("declared")) > 150).select("conv_id", "turn", F.col("own").cast("bigint").alias("own"), "declared")
 
@@ -753,7 +753,7 @@ WHERE value >= 1 AND CAST(round(value * 100) AS BIGINT) * 2 * n > 5 * total
 """
 )
 def slow_words(t):
-    """CMP13: rows far longer than their speaker's own pace."""
+    """CMP13: rows of a second or more that take over two and a half times their speaker's mean."""
     e = t("events").withColumn("c", F.round(F.col("value") * 100).cast("bigint"))
     pace = e.groupBy("user_id").agg(F.sum("c").alias("total"), _n().alias("n"))
     return e.join(pace, "user_id").filter((F.col("value") >= 1) & (F.col("c") * 2 * F.col("n") > 5 * F.col("total"))).select("user_id", "event_id")
@@ -766,7 +766,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS positi
 """
 )
 def structure_checks(t):
-    """CMP26-29, CMP34, CMP35, AGG22: numbers run from the start, kinds, and what closes."""
+    """Numbers run from the start, kinds, and what closes a conversation; the checks of a package are in package.py."""
     c = O.numbered(t("conversations"), ["conv_id"], ["turn"], "position")
     return c.groupBy("conv_id").agg(
         _n().alias("turns"), (F.count_if(F.col("position") != F.col("turn") + 1) == 0).alias("numbered"), F.countDistinct("role").alias("roles"), (F.max_by("role", "turn") == "assistant").alias("closed"),
@@ -794,4 +794,4 @@ def take_states(t):
 
 
 
-from quirework.plans import contents, numerals, package, records, release, texts  # noqa: E402, F401 - they register their queries
+from quirework.plans import assembly, contents, numerals, package, records, release, speech, texts  # noqa: E402, F401 - they register their queries
