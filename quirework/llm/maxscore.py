@@ -29,6 +29,8 @@ from ._common import materialise
 
 #: Vectors of a shard and queries of a block, at most; both hold at most BYTES of numbers. Postings of a block.
 SHARD, QUERIES, BYTES, BLOCK = 8192, 16_384, 32 << 20, 64
+#: Terms that are probed together.
+TOGETHER = 8
 LEAST = np.iinfo(np.int64).min // 4
 
 
@@ -59,14 +61,15 @@ class Index:
         self.sorted = np.take_along_axis(self.columns, self.order, axis=1)
         self.low, self.high = self.sorted[:, 0], self.sorted[:, -1]
 
-    def _head(self, d: int, q: int, level: int) -> np.ndarray:
-        """Vectors in the blocks of a list that hold a posting worth more than ``level``."""
+    def _length(self, d: int, q: int, level: int) -> int:
+        """How many vectors lie in the blocks of a list that hold a posting worth more than ``level``."""
         # q * x > level, and whole blocks of it
-        if q > 0:
-            n = self.n - int(np.searchsorted(self.sorted[d], level // q, side="right"))
-            return self.order[d, self.n - min(self.n, -(-n // BLOCK) * BLOCK) :]
-        n = int(np.searchsorted(self.sorted[d], -(level // -q), side="left"))
-        return self.order[d, : min(self.n, -(-n // BLOCK) * BLOCK)]
+        n = self.n - int(np.searchsorted(self.sorted[d], level // q, side="right")) if q > 0 else int(np.searchsorted(self.sorted[d], -(level // -q), side="left"))
+        return min(self.n, -(-n // BLOCK) * BLOCK)
+
+    def _head(self, d: int, q: int, length: int) -> np.ndarray:
+        """The first vectors of a list in order of impact."""
+        return self.order[d, self.n - length :] if q > 0 else self.order[d, :length]
 
     def search(self, q: np.ndarray, k: int, theta: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
         """Rows of exact scores; none of the best k is missing that reaches ``theta``."""
@@ -76,9 +79,10 @@ class Index:
             return np.arange(self.n), np.zeros(self.n, np.int64)
         q = q[terms]
         most, least = np.maximum(q * self.high[terms], q * self.low[terms]), np.minimum(q * self.high[terms], q * self.low[terms])
-        first = int(np.argmax(most - least))
-        seeds = self._head(terms[first], int(q[first]), int(np.partition(q[first] * self.columns[terms[first]], max(self.n - 4 * k, 0))[max(self.n - 4 * k, 0)]) - 1)
-        theta = max(theta, self._kth(self.vectors[seeds][:, terms] @ q, k))
+        if theta == LEAST:  # the first shard: the vectors of most impact in one list give a first threshold
+            first = int(np.argmax(most - least))
+            seeds = self._head(terms[first], int(q[first]), min(self.n, 4 * k))
+            theta = self._kth(self.vectors[seeds][:, terms] @ q, k)
         # non-essential: the terms with the smallest bounds, while their bounds together stay below theta
         by_bound = np.argsort(most, kind="stable")
         sums = np.cumsum(most[by_bound])
@@ -86,22 +90,30 @@ class Index:
         if split == len(terms):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)  # all terms together stay below it
         essential, left = by_bound[split:], theta - 1 - int(sums[split - 1] if split else 0)
-        met = np.zeros(self.n, bool)
         whole = int(most[essential].sum())
-        for t in essential.tolist():
-            met[self._head(terms[t], int(q[t]), int(most[t]) * left // whole if whole > 0 and left >= 0 else LEAST)] = True
-        rows, scores = np.flatnonzero(met), None
+        level = lambda t: int(most[t]) * left // whole if whole > 0 and left >= 0 else LEAST
+        heads = [(terms[t], int(q[t]), self._length(terms[t], int(q[t]), level(t))) for t in essential.tolist()]
+        if sum(h[2] for h in heads) < self.n:
+            met = np.zeros(self.n, bool)
+            for h in heads:
+                met[self._head(*h)] = True
+            rows = np.flatnonzero(met)
+        else:  # together they are no fewer than all vectors
+            rows = np.arange(self.n)
+        # probing, widest bounds first; what can no longer reach theta goes
         order = np.argsort(-(most - least), kind="stable")
         rest = np.concatenate([np.cumsum(most[order][::-1])[::-1], [0]])
         floor = np.concatenate([np.cumsum(least[order][::-1])[::-1], [0]])
         scores = np.zeros(len(rows), np.int64)
-        for i, t in enumerate(order.tolist()):
-            scores = scores + q[t] * self.columns[terms[t]][rows]
-            if i % 4 == 3:
-                theta = max(theta, self._kth(scores, k) + int(floor[i + 1]))
-                keep = scores + rest[i + 1] >= theta
-                if 4 * np.count_nonzero(keep) < 3 * len(rows):
-                    rows, scores = rows[keep], scores[keep]
+        for i in range(0, len(order), TOGETHER):
+            some = order[i : i + TOGETHER]
+            columns = self.columns[terms[some]]
+            scores = scores + q[some] @ (columns if len(rows) == self.n else columns[:, rows])
+            end = min(i + TOGETHER, len(order))
+            theta = max(theta, self._kth(scores, k) + int(floor[end]))
+            keep = scores + rest[end] >= theta
+            if 4 * np.count_nonzero(keep) < 3 * len(rows):
+                rows, scores = rows[keep], scores[keep]
         keep = scores >= theta
         return rows[keep], scores[keep]
 

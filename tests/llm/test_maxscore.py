@@ -33,7 +33,7 @@ def test_only_competitive_blocks_are_traversed(monkeypatch):
     q[:10] = [50, 2, 1, 1, 1, 1, 1, 1, 1, 1]
     index, heads = maxscore.Index(v), []
     head = index._head
-    monkeypatch.setattr(index, "_head", lambda d, x, level: heads.append((int(d), len(h := head(d, x, level)))) or h)
+    monkeypatch.setattr(index, "_head", lambda d, x, length: heads.append((int(d), length)) or head(d, x, length))
     rows, scores = index.search(q, 5, 4500)
     assert sorted(scores)[-5:] == sorted(v @ q)[-5:] and {d for d, _ in heads} == {0}
     assert all(n <= 2 * maxscore.BLOCK for _, n in heads) and np.count_nonzero(v[:, 0]) > 100
