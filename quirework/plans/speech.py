@@ -253,3 +253,134 @@ def diagnoses(t):
         .when(c("take") <= 2, "retake").otherwise("needs_human_review")
     )
     return s.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", c("best.reference").alias("reference"), verdict.alias("verdict"), origin.alias("origin"), action.alias("action"))
+
+
+# ---------------------------------------------------------------- whole texts: changes, flags, phrases
+
+_SENTENCE = "'El ' || event_id || ' y ' || (user_id * 1001) || ' & ' || (event_id % 7) || ' son + de ' || coalesce(props, '')"
+
+
+def _words_sql(body: str) -> str:
+    return f"array_to_string(list_transform(string_split({body}, ' '), lambda w: CASE WHEN regexp_matches(w, '^[0-9]{{1,9}}$') THEN {_cardinal_sql('CAST(w AS BIGINT)', 'n')} ELSE w END), ' ')"
+
+
+@query(f"SELECT event_id, {_words_sql('written')} AS spoken FROM (SELECT event_id, {_SENTENCE} AS written FROM events)")
+def numbers_in_text(t):
+    """NUM09, NUM23: the whole numbers of a text in words, all else as it was."""
+    word = lambda w: F.when(w.rlike("^[0-9]{1,9}$"), N.cardinal(w.try_cast("bigint"))).otherwise(w)
+    return t("events").select("event_id", F.expr(_SENTENCE).alias("written")).select("event_id", F.array_join(F.transform(F.split("written", " "), word), " ").alias("spoken"))
+
+
+# Signs that are read.
+SIGNS_READ = [("&", "y"), ("+", "más"), ("=", "igual a"), ("×", "por"), ("§", "párrafo")]
+
+
+def _signs_sql(c: str) -> str:
+    for sign, word in SIGNS_READ:
+        c = f"replace({c}, ' {sign} ', ' {word} ')"
+    return c
+
+
+@query(f"SELECT event_id, {_signs_sql('written')} AS spoken, CAST(len(regexp_extract_all(written, ' [&+=×§] ')) AS INTEGER) AS changes FROM (SELECT event_id, {_SENTENCE} AS written FROM events)")
+def symbols_in_text(t):
+    """NUM13: signs between spaces are read by their name."""
+    out = F.col("written")
+    for sign, word in SIGNS_READ:
+        out = F.replace(out, F.lit(f" {sign} "), F.lit(f" {word} "))
+    return t("events").select("event_id", F.expr(_SENTENCE).alias("written")).select("event_id", out.alias("spoken"), F.regexp_count("written", F.lit(" [&+=×§] ")).alias("changes"))
+
+
+@query(
+    r"""
+WITH c AS (SELECT conv_id, turn, text, CAST(length(text) // 3 AS BIGINT) AS a, CAST(2 * length(text) // 3 AS BIGINT) AS b FROM conversations)
+SELECT conv_id, turn, md5(substring(text, 1, a) || '[uno]' || substring(text, a + 4, b - a - 3) || '[dos]' || substring(text, b + 3)) AS rendered_md5 FROM c WHERE length(text) > 30
+"""
+)
+def spliced_changes(t):
+    """NUM20, ARR07: changes with their spans put into a text in order, one fold over the sorted spans."""
+    n = F.length("text")
+    a, b = F.floor(n / 3).cast("int"), F.floor(2 * n / 3).cast("int")
+    change = lambda start, width, new: F.struct(start.alias("begin"), (start + width).alias("end"), F.lit(new).alias("new"))
+    c = t("conversations").filter(F.length("text") > 30).select("conv_id", "turn", "text", F.array_sort(F.array(change(b, 2, "[dos]"), change(a, 3, "[uno]"))).alias("changes"))
+    text = F.col("text")
+
+    def step(s, x):
+        return F.struct(F.concat(s["out"], F.substr(text, s["at"] + 1, x["begin"] - s["at"]), x["new"]).alias("out"), x["end"].alias("at"))
+
+    done = F.aggregate("changes", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda s: F.concat(s["out"], F.substr(text, s["at"] + 1)))
+    return c.select("conv_id", "turn", F.md5(done.cast("binary")).alias("rendered_md5"))
+
+
+@query(
+    r"""
+WITH d AS (SELECT doc_id, text || ' ISO ' || upper(source) || ' XIV http://x' || doc_id || '.es/a' AS text FROM documents WHERE text IS NOT NULL),
+l AS (SELECT doc_id, text, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS letters, length(regexp_replace(text, '[^A-Z]', '', 'g')) AS capitals FROM d)
+SELECT doc_id, CASE WHEN letters >= 6 AND capitals > 0.8 * letters THEN '' ELSE array_to_string(list_filter(regexp_extract_all(text, '(?:^|[^A-Za-zÀ-ÿ0-9])([A-Z]{2,6})(?:$|[^A-Za-zÀ-ÿ0-9])', 1), lambda x: NOT regexp_matches(x, '^(M{0,3})(CM|CD|D?C{0,3})(XC|XL|L?X{0,3})(IX|IV|V?I{0,3})$')), ' ') END AS acronyms, array_to_string(regexp_extract_all(text, 'https?://[a-z0-9./-]+'), ' ') AS urls FROM l
+"""
+)
+def watch_list(t):
+    """NUM15: acronyms (no Roman numerals, none in a text set in capitals) and addresses that are worth listening for."""
+    d = t("documents").filter("text is not null").select("doc_id", F.concat("text", F.lit(" ISO "), F.upper("source"), F.lit(" XIV http://x"), "doc_id", F.lit(".es/a")).alias("text"))
+    letters, capitals = F.length(F.regexp_replace("text", "[^A-Za-z]", "")), F.length(F.regexp_replace("text", "[^A-Z]", ""))
+    found = F.filter(F.regexp_extract_all("text", F.lit("(?:^|[^A-Za-zÀ-ÿ0-9])([A-Z]{2,6})(?:$|[^A-Za-zÀ-ÿ0-9])"), F.lit(1)), lambda x: N.roman_value(x).isNull())
+    shouting = (letters >= 6) & (capitals > F.lit(0.8) * letters)
+    return d.select("doc_id", F.when(shouting, "").otherwise(F.array_join(found, " ")).alias("acronyms"), F.array_join(F.regexp_extract_all("text", F.lit("(https?://[a-z0-9./-]+)"), F.lit(1)), " ").alias("urls"))
+
+
+@query(
+    r"""
+WITH c AS (SELECT conv_id, turn, unnest(p) AS phrase, unnest(range(len(p))) AS k FROM (SELECT conv_id, turn, regexp_extract_all(text, '[^.?!…\n]{0,179}[.?!…\n]|[^.?!…\n]{180}|[^.?!…\n]+$') AS p FROM conversations)),
+o AS (SELECT *, coalesce(sum(length(phrase)) OVER (PARTITION BY conv_id, turn ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM c)
+SELECT conv_id, turn, CAST(start AS BIGINT) AS text_start, CAST(start + length(phrase) AS BIGINT) AS text_end, CAST(start * 50 AS BIGINT) AS start_ms, CAST((start + length(phrase)) * 50 AS BIGINT) AS end_ms FROM o WHERE trim(phrase, ' ' || chr(10)) <> ''
+"""
+)
+def timed_phrases(t):
+    """SEG11: text with a time for each character falls into phrases at marks and line ends, or after 180 characters."""
+    pieces = F.regexp_extract_all("text", F.lit("([^.?!…\n]{0,179}[.?!…\n]|[^.?!…\n]{180}|[^.?!…\n]+$)"), F.lit(1))
+    c = t("conversations").select("conv_id", "turn", F.posexplode(pieces).alias("k", "phrase"))
+    from quirework.operators import ordered as O
+
+    o = O.running(c, ["conv_id", "turn"], ["k"], F.length("phrase"), "start", inclusive=False).withColumn("stop", F.col("start") + F.length("phrase"))
+    o = o.filter(F.trim("phrase", F.lit(" \n")) != "")
+    big = lambda c, name: c.cast("bigint").alias(name)
+    return o.select("conv_id", "turn", big(F.col("start"), "text_start"), big(F.col("stop"), "text_end"), big(F.col("start") * 50, "start_ms"), big(F.col("stop") * 50, "end_ms"))
+
+
+@query(
+    f"""
+WITH u AS (SELECT conv_id, turn, CAST(pos AS BIGINT) AS pos, line, CASE WHEN turn % 2 = 0 THEN line || ' ' || (turn * 21 + 1) ELSE line END AS written FROM (SELECT conv_id, turn, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT conv_id, turn, string_split(text, chr(10)) AS l FROM conversations)) WHERE trim(line) <> ''),
+s AS (SELECT *, {_words_sql('written')} AS spoken FROM u)
+SELECT conv_id, turn, pos, left(sha256(concat_ws(':', conv_id, turn, pos, 'paragraph', written)), 24) AS unit_id, md5(spoken) AS spoken_md5, spoken <> written AS changed, CASE WHEN regexp_matches(written, '[0-9]') THEN 'number' ELSE '' END AS flags, 'turn ' || turn AS provenance FROM s
+"""
+)
+def narration_units(t):
+    """SEG12: chapters as units with their id, what is spoken, whether it differs, flags and provenance."""
+    u = t("conversations").select("conv_id", "turn", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).filter(F.trim("line") != "")
+    u = u.withColumn("written", F.when(F.col("turn") % 2 == 0, F.concat_ws(" ", "line", F.col("turn") * 21 + 1)).otherwise(F.col("line")))
+    word = lambda w: F.when(w.rlike("^[0-9]{1,9}$"), N.cardinal(w.try_cast("bigint"))).otherwise(w)
+    u = u.withColumn("spoken", F.array_join(F.transform(F.split("written", " "), word), " "))
+    return u.select(
+        "conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), T.unit_id(F.col("conv_id").cast("string"), F.col("turn").cast("string"), F.col("pos").cast("string"), F.lit("paragraph"), F.col("written")).alias("unit_id"),
+        F.md5(F.col("spoken").cast("binary")).alias("spoken_md5"), (F.col("spoken") != F.col("written")).alias("changed"), F.when(F.col("written").rlike("[0-9]"), "number").otherwise("").alias("flags"), F.concat(F.lit("turn "), "turn").alias("provenance"),
+    )
+
+
+@query("SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[a-zà-öø-ÿ0-9]+')) AS INTEGER) AS words, md5(array_to_string(regexp_extract_all(lower(text), '[a-zà-öø-ÿ0-9]+'), ' ')) AS words_md5 FROM documents WHERE text IS NOT NULL")
+def word_lists(t):
+    """STR02: the word list of a text, in lower case."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("([a-zà-öø-ÿ0-9]+)"), F.lit(1))
+    return t("documents").filter("text is not null").select("doc_id", F.size(w).alias("words"), F.md5(F.array_join(w, " ").cast("binary")).alias("words_md5"))
+
+
+@query(
+    """
+SELECT conv_id, '{' || string_agg('"' || turn || '":"' || CASE WHEN turn % 3 = 1 THEN '' ELSE role || length(text) END || '"', ',' ORDER BY turn) || '}' AS edits, CAST(count(*) FILTER (turn % 3 = 1) AS BIGINT) AS deleted FROM conversations GROUP BY conv_id
+"""
+)
+def edit_maps(t):
+    """ARR06, SRC40: the edits of a draft as a map from slot to text, empty for a deleted one, read back from its JSON."""
+    pairs = F.array_sort(F.collect_list(F.struct("turn", F.when(F.col("turn") % 3 == 1, "").otherwise(F.concat("role", F.length("text"))).alias("text"))))
+    edits = F.map_from_entries(F.transform(pairs, lambda x: F.struct(x["turn"].cast("string"), x["text"])))
+    rows = t("conversations").groupBy("conv_id").agg(F.to_json(edits).alias("edits"))
+    back = F.from_json("edits", "map<string,string>")
+    return rows.select("conv_id", "edits", F.size(F.filter(F.map_values(back), lambda x: x == "")).cast("bigint").alias("deleted"))
