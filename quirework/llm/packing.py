@@ -101,22 +101,42 @@ class WordEncoder:
         at = (cuts * width).tolist()
         return [packed[i:j] for i, j in zip(at, at[1:])]
 
+    def _parts(self, word: str) -> list[str] | None:
+        """The parts that the tokenizer splits a word into, lower-cased; None: a word for the tokenizer itself."""
+        if word.isascii():
+            if "<|" in word:
+                return None
+            low = word.lower()
+        elif NOT_PLAIN.search(word):
+            return None
+        else:
+            low = unicodedata.normalize("NFC", word).lower()
+        core = low.rstrip(".,;:!?")
+        if core.isalpha():  # letters, and marks at the end
+            return [core] if len(core) == len(low) else [core, low[len(core) :]]
+        return PARTS.findall(low)
+
     def _learn(self, words: set[str]) -> None:
         known = self.known
         if len(known) + len(words) > WORDS:
             known.clear()
         whole, split = [], {}
         for w in words:
-            if self.splits and not NOT_PLAIN.search(w):
-                split[w] = PARTS.findall((w if w.isascii() else unicodedata.normalize("NFC", w)).lower())
-            else:
+            parts = self._parts(w) if self.splits else None
+            if parts is None:
                 whole.append(w)
+            else:
+                split[w] = parts
         known.update(zip(whole, self._encode(whole)))
         parts = [p for p in set(chain.from_iterable(split.values())) if p not in known]
         for i in range(0, len(parts), 512):
             some = parts[i : i + 512]
             known.update(zip(some, self._encode_parts(some)))
-        known.update([(w, b"".join([known[p] for p in ps])) for w, ps in split.items() if len(ps) != 1 or ps[0] != w])
+        for w, ps in split.items():
+            if len(ps) == 2:
+                known[w] = known[ps[0]] + known[ps[1]]
+            elif len(ps) != 1 or ps[0] != w:
+                known[w] = b"".join([known[p] for p in ps])
 
     def many(self, texts: list[str]) -> list[bytes]:
         words = [t.split() for t in texts]
@@ -213,15 +233,19 @@ def fill(rests: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]
 
             room -= take(seed, room)
             if room:
-                for d in index.neighbours(seed, unused).tolist():
-                    if end[d] - begin[d] <= room:
-                        room -= take(d, room)
-                        if not room:
-                            break
-                    elif cut is None:
-                        cut = d
+                found = index.neighbours(seed, unused)
+                sizes, at = end[found] - begin[found], 0
+                while room:
+                    fits = sizes[at:] <= room
+                    step = int(fits.argmax()) if len(fits) else 0
+                    if not len(fits) or not fits[step]:  # no further one fits
+                        cut = at if cut is None and len(fits) else cut
+                        break
+                    cut = at if cut is None and step else cut  # the best one that did not fit
+                    room -= take(int(found[at + step]), room)
+                    at += step + 1
                 if room and cut is not None:
-                    room -= take(cut, room)
+                    room -= take(int(found[cut]), room)
             while room and spare:
                 if unused[spare[-1]]:
                     room -= take(spare[-1], room)
