@@ -193,7 +193,7 @@ def outcome_totals(t):
     return rows.groupBy("job_id").agg(n().alias("segments"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
 
 
-@query(f"SELECT job_id, string_agg(printf('%-12s %4d %3d %s', state, words, errors, unit_id), chr(10) ORDER BY unit_id) AS log FROM ({_UNITS}) GROUP BY job_id")
+@query(f"SELECT job_id, string_agg(printf('%-12s %4d %3d %s', state, words, errors, unit_id), chr(10) ORDER BY unit_id, printf('%-12s %4d %3d', state, words, errors)) AS log FROM ({_UNITS}) GROUP BY job_id")
 def unit_log(t):
     """SNK23: a text log of fixed columns, one line a unit."""
     line = F.format_string("%-12s %4d %3d %s", "state", "words", "errors", "unit_id")
@@ -201,7 +201,7 @@ def unit_log(t):
     return rows.select("job_id", F.array_join(F.transform("lines", lambda x: x["line"]), "\n").alias("log"))
 
 
-@query(f"WITH u AS (SELECT *, {OUTCOME} AS outcome FROM ({_UNITS})) SELECT job_id, '{{\"job\":' || job_id || ',\"units\":[' || string_agg('{{\"id\":\"' || unit_id || '\",\"outcome\":\"' || outcome || '\",\"words\":' || words || '}}', ',' ORDER BY unit_id) || ']}}' AS report FROM u GROUP BY job_id")
+@query(f"WITH u AS (SELECT *, {OUTCOME} AS outcome FROM ({_UNITS})) SELECT job_id, '{{\"job\":' || job_id || ',\"units\":[' || string_agg('{{\"id\":\"' || unit_id || '\",\"outcome\":\"' || outcome || '\",\"words\":' || words || '}}', ',' ORDER BY unit_id, outcome, words) || ']}}' AS report FROM u GROUP BY job_id")
 def json_report(t):
     """SNK22, SNK20, ARR02: one nested JSON document a job."""
     rows = units(t).withColumn("outcome", _outcome()).groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct(F.col("unit_id").alias("id"), "outcome", "words"))).alias("units"))
@@ -281,7 +281,7 @@ def live_tasks(t):
     return t("events").filter((F.col("ts") >= F.lit("2024-01-20").cast("timestamp") - F.expr("INTERVAL 3600 SECOND")) | ~finished).select("event_id", "user_id")
 
 
-_SECTION = "SELECT job_id, sequence, string_agg(unit_id || ':' || state, ' ' ORDER BY unit_id) AS units, CAST(count(*) FILTER (state = 'verified') AS BIGINT) AS verified, CAST(count(*) FILTER (state IN ('failed', 'needs_human_review', 'unresolved')) AS BIGINT) AS problems, CAST(sum(words) AS BIGINT) AS words FROM ({}) GROUP BY job_id, sequence"
+_SECTION = "SELECT job_id, sequence, string_agg(unit_id || ':' || state, ' ' ORDER BY unit_id || ':' || state) AS units, CAST(count(*) FILTER (state = 'verified') AS BIGINT) AS verified, CAST(count(*) FILTER (state IN ('failed', 'needs_human_review', 'unresolved')) AS BIGINT) AS problems, CAST(sum(words) AS BIGINT) AS words FROM ({}) GROUP BY job_id, sequence"
 
 
 @query(
