@@ -99,12 +99,17 @@ def train(
     """
     if len(set(labels)) < 2:
         return Model(np.zeros(n, np.float32), 0.0 if not labels else (4.0 if labels[0] else -4.0), shortest, longest)
-    spread = np.zeros(n, np.int64)
-    for b, _ in bags:
-        spread[b] += 1
+    # all bags end to end, once
+    sizes = np.array([len(b) for b, _ in bags])
+    keys, weights = np.concatenate([b for b, _ in bags]), np.concatenate([w for _, w in bags])
+    spread = np.bincount(keys, minlength=n)
     common = spread >= (common_enough(len(bags)) if least_docs is None else max(1, least_docs))
-    place = (np.cumsum(common) - 1).astype(np.int32)  # common buckets, closed up
-    bags = [(place[b[common[b]]], w[common[b]]) for b, w in bags]
+    if not common[keys].all():
+        keep = common[keys]
+        sizes = np.bincount(np.repeat(np.arange(len(bags)), sizes)[keep], minlength=len(bags))
+        keys, weights = keys[keep], weights[keep]
+    keys = (np.cumsum(common) - 1).astype(np.int32)[keys]  # common buckets, closed up
+    start = np.cumsum(sizes) - sizes
     y = np.array(labels)
     share = y.mean()
     prior = share if prior is None else min(max(prior, 1e-3), 1 - 1e-3)
@@ -114,31 +119,42 @@ def train(
     # embeddings start at zero, so that what is never trained adds nothing
     params = [np.zeros((int(common.sum()), dims), np.float32), rng.normal(0, 0.5, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    rounds = -(-len(bags) // batch)
+    grads = [np.zeros_like(p) for p in params]
+    rounds = -(-len(sizes) // batch)
     epochs = max(epochs, -(-least_steps // rounds))
     steps, total = 0, epochs * rounds
-    x = np.zeros((batch, len(params[0])), np.float32)
     for _ in range(epochs):
-        order = rng.permutation(len(bags))
+        order = rng.permutation(len(sizes))
         for s in range(0, len(order), batch):
             take = order[s : s + batch]
-            x[:] = 0
-            for row, i in enumerate(take):
-                x[row, bags[i][0]] = bags[i][1]
+            many = sizes[take]
+            at = np.repeat(start[take] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            rows, k, w = np.repeat(np.arange(len(take)), many), keys[at], weights[at]
             emb, soft, bias = params
-            some = x[: len(take)]
-            docs = some @ emb
+            docs = np.stack([np.bincount(rows, w * emb[k, d], len(take)) for d in range(dims)], axis=1).astype(np.float32)
             z = docs @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             p[np.arange(len(take)), y[take]] -= 1
             p *= weigh[take, None] / len(take)
+            back = p @ soft.T
+            np.multiply(emb, decay, out=grads[0])
+            for d in range(dims):
+                grads[0][:, d] += np.bincount(k, w * back[rows, d], len(emb))
+            grads[1][:], grads[2][:] = docs.T @ p, p.sum(axis=0)
             steps += 1
-            lr = rate * (1 - steps / (total + 1)) * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps)
-            for k, grad in enumerate((some.T @ (p @ soft.T) + decay * emb, docs.T @ p, p.sum(axis=0))):
-                first[k] += 0.1 * (grad - first[k])
-                second[k] += 0.001 * (grad * grad - second[k])
-                params[k] = params[k] - lr * first[k] / (np.sqrt(second[k]) + 1e-8)
+            lr = np.float32(rate * (1 - steps / (total + 1)) * np.sqrt(1 - 0.999**steps) / (1 - 0.9**steps))
+            for m, v, g, x in zip(first, second, grads, params):  # in place, a gradient's own array serves as room
+                m *= np.float32(0.9)
+                m += np.float32(0.1) * g
+                g *= g
+                v *= np.float32(0.999)
+                v += np.float32(0.001) * g
+                np.sqrt(v, out=g)
+                g += np.float32(1e-8)
+                np.divide(m, g, out=g)
+                g *= lr
+                x -= g
     emb, soft, bias = params
     odds = np.zeros(n, np.float32)  # untrained buckets say nothing
     odds[common] = emb @ (soft[:, 1] - soft[:, 0])
