@@ -20,6 +20,7 @@ too, and are dealt apart like any others. Ties in score go to the smaller place
 from __future__ import annotations
 
 import functools
+import gc
 import json
 import re
 import unicodedata
@@ -139,6 +140,16 @@ class WordEncoder:
                 known[w] = b"".join([known[p] for p in ps])
 
     def many(self, texts: list[str]) -> list[bytes]:
+        # nothing here makes cycles, and looking for them would go through all that is remembered again and again
+        was_on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._many(texts)
+        finally:
+            if was_on:
+                gc.enable()
+
+    def _many(self, texts: list[str]) -> list[bytes]:
         words = [t.split() for t in texts]
         odd = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
         for i in odd:
@@ -258,8 +269,9 @@ def fill(rests: list[np.ndarray], window: int) -> list[list[tuple[int, int, int]
 def _distinct_terms(rests: list[bytes], dtype, vocabulary: int) -> list[bytes]:
     """Distinct terms of each rest, ascending, packed."""
     sizes = [len(r) // np.dtype(dtype).itemsize for r in rests]
-    key = np.unique(np.repeat(np.arange(len(rests)), sizes) * vocabulary + np.frombuffer(b"".join(rests), dtype))
-    terms = (key % vocabulary).astype(dtype).tobytes()
+    small = np.uint32 if len(rests) * vocabulary < 1 << 32 else np.int64  # narrow keys sort faster
+    key = np.unique(np.repeat(np.arange(len(rests), dtype=small) * small(vocabulary), sizes) + np.frombuffer(b"".join(rests), dtype))
+    terms = (key % small(vocabulary)).astype(dtype).tobytes()
     width = np.dtype(dtype).itemsize
     cuts = (np.searchsorted(key, np.arange(len(rests) + 1) * vocabulary) * width).tolist()
     return [terms[a:b] for a, b in zip(cuts, cuts[1:])]
