@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import jaccard_join, language, line_dedup, matroska, maxscore, packing, periodic, pieces, quality, token_counts, toxicity, whitening
+from . import jaccard_join, language, line_dedup, matroska, maxscore, packing, periodic, pieces, quality, range_join, token_counts, toxicity, whitening
 from ._common import table
 
 
@@ -49,6 +49,10 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.held_out_predictions(table(spark, sf_dir, "documents"))
 
 
+def op11_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return range_join.range_components(table(spark, sf_dir, "embeddings"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(table(spark, sf_dir, "documents"))
 
@@ -57,5 +61,5 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_matroska, op2_line_dedup, op3_toxicity, op4_quality, op5_maxscore, op6_jaccard_join, op7_sentencepiece, op8_token_counts, op9_packing, op10_language, op12_periodic_runs, op13_whitening)}
-SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op5_maxscore": maxscore.SQL}
+QUERIES = {f.__name__: f for f in (op1_matroska, op2_line_dedup, op3_toxicity, op4_quality, op5_maxscore, op6_jaccard_join, op7_sentencepiece, op8_token_counts, op9_packing, op10_language, op11_range_join, op12_periodic_runs, op13_whitening)}
+SQL: dict[str, str] = {"op2_line_dedup": line_dedup.SQL, "op5_maxscore": maxscore.SQL, "op11_range_join": range_join.SQL}
