@@ -193,10 +193,10 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 1500, most_words: int | None = 20_000, dims: int = DIMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 1500, most_words: int | None = None, dims: int = DIMS) -> Model:
     """Learns from a bounded sample of labelled documents, read whole; the classes' true shares set the prior.
 
-    ``most_words``: vectors are kept for so many words that stand twice or more, the most frequent ones; None: for all of them.
+    Every form and shape of the sample has a vector; ``most_words`` keeps the most frequent ones only.
     """
     ones, n = labels_of_class(labels, label)
     sample = labelled_sample(docs, labels, label, rows_per_class)
@@ -206,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
             found = count_words(texts)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-    counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(F.desc("n"), "word")
+    counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
     kept = (counts if most_words is None else counts.limit(most_words)).select("word").toArrow().column("word").to_pylist()
     words = {w: i + 1 for i, w in enumerate(kept)}
     known = docs.sparkSession.sparkContext.broadcast(words)

@@ -6,8 +6,8 @@ and a linear softmax reads that. Embeddings
 and softmax are trained together, so an unseen misspelling shares the vectors of its n-grams. As all
 of it is linear, a trained word comes down to one number, its part of the log odds.
 
-The sample is read in Spark tasks: they hash its words and count in how many texts each bucket stands;
-only buckets that are common enough to be learned from come to the driver, so what it holds does not grow with the texts.
+One Spark task learns from the bounded sample, every bucket of it, and gives the model; neither texts nor bags come to the driver. Bags beyond HELD
+bytes are cut again from their texts in each epoch, so that long texts do not need more memory than they take themselves.
 
 Texts without words (null, empty) score by the bias alone. Every word is read whole, however long, and so is every
 text. Equal texts give equal scores; repeated rows each give one. Extra columns are not read,
@@ -17,7 +17,7 @@ whatever their names. An empty table gives no rows; without labels of both class
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,6 +32,8 @@ WORD = re.compile(r"[^\W_]+")
 WORDS, LONG = 1_000_000, 64
 BASE, MIX = np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15)
 BUCKETS, SHORTEST, LONGEST = 1 << 18, 3, 6
+#: Bytes of bags that the learning task keeps.
+HELD = 256 << 20
 
 
 @dataclass
@@ -83,33 +85,43 @@ def bag(text: str, n: int = BUCKETS, shortest: int = SHORTEST, longest: int = LO
     return keys, np.bincount(inverse, share[whose]).astype(np.float32)
 
 
-def common_enough(texts: int, min_docs: int = 8) -> int:
-    """In how many texts a bucket must stand to be learned from: rarer ones could only be learned by heart."""
-    return max(min(min_docs, max(1, texts // 20)), texts // 150)
+class Bags:
+    """The bags of texts; up to HELD bytes of them are kept, the others are cut again each time they are asked for."""
+
+    def __init__(self, texts: Iterable[str] = ()):
+        self.items: list[tuple[np.ndarray, np.ndarray] | str] = []
+        self.held = 0
+        for t in texts:
+            self.add(t)
+
+    def add(self, text: str) -> None:
+        b = bag(text)
+        self.held += b[0].nbytes + b[1].nbytes
+        self.items.append(b if self.held <= HELD else text)
+
+    def __len__(self) -> int:
+        return len(self.items)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        x = self.items[i]
+        return bag(x) if isinstance(x, str) else x
 
 
 def train(
-    bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float | None = None, n: int = BUCKETS, dims: int = 8, shortest: int = SHORTEST, longest: int = LONGEST,
-    least_docs: int | None = None, epochs: int = 8, least_steps: int = 400, decay: float = 1e-5, rate: float = 0.1, batch: int = 64, seed: int = 7,
+    bags: Bags | list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float | None = None, n: int = BUCKETS, dims: int = 8, shortest: int = SHORTEST, longest: int = LONGEST,
+    least_docs: int = 1, epochs: int = 8, least_steps: int = 400, decay: float = 1e-5, rate: float = 0.1, batch: int = 64, seed: int = 7,
 ) -> Model:
     """Minibatch Adam on embeddings and softmax together, over the bags (buckets, weights) of texts.
 
-    Buckets met in fewer than ``least_docs`` texts (default: common_enough; 1: all are learned) stay zero.
-    ``prior``: the share of label 1 outside the sample (default: as in the sample).
+    Every bucket met is learned, or only those met in ``least_docs`` texts. ``prior``: the share of label 1 outside the sample (default: as in the sample).
     """
     if len(set(labels)) < 2:
         return Model(np.zeros(n, np.float32), 0.0 if not labels else (4.0 if labels[0] else -4.0), shortest, longest)
-    # all bags end to end, once
-    sizes = np.array([len(b) for b, _ in bags])
-    keys, weights = np.concatenate([b for b, _ in bags]), np.concatenate([w for _, w in bags])
-    spread = np.bincount(keys, minlength=n)
-    common = spread >= (common_enough(len(bags)) if least_docs is None else max(1, least_docs))
-    if not common[keys].all():
-        keep = common[keys]
-        sizes = np.bincount(np.repeat(np.arange(len(bags)), sizes)[keep], minlength=len(bags))
-        keys, weights = keys[keep], weights[keep]
-    keys = (np.cumsum(common) - 1).astype(np.int32)[keys]  # common buckets, closed up
-    start = np.cumsum(sizes) - sizes
+    spread = np.zeros(n, np.int64)
+    for i in range(len(bags)):
+        spread[bags[i][0]] += 1
+    common = spread >= max(1, least_docs)
+    closed_up = (np.cumsum(common) - 1).astype(np.int32)
     y = np.array(labels)
     share = y.mean()
     prior = share if prior is None else min(max(prior, 1e-3), 1 - 1e-3)
@@ -120,16 +132,20 @@ def train(
     params = [np.zeros((int(common.sum()), dims), np.float32), rng.normal(0, 0.5, (dims, 2)).astype(np.float32), np.zeros(2, np.float32)]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     grads = [np.zeros_like(p) for p in params]
-    rounds = -(-len(sizes) // batch)
+    rounds = -(-len(bags) // batch)
     epochs = max(epochs, -(-least_steps // rounds))
     steps, total = 0, epochs * rounds
     for _ in range(epochs):
-        order = rng.permutation(len(sizes))
+        order = rng.permutation(len(bags))
         for s in range(0, len(order), batch):
             take = order[s : s + batch]
-            many = sizes[take]
-            at = np.repeat(start[take] - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
-            rows, k, w = np.repeat(np.arange(len(take)), many), keys[at], weights[at]
+            some = [bags[i] for i in take.tolist()]
+            rows = np.repeat(np.arange(len(take)), [len(k) for k, _ in some])
+            k, w = np.concatenate([k for k, _ in some]), np.concatenate([w for _, w in some])
+            if least_docs > 1:
+                keep = common[k]
+                rows, k, w = rows[keep], k[keep], w[keep]
+            k = closed_up[k]
             emb, soft, bias = params
             docs = np.stack([np.bincount(rows, w * emb[k, d], len(take)) for d in range(dims)], axis=1).astype(np.float32)
             z = docs @ soft + bias
@@ -203,35 +219,26 @@ class Scorer:
         return self.many([text])[0]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 2000, least_docs: int | None = None) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows_per_class: int = 2000, least_docs: int = 1) -> Model:
     """Learns from a bounded sample of labelled documents, ``rows_per_class`` of each class, read whole."""
     ones, n = labels_of_class(labels, label)
-    sample = labelled_sample(docs, labels, label, rows_per_class)
+    prior = ones / n if n else None
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(BUCKETS, np.int64)
-        for _, some in read_texts(batches):
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bags, ys = Bags(), []
+        for y, some in read_texts(batches):
+            ys += y
             for t in some:
-                seen[bag(t)[0]] += 1
-        at = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["bucket", "n"])
-
-    least = common_enough(sample.count()) if least_docs is None else max(1, least_docs)
-    counts = sample.mapInArrow(spread, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    common = np.zeros(BUCKETS, bool)
-    common[counts.select("bucket").toArrow().column("bucket").to_numpy()] = True  # BUCKETS rows at most
-
-    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for ys, some in read_texts(batches):
-            for y, t in zip(ys, some):
-                b, w = bag(t)
-                keep = common[b]
-                yield pa.RecordBatch.from_arrays([pa.array([y], pa.int32()), pa.array([b[keep].astype("<i4").tobytes()]), pa.array([w[keep].astype("<f4").tobytes()])], names=["label", "buckets", "weights"])
-
-    # one partition after the other, so that the JVM never holds them all; in an order that does not hang on the tasks
-    rows = sorted(map(tuple, sample.mapInArrow(bags, "label int, buckets binary, weights binary").toLocalIterator()))
-    packed = [(np.frombuffer(b, "<i4"), np.frombuffer(w, "<f4")) for _, b, w in rows]
-    return train(packed, [y for y, _, _ in rows], ones / n if n else None, least_docs=least)
+                bags.add(t)
+        m = train(bags, ys, prior, least_docs=least_docs)
+        yield pa.RecordBatch.from_arrays([pa.array([m.odds.tobytes()], pa.binary()), pa.array([m.bias])], names=["odds", "bias"])
+
+    # the sample is bounded, so one task learns from it; the order of its texts does not hang on the tasks before
+    sample = labelled_sample(docs, labels, label, rows_per_class).repartition(1).sortWithinPartitions(F.xxhash64("text"), "text", "label")
+    rows = sample.mapInArrow(learn, "odds binary, bias double").collect()
+    if not rows:
+        return train([], [])
+    return Model(np.frombuffer(rows[0]["odds"], np.float32), rows[0]["bias"], SHORTEST, LONGEST)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
