@@ -196,7 +196,8 @@ class Scorer:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 1500, most_words: int | None = None, dims: int = DIMS) -> Model:
     """Learns from a bounded sample of labelled documents, read whole; the classes' true shares set the prior.
 
-    Every form and shape of the sample has a vector; ``most_words`` keeps the most frequent ones only.
+    Every form and shape of the sample has a vector; ``most_words`` keeps the most frequent ones only. The texts that the layers learn
+    from are pooled without the words that stand once in the sample, so that they meet unknown words as often as other texts do.
     """
     ones, n = labels_of_class(labels, label)
     sample = labelled_sample(docs, labels, label, rows_per_class)
@@ -207,7 +208,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
     counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
-    kept = (counts if most_words is None else counts.limit(most_words)).select("word").toArrow().column("word").to_pylist()
+    found = (counts if most_words is None else counts.limit(most_words)).toArrow()
+    kept, twice = found.column("word").to_pylist(), int((found.column("n").to_numpy() > 1).sum())
     words = {w: i + 1 for i, w in enumerate(kept)}
     known = docs.sparkSession.sparkContext.broadcast(words)
 
@@ -229,7 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, repeat = Reader(known.value), index_vector("repeats", dims)
+        # words come by falling count: those that stand twice are the first
+        reader, repeat = Reader({w: i for w, i in known.value.items() if i <= twice}), index_vector("repeats", dims)
         for ys, texts in read_texts(batches):
             rows = [pool(reader, shared.value, repeat, t).astype("<f4").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(rows, pa.binary())], names=["label", "x"])

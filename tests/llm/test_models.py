@@ -39,7 +39,7 @@ def train_quality(texts, labels, dims=48):
     sums = index.copy()
     quality.add_neighbours(sums, index, quality.Reader(words), texts)
     vectors = quality.unit_vectors(sums)
-    reader, repeat = quality.Reader(words), quality.index_vector("repeats", dims)
+    reader, repeat = quality.Reader({w: i for w, i in words.items() if counts[w] > 1}), quality.index_vector("repeats", dims)
     x = np.stack([quality.pool(reader, vectors, repeat, t) for t in texts]) if texts else np.zeros((0, 3 * dims + 1))
     return quality.train(words, vectors, x, labels)
 
