@@ -1,10 +1,9 @@
 """Lexical retrieval packing: windows filled by a sharded BM25 index.
 
 Every document becomes token ids and an end id. Whole windows of a long document are sequences of
-their own; what is left of it, its rest, is dealt to a shard of bounded size by what it shares: of its terms that no more
-rests have than a shard takes, counted over all rests, the one that most have. All rests order terms alike, so those that share much mostly
-choose the same term. Rests of one term stand in one shard, terms of few rests share one, and rests of which every term is
-too common (or no other rest's) are dealt by row. Each
+their own; what is left of it, its rest, is dealt to a shard of bounded size by what it shares (see Deal): rests are ordered by a key of
+telling terms, counted over all rests, and cut into shards. All rests order terms alike, so those that share much mostly
+have the same key; rests that share no term are dealt by row. A seed asks its own shard. Each
 shard holds a BM25 inverted index over its rests: the longest unused rest opens a window, the index returns unused
 neighbours in order of score over all terms of the seed, those that fit are added, and the best one that does not fit is cut to
 fill the window; what remains of it stays in the index. Only the last window of a shard is padded.
@@ -278,40 +277,50 @@ def _distinct_terms(rests: list[bytes], dtype, vocabulary: int) -> list[bytes]:
 
 
 class Deal:
-    """Shard of a rest by the commonest of its terms that fits a shard."""
+    """A key of each rest; rests in the order of their keys are cut into shards.
+
+    It is the commonest of the rest's terms that a shard can hold all rests of. Where even its rarest term has more rests than that, as every term has when
+    there are enough rests, it is the rarest terms one after the other: rests of one term stand together in the order of the next, at any size.
+    """
+
+    #: Rarest terms in a key.
+    CHAIN = 8
 
     def __init__(self, frequency: np.ndarray, shard: int):
-        #: Rests of a term that can be dealt by; 0 for all others.
+        #: Rests of a term that a shard can hold; 0 for all others.
         self.rests = np.where((frequency > 1) & (frequency <= shard), frequency, 0)
-        self.shard, self.first, self.splits = shard, np.zeros(len(frequency) + 1, np.int64), np.ones(len(frequency) + 1, np.int64)
-
-    def keys(self, packed: list[bytes], dtype) -> np.ndarray:
-        """Of each rest, given its distinct terms, the term it is dealt by; one past the vocabulary if it has none."""
+        by_count = np.argsort(np.where(frequency > 1, frequency, np.iinfo(np.int64).max), kind="stable")
+        self.shared, self.term = frequency > 1, by_count
+        self.rank = np.empty(len(frequency), np.int64)
+        self.rank[by_count] = np.arange(len(frequency))
+
+    def keys(self, packed: list[bytes], dtype) -> list[bytes]:
+        """Of each rest, given its distinct terms."""
+        size = len(self.rests)
         sizes = np.array([len(p) for p in packed], np.int64) // np.dtype(dtype).itemsize
         term = np.frombuffer(b"".join(packed), dtype).astype(np.int64)
         # the larger count wins, of equal ones the smaller term
-        worth = self.rests[term] * len(self.rests) + (len(self.rests) - 1 - term)
-        out = np.full(len(packed), len(self.rests), np.int64)
+        worth = self.rests[term] * size + (size - 1 - term)
+        best = np.zeros(len(packed), np.int64)
+        start = np.cumsum(sizes) - sizes
         some = np.flatnonzero(sizes)
         if len(some):
-            best = np.maximum.reduceat(worth, (np.cumsum(sizes) - sizes)[some])
-            out[some] = np.where(best >= len(self.rests), len(self.rests) - 1 - best % len(self.rests), len(self.rests))
+            best[some] = np.maximum.reduceat(worth, start[some])
+        lead = np.where(best >= size, size - 1 - best % size, -1).astype(">u4")
+        out = [b"\0" + lead[i : i + 1].tobytes() if best[i] >= size else b"" for i in range(len(packed))]
+        for i in np.flatnonzero(best < size).tolist():
+            own = term[start[i] : start[i] + sizes[i]]
+            ranks = np.sort(self.rank[own[self.shared[own]]])[: self.CHAIN]
+            out[i] = b"\1" + self.term[ranks].astype(">u4").tobytes() if len(ranks) else b"\2"
         return out
 
-    def plan(self, counts: list[tuple[int, int]]) -> None:
-        """Lays terms (term, rests) into shards one after the other; rests without a term have their own, as many as they need."""
-        at, held = 0, 0
-        for key, n in sorted(counts):
-            if held and held + n > self.shard:
-                at, held = at + 1, 0
-            self.first[key], self.splits[key] = at, -(-n // self.shard)
-            held += n
-            if held >= self.shard:
-                at, held = at + self.splits[key], 0
 
-    def __call__(self, keys: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        mixed = (rows.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
-        return self.first[keys] + ((mixed >> np.uint64(33)).astype(np.int64) % self.splits[keys])
+def next_shard(keys: list[bytes], shard: int) -> int:
+    """Where the next shard begins: where the first term of the keys changes, if that is in the second half of a shard."""
+    for i in range(min(shard, len(keys) - 1), shard // 2, -1):
+        if keys[i][:5] != keys[i - 1][:5]:
+            return i
+    return shard
 
 
 def pack(df: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WINDOW, shard: int = SHARD, text: str = "text", with_ids: bool = False) -> DataFrame:
@@ -360,32 +369,38 @@ def pack(df: DataFrame, tokenizer_file: str, end_id: int = 1, window: int = WIND
         frequency[r["term"]] = r["n"]
     deal = Deal(frequency, shard)
 
-    @F.pandas_udf("bigint")
+    @F.pandas_udf("binary")
     def key_of(terms: pd.Series) -> pd.Series:
         return pd.Series(deal.keys(terms.tolist(), dtype))
+    # ranges of keys; the row's number splits the rests of one key, however many they are
+    parts = min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), max(1, -(-ids.count() // (2 * shard))))
+    dealt = ids.withColumn("key", key_of("terms")).drop("terms").repartitionByRange(parts, "key", "row").sortWithinPartitions("key", "row")
 
-    deal.plan([(r["key"], r["count"]) for r in ids.select(key_of("terms").alias("key")).groupBy("key").count().collect()])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    @F.pandas_udf("bigint")
-    def shard_of(terms: pd.Series, rows: pd.Series) -> pd.Series:
-        return pd.Series(deal(deal.keys(terms.tolist(), dtype), rows.to_numpy()))
-
-    # only the terms go through Python here
-    dealt = ids.withColumn("shard", shard_of("terms", "row")).drop("terms")
-
-    def place(group: pa.Table) -> pa.Table:
-        return _pack_shard(group, window, with_ids)
+        part, held, n, number = TaskContext.get().partitionId(), [], 0, 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            while 2 * n >= 3 * shard:  # what is left is half a shard at least
+                whole = pa.Table.from_batches(held)
+                cut = next_shard(whole.column("key").slice(0, shard + 1).to_pylist(), shard)
+                yield from _pack_shard(whole.slice(0, cut), window, with_ids, number << 20 | part).to_batches()
+                held, n, number = whole.slice(cut).to_batches(), n - cut, number + 1
+        if n:
+            yield from _pack_shard(pa.Table.from_batches(held), window, with_ids, number << 20 | part).to_batches()
 
-    return dealt.groupBy("shard").applyInArrow(place, PIECE + ", ids array<int>" * with_ids)
+    return dealt.mapInArrow(place, PIECE + ", ids array<int>" * with_ids)
 
 
-def _pack_shard(group: pa.Table, window: int, with_ids: bool) -> pa.Table:
+def _pack_shard(group: pa.Table, window: int, with_ids: bool, shard: int) -> pa.Table:
     rows = group.to_pydict()
     # one order, whatever order the rows came in
     order = sorted(range(group.num_rows), key=lambda i: (rows["doc_id"][i] is None, rows["doc_id"][i] or 0, rows["doc_tokens"][i], rows["rest"][i], rows["row"][i]))
     width = rows["width"][0]
     dtype = np.dtype("<u4" if width == 4 else "<u2")
-    first = rows["shard"][0] << 32
+    first = shard << 32
     out: list[tuple] = []
     sequence = 0
     for i in order:

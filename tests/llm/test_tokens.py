@@ -279,20 +279,40 @@ def test_neighbours_share_windows_over_several_shards(spark, monkeypatch):
     topics = 40
     df = spark.createDataFrame(topic_rows(topics=topics), "doc_id bigint, text string").repartition(5)
 
-    def purity():
+    def purity(shard=100):
         """Mean share of a window's pieces that are of its commonest topic."""
-        rows = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), shard=100, window=1024).collect()
-        assert len({r.sequence_id >> 32 for r in rows}) >= 20
+        rows = packing.pack(df, public_tokenizers.path("word_bpe_49k.json"), shard=shard, window=1024).collect()
+        assert len({r.sequence_id >> 32 for r in rows}) >= 2000 // shard
         windows = {}
         for r in rows:
             windows.setdefault(r.sequence_id, []).append(r.doc_id % topics)
         return np.mean([max(w.count(x) for x in set(w)) / len(w) for w in windows.values()])
 
     by_term = purity()
+    by_chain = purity(20)  # every term of a topic has more rests than a shard takes, as with a hundred times as many documents
     make = packing.Deal.__init__
     monkeypatch.setattr(packing.Deal, "__init__", lambda self, frequency, shard: make(self, frequency * 0, shard))  # dealt by row
     by_row = purity()
-    assert by_term > 0.6 and by_row < 0.3
+    assert by_term > 0.6 and by_chain > 0.6 and by_row < 0.3
+
+
+def test_near_copies_are_dealt_to_one_shard():
+    """Keys of rests that differ in a tenth of their terms, where shards hold a hundredth of what they hold now."""
+    rng = np.random.default_rng(6)
+    rank = lambda n: np.minimum((rng.pareto(0.8, n) * 20).astype(np.int64), 8999)
+    rests = [np.unique(rank(120)) for _ in range(4000)]
+    copies = [np.unique(np.where(rng.random(len(r)) < 0.1, rank(len(r)), r)) for r in rests[:400]]
+    every = [*rests, *copies]
+    deal = packing.Deal(np.bincount(np.concatenate(every), minlength=9000), 20)
+    keys = deal.keys([r.astype("<u2").tobytes() for r in every], "<u2")
+    order = sorted(range(len(every)), key=lambda i: (keys[i], i))
+    shard, number = {}, 0
+    while order:
+        cut = packing.next_shard([keys[i] for i in order[:21]], 20)
+        shard |= dict.fromkeys(order[:cut], number)
+        order, number = order[cut:], number + 1
+    together = np.mean([shard[i] == shard[4000 + i] for i in range(400)])
+    assert together > 0.75  # by chance: one in two hundred
 
 
 def test_repeated_rows_are_dealt_apart(spark):
