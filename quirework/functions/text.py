@@ -89,6 +89,18 @@ def phonetic_key(word: Column) -> Column:
     return reduce(lambda c, r: F.replace(c, F.lit(r[0]), F.lit(r[1])), PHONETIC, plain)
 
 
+#: How a word sounds in Peninsular Spanish, as ordered patterns over plain lower-case letters: words with one key are said alike.
+SOUNDS = [
+    ("ch", "ç"), ("ll", "y"), ("v", "b"), ("h", ""), ("w", "u"), ("qu(?=[ei])", "k"), ("c(?=[aou]|$|[^eiç])|q", "k"), ("gu(?=[ei])", "g"), ("g(?=[ei])", "j"), ("c(?=[ei])|z", "θ"), ("x", "j"),
+]
+
+
+def sound_key(word: Column) -> Column:
+    from .numbers import folded
+
+    return reduce(lambda c, r: F.regexp_replace(c, r[0], r[1]), SOUNDS, folded(word))
+
+
 def clock_text(seconds: Column) -> Column:
     """h:mm:ss.t of a number of seconds."""
     tenths = F.floor(seconds * 10 + 0.5).cast("bigint")
