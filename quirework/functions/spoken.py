@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import numbers as N
@@ -32,51 +32,44 @@ UNITS = {
 }
 UNIT_OF = {word: unit for unit, words in UNITS.items() for word in words.split()}
 
-_END = "(?![^ ])"
-
-
-def _word(words) -> str:
-    return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")" + _END
-
-
-_AND = "(?: y)*"
-_S, _T, _H = _word(_BELOW), _word(_TENS), _word(_HUNDREDS)
-_DIGIT, _TEENS = _word(w for w, v in _BELOW.items() if v < 10), _word(w for w, v in _BELOW.items() if v >= 10)
-_UNIT = _word(w for w, v in _BELOW.items() if 1 <= v <= 9)
-_GROUP = f"(?:{_H}(?:{_AND} (?:{_T}{_AND} {_UNIT}|{_T}|{_S}))?|{_T}{_AND} {_UNIT}|{_T}|{_S})"
-_SCALED = f"(?:(?:{_GROUP}{_AND} )?{_word(_SCALES)})"
+#: What each word can be in a number phrase, as one letter; other words are a point.
+LETTERS = {
+    **{w: "Z" if v == 0 else "D" if v < 10 else "S" if v <= 23 else "s" for w, v in _BELOW.items()},
+    **{w: "t" if v < 60 else "T" for w, v in _TENS.items()}, **dict.fromkeys(_HUNDREDS, "H"), "ciento": "C", **dict.fromkeys(_SCALES, "M"), **dict.fromkeys(ORDINALS, "O"), "cuarto": "Q",
+    **dict.fromkeys(MONTHS, "m"), **dict.fromkeys(UNIT_OF, "u"), "y": "y", "coma": "c", "de": "d", "por": "p", "media": "h", "en": "e", "punto": "k", "menos": "n",
+}
+_GROUP = "(?:[HC](?:y*(?:[tT]y*D|[tT]|[DZSs]))?|[tT]y*D|[tT]|[DZSs])"
+_SCALED = f"(?:(?:{_GROUP}y*)?M)"
 #: A cardinal number; it may begin with "y", and never ends with it.
-CARDINAL = f"(?:y )*(?:{_SCALED}(?:{_AND} {_SCALED})*(?:{_AND} {_GROUP})?|{_GROUP})"
-_FRACTION = f"(?:{_DIGIT}(?: {_DIGIT})*|{_T} y {_UNIT}|{_T}|{_TEENS})"
-MEASURED = f" (?:{_word(UNIT_OF)}|por ciento{_END})"
-_HOUR = _word(w for w, v in _BELOW.items() if v <= 23)
-_MINUTE = f"(?:{_word(w for w, v in _TENS.items() if v < 60)}{_AND} {_UNIT}|{_word(w for w, v in _TENS.items() if v < 60)}|{_S})(?! {_word(_SCALES)})"
-CLOCK = f"{_HOUR}(?: y media| y cuarto| en punto| menos cuarto){_END}"
-HOUR_MINUTE = f"{_HOUR} {_MINUTE}"
-DATE = f"{CARDINAL} de {_word(MONTHS)} de {CARDINAL}"
-_NUMBER = f"{_word(ORDINALS)}|{CARDINAL}(?: coma {_FRACTION})?(?:{MEASURED})?"
+CARDINAL = f"y*(?:{_SCALED}(?:y*{_SCALED})*(?:y*{_GROUP})?|{_GROUP})"
+CLOCK = "[DZS](?:yh|yQ|ek|nQ)"
+HOUR_MINUTE = "[DZS](?:ty*D|t|[DZSs])(?!M)"
+DATE = f"{CARDINAL}dmd{CARDINAL}"
+MEASURED = "(?:u|pC)"
+_NUMBER = f"[OQ]|{CARDINAL}(?:c(?:[DZ]+|[tT]yD|[tT]|[Ss]))?{MEASURED}?"
 
 
 def phrase_pattern(time: Column, date: Column) -> Column:
-    """The pattern of number phrases in words joined by a space; clock times and dates only where they are expected."""
-    of = lambda *first: F.lit("(?<![^ ])(?:" + "|".join([*first, _NUMBER]) + ")")
+    """The pattern of number phrases in letters of words; clock times and dates only where they are expected."""
+    of = lambda *first: F.lit("|".join([*first, _NUMBER]))
     return F.when(time & date, of(DATE, CLOCK, HOUR_MINUTE)).when(time, of(CLOCK, HOUR_MINUTE)).when(date, of(DATE)).otherwise(of())
 
 
 def lookup(table: dict, word: Column) -> Column:
-    return F.create_map(*[F.lit(x) for pair in table.items() for x in pair])[word]
+    """The value of a word in a table of plain words; null for others."""
+    quoted = lambda x: f"'{x}'" if isinstance(x, str) else f"{x}L"
+    return F.expr("map(" + ", ".join(f"{quoted(k)}, {quoted(v)}" for k, v in table.items()) + ")")[word]
 
 
 def cardinal_value(phrase: Column) -> Column:
     """Value of a cardinal phrase: groups below a thousand are added up, and what multiplies closes them (alone it is one of its kind)."""
     words = F.filter(F.split(phrase, " "), lambda w: (w != "y") & (w != ""))
     value = {w: v for t in (_BELOW, _TENS, _HUNDREDS) for w, v in t.items()}
-    scale = lambda w: lookup(_SCALES, w).cast("bigint")
     null = F.lit(None).cast("bigint")
 
     def add(acc: Column, w: Column) -> Column:
         closes = w.isin(*_SCALES)
-        total = F.when(closes, acc["total"] + F.coalesce(acc["group"], F.lit(1)) * scale(w)).otherwise(acc["total"])
+        total = F.when(closes, acc["total"] + F.coalesce(acc["group"], F.lit(1)) * lookup(_SCALES, w)).otherwise(acc["total"])
         group = F.when(closes, null).otherwise(F.coalesce(acc["group"], F.lit(0)) + lookup(value, w))
         return F.struct(total.cast("bigint").alias("total"), group.cast("bigint").alias("group"))
 
@@ -109,26 +102,36 @@ def clock(hour: Column, minute: Column) -> Column:
     return F.format_string("time:%02d:%02d", hour.cast("int"), minute.cast("int"))
 
 
-def phrase_value(phrase: Column, time: Column, date: Column) -> Column:
-    """The canonical value of a phrase that ``phrase_pattern`` has found."""
-    whole = lambda p: F.concat(F.lit("^(?:"), F.lit(p), F.lit(")$"))
-    is_ = lambda p: F.regexp_like(phrase, whole(p))
-    unit = F.regexp_extract(phrase, f"({MEASURED})$", 1)
-    core = F.substring(phrase, F.lit(1), F.length(phrase) - F.length(unit))
-    unit = F.when(unit == " por ciento", "%").when(unit != "", lookup(UNIT_OF, F.trim(unit)))
-    parts = F.split(core, " coma ")
-    words = F.split(parts[1], " ")
-    digits = F.array_join(F.transform(words, lambda w: lookup({w: v for w, v in _BELOW.items() if v < 10}, w)), "")
-    fraction = F.when(F.forall(words, lambda w: lookup(_BELOW, w) < 10), digits).otherwise(cardinal_value(parts[1]).cast("string"))
-    number = F.when(F.size(parts) > 1, number_text(F.concat(cardinal_value(parts[0]).cast("string"), F.lit(","), fraction))).otherwise(cardinal_value(core).cast("string"))
-    hour = cardinal_value(F.regexp_extract(phrase, f"^({_HOUR})", 1))
-    spoken_clock = F.when(F.endswith(phrase, F.lit(" media")), clock(hour, F.lit(30))).when(F.endswith(phrase, F.lit(" punto")), clock(hour, F.lit(0))).when(F.endswith(phrase, F.lit(" menos cuarto")), clock((hour + 23) % 24, F.lit(45))).otherwise(clock(hour, F.lit(15)))
-    of = F.split(phrase, " de ")
-    spoken_date = F.coalesce(day(cardinal_value(of[2]), lookup(MONTHS, of[1]), cardinal_value(of[0])), F.concat(F.lit("num:"), cardinal_value(of[0]).cast("string")))
-    return (
-        F.when(date & F.contains(phrase, F.lit(" de ")), spoken_date)
-        .when(time & is_(CLOCK), spoken_clock)
-        .when(time & is_(HOUR_MINUTE), clock(hour, cardinal_value(F.regexp_extract(phrase, f"^{_HOUR} (.*)$", 1))))
-        .when(phrase.isin(*ORDINALS), F.concat(F.lit("ord:"), lookup(ORDINALS, phrase)))
-        .otherwise(with_unit(number, unit))
-    )
+def phrase_values(rows: DataFrame) -> DataFrame:
+    """Rows (match, words, time, date, ...) with the canonical ``value`` of each phrase that ``phrase_pattern`` has found; step by step, so that no expression stands twice in a plan."""
+    letters, words, time, date = map(F.col, ("match", "words", "time", "date"))
+    kept = [c for c in rows.columns if c not in ("match", "words", "time", "date")]
+    is_ = lambda p: letters.rlike(f"^(?:{p})$")
+    kind = F.when(date & F.contains(letters, F.lit("dmd")), "date").when(time & is_(CLOCK), "clock").when(time & is_(HOUR_MINUTE), "pair").when(letters.rlike("^[OQ]$"), "ordinal").otherwise("number")
+    n = F.size(words)
+    tail = F.when(letters.rlike("u$"), 1).when(letters.rlike("pC$"), 2).otherwise(0)
+    rows = rows.withColumns({"kind": kind, "core": F.array_join(F.slice(words, F.lit(1), n - F.when(kind == "number", tail).otherwise(0)), " "), "closing": F.array_join(F.slice(words, F.greatest(n - 1, F.lit(1)), F.lit(2)), " "), "last": F.element_at(words, -1), "head": words[0]})
+    kind, core, closing, last, head = map(F.col, ("kind", "core", "closing", "last", "head"))
+    rows = rows.withColumn("of", F.split(core, " de "))
+    of = F.col("of")
+    # each cardinal of the phrase once: day and year, hour and minute, or what stands before and after the decimal sign
+    rest = F.array_join(F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(1))), " ")
+    said = F.when(kind == "date", F.array(of[0], F.get(of, F.lit(2)))).when(kind == "pair", F.array(head, rest)).when(kind == "clock", F.array(head)).otherwise(F.split(core, " coma "))
+    rows = rows.withColumn("said", said).withColumn("values", F.transform("said", cardinal_value))
+    rows = rows.withColumns({"first": F.get("values", F.lit(0)), "second": F.get("values", F.lit(1)), "digits": F.split(F.get("said", F.lit(1)), " ")})
+    first, second, digits = map(F.col, ("first", "second", "digits"))
+    # digits one by one after the sign, or one number
+    single = {w: v for w, v in _BELOW.items() if v < 10}
+    fraction = F.when(F.forall(digits, lambda w: w.isin(*single)), F.array_join(F.transform(digits, lambda w: lookup(single, w)), "")).otherwise(second.cast("string"))
+    number = F.concat(first.cast("string"), F.when(F.size("said") > 1, F.concat(F.lit(","), fraction)).otherwise(""))
+    rows = rows.withColumns({
+        "number": number,
+        "month": lookup(MONTHS, F.get(of, F.lit(1))),
+        "measure": F.when(letters.rlike("pC$"), "%").when(letters.rlike("u$"), lookup(UNIT_OF, last)),
+        "ordinal": F.when(kind == "ordinal", F.concat(F.lit("ord:"), lookup(ORDINALS, last).cast("string"))),
+        "minute": F.when(closing == "y media", 30).when(closing == "en punto", 0).when(closing == "menos cuarto", 45).when(kind == "pair", second).otherwise(15),
+    }).withColumn("number", number_text(F.col("number")))
+    spoken_date = F.coalesce(day(second, F.col("month"), first), F.concat(F.lit("num:"), first.cast("string")))
+    spoken_clock = clock(F.when((kind == "clock") & (closing == "menos cuarto"), (first + 23) % 24).otherwise(first), F.when(kind == "pair", second).otherwise(F.col("minute")))
+    value = F.when(kind == "date", spoken_date).when(kind.isin("clock", "pair"), spoken_clock).otherwise(F.coalesce("ordinal", with_unit(F.col("number"), F.col("measure"))))
+    return rows.select(*kept, value.alias("value"))

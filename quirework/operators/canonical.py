@@ -110,23 +110,24 @@ def _written_spans(texts: DataFrame, key: list[str]) -> DataFrame:
         value = F.when(F.col("rule") == i, r.value(F.col("match"))).otherwise(value)
         if r.begins:
             begins = F.when(F.col("rule") == i, F.col("end") - F.length(F.regexp_extract("match", r.begins, 1))).otherwise(begins)
-    found = found.select(*key, "rule", begins.alias("begin"), "end", value.alias("value")).filter("value is not null")
-    return claimed(found, key, ALWAYS)
+    found = found.select(*key, "rule", begins.alias("begin"), "end", value.alias("value"))
+    # written, as what follows would plan these expressions again and again
+    return claimed(written(found, "rule-matches").filter("value is not null"), key, ALWAYS)
 
 
 def _spoken_spans(texts: DataFrame, words: DataFrame, claims: DataFrame, key: list[str]) -> DataFrame:
     """key, begin, end, value of number phrases in the words (key, k, begin, end, value) that no rule has claimed."""
-    said = F.when(F.col("covered"), "#").otherwise(F.col("value"))
-    joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", said.alias("said")))), lambda s: s["said"]), " ")
-    lines = covered(words, claims, key).groupBy(*key).agg(joined.alias("line")).join(texts.select(*key, "time", "date"), key)
-    time, date = F.col("time"), F.col("date")
-    # counted in words: a phrase begins after as many blanks as there are words before it
-    blanks = lambda c: F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
-    found = located(lines, [*key, "time", "date"], F.col("line"), {0: S.phrase_pattern(time, date)}, blanks)
-    found = found.withColumn("value", S.phrase_value(F.col("match"), time, date))
-    first, last = words.select(*key, F.col("k").alias("begin"), F.col("begin").alias("b")), words.select(*key, F.col("k").alias("end"), F.col("end").alias("e"))
-    found = found.filter("value is not null").select(*key, "begin", "end", "value").join(first, [*key, "begin"]).join(last, [*key, "end"])
-    return found.select(*key, F.col("b").alias("begin"), F.col("e").alias("end"), "value")
+    letter = F.when(F.col("covered"), "#").otherwise(F.coalesce(S.lookup(S.LETTERS, F.col("value")), F.lit(".")))
+    letters = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", letter.alias("letter")))), lambda s: s["letter"]), "")
+    lines = covered(words, claims, key).groupBy(*key).agg(letters.alias("letters")).join(texts.select(*key, "time", "date"), key)
+    flags = ["time", "date"]
+    found = located(lines, [*key, *flags], F.col("letters"), {0: S.phrase_pattern(F.col("time"), F.col("date"))})
+    # a letter is a word: the words of a phrase, and where they stand
+    each = found.select(*key, *flags, F.col("begin").alias("at"), "match", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("k")).join(words, [*key, "k"])
+    phrases = each.groupBy(*key, *flags, "at", "match").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("words"), F.min("begin").alias("begin"), F.max("end").alias("end"))
+    phrases = phrases.withColumn("words", F.transform("words", lambda w: w["value"])).drop("at")
+    # filtered after writing: a filter would be pushed down, and the steps of the value with it into one expression
+    return written(S.phrase_values(phrases), "phrases").filter("value is not null")
 
 
 def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:

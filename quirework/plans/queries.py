@@ -794,4 +794,4 @@ def take_states(t):
 
 
 
-from quirework.plans import assembly, contents, numerals, package, records, release, speech, texts  # noqa: E402, F401 - they register their queries
+from quirework.plans import assembly, comparison, contents, numerals, package, records, release, speech, texts  # noqa: E402, F401 - they register their queries

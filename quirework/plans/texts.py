@@ -403,38 +403,3 @@ def section_plan(t):
     begins = lambda p: F.col("title").rlike(f"^({p})")
     category = F.when(begins("indice|contenido|sumario"), "contents").when(begins("isbn|copyright|deposito legal"), "imprint").when(begins("bibliografia|notas|apendice"), "back matter").when(begins("prologo|prefacio|dedicatoria"), "front matter").otherwise("body")
     return d.select("doc_id", category.alias("category"), (~begins("isbn|copyright|deposito legal|indice|contenido|sumario")).alias("included"))
-
-
-# ---------------------------------------------------------------- error rates, without SQL: DuckDB's edit distance counts bytes
-
-
-def token_distance(a, b):
-    """Edits between two arrays of words: each distinct word becomes one character, and the built-in distance counts those."""
-    words = F.array_distinct(F.concat(a, b))
-    # code points from U+10000 on: a million of them, none is a surrogate
-    letter = lambda w: F.lpad(F.hex(F.array_position(words, w) + 0xFFFF), 8, "0")
-    text = lambda x: F.decode(F.unhex(F.array_join(F.transform(x, letter), "")), "UTF-32")
-    return F.levenshtein(text(a), text(b))
-
-
-def _turn_pairs(t) -> DataFrame:
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    c = t("conversations").select("conv_id", "turn", "role", "text", F.lead("text").over(w).alias("heard"))
-    c = c.filter("role = 'user' and heard is not null").withColumn("expected", F.col("text"))
-    return c.select("conv_id", "turn", "expected", "heard", T.words(F.col("expected")).alias("a"), T.words(F.col("heard")).alias("b"))
-
-
-@query()
-def wer_pairs(t):
-    """CMP05: word and character error rates of each answer against its question, by the built-in edit distance."""
-    p = _turn_pairs(t).withColumns({"errors": token_distance(F.col("a"), F.col("b")), "char_errors": F.levenshtein("expected", "heard")})
-    return p.select("conv_id", "turn", F.size("a").alias("words"), "errors", F.round(F.col("errors") / F.nullif(F.size("a"), F.lit(0)), 6).alias("wer"), "char_errors", F.round(F.col("char_errors") / F.nullif(F.length("expected"), F.lit(0)), 6).alias("cer"))
-
-
-@query()
-def verdicts(t):
-    """CMP06: verified if the words are equal, ambiguous if they only sound alike, else likely an error; the confidence is the share of words without one."""
-    p = _turn_pairs(t).withColumn("errors", token_distance(F.col("a"), F.col("b")))
-    sound = lambda c: F.transform(c, T.phonetic_key)
-    verdict = F.when(F.col("errors") == 0, "verified").when(sound(F.col("a")) == sound(F.col("b")), "ambiguous").otherwise("likely_error")
-    return p.select("conv_id", "turn", verdict.alias("verdict"), F.round(F.greatest(F.lit(0.0), 1 - F.col("errors") / F.nullif(F.size("a"), F.lit(0))), 6).alias("confidence"))
