@@ -116,15 +116,18 @@ def count_words(texts: list[str]) -> Counter[str]:
 
 
 def index_vectors(kept: list[str], dims: int) -> np.ndarray:
-    """Index vectors of the kept words; row 0 is for all others."""
-    return np.stack([np.zeros(dims, np.int64)] + [index_vector(w, dims).astype(np.int64) for w in kept])
+    """Index vectors of the kept words in small whole numbers; row 0 is for all others."""
+    out = np.zeros((len(kept) + 1, dims), np.int8)
+    for i, w in enumerate(kept):
+        out[i + 1] = index_vector(w, dims)
+    return out
 
 
 def add_neighbours(vectors: np.ndarray, index: np.ndarray, reader: Reader, texts: list[str], window: int = 2) -> None:
     """Adds to each word's vector the index vectors of its neighbours in the texts."""
     for t in texts:
         forms, shapes, _ = reader.rows(t)
-        own = index[forms] + index[shapes]
+        own = index[forms].astype(np.int32) + index[shapes]
         for d in range(1, window + 1):
             if len(forms) > d:
                 for at in (forms, shapes):
@@ -133,9 +136,13 @@ def add_neighbours(vectors: np.ndarray, index: np.ndarray, reader: Reader, texts
 
 
 def unit_vectors(sums: np.ndarray) -> np.ndarray:
-    sums = sums.astype(np.float64)
-    sums[0] = 0
-    return (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)).astype(np.float32)
+    """Rows of length 1, a few thousand at a time."""
+    out = np.zeros(sums.shape, np.float32)
+    for i in range(0, len(sums), 8192):
+        some = sums[i : i + 8192].astype(np.float64)
+        out[i : i + 8192] = some / np.maximum(np.linalg.norm(some, axis=1, keepdims=True), 1e-6)
+    out[0] = 0
+    return out
 
 
 def forward(x: np.ndarray, layers: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -193,11 +200,12 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 1500, most_words: int | None = None, dims: int = DIMS) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_class: int = 1500, most_words: int | None = None, least_count: int = 2, dims: int = DIMS) -> Model:
     """Learns from a bounded sample of labelled documents, read whole; the classes' true shares set the prior.
 
-    Every form and shape of the sample has a vector; ``most_words`` keeps the most frequent ones only. The texts that the layers learn
-    from are pooled without the words that stand once in the sample, so that they meet unknown words as often as other texts do.
+    Forms and shapes that stand ``least_count`` times in the sample have vectors; rarer ones are unknown words, so that the layers meet unknown
+    words as other texts have them (with vectors for words that stand once, what is learned does not carry over to texts full of rare words).
+    ``most_words`` keeps the most frequent ones only; None: all of them.
     """
     ones, n = labels_of_class(labels, label)
     sample = labelled_sample(docs, labels, label, rows_per_class)
@@ -207,32 +215,32 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows_per_cla
             found = count_words(texts)
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["word", "n"])
 
-    counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word")
-    found = (counts if most_words is None else counts.limit(most_words)).toArrow()
-    kept, twice = found.column("word").to_pylist(), int((found.column("n").to_numpy() > 1).sum())
+    counts = sample.mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_count).orderBy(F.desc("n"), "word")
+    kept = (counts if most_words is None else counts.limit(most_words)).select("word").toArrow().column("word").to_pylist()
     words = {w: i + 1 for i, w in enumerate(kept)}
     known = docs.sparkSession.sparkContext.broadcast(words)
 
     def neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors(list(known.value), dims)
-        sums, reader = np.zeros_like(index), Reader(known.value)
+        sums, reader = np.zeros(index.shape, np.int32), Reader(known.value)
         for _, texts in read_texts(batches):
             add_neighbours(sums, index, reader, texts)
-        at = np.flatnonzero(sums.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.FixedSizeListArray.from_arrays(pa.array(sums[at].ravel()), dims).cast(pa.list_(pa.int64()))], names=["word", "v"])
+        every = np.flatnonzero(sums.any(axis=1))
+        for at in np.split(every, range(4096, len(every), 4096)):
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.FixedSizeListArray.from_arrays(pa.array(sums[at].ravel()), dims).cast(pa.list_(pa.int64()))], names=["word", "v"])
 
     added = [F.sum(F.get("v", i)).alias(f"v{i}") for i in range(dims)]
-    vectors = index_vectors(kept, dims)
+    vectors = index_vectors(kept, dims).astype(np.int32)
     sums = sample.mapInArrow(neighbours, "word bigint, v array<bigint>").groupBy("word").agg(*added).toArrow()
     at = sums.column("word").to_numpy()
     for i in range(dims):
-        vectors[at, i] += sums.column(f"v{i}").to_numpy()
+        vectors[at, i] += sums.column(f"v{i}").to_numpy().astype(np.int32)
+    del sums
     vectors = unit_vectors(vectors)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # words come by falling count: those that stand twice are the first
-        reader, repeat = Reader({w: i for w, i in known.value.items() if i <= twice}), index_vector("repeats", dims)
+        reader, repeat = Reader(known.value), index_vector("repeats", dims)
         for ys, texts in read_texts(batches):
             rows = [pool(reader, shared.value, repeat, t).astype("<f4").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(rows, pa.binary())], names=["label", "x"])

@@ -33,13 +33,13 @@ def train_toxicity(texts, labels):
 def train_quality(texts, labels, dims=48):
     """As fit() does, without Spark."""
     counts = quality.count_words(texts)
-    kept = sorted(counts, key=lambda w: (-counts[w], w))
+    kept = sorted((w for w, c in counts.items() if c > 1), key=lambda w: (-counts[w], w))
     words = {w: i + 1 for i, w in enumerate(kept)}
     index = quality.index_vectors(kept, dims)
-    sums = index.copy()
+    sums = index.astype(np.int32)
     quality.add_neighbours(sums, index, quality.Reader(words), texts)
     vectors = quality.unit_vectors(sums)
-    reader, repeat = quality.Reader({w: i for w, i in words.items() if counts[w] > 1}), quality.index_vector("repeats", dims)
+    reader, repeat = quality.Reader(words), quality.index_vector("repeats", dims)
     x = np.stack([quality.pool(reader, vectors, repeat, t) for t in texts]) if texts else np.zeros((0, 3 * dims + 1))
     return quality.train(words, vectors, x, labels)
 
@@ -262,7 +262,8 @@ def test_all_words_can_be_kept(spark):
     docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id bigint, text string")
     labels = spark.createDataFrame([(i, y, y) for i, _, y in rows], "doc_id bigint, quality int, toxic int")
     few, every = quality.fit(docs, labels, most_words=10), quality.fit(docs, labels, most_words=None)
-    assert len(few.words) == 10 and len(every.words) == len(quality.count_words([t for _, t, _ in rows]))
+    assert len(few.words) == 10 and len(every.words) == sum(c > 1 for c in quality.count_words([t for _, t, _ in rows]).values())
+    assert len(quality.fit(docs, labels, least_count=1).words) == len(quality.count_words([t for _, t, _ in rows]))
     assert np.count_nonzero(toxicity.fit(docs, labels).odds) > np.count_nonzero(toxicity.fit(docs, labels, least_docs=3).odds)
 
 
