@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions import text as T
+from quirework.operators import markup as M
 from quirework.operators import ordered as O
 from quirework.plans.registry import n, query
 
@@ -37,22 +38,34 @@ def transcriber_marks(t):
     return d.select("doc_id", F.regexp_count("dirty", F.lit(marks)).alias("dropped"), F.regexp_extract("dirty", marks, 0).alias("first_drop"), F.md5(kept.cast("binary")).alias("kept_md5"))
 
 
-@query(
-    r"""
-SELECT page_id, CAST(pos AS BIGINT) AS ordinal, tag, trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')) AS text FROM (
-  SELECT page_id, unnest(range(len(b))) AS pos, lower(regexp_extract(unnest(b), '^<([a-zA-Z0-9]+)', 1)) AS tag, regexp_extract(unnest(b), '(?s)^<[^>]*>(.*)$', 1) AS body
-  FROM (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)<(script|style|nav)[ >].*?</(script|style|nav)>', '', 'g'), '(?i)<(b|i|em|strong|br)>|</(b|i|em|strong|a)>', '', 'g'), '<(?:h[1-6]|p|li|td)>[^<]*') AS b FROM pages))
-WHERE trim(regexp_replace(regexp_replace(body, '<[^>]*>', ' ', 'g'), '[ \t\n\r\f]+', ' ', 'g')) <> ''
+def _blocks_sql() -> str:
+    some = lambda names: ", ".join(f"'{n}'" for n in names)
+    tag, unread = (p.replace("'", "''") for p in (M.TAG, M.UNREAD))
+    text = "text"
+    for name, char in M.ENTITIES.items():
+        text = "replace({}, '&{};', '{}')".format(text, name, char.replace("'", "''"))
+    return rf"""
+WITH c AS (SELECT page_id, regexp_replace(html, '{unread}', '', 'g') AS h FROM pages WHERE html IS NOT NULL),
+r AS (SELECT page_id, unnest(range(len(string_split_regex(h, '{tag}')))) AS pos, unnest(string_split_regex(h, '{tag}')) AS piece, unnest(list_concat(regexp_extract_all(h, '{tag}'), [NULL])) AS written FROM c),
+n AS (SELECT *, coalesce(lower(regexp_extract(written, '^</?([a-zA-Z0-9:-]+)', 1)), '') AS name, coalesce(starts_with(written, '</'), false) AS closes, coalesce(ends_with(written, '/>'), false) AS whole FROM r),
+k AS (SELECT *, name IN ({some(M.BLOCKS)}) AND NOT whole AS is_block FROM n),
+s AS (SELECT *, sum(CAST(is_block AS INTEGER)) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS after FROM k),
+x AS (SELECT page_id, after - CAST(is_block AS INTEGER) AS block, string_agg(piece || CASE WHEN name = 'br' THEN ' ' ELSE '' END, '' ORDER BY pos) AS text, count(*) FILTER (NOT is_block AND name = 'a' AND regexp_matches(written, '(?i)\shref\s*=')) AS links FROM s GROUP BY 1, 2),
+e AS (SELECT page_id, after AS block, name, closes, lag(name) OVER w AS ln, coalesce(NOT lag(closes) OVER w, false) AS opened FROM s WHERE is_block WINDOW w AS (PARTITION BY page_id ORDER BY after)),
+d AS (SELECT *, CASE WHEN closes AND name = 'p' AND NOT coalesce(opened AND ln = 'p', false) THEN 0 WHEN closes THEN -1 ELSE 1 END
+  - CASE WHEN opened AND (ln = 'p' AND NOT (name = 'p' AND closes) OR NOT closes AND ln = name AND name IN ({some(M.ENDS_ITS_KIND)})) THEN 1 ELSE 0 END AS step,
+  CASE WHEN name NOT IN ({some(M.LEFT_OUT)}) THEN 0 WHEN closes THEN -1 ELSE 1 END AS o FROM e),
+f AS (SELECT *, sum(step) OVER w AS depth, sum(o) OVER w AS outside FROM d WINDOW w AS (PARTITION BY page_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+g AS (SELECT page_id, block, depth, outside, last_value(CASE WHEN NOT closes THEN name END IGNORE NULLS) OVER (PARTITION BY page_id, depth ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS tag FROM f),
+y AS (SELECT page_id, block, tag, depth, links, trim(regexp_replace({text}, '[ \t\n\r\f]+', ' ', 'g')) AS text FROM x JOIN g USING (page_id, block) WHERE outside = 0)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY block) - 1 AS BIGINT) AS ordinal, tag, CAST(depth AS INTEGER) AS depth, text, CAST(links AS INTEGER) AS links FROM y WHERE text <> ''
 """
-)
+
+
+@query(_blocks_sql())
 def html_blocks(t):
-    """SRC08, SRC22: headings, paragraphs, items and cells of a page in order; scripts, styles, comments and navigation do not count."""
-    clean = F.regexp_replace("html", "(?s)<!--.*?-->", "")
-    clean = F.regexp_replace(clean, "(?s)<(script|style|nav)[ >].*?</(script|style|nav)>", "")
-    clean = F.regexp_replace(clean, "(?i)<(b|i|em|strong|br)>|</(b|i|em|strong|a)>", "")
-    blocks = t("pages").select("page_id", F.posexplode(F.regexp_extract_all(clean, F.lit("<(?:h[1-6]|p|li|td)>[^<]*"), F.lit(0))).alias("pos", "b"))
-    rows = blocks.select("page_id", F.col("pos").cast("bigint").alias("ordinal"), F.lower(F.regexp_extract("b", "^<([a-zA-Z0-9]+)", 1)).alias("tag"), T.squeezed(F.regexp_extract("b", "(?s)^<[^>]*>(.*)$", 1)).alias("text"))
-    return rows.filter("text <> ''")
+    """SRC05, SRC06, SRC08, SRC22: the blocks of a page from its stream of tags: element, depth, text and links; scripts, styles, comments and navigation do not count."""
+    return M.blocks(t("pages"), "page_id", "html")
 
 
 @query(
