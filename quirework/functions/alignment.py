@@ -51,11 +51,15 @@ def edit_counts(a: Column, b: Column) -> Column:
     last = F.aggregate(steps, start, diagonal, lambda acc: F.get(acc["one"], m - acc["low_one"]))
     # equal arrays have nothing to align
     last = F.when(band == 0, F.lit(0).cast("bigint")).otherwise(last)
-    cost = F.shiftright(last, COST)
-    deleted, inserted = F.shiftright(last, DELETED).bitwiseAND(F.lit(_COUNT)), last.bitwiseAND(F.lit(_COUNT))
-    substituted = cost - deleted - inserted
-    names = {"substitutions": substituted, "deletions": deleted, "insertions": inserted, "matches": n - substituted - deleted}
-    return F.struct(*(c.cast("int").alias(k) for k, c in names.items()))
+
+    def unpacked(x: Column) -> Column:
+        deleted, inserted = F.shiftright(x, DELETED).bitwiseAND(F.lit(_COUNT)), x.bitwiseAND(F.lit(_COUNT))
+        substituted = F.shiftright(x, COST) - deleted - inserted
+        names = {"substitutions": substituted, "deletions": deleted, "insertions": inserted, "matches": n - substituted - deleted}
+        return F.struct(*(c.cast("int").alias(k) for k, c in names.items()))
+
+    # through an array of one, so that the table of cells is computed once for all four
+    return F.get(F.transform(F.array(last), unpacked), F.lit(0))
 
 
 def error_rate(errors: Column, count: Column, other: Column) -> Column:

@@ -27,7 +27,9 @@ def _turn_pairs(t) -> DataFrame:
     w = Window.partitionBy("conv_id").orderBy("turn")
     c = t("conversations").select("conv_id", "turn", "role", F.col("text").alias("expected"), F.lead("text").over(w).alias("heard"))
     c = c.filter("role = 'user' and heard is not null and expected is not null").drop("role")
-    return c.withColumns({"a": T.words(F.col("expected")), "b": T.words(F.col("heard"))})
+    # pairs cost as much as their lengths' product: they are dealt to all tasks, however small the table is
+    parts = int(c.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return c.select("conv_id", "turn", T.words(F.col("expected")).alias("a"), T.words(F.col("heard")).alias("b")).repartition(parts, "conv_id", "turn")
 
 
 @query(

@@ -72,3 +72,28 @@ def attempt_scan(t):
 
     rows = t("events").filter((F.col("user_id") < 1_000_000) & F.col("event_type").isin("click", "error"))
     return O.numbered(rows.withColumn("unit_id", F.col("user_id")), ["unit_id"], ["ts", "event_id"], "attempt").select("unit_id", "event_id", "attempt").orderBy("unit_id", "attempt")
+
+
+@query(
+    """
+SELECT o_orderstatus, CAST(count(DISTINCT o_orderkey) AS BIGINT) AS jobs, CAST(count(l_orderkey) AS BIGINT) AS units, CAST(2 AS BIGINT) AS batches
+FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderstatus
+"""
+)
+def published_jobs(t):
+    """SNK02: orders and their lines published together in two batches, the second one twice; readers see each batch once."""
+    import uuid
+
+    from quirework.operators.written import shared_folder
+    from quirework.sources.published import Published
+
+    orders = t("orders").select("o_orderkey", "o_orderstatus")
+    lines = t("lineitem").select("l_orderkey", "l_linenumber")
+    spark = orders.sparkSession
+    store = Published(spark, f"{shared_folder(spark)}/quirework/{spark.sparkContext.applicationId}/published-{uuid.uuid4().hex}")
+    for batch, of in (("finished", "o_orderstatus = 'F'"), ("others", "o_orderstatus <> 'F'"), ("others", "o_orderstatus <> 'F'")):
+        jobs = orders.filter(of)
+        store.publish(batch, {"jobs": jobs, "units": lines.join(jobs.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")})
+    units = store.read("units").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("units"))
+    found = store.read("jobs").join(units, "o_orderkey", "left").groupBy("o_orderstatus")
+    return found.agg(F.count("*").alias("jobs"), F.coalesce(F.sum("units"), F.lit(0)).alias("units")).withColumn("batches", F.lit(len(store.commits())).cast("bigint"))
