@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quirework.functions import numbers as N
 from quirework.functions import text as T
+from quirework.functions.alignment import edit_counts
 from quirework.operators import ordered as O
-from quirework.plans.texts import token_distance
 
 
 def plain_distance(a, b):
@@ -20,13 +20,13 @@ def plain_distance(a, b):
     return row[-1]
 
 
-def test_token_distance(spark):
+def test_alignment_costs_the_distance(spark):
     rnd = random.Random(1)
     rows = [([], []), (["a"], []), (["a", "b"], ["b", "a"]), (["ñ", "ñ", "x"], ["ñ", "x"])]
     rows += [([rnd.choice("abcdefgh") for _ in range(rnd.randrange(30))], [rnd.choice("abcdefgh") for _ in range(rnd.randrange(30))]) for _ in range(60)]
     rows += [([f"w{i}" for i in range(700)], [f"w{i}" for i in range(699, -1, -1)])]
-    df = spark.createDataFrame(rows, "a array<string>, b array<string>").withColumn("d", token_distance(F.col("a"), F.col("b")))
-    assert all(r.d == plain_distance(r.a, r.b) for r in df.collect())
+    df = spark.createDataFrame(rows, "a array<string>, b array<string>").withColumn("c", edit_counts(F.col("a"), F.col("b")))
+    assert all(r.c.substitutions + r.c.deletions + r.c.insertions == plain_distance(r.a, r.b) for r in df.collect())
 
 
 @pytest.mark.parametrize("n,words,feminine", [
