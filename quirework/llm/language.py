@@ -50,11 +50,12 @@ def sample(labelled: DataFrame, docs_per_language: int) -> DataFrame:
     return thin.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= docs_per_language).select("lang", "text")
 
 
-def fit(labelled: DataFrame, docs_per_language: int = 1000, words_per_language: int | None = 20_000, grams_per_language: int | None = 20_000, max_n: int = 5) -> Model:
+def fit(labelled: DataFrame, docs_per_language: int = 1000, words_per_language: int | None = 20_000, grams_per_language: int | None = 20_000, max_n: int = 5, least_count: int = 2) -> Model:
     """A model from columns text and lang.
 
     Words and n-grams are counted on Spark; of each language the most frequent ones come to the driver, as many as the
-    two parameters say, or all for None. The model grows with the number of languages, not with that of documents.
+    two parameters say, or all for None. Words that stand less than ``least_count`` times in a language's sample are left to their n-grams, as
+    unseen words are. The model holds a value for each string and language: it grows with the square of the languages, not with the documents.
     """
     letters = F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))
     words = sample(labelled, docs_per_language).select("lang", F.explode(letters).alias("s")).groupBy("lang", "s").agg(F.count("*").alias("n"))
@@ -68,7 +69,7 @@ def fit(labelled: DataFrame, docs_per_language: int = 1000, words_per_language:
     grams = words.select("lang", "n", F.explode(cuts).alias("s")).groupBy("lang", "s").agg(F.sum("n").alias("n"))
     rank = Window.partitionBy("lang").orderBy(F.desc("n"), "s")
     kept = {}
-    for name, counts, most in (("words", words.filter("n > 1"), words_per_language), ("grams", grams, grams_per_language)):
+    for name, counts, most in (("words", words.filter(F.col("n") >= least_count), words_per_language), ("grams", grams, grams_per_language)):
         if most is not None:
             counts = counts.withColumn("r", F.row_number().over(rank)).filter(F.col("r") <= most)
         kept[name] = counts.select("lang", "s", "n").collect()
