@@ -67,16 +67,6 @@ def suspects(text: Column) -> tuple[Column, Column]:
     return mixed, broken
 
 
-def language_vote(text: Column) -> Column:
-    """es, en or multi by stop words and accents; es with fewer than 3 signs."""
-    w = words(text)
-    count = lambda stop: F.size(F.filter(w, lambda x: x.isin(*stop)))
-    es = count(STOP_ES) + F.regexp_count(F.lower(text), F.lit(ACCENTS_ES))
-    en = count(STOP_EN)
-    share = es / (es + en)
-    return F.when(es + en < 3, "es").when(share >= 0.8, "es").when(share <= 0.2, "en").otherwise("multi")
-
-
 #: Ordered rewrites of the Peninsular phonetic key.
 PHONETIC = [
     ("ch", "\u0001"), ("ll", "y"), ("qu", "k"), ("gue", "ge\u0002"), ("gui", "gi\u0002"), ("ge", "je"), ("gi", "ji"), ("je\u0002", "ge"), ("ji\u0002", "gi"),
@@ -132,16 +122,6 @@ def safe_name(text: Column) -> Column:
     return F.left(F.regexp_replace(F.regexp_replace(plain, "[^A-Za-z0-9._-]+", "_"), "^_+|_+$", ""), F.lit(80))
 
 
-def page_order(label: Column) -> Column:
-    """Roman front matter before arabic pages."""
-    number = label.try_cast("int")
-    return F.struct(F.when(number.isNull(), 0).otherwise(1).alias("front"), F.coalesce(number, F.lit(0)).alias("number"), label.alias("label"))
-
-
-def is_acronym(word: Column) -> Column:
-    return word.rlike(r"^\p{Lu}{2,6}$")
-
-
 # Month names.
 MONTHS = ["enero", "febrero", "marzo", "abril", "mayo", "junio", "julio", "agosto", "septiembre", "octubre", "noviembre", "diciembre"]
 

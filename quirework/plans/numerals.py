@@ -79,7 +79,7 @@ FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {_WRITTEN} AS writt
 )
 def written_numbers(t):
     """NUM30, NUM18: written numbers with grouping dots or spaces and a decimal comma as plain decimals; what is none is null."""
-    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr(_WRITTEN.replace("||", "||")).alias("written"))
+    rows = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.expr(_WRITTEN).alias("written"))
     return rows.withColumn("value", N.written_number(F.col("written")))
 
 

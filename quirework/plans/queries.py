@@ -776,13 +776,6 @@ def structure_checks(t):
 # ---------------------------------------------------------------- kernels without SQL
 
 
-
-
-
-
-
-
-
 @query()
 def take_states(t):
     """EVT02: the machine of takes over the event log."""
@@ -793,5 +786,4 @@ def take_states(t):
     return states(e.select(F.col("user_id").cast("string").alias("unit_id"), F.col("take").cast("int").alias("take"), verdict.alias("verdict"), (F.col("event_type") == "error").alias("problem")))
 
 
-
 from quirework.plans import assembly, comparison, contents, numerals, package, records, release, speech, texts  # noqa: E402, F401 - they register their queries

@@ -28,8 +28,3 @@ def tables(spark: SparkSession, sf_dir: str) -> Callable[[str], DataFrame]:
 
 def n(c="*"):
     return F.count(c).cast("bigint")
-
-
-def pick(sql: str, *names: str):
-    """Columns of stand-in values that Spark and DuckDB write alike."""
-    return F.expr(sql).alias(*names)
