@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -55,6 +56,23 @@ def test_counts_with_ties(spark):
     assert got == {k: plain_counts(a, b) for k, (a, b) in enumerate(data)}
 
 
+def test_counts_from_kept_states_and_of_nulls(spark, monkeypatch):
+    monkeypatch.setattr(A, "_TOGETHER", 3)
+    for a, b in pairs(3, 120):
+        assert A.plain_edit_counts(a, b) == plain_counts(a, b) and A.plain_edit_counts(b, a) == plain_counts(b, a)
+    data = [(["a", None], [None, "a"]), ([None], [None]), (["a"], None)]
+    got = [r.c for r in frame(spark, data).orderBy("k").select(A.edit_counts(F.col("a"), F.col("b")).alias("c")).collect()]
+    assert tuple(got[0]) == plain_counts(*data[0]) and tuple(got[1]) == (0, 0, 0, 1) and (got[2] is None or set(got[2]) == {None})
+
+
+def test_long_pairs_in_short_time(spark):
+    """Twelve million cells: by lambdas over arrays they took minutes."""
+    data = [([f"a{i}" for i in range(4000)], [f"b{i}" for i in range(3000)])]
+    began = time.monotonic()
+    got = frame(spark, data).select(A.edit_counts(F.col("a"), F.col("b")).alias("c")).collect()[0].c
+    assert tuple(got) == (3000, 1000, 0, 0) and time.monotonic() - began < 30
+
+
 def test_blocks_and_steps_are_those_of_difflib(spark):
     data = pairs(2)
     df = frame(spark, data)
