@@ -135,7 +135,9 @@ def contents_row(line: Column) -> tuple[Column, Column]:
     """(label, page) of a contents row: by leaders or a wide gap, else the last number after one space."""
     leaders = r"^(.*?\S)\s*(?:\.{2,}|…+|\s{3,})[\s.…]*([0-9]{1,4}|[ivxlcdmIVXLCDM]+)\s*$"
     single = r"^(.*\S)\s([0-9]{1,4})\s*$"
-    by_space = line.rlike(single) & ~F.lower(F.regexp_extract(line, single, 1)).rlike(r"(cap[ií]tulo|parte|libro|secci[oó]n)$")
-    label = F.when(line.rlike(leaders), F.regexp_extract(line, leaders, 1)).when(by_space, F.regexp_extract(line, single, 1)).otherwise(F.trim(line))
-    page = F.when(line.rlike(leaders), F.regexp_extract(line, leaders, 2)).when(by_space, F.regexp_extract(line, single, 2)).otherwise("")
+    # what matches has a label that is not empty: one match tells both, and a row without one is searched once
+    wide, near = F.regexp_extract(line, leaders, 1), F.regexp_extract(line, single, 1)
+    by_space = (near != "") & ~F.lower(near).rlike(r"(cap[ií]tulo|parte|libro|secci[oó]n)$")
+    label = F.when(wide != "", wide).when(by_space, near).otherwise(F.trim(line))
+    page = F.when(wide != "", F.regexp_extract(line, leaders, 2)).when(by_space, F.regexp_extract(line, single, 2)).otherwise("")
     return label, page

@@ -27,10 +27,12 @@ def _entries(t) -> DataFrame:
     lines = lines.select("doc_id", F.col("pos").cast("bigint").alias("pos"), F.regexp_replace("line", "[^A-Za-z ]", "").alias("line"))
     rows = lines.select("doc_id", "pos", F.expr(_ROW).alias("row"))
     label, page = T.contents_row(F.col("row"))
-    roman = N.roman_value(page)
-    front = F.when(page.rlike("^[0-9]+$"), 1).when(roman.isNotNull(), 0)
-    value = F.when(page.rlike("^[0-9]+$"), page.try_cast("int")).otherwise(roman)
-    return rows.select("doc_id", "pos", F.trim(F.regexp_replace(label, "[ .]+", " ")).alias("label"), F.lower(page).alias("page"), (front * 100_000 + value).cast("bigint").alias("place"))
+    # step by step: each step uses the one before several times, and would run its patterns as often
+    rows = rows.select("doc_id", "pos", label.alias("label"), F.lower(page).alias("page"))
+    digits = F.col("page").rlike("^[0-9]+$")
+    rows = rows.withColumn("digits", digits).withColumn("roman", F.when(~F.col("digits"), N.roman_value(F.col("page"))))
+    place = F.when(F.col("digits"), 100_000 + F.col("page").try_cast("int")).otherwise(F.col("roman"))
+    return rows.select("doc_id", "pos", F.trim(F.regexp_replace("label", "[ .]+", " ")).alias("label"), "page", place.cast("bigint").alias("place"))
 
 
 _LEADERS = r"^(.*?\S)\s*(?:\.{2,}|…+|\s{3,})[\s.…]*([0-9]{1,4}|[ivxlcdmIVXLCDM]+)\s*$"
