@@ -73,6 +73,22 @@ def test_long_pairs_in_short_time(spark):
     assert tuple(got) == (3000, 1000, 0, 0) and time.monotonic() - began < 30
 
 
+def test_distances_are_the_built_in_ones(spark):
+    rnd = random.Random(4)
+    word = lambda letters, n: "".join(rnd.choice(letters) for _ in range(rnd.randint(0, n)))
+    data = [("", ""), ("", "año"), ("café 🎈", "cafe"), ("abc", None), *((word(s, n), word(s, n)) for s in ("ab", "añ🎈 ", "abcdefgh") for n in (3, 70, 300) for _ in range(15))]
+    got = spark.createDataFrame(data, "x string, y string").select(A.edit_distance(F.col("x"), F.col("y")).alias("d"), F.levenshtein("x", "y").alias("built_in")).collect()
+    assert len(got) == len(data) and all(r.d == r.built_in for r in got)
+
+
+def test_distance_goes_by_rows_of_bits():
+    """Nine hundred million cells."""
+    rnd = random.Random(6)
+    a = "".join(rnd.choice("abcd") for _ in range(30_000))
+    began = time.monotonic()
+    assert A.plain_edit_distance(a, a[1000:29_000] + "x") == 2000 and time.monotonic() - began < 30
+
+
 def test_blocks_and_steps_are_those_of_difflib(spark):
     data = pairs(2)
     df = frame(spark, data)
