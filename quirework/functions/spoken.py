@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import numbers as N
+from .arrays import let, marked
 
 
 def _bare(words) -> list[str]:
@@ -49,12 +50,22 @@ MEASURED = "(?:u|pC)"
 _NUMBER = f"[OQ]|{CARDINAL}(?:c(?:[DZ]+|[tT]yD|[tT]|[Ss]))?{MEASURED}?"
 
 
-def phrase_pattern(time: Column, date: Column) -> Column:
-    """The pattern of number phrases in letters of words; clock times and dates only where they are expected."""
-    of = lambda *first: F.lit("|".join([*first, _NUMBER]))
+def phrases(letters: Column, time: Column, date: Column) -> Column:
+    """Letters of words with each number phrase between marks; clock times and dates only where they are expected."""
+    of = lambda *first: marked(letters, "|".join([*first, _NUMBER]))
     return F.when(time & date, of(DATE, CLOCK, HOUR_MINUTE)).when(time, of(CLOCK, HOUR_MINUTE)).when(date, of(DATE)).otherwise(of())
 
 
+def letter(word: Column) -> Column:
+    """What a word can be in a number phrase."""
+    chosen, words = None, {}
+    for w, x in LETTERS.items():
+        words.setdefault(x, []).append(w)
+    for x, ws in words.items():
+        chosen = F.when(word.isin(*ws), x) if chosen is None else chosen.when(word.isin(*ws), x)
+    return F.when(word.isin(*LETTERS), chosen).otherwise(".")
+
+
 def lookup(table: dict, word: Column) -> Column:
     """The value of a word in a table of plain words; null for others."""
     quoted = lambda x: f"'{x}'" if isinstance(x, str) else f"{x}L"
@@ -102,36 +113,35 @@ def clock(hour: Column, minute: Column) -> Column:
     return F.format_string("time:%02d:%02d", hour.cast("int"), minute.cast("int"))
 
 
-def phrase_values(rows: DataFrame) -> DataFrame:
-    """Rows (match, words, time, date, ...) with the canonical ``value`` of each phrase that ``phrase_pattern`` has found; step by step, so that no expression stands twice in a plan."""
-    letters, words, time, date = map(F.col, ("match", "words", "time", "date"))
-    kept = [c for c in rows.columns if c not in ("match", "words", "time", "date")]
+def phrase_value(letters: Column, words: Column, time: Column, date: Column) -> Column:
+    """The canonical value of a phrase that ``phrases`` has found; step by step, so that nothing is computed twice."""
     is_ = lambda p: letters.rlike(f"^(?:{p})$")
     kind = F.when(date & F.contains(letters, F.lit("dmd")), "date").when(time & is_(CLOCK), "clock").when(time & is_(HOUR_MINUTE), "pair").when(letters.rlike("^[OQ]$"), "ordinal").otherwise("number")
-    n = F.size(words)
+    n, last, head = F.size(words), F.element_at(words, -1), F.get(words, F.lit(0))
     tail = F.when(letters.rlike("u$"), 1).when(letters.rlike("pC$"), 2).otherwise(0)
-    rows = rows.withColumns({"kind": kind, "core": F.array_join(F.slice(words, F.lit(1), n - F.when(kind == "number", tail).otherwise(0)), " "), "closing": F.array_join(F.slice(words, F.greatest(n - 1, F.lit(1)), F.lit(2)), " "), "last": F.element_at(words, -1), "head": words[0]})
-    kind, core, closing, last, head = map(F.col, ("kind", "core", "closing", "last", "head"))
-    rows = rows.withColumn("of", F.split(core, " de "))
-    of = F.col("of")
-    # each cardinal of the phrase once: day and year, hour and minute, or what stands before and after the decimal sign
-    rest = F.array_join(F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(1))), " ")
-    said = F.when(kind == "date", F.array(of[0], F.get(of, F.lit(2)))).when(kind == "pair", F.array(head, rest)).when(kind == "clock", F.array(head)).otherwise(F.split(core, " coma "))
-    rows = rows.withColumn("said", said).withColumn("values", F.transform("said", cardinal_value))
-    rows = rows.withColumns({"first": F.get("values", F.lit(0)), "second": F.get("values", F.lit(1)), "digits": F.split(F.get("said", F.lit(1)), " ")})
-    first, second, digits = map(F.col, ("first", "second", "digits"))
+    closing = F.array_join(F.slice(words, F.greatest(n - 1, F.lit(1)), F.lit(2)), " ")
     # digits one by one after the sign, or one number
     single = {w: v for w, v in _BELOW.items() if v < 10}
-    fraction = F.when(F.forall(digits, lambda w: w.isin(*single)), F.array_join(F.transform(digits, lambda w: lookup(single, w)), "")).otherwise(second.cast("string"))
-    number = F.concat(first.cast("string"), F.when(F.size("said") > 1, F.concat(F.lit(","), fraction)).otherwise(""))
-    rows = rows.withColumns({
-        "number": number,
-        "month": lookup(MONTHS, F.get(of, F.lit(1))),
-        "measure": F.when(letters.rlike("pC$"), "%").when(letters.rlike("u$"), lookup(UNIT_OF, last)),
-        "ordinal": F.when(kind == "ordinal", F.concat(F.lit("ord:"), lookup(ORDINALS, last).cast("string"))),
-        "minute": F.when(closing == "y media", 30).when(closing == "en punto", 0).when(closing == "menos cuarto", 45).when(kind == "pair", second).otherwise(15),
-    }).withColumn("number", number_text(F.col("number")))
-    spoken_date = F.coalesce(day(second, F.col("month"), first), F.concat(F.lit("num:"), first.cast("string")))
-    spoken_clock = clock(F.when((kind == "clock") & (closing == "menos cuarto"), (first + 23) % 24).otherwise(first), F.when(kind == "pair", second).otherwise(F.col("minute")))
-    value = F.when(kind == "date", spoken_date).when(kind.isin("clock", "pair"), spoken_clock).otherwise(F.coalesce("ordinal", with_unit(F.col("number"), F.col("measure"))))
-    return rows.select(*kept, value.alias("value"))
+
+    def of_kind(kind: Column) -> Column:
+        core = F.array_join(F.slice(words, F.lit(1), n - F.when(kind == "number", tail).otherwise(0)), " ")
+        return let(core, lambda core: let(F.split(core, " de "), lambda of: of_said(kind, core, of)))
+
+    def of_said(kind: Column, core: Column, of: Column) -> Column:
+        # each cardinal of the phrase once: day and year, hour and minute, or what stands before and after the decimal sign
+        rest = F.array_join(F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(1))), " ")
+        said = F.when(kind == "date", F.array(of[0], F.get(of, F.lit(2)))).when(kind == "pair", F.array(head, rest)).when(kind == "clock", F.array(head)).otherwise(F.split(core, " coma "))
+        return let(said, lambda said: let(F.transform(said, cardinal_value), lambda values: of_values(kind, of, said, F.get(values, F.lit(0)), F.get(values, F.lit(1)))))
+
+    def of_values(kind: Column, of: Column, said: Column, first: Column, second: Column) -> Column:
+        digits = F.split(F.get(said, F.lit(1)), " ")
+        fraction = F.when(F.forall(digits, lambda w: w.isin(*single)), F.array_join(F.transform(digits, lambda w: lookup(single, w)), "")).otherwise(second.cast("string"))
+        number = let(F.concat(first.cast("string"), F.when(F.size(said) > 1, F.concat(F.lit(","), fraction)).otherwise("")), number_text)
+        measure = F.when(letters.rlike("pC$"), "%").when(letters.rlike("u$"), lookup(UNIT_OF, last))
+        ordinal = F.when(kind == "ordinal", F.concat(F.lit("ord:"), lookup(ORDINALS, last).cast("string")))
+        minute = F.when(closing == "y media", 30).when(closing == "en punto", 0).when(closing == "menos cuarto", 45).otherwise(15)
+        spoken_date = F.coalesce(day(second, lookup(MONTHS, F.get(of, F.lit(1))), first), F.concat(F.lit("num:"), first.cast("string")))
+        spoken_clock = clock(F.when((kind == "clock") & (closing == "menos cuarto"), (first + 23) % 24).otherwise(first), F.when(kind == "pair", second).otherwise(minute))
+        return F.when(kind == "date", spoken_date).when(kind.isin("clock", "pair"), spoken_clock).otherwise(F.coalesce(ordinal, with_unit(number, measure)))
+
+    return let(kind, of_kind)

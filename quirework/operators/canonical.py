@@ -1,7 +1,7 @@
 """Canonical tokens of Spanish texts: written and spoken forms of one quantity become one value, with the span they stand on.
 
-Each rule's matches are rows; the order of the rules decides among matches that overlap; number phrases are looked for in the words that no
-rule has claimed; what is left are words. Then runs of tokens that say one thing the long way are folded. Texts are read in composed
+Each rule's matches are spans; the order of the rules decides among matches that overlap; number phrases are looked for in the words that no
+rule has claimed; what is left are words. All of it are arrays of the text's own row. Then runs of tokens that say one thing the long way are folded. Texts are read in composed
 form (NFC): lower case and without marks each character is still one, so offsets are those of the text. A number phrase of over twelve words is read whole.
 """
 
@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quirework.functions import numbers as N
 from quirework.functions import spoken as S
+from quirework.functions.arrays import let, marked, occurrences, unmarked
 
-from .claims import claimed, covered, folded, located
-from .written import written
+from .claims import chosen, covered, folded, overlapping
 
 _BEFORE, _AFTER = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 _CORE = r"(?:\d{1,3}(?:[.,]\d{3})+(?:,\d+)?|\d{1,3}(?:\s\d{3})+|\d+(?:[.,]\d+)?)"
@@ -102,65 +102,60 @@ def expects_date(text: Column) -> Column:
     return plain.rlike(NUMERIC_DATE) | plain.rlike(TEXTUAL_DATE)
 
 
-def _written_spans(texts: DataFrame, key: list[str]) -> DataFrame:
-    """key, rule, begin, end, value of what the rules claim."""
-    found = located(texts, key, F.col("plain"), {i: r.pattern for i, r in enumerate(RULES)})
-    value, begins = F.lit(None).cast("string"), F.col("begin")
-    for i, r in enumerate(RULES):
-        value = F.when(F.col("rule") == i, r.value(F.col("match"))).otherwise(value)
-        if r.begins:
-            begins = F.when(F.col("rule") == i, F.col("end") - F.length(F.regexp_extract("match", r.begins, 1))).otherwise(begins)
-    found = found.select(*key, "rule", begins.alias("begin"), "end", value.alias("value"))
-    # written, as what follows would plan these expressions again and again
-    return claimed(written(found, "rule-matches").filter("value is not null"), key, ALWAYS)
-
-
-def _spoken_spans(texts: DataFrame, words: DataFrame, claims: DataFrame, key: list[str]) -> DataFrame:
-    """key, begin, end, value of number phrases in the words (key, k, begin, end, value) that no rule has claimed."""
-    letter = F.when(F.col("covered"), "#").otherwise(F.coalesce(S.lookup(S.LETTERS, F.col("value")), F.lit(".")))
-    letters = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", letter.alias("letter")))), lambda s: s["letter"]), "")
-    lines = covered(words, claims, key).groupBy(*key).agg(letters.alias("letters")).join(texts.select(*key, "time", "date"), key)
-    flags = ["time", "date"]
-    found = located(lines, [*key, *flags], F.col("letters"), {0: S.phrase_pattern(F.col("time"), F.col("date"))})
-    # a letter is a word: the words of a phrase, and where they stand
-    each = found.select(*key, *flags, F.col("begin").alias("at"), "match", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)).alias("k")).join(words, [*key, "k"])
-    phrases = each.groupBy(*key, *flags, "at", "match").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("words"), F.min("begin").alias("begin"), F.max("end").alias("end"))
-    phrases = phrases.withColumn("words", F.transform("words", lambda w: w["value"])).drop("at")
-    # filtered after writing: a filter would be pushed down, and the steps of the value with it into one expression
-    return written(S.phrase_values(phrases), "phrases").filter("value is not null")
-
-
-def _numbered(rows: DataFrame, key: list[str]) -> DataFrame:
-    return rows.select(*key, (F.row_number().over(Window.partitionBy(*key).orderBy("begin", "end")) - 1).alias("k"), "value", "begin", "end")
-
-
-def _with_gaps(tokens: DataFrame, texts: DataFrame, key: list[str], what: str = "text") -> DataFrame:
-    """With what stands between a token and the next, and the token itself, as written."""
-    order = Window.partitionBy(*key).orderBy("k")
-    rows = tokens.join(texts.select(*key, F.col(what).alias("__text"), "time"), key)
-    after = F.lead("begin").over(order)
-    cut = lambda begin, end: F.substring(F.col("__text"), begin + 1, end - begin)
-    return rows.withColumn("gap", F.when(after.isNotNull(), cut(F.col("end"), after))).withColumn("surface", cut(F.col("begin"), F.col("end"))).drop("__text")
-
-
-def _clock_pairs(tokens: DataFrame, texts: DataFrame, key: list[str]) -> DataFrame:
-    """Where a time is expected, two numbers with nothing but blanks between them, the second of two digits, are a time."""
-    rows = _with_gaps(tokens, texts, key, "plain")
-    order = Window.partitionBy(*key).orderBy("k")
-    minute = F.regexp_extract(F.lead("value").over(order), r"^(?:num:(\d+)|measure:(\d+):h)$", 0)
-    minute = F.regexp_extract(minute, r"(\d+)", 1)
-    raw = F.regexp_extract(F.lead("surface").over(order), r"^(\d+)", 1)
-    hour = F.regexp_extract("value", r"^num:(\d+)$", 1)
-    fits = F.col("time") & (hour != "") & (minute != "") & (F.length(raw) == 2) & F.col("gap").rlike(r"^\s*$") & (hour.try_cast("int") <= 23) & (minute.try_cast("int") <= 59)
-    rows = rows.withColumn("joins", F.coalesce(fits, F.lit(False))).withColumn("as_time", F.when(F.col("joins"), S.clock(hour, minute)))
-    # in a chain of such pairs every other one counts
-    run = F.sum(F.when(F.col("joins"), 0).otherwise(1)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("run", run)
-    nth = F.row_number().over(Window.partitionBy(*key, "run").orderBy(F.col("joins").desc(), "k"))
-    rows = rows.withColumn("takes", F.col("joins") & (nth % 2 == 1))
-    taken = F.coalesce(F.lag("takes").over(order), F.lit(False))
-    rows = rows.withColumns({"taken": taken, "end": F.when(F.col("takes"), F.lead("end").over(order)).otherwise(F.col("end")), "value": F.when(F.col("takes"), F.col("as_time")).otherwise(F.col("value"))})
-    return rows.filter("not taken").select(*key, "begin", "end", "value")
+_SPAN = "array<struct<rule:int,begin:int,end:int,value:string>>"
+
+
+def _written_spans(plain: Column) -> Column:
+    """rule, begin, end, value of what the rules claim."""
+
+    def of(i: int, r: Rule) -> Column:
+        begin = lambda m: m["end"] - F.length(F.regexp_extract(m["match"], r.begins, 1)) if r.begins else m["begin"]
+        return F.transform(occurrences(marked(plain, r.pattern)), lambda m: F.struct(F.lit(i).alias("rule"), begin(m).cast("int").alias("begin"), m["end"].alias("end"), r.value(m["match"]).alias("value")))
+
+    found = F.filter(F.concat(*[of(i, r) for i, r in enumerate(RULES)]), lambda s: s["value"].isNotNull())
+    by_place = lambda spans: F.sort_array(F.transform(spans, lambda s: F.struct(s["begin"].alias("begin"), s["end"].alias("end"))))
+    return let(found, lambda spans: F.when(let(by_place(spans), overlapping), chosen(spans, _SPAN, ALWAYS)).otherwise(spans))
+
+
+def _span(begin: Column, end: Column, value: Column) -> Column:
+    return F.struct(begin.cast("int").alias("begin"), end.cast("int").alias("end"), value.alias("value"))
+
+
+def _spoken_spans(words: Column, time: Column, date: Column) -> Column:
+    """begin, end, value of number phrases in the words (begin, end, value, covered) that no rule has claimed."""
+    # a letter is a word
+    letters = F.array_join(F.transform(words, lambda w: F.when(w["covered"], "#").otherwise(S.letter(w["value"]))), "")
+    value = lambda f: let(F.transform(F.slice(words, f["begin"] + 1, f["end"] - f["begin"]), lambda w: w["value"]), lambda ws: S.phrase_value(f["match"], ws, time, date))
+    found = F.transform(occurrences(let(letters, lambda x: S.phrases(x, time, date))), lambda f: _span(F.get(words, f["begin"])["begin"], F.get(words, f["end"] - 1)["end"], value(f)))
+    return F.filter(found, lambda s: s["value"].isNotNull())
+
+
+def _cut(text: Column, begin: Column, end: Column) -> Column:
+    return F.substring(text, begin + 1, end - begin)
+
+
+def _clock_pairs(numbers: Column, plain: Column) -> Column:
+    """Two numbers with nothing but blanks between them, the second of two digits, are a time: for texts where one is expected."""
+
+    def pair(x: Column, i: Column) -> Column:
+        def both(next_: Column) -> Column:
+            minute = F.regexp_extract(F.regexp_extract(next_["value"], r"^(?:num:(\d+)|measure:(\d+):h)$", 0), r"(\d+)", 1)
+            raw, gap = F.regexp_extract(_cut(plain, next_["begin"], next_["end"]), r"^(\d+)", 1), _cut(plain, x["end"], next_["begin"])
+            hour = F.regexp_extract(x["value"], r"^num:(\d+)$", 1)
+            fits = (hour != "") & (minute != "") & (F.length(raw) == 2) & gap.rlike(r"^\s*$") & (hour.try_cast("int") <= 23) & (minute.try_cast("int") <= 59)
+            return F.when(fits, _span(x["begin"], next_["end"], S.clock(hour, minute)))
+
+        return let(F.get(numbers, i + 1), both)
+
+    def joined(pairs: Column) -> Column:
+        # in a chain of such pairs every other one counts
+        joins = F.array_join(F.transform(pairs, lambda p: F.when(p.isNull(), ".").otherwise("j")), "")
+        takes = F.translate(F.replace(joins, F.lit("jj"), F.lit("t.")), "j", "t")
+        own = lambda takes, x, i: F.when(F.get(takes, i) == "t", F.get(pairs, i)).otherwise(x)
+        # a number that the one before has taken goes
+        return let(F.split(takes, ""), lambda takes: F.array_compact(F.transform(numbers, lambda x, i: F.when(F.coalesce(F.get(takes, i - 1) != "t", F.lit(True)), own(takes, x, i)))))
+
+    return let(F.transform(numbers, pair), joined)
 
 
 # Spoken company forms, letters that are no words, names of letters and of marks.
@@ -176,33 +171,50 @@ WEAK = ["a", "e", "i", "o", "u", "de", "te", "ese", "ye"]
 ACCENTS = ["grave", "agudo", "circunflejo"]
 
 
-def _kinds(table: dict[str, Column]) -> Column:
-    """The first letter whose condition holds, else a point."""
-    out = None
-    for letter, condition in table.items():
-        out = F.when(condition, letter) if out is None else out.when(condition, letter)
-    return out.otherwise(".")
+def _kinds(table: Callable[[Column], dict[str, Column]]) -> Callable[[Column], Column]:
+    """Of a token the first letter whose condition holds, else a point."""
 
+    def kind(token: Column) -> Column:
+        out = None
+        for letter, condition in table(token).items():
+            out = F.when(condition, letter) if out is None else out.when(condition, letter)
+        return out.otherwise(".")
 
-def fold_written(tokens: DataFrame, key: list[str]) -> DataFrame:
-    """Company forms, spoken or as abbreviations, become org:; a letter joined to a number becomes code:."""
-    v = F.col("value")
-    names = {"S": v == "sociedad", "L": v == "limitada", "A": v == "anonima", "U": v == "unipersonal"}
-    tokens = folded(tokens, key, _kinds(names), "S[LA]U?", lambda p: F.concat(F.lit("org:"), S.lookup(COMPANIES, F.array_join(p, " "))))
-    dotted, joined = F.col("gap").rlike(r"^\s*\.?\s*$"), F.coalesce(F.col("gap").isin("", "-", " "), F.lit(False))
-    whole = v.isin(*COMPANIES.values()) & (F.upper("surface") == F.col("surface"))
-    tokens = tokens.withColumn("value", F.when(whole, F.concat(F.lit("org:"), v)).otherwise(v))
-    kinds = {"s": (v == "s") & dotted, "l": v.isin("l", "a") & dotted, "m": v.isin("l", "a"), "u": v == "u"}
-    tokens = folded(tokens, key, _kinds(kinds), "slu|s[lm]", lambda p: F.concat(F.lit("org:"), F.array_join(p, "")))
-    tokens = tokens.withColumn("value", F.when(v.rlike(f"^[{LONE}][0-9]+$"), F.concat(F.lit("code:"), v)).otherwise(v))
-    kinds = {"c": v.rlike(f"^[{LONE}]$") & joined, "n": v.rlike("^num:[0-9]+$")}
-    return folded(tokens, key, _kinds(kinds), "cn", lambda p: F.concat(F.lit("code:"), p[0], F.substring(p[1], F.lit(5), F.length(p[1]))))
+    return kind
 
 
-def fold_spoken(tokens: DataFrame, key: list[str]) -> DataFrame:
+def _revalued(tokens: Column, value: Callable[[Column], Column]) -> Column:
+    return F.transform(tokens, lambda t: F.struct(value(t).alias("value"), *[t[c].alias(c) for c in ("begin", "end", "surface", "gap")]))
+
+
+def fold_companies(tokens: Column) -> Column:
+    """Spoken company forms become org:."""
+    names = lambda t: {"S": t["value"] == "sociedad", "L": t["value"] == "limitada", "A": t["value"] == "anonima", "U": t["value"] == "unipersonal"}
+    return folded(tokens, _kinds(names), "S[LA]U?", lambda p: F.concat(F.lit("org:"), S.lookup(COMPANIES, F.array_join(p, " "))))
+
+
+def fold_short_companies(tokens: Column) -> Column:
+    """Abbreviated company forms become org:."""
+    whole = lambda t: t["value"].isin(*COMPANIES.values()) & (F.upper(t["surface"]) == t["surface"])
+    tokens = _revalued(tokens, lambda t: F.when(whole(t), F.concat(F.lit("org:"), t["value"])).otherwise(t["value"]))
+
+    def short(t: Column) -> dict[str, Column]:
+        v, dotted = t["value"], F.coalesce(t["gap"].rlike(r"^\s*\.?\s*$"), F.lit(False))
+        return {"s": (v == "s") & dotted, "l": v.isin("l", "a") & dotted, "m": v.isin("l", "a"), "u": v == "u"}
+
+    return folded(tokens, _kinds(short), "slu|s[lm]", lambda p: F.concat(F.lit("org:"), F.array_join(p, "")))
+
+
+def fold_codes(tokens: Column) -> Column:
+    """A letter joined to a number becomes code:."""
+    tokens = _revalued(tokens, lambda t: F.when(t["value"].rlike(f"^[{LONE}][0-9]+$"), F.concat(F.lit("code:"), t["value"])).otherwise(t["value"]))
+    kinds = lambda t: {"c": t["value"].rlike(f"^[{LONE}]$") & F.coalesce(t["gap"].isin("", "-", " "), F.lit(False)), "n": t["value"].rlike("^num:[0-9]+$")}
+    return folded(tokens, _kinds(kinds), "cn", lambda p: F.concat(F.lit("code:"), p[0], F.substring(p[1], F.lit(5), F.length(p[1]))))
+
+
+def fold_spoken(tokens: Column) -> Column:
     """Hours after a time go; euros with cents are one amount."""
-    v = F.col("value")
-    kinds = {
+    kinds = lambda v: {
         "T": F.startswith(v, F.lit("time:")), "H": v.isin("h", "horas", "hora"), "E": v.rlike(r"^measure:[0-9]+:EUR$"), "C": v == "con", "N": v.rlike("^num:[0-9]{1,2}$"), "c": v.isin("centimo", "centimos"),
     }
 
@@ -211,13 +223,12 @@ def fold_spoken(tokens: DataFrame, key: list[str]) -> DataFrame:
         amount = S.number_text(F.concat(F.split(p[0], ":")[1], F.lit(","), cents))
         return F.when(F.startswith(p[0], F.lit("time:")), p[0]).otherwise(F.concat(F.lit("measure:"), amount, F.lit(":EUR")))
 
-    return folded(tokens, key, _kinds(kinds), "TH|ECNc?", value)
+    return folded(tokens, _kinds(lambda t: kinds(t["value"])), "TH|ECNc?", value)
 
 
-def fold_spelled(tokens: DataFrame, key: list[str]) -> DataFrame:
+def fold_spelled(tokens: Column) -> Column:
     """Three letters or more, by their names or as they are, with one at least that is no everyday word, become spell:."""
-    v = F.col("value")
-    kinds = {
+    kinds = lambda v: {
         "D": v == "doble", "V": v == "uve", "W": v == "ve", "I": v == "i", "G": v == "griega", "U": v == "u", "E": v == "ese", "C": v == "con", "M": v.isin(*MARKS), "A": v == "acento", "R": v.isin(*ACCENTS),
         "s": v.isin(*[n for n in LETTER_NAMES if n not in WEAK]) | v.rlike(f"^[{LONE}]$"), "w": v.isin(*WEAK) | v.rlike(r"^\p{L}$"),
     }
@@ -230,21 +241,40 @@ def fold_spelled(tokens: DataFrame, key: list[str]) -> DataFrame:
             said = F.regexp_replace(said, f"(?<![^ ]){pair}(?![^ ])", letter)
         return F.concat(F.lit("spell:"), F.array_join(F.transform(F.split(said, " "), lambda w: F.coalesce(S.lookup(LETTER_NAMES, w), w)), ""))
 
-    return folded(tokens, key, _kinds(kinds), f"(?=(?:{unit})*?{strong})(?:{unit}){{3,}}", value)
+    return folded(tokens, _kinds(lambda t: kinds(t["value"])), f"(?=(?:{unit})*?{strong})(?:{unit}){{3,}}", value)
 
 
-def canonical_tokens(texts: DataFrame, key: list[str], folds: bool = True) -> DataFrame:
-    """key, k, value, begin, end: the tokens of texts (key, text, time, date), in order.
+def _with_gaps(text: Column, tokens: Column) -> Column:
+    """Tokens with what stands between a token and the next, and the token itself, as written."""
+    gap = lambda s, t, i: F.when(F.get(s["tokens"], i + 1).isNotNull(), _cut(s["text"], t["end"], F.get(s["tokens"], i + 1)["begin"]))
+    each = lambda s, t, i: F.struct(t["value"].alias("value"), t["begin"].alias("begin"), t["end"].alias("end"), _cut(s["text"], t["begin"], t["end"]).alias("surface"), gap(s, t, i).alias("gap"))
+    return let(F.struct(text.alias("text"), tokens.alias("tokens")), lambda s: F.transform(s["tokens"], lambda t, i: each(s, t, i)))
+
 
-    ``time`` and ``date`` say whether spoken clock times and dates are expected in a text.
+def with_tokens(rows: DataFrame, name: str, text: Column, time: Column, date: Column, folds: bool = True) -> DataFrame:
+    """Rows with a column ``name``: value, begin, end, surface, gap of the tokens of a text, in order; null for a null text.
+
+    ``time`` and ``date`` say whether spoken clock times and dates are expected in the text. All of it is told from the row: nothing is shuffled.
+    A column for each step, as the analysis of one expression would take a round for each value named in it.
     """
-    src = texts.select(*key, "text", "time", "date", N.folded(F.col("text")).alias("plain")).filter("plain is not null")
-    words = located(src, key, F.col("plain"), {0: r"[\p{L}\p{N}]+"})
-    words = written(_numbered(words.select(*key, "begin", "end", F.col("match").alias("value")), key), "words")
-    by_rule = written(_written_spans(src, key), "written-spans")
-    numbers = by_rule.select(*key, "begin", "end", "value").unionByName(_spoken_spans(src, words, by_rule, key))
-    numbers = written(_clock_pairs(_numbered(numbers, key), src, key), "numbers")
-    left = covered(words, numbers, key).filter("not covered").select(*key, "begin", "end", "value")
-    tokens = written(_with_gaps(_numbered(left.unionByName(numbers), key), src, key).drop("time"), "tokens")
-    tokens = fold_spelled(fold_spoken(fold_written(tokens, key), key), key) if folds else tokens
-    return tokens.select(*key, "k", "value", "begin", "end", "surface")
+    step = lambda c: F.col(f"__{c}")
+    plain, words, by_rule, numbers, tokens = map(step, ("plain", "words", "by_rule", "numbers", "tokens"))
+    out = rows.withColumns({"__text": text, "__time": F.coalesce(time, F.lit(False)), "__date": F.coalesce(date, F.lit(False))}).withColumn("__plain", unmarked(N.folded(step("text"))))
+    out = out.withColumn("__words", F.transform(occurrences(marked(plain, r"[\p{L}\p{N}]+")), lambda m: _span(m["begin"], m["end"], m["match"])))
+    out = out.withColumn("__by_rule", _written_spans(plain)).withColumn("__each", covered(words, by_rule))
+    out = out.withColumn("__spoken", let(F.struct(step("each").alias("words"), step("time").alias("time"), step("date").alias("date")), lambda s: _spoken_spans(s["words"], s["time"], s["date"])))
+    out = out.withColumn("__numbers", F.sort_array(F.concat(F.transform(by_rule, lambda r: _span(r["begin"], r["end"], r["value"])), step("spoken"))))
+    pairs = let(F.struct(numbers.alias("numbers"), plain.alias("plain")), lambda s: _clock_pairs(s["numbers"], s["plain"]))
+    out = out.withColumn("__numbers", F.when(step("time"), pairs).otherwise(numbers))
+    left = F.transform(F.filter(covered(words, numbers), lambda w: ~w["covered"]), lambda w: _span(w["begin"], w["end"], w["value"]))
+    out = out.withColumn("__tokens", F.sort_array(F.concat(left, numbers))).withColumn("__tokens", _with_gaps(step("text"), tokens))
+    for fold in (fold_companies, fold_short_companies, fold_codes, fold_spoken, fold_spelled) if folds else ():
+        out = out.withColumn("__tokens", fold(tokens))
+    return out.select(*rows.columns, F.when(step("text").isNotNull(), tokens).alias(name))
+
+
+def canonical_tokens(texts: DataFrame, key: list[str], folds: bool = True) -> DataFrame:
+    """key, k, value, begin, end, surface: the tokens of texts (key, text, time, date), in order."""
+    rows = with_tokens(texts.select(*key, "text", "time", "date"), "__found", F.col("text"), F.col("time"), F.col("date"), folds)
+    # an explode that drops empty arrays would look for them before, and compute all steps for it again
+    return rows.select(*key, F.posexplode_outer("__found").alias("k", "t")).filter("k is not null").select(*key, "k", "t.value", "t.begin", "t.end", "t.surface")

@@ -7,17 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirework.functions.arrays import CLOSE, OPEN, let, marked, occurrences, unmarked
 
-def located(rows: DataFrame, key: list[str], text: Column, patterns: dict[int, str | Column], unit: Callable[[Column], Column] = F.length) -> DataFrame:
-    """key, rule, begin, end, match: every match of every rule, left to right. Offsets count what ``unit`` counts (characters)."""
-    as_column = lambda p: F.lit(p) if isinstance(p, str) else p
-    found = [F.struct(F.lit(rule).alias("rule"), F.split(text, as_column(p), -1).alias("between"), F.regexp_extract_all(text, as_column(p), F.lit(0)).alias("matches")) for rule, p in patterns.items()]
-    each = rows.select(*key, F.explode(F.filter(F.array(*found), lambda f: F.size(f["matches"]) > 0)).alias("f"))
-    each = each.select(*key, "f.rule", F.posexplode(F.arrays_zip(F.col("f.between"), F.col("f.matches"))).alias("at", "m")).select(*key, "rule", "at", "m.*")
-    before, here = unit(F.col("between")), F.coalesce(unit(F.col("matches")), F.lit(0))
-    order = Window.partitionBy(*key, "rule").orderBy("at")
-    end = F.sum(before + here).over(order)
-    return each.select(*key, "rule", (end - here).cast("int").alias("begin"), end.cast("int").alias("end"), F.col("matches").alias("match")).filter("match is not null")
+
+def located(rows: DataFrame, key: list[str], text: Column, patterns: dict[int, str]) -> DataFrame:
+    """key, rule, begin, end, match: every match of every rule, left to right. Offsets count characters."""
+    of = lambda rule, p: F.transform(occurrences(marked(unmarked(text), p)), lambda m: F.struct(F.lit(rule).alias("rule"), m["begin"].alias("begin"), m["end"].alias("end"), m["match"].alias("match")))
+    found = [of(rule, p) for rule, p in patterns.items()]
+    return rows.select(*key, F.explode(F.concat(*found)).alias("m")).select(*key, "m.*")
+
+
+def chosen(spans: Column, kind: str, always: list[int] = ()) -> Column:
+    """Of an array of spans (rule, begin, end, ...), by rule and then from left to right, those that met no span taken before; spans of a rule in ``always`` are taken anyway."""
+
+    def take(kept: Column, s: Column) -> Column:
+        met = F.exists(kept, lambda k: (k["begin"] < s["end"]) & (s["begin"] < k["end"]))
+        return F.when(met & ~s["rule"].isin(*always) if always else met, kept).otherwise(F.concat(kept, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast(kind), take)
 
 
 def claimed(spans: DataFrame, key: list[str], always: list[int] = ()) -> DataFrame:
@@ -33,42 +40,52 @@ def claimed(spans: DataFrame, key: list[str], always: list[int] = ()) -> DataFra
     span = F.struct("rule", "begin", "end", *[c for c in rest if c not in ("rule", "begin", "end")]).alias("span")
     held = knots.groupBy(*key, "knot").agg(F.sort_array(F.collect_list(span)).alias("spans"))
     kind = held.schema["spans"].dataType.simpleString()
+    return held.select(*key, F.explode(chosen(F.col("spans"), kind, always)).alias("s")).select(*key, "s.*").select(*key, *rest)
 
-    def take(kept: Column, s: Column) -> Column:
-        met = F.exists(kept, lambda k: (k["begin"] < s["end"]) & (s["begin"] < k["end"]))
-        return F.when(met & ~s["rule"].isin(*always) if always else met, kept).otherwise(F.concat(kept, F.array(s)))
 
-    kept = F.aggregate("spans", F.array().cast(kind), take)
-    return held.select(*key, F.explode(kept).alias("s")).select(*key, "s.*").select(*key, *rest)
+def overlapping(spans: Column) -> Column:
+    """Whether spans (begin, end, ...) in the order of their begins overlap anywhere."""
+    return F.size(F.filter(spans, lambda s, i: F.coalesce(F.get(spans, i - 1)["end"] > s["begin"], F.lit(False)))) > 0
+
 
+def covered(words: Column, spans: Column) -> Column:
+    """begin, end, value, covered of words (begin, end, value), in order: whether a span (begin, end, ...) begins at or before a word's begin and ends after it."""
+    places = F.flatten(F.transform(spans, lambda s: F.sequence(s["begin"], s["end"] - 1)))
+    under = F.array_intersect(F.transform(words, lambda w: w["begin"]), places)
+    row = lambda begin, is_word, end, value: F.struct(begin.alias("begin"), F.lit(is_word).alias("is_word"), end.alias("end"), value.alias("value"))
+    # a covered begin sorts right before its word
+    both = F.sort_array(F.concat(F.transform(under, lambda p: row(p, 0, F.lit(None).cast("int"), F.lit(None).cast("string"))), F.transform(words, lambda w: row(w["begin"], 1, w["end"], w["value"]))))
 
-def covered(words: DataFrame, spans: DataFrame, key: list[str]) -> DataFrame:
-    """The words (key, begin, ...) with a column ``covered``: whether a span begins at or before a word's begin and ends after it."""
-    columns = words.columns
-    marks = spans.select(*key, "begin", F.col("end").alias("until"), F.lit(0).alias("is_word"))
-    both = words.withColumns({"until": F.lit(None).cast("int"), "is_word": F.lit(1)}).unionByName(marks, allowMissingColumns=True)
-    order = Window.partitionBy(*key).orderBy("begin", "is_word").rowsBetween(Window.unboundedPreceding, 0)
-    both = both.withColumn("covered", F.coalesce(F.max("until").over(order) > F.col("begin"), F.lit(False)))
-    return both.filter("is_word = 1").select(*columns, "covered")
+    def read(both: Column) -> Column:
+        before = lambda i: F.coalesce(F.get(both, i - 1)["is_word"] == 0, F.lit(False))
+        each = F.transform(both, lambda w, i: F.struct(w["begin"].alias("begin"), w["end"].alias("end"), w["value"].alias("value"), before(i).alias("covered"), w["is_word"].alias("is_word")))
+        return F.filter(each, lambda w: w["is_word"] == 1)
 
+    return let(both, read)
 
-def folded(tokens: DataFrame, key: list[str], kind: Column, pattern: str, value: Callable[[Column], Column]) -> DataFrame:
-    """Runs of tokens (key, k, value, begin, end, surface, gap) become one token each.
 
-    ``kind`` gives one letter for each token; the runs are the matches of ``pattern`` (up to 1000 letters) in the letters of a text; ``value`` gives the new
-    value of an array of values. A run keeps its first surface and last gap; tokens are numbered anew.
+def folded(tokens: Column, kind: Callable[[Column], Column], pattern: str, value: Callable[[Column], Column]) -> Column:
+    """Runs of tokens (value, begin, end, surface, gap) of one text become one token each.
+
+    ``kind`` gives one letter for each token (or a point); the runs are the matches of ``pattern`` in the letters of a text; ``value`` gives the new
+    value of an array of values. A run keeps its first surface and last gap.
     """
-    columns = ["k", "value", "begin", "end", "surface", "gap"]
-    held = tokens.withColumn("kind", kind).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(*columns, "kind"))).alias("tokens"))
-    letters = F.array_join(F.transform("tokens", lambda t: t["kind"]), "")
-    # a run's first letter becomes +, its others -
-    marks = F.regexp_replace(letters, f"({pattern})", "<$1>")
-    marks = F.regexp_replace(F.regexp_replace(F.regexp_replace(marks, "(?<=<[^<>]{1,1000})[^<>]", "-"), "(?<=<)[^<>]", "+"), "[<>]", "")
-    each = held.select(*key, F.posexplode(F.arrays_zip(F.col("tokens"), F.split(marks, "").alias("marks"))).alias("at", "t")).select(*key, "at", "t.tokens.*", F.col("t.marks").alias("mark"))
-    number = F.sum(F.when(F.col("mark") == "-", 0).otherwise(1)).over(Window.partitionBy(*key).orderBy("at"))
-    each = each.filter("k is not null").withColumn("new", (number - 1).cast("int"))
-    whole = each.groupBy(*key, "new").agg(F.sort_array(F.collect_list(F.struct(*columns))).alias("parts"), F.max(F.col("mark").isin("+", "-")).alias("in_run"))
-    values = F.transform("parts", lambda p: p["value"])
-    last = F.element_at("parts", -1)
-    kept = F.col("parts")[0]
-    return whole.select(*key, F.col("new").alias("k"), F.when(F.col("in_run"), value(values)).otherwise(values[0]).alias("value"), kept["begin"].alias("begin"), last["end"].alias("end"), kept["surface"].alias("surface"), last["gap"].alias("gap"))
+
+    def fold(tokens: Column) -> Column:
+        # a run's first letter becomes +, its others -
+        lead = lambda p: let(F.substring_index(p, CLOSE, 1), lambda m: F.concat(F.lit("+"), F.repeat(F.lit("-"), F.length(m) - 1), F.substring(p, F.length(m) + 2, F.length(p))))
+        marks = lambda m: F.array_join(F.transform(F.split(m, OPEN), lambda p, i: F.when(i == 0, p).otherwise(lead(p))), "")
+
+        def runs(marks: Column) -> Column:
+            starts = F.array_compact(F.transform(F.split(marks, ""), lambda c, i: F.when(~c.isin("-", ""), i)))
+            return F.zip_with(starts, F.regexp_extract_all(marks, F.lit("([^-]-*)"), F.lit(1)), lambda at, run: let(F.slice(tokens, at + 1, F.length(run)), lambda parts: one(parts, run)))
+
+        def one(parts: Column, run: Column) -> Column:
+            first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+            new = F.when(F.startswith(run, F.lit("+")), value(F.transform(parts, lambda p: p["value"]))).otherwise(first["value"])
+            return F.struct(new.alias("value"), first["begin"].alias("begin"), last["end"].alias("end"), first["surface"].alias("surface"), last["gap"].alias("gap"))
+
+        letters = F.array_join(F.transform(tokens, kind), "")
+        return let(marked(letters, pattern), lambda m: F.when(F.contains(m, F.lit(OPEN)), let(marks(m), runs)).otherwise(tokens))
+
+    return let(tokens, fold)

@@ -94,6 +94,14 @@ def test_spans_stand_on_the_text(tokens):
     assert all([t[0] for t in tokens[i]] == list(range(len(tokens[i]))) for i in tokens)
 
 
+def test_tokens_of_a_text_need_no_shuffle(spark):
+    """Control characters in a text and rules that overlap included."""
+    rows = [(1, "\u0001dos\u0002 12/03/2024 y 3 de enero de 1999", False, False), (2, None, True, True)]
+    df = C.canonical_tokens(spark.createDataFrame(rows, "id int, text string, time boolean, date boolean"), ["id"])
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [(r.k, r.value, r.begin, r.end) for r in sorted(df.collect(), key=lambda r: r.k)] == [(0, "num:2", 1, 4), (1, "date:2024-03-12", 6, 16), (2, "y", 17, 18), (3, "date:1999-01-03", 19, 37)]
+
+
 def test_claims_follow_the_order_of_the_rules(spark):
     """A span that lost to an earlier rule claims nothing from a later one."""
     from quirework.operators.claims import claimed
