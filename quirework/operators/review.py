@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quirework.functions import numbers as N
 from quirework.functions import text as T
 
-from .canonical import canonical_tokens, expects_date, expects_time
+from .canonical import expects_date, expects_time, with_tokens
 from .matching import matching_blocks, opcodes
 from .written import written
 
@@ -24,15 +24,12 @@ SIMILAR = 0.82
 
 def aligned_tokens(pairs: DataFrame, key: list[str]) -> DataFrame:
     """key, expected, heard, a, b: both texts with their canonical tokens (value, begin, end); times and dates are expected where the expected text has them."""
-    side = lambda column, which, time, date: pairs.select(*key, F.lit(which).alias("__side"), F.col(column).alias("text"), time.alias("time"), date.alias("date"))
-    time, date = expects_time(F.col("expected")), expects_date(F.col("expected"))
+    time, date, no = expects_time(F.col("expected")), expects_date(F.col("expected")), F.lit(False)
     # the expected text is written: only the heard one is read with spoken times and dates
-    texts = side("expected", "a", F.lit(False), F.lit(False)).unionAll(side("heard", "b", time, date))
-    tokens = canonical_tokens(texts, [*key, "__side"])
-    token = F.struct("k", "value", "begin", "end")
-    both = tokens.groupBy(*key).agg(*[F.sort_array(F.collect_list(F.when(F.col("__side") == s, token))).alias(s) for s in "ab"])
-    none = F.array().cast(both.schema["a"].dataType)
-    return pairs.select(*key, "expected", "heard").join(both, key, "left").withColumns({s: F.coalesce(s, none) for s in "ab"})
+    rows = with_tokens(with_tokens(pairs.select(*key, "expected", "heard"), "a", F.col("expected"), no, no), "b", F.col("heard"), time, date)
+    token = lambda t, k: F.struct(k.alias("k"), t["value"].alias("value"), t["begin"].alias("begin"), t["end"].alias("end"))
+    none = F.array().cast("array<struct<k:int,value:string,begin:int,end:int>>")
+    return rows.withColumns({s: F.coalesce(F.transform(s, token), none) for s in "ab"})
 
 
 def _span(tokens: Column, text: Column, begin: Column, end: Column) -> tuple[Column, Column]:
@@ -56,7 +53,9 @@ def _reads_back(left: Column, right: Column) -> Column:
 def differences(tokens: DataFrame, key: list[str]) -> DataFrame:
     """key, step, kind, expected and heard surface with their characters, values of both sides, expected_tokens: what is not the same."""
     value = lambda s: F.transform(s, lambda t: t["value"])
-    steps = opcodes(tokens.select(*key, value("a").alias("a"), value("b").alias("b")), key).filter("tag <> 'equal'")
+    # equal texts have no steps but one
+    unlike = tokens.select(*key, value("a").alias("a"), value("b").alias("b")).filter("a <> b")
+    steps = opcodes(unlike, key).filter("tag <> 'equal'")
     rows = steps.join(tokens, key)
     part = lambda s: F.slice(value(s), F.col(f"{s}_begin") + 1, F.col(f"{s}_end") - F.col(f"{s}_begin"))
     rows = rows.withColumns({"a_values": part("a"), "b_values": part("b"), "expected_tokens": F.size("a")})
@@ -88,7 +87,9 @@ def classified(issues: DataFrame, key: list[str]) -> DataFrame:
     e, h = plain_words(F.col("missing")), plain_words(F.col("said"))
     rows = written(issues.withColumns({"e": e, "h": h, "lead": plain_words(F.col("before")), "tail": plain_words(F.col("after"))}), "differences")
     one_word = rows.filter("kind = 'replace' and size(e) = 1 and size(h) = 1").select(*key, "step", F.get("e", F.lit(0)).alias("x"), F.get("h", F.lit(0)).alias("y"))
-    rows = rows.join(similarity(one_word, [*key, "step"], "x", "y"), [*key, "step"], "left")
+    # each two words once, however often they were mixed up
+    alike = written(similarity(one_word.select("x", "y").distinct(), ["x", "y"], "x", "y"), "similarity")
+    rows = rows.join(one_word.join(alike, ["x", "y"]).select(*key, "step", "ratio"), [*key, "step"], "left")
     e, h, lead, tail, kind = map(F.col, ("e", "h", "lead", "tail", "kind"))
     functional = lambda w: F.forall(w, lambda x: x.isin(*FUNCTION_WORDS))
     span = F.greatest(F.size(e), F.size(h))
