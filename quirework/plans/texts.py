@@ -93,13 +93,14 @@ SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id, turn ORDER B
 )
 def pause_marks(t):
     """SEG14: punctuation marks with the share of letters spoken before each."""
-    letters = lambda c: F.length(F.regexp_replace(c, "[^A-Za-zÀ-ÿ]", ""))
-    # a piece is what stands before a mark, the mark with it
-    pieces = F.regexp_extract_all("text", F.lit("([^.!?…,;:]*[.!?…,;:])"), F.lit(1))
-    c = t("conversations").select("conv_id", "turn", letters(F.col("text")).alias("letters"), F.posexplode(pieces).alias("pos", "piece"))
-    c = O.running(c, ["conv_id", "turn"], ["pos"], letters(F.col("piece")), "before")
-    kind = F.when(F.right("piece", F.lit(1)).isin(".", "!", "?", "…"), "sentence").otherwise("clause")
-    return c.select("conv_id", "turn", (F.col("pos") + 1).cast("bigint").alias("mark"), kind.alias("kind"), F.round(F.col("before") / F.nullif("letters", F.lit(0)), 6).alias("spoken"))
+    # of letters and marks alone, a mark's place less the marks before it is the number of letters before it
+    kept = F.regexp_replace("text", "[^A-Za-zÀ-ÿ.!?…,;:]", "")
+    c = t("conversations").select("conv_id", "turn", F.length(F.regexp_replace(kept, "[.!?…,;:]", "")).alias("letters"), F.split(kept, "").alias("chars"))
+    marks = F.array_compact(F.transform("chars", lambda c, i: F.when(c.isin(".", "!", "?", "…", ",", ";", ":"), F.struct(i.alias("at"), c.alias("c")))))
+    # outer: else the marks would be looked for twice, to drop texts without any before
+    c = c.select("conv_id", "turn", "letters", F.posexplode_outer(marks).alias("pos", "m")).filter("pos is not null")
+    kind = F.when(F.col("m.c").isin(".", "!", "?", "…"), "sentence").otherwise("clause")
+    return c.select("conv_id", "turn", (F.col("pos") + 1).cast("bigint").alias("mark"), kind.alias("kind"), F.round((F.col("m.at") - F.col("pos")) / F.nullif("letters", F.lit(0)), 6).alias("spoken"))
 
 
 @query(r"SELECT doc_id, CAST(k AS INTEGER) AS ordinal, number, before FROM (SELECT doc_id, unnest(range(len(m))) AS k, regexp_extract(unnest(m), '\(([0-9]+)\)$', 1) AS number, regexp_extract(unnest(m), '^(.*)\([0-9]+\)$', 1) AS before FROM (SELECT doc_id, regexp_extract_all(regexp_replace(text, '[,.] ', ' (' || (doc_id % 90) || ') ', 'g'), '[^()\n]{1,12}\([0-9]+\)') AS m FROM documents WHERE text IS NOT NULL))")

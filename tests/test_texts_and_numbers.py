@@ -95,3 +95,16 @@ def test_parents(spark):
     for r in O.parents(df, ["d"], "p", "level", [0, 1, 2, 3]).collect():
         before = [p for d, p, x in rows if d == r.d and p < r.p and x < r.level]
         assert r.parent == (max(before) if before else None)
+
+
+def test_pauses_and_paragraphs_are_told_from_the_row(spark):
+    """Without a shuffle: a text's own letters and lines tell them."""
+    from quirework.plans.queries import PLANS
+
+    plain = lambda df: "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    talk = spark.createDataFrame([(1, 0, "¡Sí, 2 años… ya!"), (1, 1, "…"), (1, 2, None), (1, 3, "sin"), (2, 0, "")], "conv_id long, turn int, text string")
+    got = PLANS["pause_marks"](lambda _: talk)
+    assert plain(got) and sorted(map(tuple, got.collect())) == [(1, 0, 1, "clause", 0.25), (1, 0, 2, "sentence", 0.75), (1, 0, 3, "sentence", 1.0), (1, 1, 1, "sentence", None)]
+    texts = spark.createDataFrame([(1, " the cut \n\n 12 \n goes on\nNew one\nthen"), (2, None), (3, "\n 4 \n"), (4, "A"), (5, "a\nB\nb \n  b")], "doc_id long, text string")
+    got = PLANS["joined_paragraphs"](lambda _: texts)
+    assert plain(got) and sorted(map(tuple, got.collect())) == [(1, 1, "the cut goes on"), (1, 2, "New one then"), (4, 1, "A"), (5, 1, "a"), (5, 2, "B"), (5, 3, "b b")]
