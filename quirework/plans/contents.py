@@ -306,14 +306,11 @@ SELECT doc_id, CAST(paragraph AS BIGINT) AS paragraph, string_agg(trim(line), '
 )
 def joined_paragraphs(t):
     """SRC19: a paragraph that a page break cut, ending and going on in lower case, is one again."""
-    lines = t("documents").filter("text is not null").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    c = lines.select("doc_id", "pos", F.regexp_replace("line", "[^A-Za-z ]", "").alias("line")).filter(F.trim("line") != "")
-    before = F.lag("line").over(Window.partitionBy("doc_id").orderBy("pos"))
-    goes_on = before.rlike(r"[a-z] *\z") & F.col("line").rlike("^ *[a-z]")
-    c = c.withColumn("new", F.coalesce(~goes_on, F.lit(True)).cast("int"))
-    g = O.running(c, ["doc_id"], ["pos"], F.col("new"), "paragraph")
-    parts = F.array_sort(F.collect_list(F.struct("pos", F.trim("line").alias("t"))))
-    return g.groupBy("doc_id", F.col("paragraph").cast("bigint").alias("paragraph")).agg(F.array_join(F.transform(parts, lambda x: x["t"]), " ").alias("text"))
+    # told from the text itself: its lines that hold letters, the joints between them, and what stands between other line ends
+    lines = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z \n]", ""), "\n", -1), lambda x: F.trim(x) != "")
+    joined = F.regexp_replace(F.array_join(lines, "\n"), r"(?<=[a-z]) *\n *(?=[a-z])", " ")
+    d = t("documents").filter("text is not null").select("doc_id", F.posexplode_outer(F.split(joined, "\n", -1)).alias("at", "part"))
+    return d.filter("part <> ''").select("doc_id", (F.col("at") + 1).cast("bigint").alias("paragraph"), F.trim("part").alias("text"))
 
 
 @query(
