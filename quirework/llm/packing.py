@@ -9,8 +9,8 @@ neighbours in order of score over all terms of the seed, those that fit are adde
 fill the window; what remains of it stays in the index. Only the last window of a shard is padded.
 
 Texts are encoded once; packed ids are written, counted (what comes to the driver is as large as the vocabulary) and moved
-once. Words between ASCII white space are encoded once per worker
-by the tokenizer, which never joins across white space; texts with any other space go to it whole.
+once. Words between ASCII white space, across which the tokenizer never joins, are cut and told apart by Arrow, lower-cased and split into parts; a part is
+encoded once per worker. Texts with any other space go to the tokenizer whole.
 
 Null and empty texts are one end id. Very long texts are cut into windows, read whole. Repeated rows are packed each by itself, rows with a null id
 too, and are dealt apart like any others. Ties in score go to the smaller place (by id). Extra columns are not read, whatever their names. An empty table gives no rows.
@@ -21,17 +21,14 @@ from __future__ import annotations
 import functools
 import gc
 import json
-import re
-import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,38 +37,57 @@ from ._common import map_texts, materialise
 WINDOW = 2048
 #: Rests of a shard (about).
 SHARD = 2000
-#: Distinct words and parts that a worker remembers; beyond it the memory is emptied.
+#: Parts of words that a worker remembers; when it has more, the memory is emptied before the next texts.
 WORDS = 1_000_000
-#: White space that only some libraries split at.
-ODD_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+#: White space that only some libraries split at (a pattern of Arrow's, as those below are).
+ODD_SPACE = r"[\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PIECE = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-#: The tokenizer's own splitting pattern, and what keeps a word from being split and lower-cased here.
-PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-NOT_PLAIN = re.compile(r"[^\x00-\u012f\u0131-\u024f]|<\|")
+#: The tokenizer's own splitting pattern, the same for words without white space, and what keeps a word from being split and lower-cased here.
+PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PARTS_OF_WORD = r"('s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+)"
+NOT_PLAIN = r"[^\x00-\x{12f}\x{131}-\x{24f}]|<\|"
+
+
+def listed(strings: pa.Array) -> list[str]:
+    return strings.to_numpy(zero_copy_only=False).tolist()
+
+
+def ragged(values: np.ndarray, begin: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lists ``which`` of those that begin at ``begin``, one after the other, and where each begins."""
+    size = begin[which + 1] - begin[which]
+    new = np.concatenate(([0], np.cumsum(size)))
+    return values[np.arange(new[-1]) + np.repeat(begin[which] - new[:-1], size)], new
 
 
 class WordEncoder:
     """Packed ids of a text; equal to the tokenizer's.
 
-    A word that is new is lower-cased and split as the tokenizer would, and only parts that are new,
-    too, are encoded by it.
+    Arrow cuts many texts into words, each distinct word is lower-cased and split as the tokenizer would, and only parts
+    that are new are encoded by its model. What is remembered are parts, not the forms that case and marks give them.
     """
 
     def __init__(self, tokenizer_file: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        # the same model for parts, which need no more than to be kept apart
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
-        self.code = "H" if self.dtype is np.uint16 else "I"
         self.splits = self._splits_as_expected(tokenizer_file)
-        self.known: dict[str, bytes] = {}
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
+        self._forget()
+
+    def _forget(self) -> None:
+        #: Where the ids of a part are: at begin[known[part]]; an empty one has none.
+        self.known: dict[str, int] = {"": 0}
+        self.ids, self.begin = np.zeros(0, self.dtype), np.zeros(2, np.int64)
 
     @staticmethod
     def _splits_as_expected(tokenizer_file: str) -> bool:
@@ -85,58 +101,52 @@ class WordEncoder:
             after = [(r["type"], r["add_prefix_space"], r["use_regex"]) for r in rest]
         except (KeyError, TypeError):
             return False
-        return kinds == ["NFC", "Replace", "Lowercase"] and pattern == (PARTS.pattern, "Removed", True) and after == [("ByteLevel", False, False)]
+        return kinds == ["NFC", "Replace", "Lowercase"] and pattern == (PARTS, "Removed", True) and after == [("ByteLevel", False, False)]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        code = self.code
-        return [array(code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Ids, one text's after the other's, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.array(list(chain.from_iterable(ids)), self.dtype), [len(x) for x in ids]
 
-    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+    def _encode_parts(self, parts: list[str]) -> tuple[np.ndarray, list[int]]:
         """Many parts as one text: white space keeps them apart, and each one's last id, and no other, ends a word."""
-        ids = np.array(self.tokenizer.encode(" ".join(parts), add_special_tokens=False).ids, self.dtype)
-        cuts = np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
-        if len(cuts) != len(parts) + 1:
+        ids = np.array(self.bare.encode_batch_fast([" ".join(parts)], add_special_tokens=False)[0].ids, self.dtype)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(parts) or cuts[-1] != len(ids):
             return self._encode(parts)
-        packed, width = ids.tobytes(), ids.itemsize
-        at = (cuts * width).tolist()
-        return [packed[i:j] for i, j in zip(at, at[1:])]
-
-    def _parts(self, word: str) -> list[str] | None:
-        """The parts that the tokenizer splits a word into, lower-cased; None: a word for the tokenizer itself."""
-        if word.isascii():
-            if "<|" in word:
-                return None
-            low = word.lower()
-        elif NOT_PLAIN.search(word):
-            return None
-        else:
-            low = unicodedata.normalize("NFC", word).lower()
-        core = low.rstrip(".,;:!?")
-        if core.isalpha():  # letters, and marks at the end
-            return [core] if len(core) == len(low) else [core, low[len(core) :]]
-        return PARTS.findall(low)
-
-    def _learn(self, words: set[str]) -> None:
-        known = self.known
-        if len(known) + len(words) > WORDS:
-            known.clear()
-        whole, split = [], {}
-        for w in words:
-            parts = self._parts(w) if self.splits else None
-            if parts is None:
-                whole.append(w)
-            else:
-                split[w] = parts
-        known.update(zip(whole, self._encode(whole)))
-        parts = [p for p in set(chain.from_iterable(split.values())) if p not in known]
-        for i in range(0, len(parts), 512):
-            some = parts[i : i + 512]
-            known.update(zip(some, self._encode_parts(some)))
-        for w, ps in split.items():
-            if len(ps) == 2:
-                known[w] = known[ps[0]] + known[ps[1]]
-            elif len(ps) != 1 or ps[0] != w:
-                known[w] = b"".join([known[p] for p in ps])
+        return ids, np.diff(cuts, prepend=0).tolist()
+
+    def _places(self, words: pa.Array, encode) -> np.ndarray:
+        """Where each word is remembered; new ones are encoded."""
+        distinct, known = words.dictionary_encode(), self.known
+        texts = listed(distinct.dictionary)
+        at = np.fromiter(map(known.get, texts, repeat(-1)), np.int64, len(texts))
+        missing = np.flatnonzero(at < 0)
+        new = [texts[i] for i in missing.tolist()]
+        at[missing] = np.arange(len(known), len(known) + len(new))
+        known.update(zip(new, at[missing].tolist()))
+        ids, sizes = [self.ids], []
+        for i in range(0, len(new), 512):
+            some, counts = encode(new[i : i + 512])
+            ids.append(some)
+            sizes += counts
+        self.ids = np.concatenate(ids)
+        self.begin = np.concatenate((self.begin, self.begin[-1] + np.cumsum(sizes, dtype=np.int64)))
+        return at[distinct.indices.to_numpy()]
+
+    def _split(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of lower-cased plain words: places of parts, where each row's begin, and each word's row."""
+        letters = pc.utf8_is_alpha(words)
+        core = pc.if_else(letters, words, pc.utf8_slice_codeunits(words, 0, -1))
+        last = pc.if_else(letters, "", pc.utf8_slice_codeunits(words, -1))
+        easy = pc.utf8_is_alpha(core)  # letters, and one other character at the end, which is a part of its own
+        others = pc.ascii_split_whitespace(pc.replace_substring_regex(words.filter(pc.invert(easy)), PARTS_OF_WORD, r"\1 "))
+        core, last, parts = core.filter(easy), last.filter(easy), others.flatten()
+        n = len(core)
+        places = self._places(pa.concat_arrays([core, last, parts]), self._encode_parts)
+        row, easy = np.empty(len(words), np.int64), easy.to_numpy(zero_copy_only=False)
+        row[easy], row[~easy] = np.arange(n), n + np.arange(len(words) - n)
+        return np.concatenate((places[: 2 * n].reshape(2, n).T.ravel(), places[2 * n :])), np.concatenate((2 * np.arange(n), 2 * n + others.offsets.to_numpy())), row
 
     def many(self, texts: list[str]) -> list[bytes]:
         # nothing here makes cycles, and looking for them would go through all that is remembered again and again
@@ -149,20 +159,28 @@ class WordEncoder:
                 gc.enable()
 
     def _many(self, texts: list[str]) -> list[bytes]:
-        words = [t.split() for t in texts]
-        odd = [i for i, t in enumerate(texts) if ODD_SPACE.search(t)]
-        for i in odd:
-            words[i] = []
-        seen = set(chain.from_iterable(words))
-        unseen = seen.difference(self.known)
-        if unseen:
-            self._learn(unseen)
-            if not seen <= self.known.keys():  # the memory was emptied
-                self._learn(seen.difference(self.known))
-        get = self.known.__getitem__
-        out = [b"".join(map(get, w)) for w in words]
-        for i in odd:
-            out[i] = self._encode([texts[i]])[0]
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, ODD_SPACE)
+        words = pc.ascii_split_whitespace(pc.if_else(odd, "", column))
+        every = words.flatten().dictionary_encode()
+        distinct = every.dictionary
+        whole = pc.match_substring_regex(distinct, NOT_PLAIN) if self.splits else pa.array([True] * len(distinct), pa.bool_())
+        lower = pc.utf8_lower(distinct.filter(pc.invert(whole))).dictionary_encode()
+        if len(self.known) > WORDS:
+            self._forget()
+        places, begin, row = self._split(lower.dictionary)
+        rows = len(begin) - 1
+        whole_places = self._places(distinct.filter(whole), self._encode)
+        of_part, part_begin = ragged(self.ids, self.begin, np.concatenate((places, whole_places)))
+        word_begin = part_begin[np.concatenate((begin, begin[-1] + 1 + np.arange(len(whole_places))))]
+        whole, of_word = whole.to_numpy(zero_copy_only=False), np.empty(len(distinct), np.int64)
+        of_word[~whole], of_word[whole] = row[lower.indices.to_numpy()], rows + np.arange(len(whole_places))
+        ids, at = ragged(of_part, word_begin, of_word[every.indices.to_numpy()])
+        packed, width = ids.tobytes(), ids.itemsize
+        at = (at[words.offsets.to_numpy()] * width).tolist()
+        out = [packed[i:j] for i, j in zip(at, at[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self._encode([texts[i]])[0].tobytes()
         return out
 
     def __call__(self, text: str) -> bytes:
@@ -269,7 +287,8 @@ def _distinct_terms(rests: list[bytes], dtype, vocabulary: int) -> list[bytes]:
     """Distinct terms of each rest, ascending, packed."""
     sizes = [len(r) // np.dtype(dtype).itemsize for r in rests]
     small = np.uint32 if len(rests) * vocabulary < 1 << 32 else np.int64  # narrow keys sort faster
-    key = np.unique(np.repeat(np.arange(len(rests), dtype=small) * small(vocabulary), sizes) + np.frombuffer(b"".join(rests), dtype))
+    key = np.sort(np.repeat(np.arange(len(rests), dtype=small) * small(vocabulary), sizes) + np.frombuffer(b"".join(rests), dtype))
+    key = key[np.diff(key, prepend=key[:1] + small(1)) != 0]
     terms = (key % small(vocabulary)).astype(dtype).tobytes()
     width = np.dtype(dtype).itemsize
     cuts = (np.searchsorted(key, np.arange(len(rests) + 1) * vocabulary) * width).tolist()

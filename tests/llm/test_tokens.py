@@ -176,6 +176,34 @@ def test_word_ids_equal_the_library():
         assert np.frombuffer(enc(t), enc.dtype).tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_parts_are_encoded_once_whatever_their_forms(monkeypatch):
+    """Case and marks make many words of a part; they do not fill the memory, so that it is not emptied and learned anew."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, lib, asked = packing.WordEncoder(path), Tokenizer.from_file(path), []
+    encode_parts = enc._encode_parts
+    monkeypatch.setattr(packing, "WORDS", 1000)
+    monkeypatch.setattr(enc, "_encode_parts", lambda parts: asked.extend(parts) or encode_parts(parts))
+    rnd = random.Random(8)
+    stems = sorted({"".join(rnd.choice("abcdefghij") for _ in range(7)) for _ in range(300)})
+    forms = "{}", "{},", "{}.", "{}...", "({})", "{}!?", '"{}"', "-{}-"
+    for text in [" ".join(form.format(case(s)) for s in stems) for _ in range(2) for case in (str.lower, str.title, str.upper) for form in forms]:
+        assert np.frombuffer(enc(text), enc.dtype).tolist() == lib.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) < 320
+
+
+@pytest.mark.parametrize("memory", [0, packing.WORDS])
+def test_words_of_any_characters_equal_the_library(monkeypatch, memory):
+    """Every character that is lower-cased and split here, and some that are not; with the memory emptied before each call, too."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    enc, lib, rnd = packing.WordEncoder(path), Tokenizer.from_file(path), random.Random(9)
+    monkeypatch.setattr(packing, "WORDS", memory)
+    some = [chr(c) for c in range(0x260) if c not in (0x85, 0xA0) and not 0x1C <= c <= 0x1F] + ["'s", "'LL", "'", ".", ",", " ", "\n", "<|endoftext|>", "<|", "Ⱥ", "日", "😀", "é", "²", "１"] * 9
+    texts = [rnd.choice(["", "Word", "x1", " "]).join(rnd.choice(some) for _ in range(rnd.randint(0, 60))) for _ in range(900)] + [" ".join(some)]
+    for i in range(0, len(texts), 300):
+        got = enc.many(texts[i : i + 300])
+        assert [np.frombuffer(g, enc.dtype).tolist() for g in got] == [lib.encode(t, add_special_tokens=False).ids for t in texts[i : i + 300]]
+
+
 ROWS = [(i, t, "x", 1) for i, t in enumerate(ALL)] + [(900, None, "x", 1), (901, "a b", "x", 1), (901, "a b", "x", 1), (None, "null id", "x", 1)]
 SCHEMA = "doc_id bigint, text string, shard string, n_tokens bigint"
 
