@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quirework.functions import alignment as A
 from quirework.operators import matching as M
+from quirework.plans import comparison
 
 
 def plain_counts(a, b):
@@ -89,6 +90,35 @@ def test_distance_goes_by_rows_of_bits():
     assert A.plain_edit_distance(a, a[1000:29_000] + "x") == 2000 and time.monotonic() - began < 30
 
 
+def test_distances_by_strips(monkeypatch):
+    """Strips of the longer side give what the whole table gives."""
+    rnd = random.Random(7)
+    a = "".join(rnd.choice("abcd") for _ in range(40_000))
+    assert len(a) > A._STRIP and A.plain_edit_distance(a, a[1000:39_000] + "x") == 2000
+    data = [("".join(w[-1] for w in x), "".join(w[-1] for w in y)) for x, y in pairs(8, 120)]
+    many = ["".join(chr(0x4E00 + rnd.randrange(150)) for _ in range(n)) for n in (220, 300)]  # more characters than are looked for at once
+    data.append(tuple(many))
+    for strip in (1, 2, 3, 7, 64, 1000):
+        monkeypatch.setattr(A, "_STRIP", strip)
+        for a, b in data:
+            assert A.plain_edit_distance(a, b) == A.plain_edit_distance(b, a) == sum(plain_counts(a, b)[:3])
+
+
+def test_characters_of_very_long_pairs_have_their_rate(spark):
+    """The reference leaves them out beyond four million cells; here pairs just at that, just beyond and far beyond it, and empty ones."""
+    rnd = random.Random(9)
+    text = lambda words, more="": " ".join("".join(rnd.choice("abcñ") for _ in range(3)) for _ in range(words)) + more
+    long = text(2500)
+    texts = [(text(500, "q"), text(500, "r")), (text(500, "q"), text(500, "rr")), (long, text(2200)), (long, long[:4000] + "de " + long[4600:]), (long, ""), ("", long), ("", ""), ("a", "b" * 4_000_001)]
+    rows = [(k, turn, role, said) for k, pair in enumerate(texts) for turn, (role, said) in enumerate(zip(("user", "assistant"), pair))]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r.cer for r in comparison.wer_pairs({"conversations": turns}.__getitem__).collect()}
+    rate = F.when(F.length("x") > 0, F.round(F.levenshtein("x", "y") / F.length("x"), 4)).otherwise(0.0)
+    both = spark.createDataFrame([(k, *pair) for k, pair in enumerate(texts)], "k long, x string, y string")
+    assert len(texts[0][0]) * len(texts[0][1]) == 4_000_000 and None not in got.values()
+    assert got == {r.k: r.rate for r in both.select("k", rate.alias("rate")).collect()}
+
+
 def test_blocks_and_steps_are_those_of_difflib(spark):
     data = pairs(2)
     df = frame(spark, data)
