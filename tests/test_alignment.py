@@ -3,6 +3,7 @@
 import difflib
 import random
 import time
+import tracemalloc
 
 from pyspark.sql import functions as F
 
@@ -74,6 +75,17 @@ def test_long_pairs_in_short_time(spark):
     assert tuple(got) == (3000, 1000, 0, 0) and time.monotonic() - began < 30
 
 
+def test_many_different_words_in_little_memory():
+    """A bit for each place of each word would be 50 MB."""
+    words = [f"w{i}" for i in range(20_000)]
+    tracemalloc.start()
+    try:
+        got = A.plain_edit_counts(words, words[1000:] + words[:1000])
+        assert got == (0, 1000, 1000, 19_000) and tracemalloc.get_traced_memory()[1] < 30e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_distances_are_the_built_in_ones(spark):
     rnd = random.Random(4)
     word = lambda letters, n: "".join(rnd.choice(letters) for _ in range(rnd.randint(0, n)))
